@@ -50,6 +50,8 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     ranged = lines.repartitionByRange(shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order, "pos")
     first = ranged.groupBy(*_KEY, "doc_id").agg(F.min("pos").alias("first_pos"))
     shared = first.groupBy(*_KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
+    # Written out, it lies across no key's partitioning: both sides of the join are dealt anew, and hot keys can be split.
+    shared = staged(shared, "shared")
     lost = lines.join(shared, list(_KEY)).where(F.coalesce(F.col("doc_id") < F.col("keeper"), F.col("doc_id").isNull() & F.col("keeper").isNotNull()))
     runs = lambda p: F.zip_with(
         F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1) < x - 1)),

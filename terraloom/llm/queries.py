@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, line_dedup, quality_rules, secret_scan
+from . import decontam, html_extract, language_id, license_scan, line_dedup, packing, quality_rules, secret_scan, simhash_gray, warc_zip
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -19,11 +19,34 @@ documents, pages, benchmark, labels = map(_table, ("documents", "pages", "benchm
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": lambda s, d: quality_rules.query(documents(s, d), labels(s, d)),
+        "op2_language_id": lambda s, d: language_id.query(documents(s, d)),
+        "op3_html_extract": lambda s, d: html_extract.query(pages(s, d)),
+        "op4_simhash_gray": lambda s, d: simhash_gray.query(documents(s, d)),
         "op5_secret_scan": lambda s, d: secret_scan.query(documents(s, d)),
         "op6_license_scan": lambda s, d: license_scan.query(documents(s, d)),
+        "op7_decontam": lambda s, d: decontam.query(documents(s, d), benchmark(s, d)),
+        "op8_warc_zip": lambda s, d: warc_zip.query(pages(s, d)),
+        "op9_packing": lambda s, d: packing.query(documents(s, d)),
         "op10_line_dedup": lambda s, d: line_dedup.query(documents(s, d)),
     }
 
 
+#: Line dedup: keys of 40 code points or more in 5 documents or more stay in the largest doc_id only.
+_LINES = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS pos FROM documents
+), keyed AS (
+  SELECT doc_id, line, pos, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
+), shared AS (
+  SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+  SELECT keyed.*, keeper IS NOT NULL AND keyed.doc_id <> keeper AS gone FROM keyed LEFT JOIN shared USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_dedup": _LINES}
