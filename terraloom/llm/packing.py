@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import shuffle_width
 
@@ -78,7 +79,7 @@ def hilbert_key(point: np.ndarray, order: int = ORDER) -> int:
     return key
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def curve_key(texts: pd.Series) -> pd.Series:
     signs = _signs()
     return pd.Series([hilbert_key(coordinates(t, signs)) for t in texts], dtype="int64")
