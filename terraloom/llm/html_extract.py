@@ -46,6 +46,8 @@ BOILER = re.compile(r"(?:^|[-_\s])(?:nav\w*|menu\w*|side-?bar\w*|foot(?:er)?\w*|
 COMMENT = re.compile(r"(?:^|[-_\s])(?:comments?|comment-\w+|disqus\w*|replies|reply|respond|discussion|guestbook)(?=$|[-_\s])", re.I)
 CONTENT = re.compile(r"(?:^|[-_\s])(?:article\w*|content|main|post|entry|story|body|text)(?=$|[-_\s])", re.I)
 BOILER_TAGS = frozenset("nav aside footer menu".split())
+#: Containers whose tag says nothing about what they hold: their potentials stay at the prior.
+GENERIC = frozenset(TAG[name] for name in "div section table tbody tr td center ul ol li".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMING = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -186,36 +188,46 @@ SIZE = _EDGES + (OTHER + 1) * 4
 
 def counts_of(page: Page, labels: list[int], total: np.ndarray) -> None:
     for k, y in enumerate(labels):
-        for span, f in zip(_SPANS[:-1], page.features(k), strict=True):
-            total[2 * (span + f) + y] += 1
-        if k:
+        generic = page.tag[k] in GENERIC
+        for which, (span, f) in enumerate(zip(_SPANS[:-1], page.features(k), strict=True)):
+            if which or not generic:
+                total[2 * (span + f) + y] += 1
+        if k and not generic:
             total[_EDGES + page.tag[k] * 4 + labels[page.parent[k]] * 2 + y] += 1
 
 
 def prior_counts() -> np.ndarray:
-    """What is taken for granted before a page is seen."""
+    """One of everything, and edges along which a state tends to persist; a part named article or main may begin anywhere."""
     total = np.ones(SIZE)
-    kind = int(_SPANS[1])
-    for k, (no, yes) in {1: (400, 1), 2: (400, 1), 3: (20, 100)}.items():
-        total[2 * (kind + k)], total[2 * (kind + k) + 1] = no, yes
-    for name in BOILER_TAGS:
-        total[2 * TAG[name]] += 400
-    for name in ("article", "main"):
-        total[2 * TAG[name] + 1] += 100
     for k in range(OTHER + 1):
         total[_EDGES + 4 * k : _EDGES + 4 * k + 4] += (30, 1, 1, 30)
     for name in BOILER_TAGS:
         total[_EDGES + 4 * TAG[name] + 2] += 60
+    for name in ("article", "main"):
+        total[_EDGES + 4 * TAG[name] + 1] += 60
     return total
 
 
+def prior_odds() -> list[np.ndarray]:
+    """Log odds of content that are taken for granted, whatever the sample shows."""
+    odds = [np.zeros(n) for n in SHAPE]
+    odds[0][[TAG[name] for name in BOILER_TAGS]] = -5
+    odds[0][[TAG["html"], TAG["body"], OTHER]] = -5
+    odds[0][[TAG["article"], TAG["main"]]] = 4
+    odds[1][:] = (0, -6, -6, 6)  # words of class, id and role: none, boilerplate, comments, content
+    odds[2][:] = (0, 0, 0, 1, 1)
+    odds[3][:] = (0, 0, -1, -3)
+    odds[4][:] = (0, 0, 1)
+    return odds
+
+
 class TreeModel:
     def __init__(self, counts: np.ndarray):
         unary = counts[:_EDGES].reshape(-1, 2)
         self.odds = []
-        for a, b in zip(_SPANS[:-1], _SPANS[1:], strict=True):
+        for a, b, prior in zip(_SPANS[:-1], _SPANS[1:], prior_odds(), strict=True):
             p = unary[a:b] / unary[a:b].sum(axis=0)
-            self.odds.append(np.clip(np.log(p[:, 1] / p[:, 0]), -6, 6).tolist())
+            self.odds.append(np.clip(np.log(p[:, 1] / p[:, 0]) + prior, -8, 8).tolist())
         edge = counts[_EDGES:].reshape(-1, 2, 2)
         self.edge = (edge / edge.sum(axis=2, keepdims=True)).tolist()  # P(child | parent), by the child's tag
 

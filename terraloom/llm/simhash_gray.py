@@ -230,7 +230,7 @@ def fingerprint_links(distinct: DataFrame, budget: int = BUDGET, chunk: int = CH
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root (the smallest node reachable) of every node that a link names, by alternating star steps."""
+    """node, root (the smallest node reachable) of every linked node but the roots themselves, by alternating star steps."""
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))

@@ -212,7 +212,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
                 pack = zlib.compressobj(1, wbits=31)
                 data = pack.compress(record(page_id, url, payload, base64.b32encode(bytes(digest)).decode(), response, bool(revisit))) + pack.flush()
                 writer, index = package[4], package[5]
-                index.append(f"{' '.join(url.split()) or '-'} 20240101000000 {json.dumps({'offset': writer.size, 'length': len(data)})}\n")
+                index.append(f"{'%20'.join(url.split()) or '-'} 20240101000000 {json.dumps({'offset': writer.size, 'length': len(data)})}\n")
                 writer.write(data)
                 if writer.size >= archive_bytes:
                     finish(*package)
