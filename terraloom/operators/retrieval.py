@@ -21,8 +21,9 @@ QUERY_BYTES = 64 << 20
 Q = ["query_id"]
 
 
-def similarity_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, source, item_id, score, rk: for every query and source the k items of the largest dot product.
+def similarity_topk(index: DataFrame, queries: DataFrame, k: int, reduce: str = "mean") -> DataFrame:
+    """query_id, source, item_id, score, rk: for every query and source the k items of the largest dot product. A query
+    of several rows has as many views; an item's score is the mean, median or max over them.
 
     The query set is carried to the index in blocks of bounded size; a task multiplies each batch of the index with the
     block and keeps the best k per query and source, so that what is shuffled is k rows per task, query and source.
@@ -32,8 +33,9 @@ def similarity_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     spark = index.sparkSession
 
     def search(rows: list[tuple[int, list[float]]]) -> DataFrame:
-        ids = np.array([r[0] for r in rows], np.int64)
-        shared = spark.sparkContext.broadcast((ids, np.array([r[1] for r in rows], np.float64)))
+        ids = np.array(list(dict.fromkeys(r[0] for r in rows)), np.int64)
+        views = [np.array([r[1] for r in rows if r[0] == i], np.float64) for i in ids] if len(ids) < len(rows) else None
+        shared = spark.sparkContext.broadcast((ids, np.array([r[1] for r in rows], np.float64) if views is None else views))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             query_ids, matrix = shared.value
@@ -41,7 +43,8 @@ def similarity_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             for pdf in batches:
                 for source, part in pdf.groupby("source", sort=False):
                     items = part["item_id"].to_numpy()
-                    scores = matrix @ np.array(part["embedding"].tolist(), np.float64).T
+                    vectors = np.array(part["embedding"].tolist(), np.float64).T
+                    scores = matrix @ vectors if isinstance(matrix, np.ndarray) else np.array([getattr(np, reduce)(view @ vectors, axis=0) for view in matrix])
                     scores = np.where(query_ids[:, None] == items[None, :], -np.inf, scores)  # not itself
                     items = np.broadcast_to(items, scores.shape)
                     if source in best:
@@ -55,11 +58,11 @@ def similarity_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
         return index.select("item_id", "source", "embedding").mapInPandas(run, "query_id long, source string, item_id long, score double")
 
-    for r in queries.select("query_id", "embedding").toLocalIterator():
+    for r in queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator():
+        if size >= QUERY_BYTES and block[-1][0] != r["query_id"]:  # a query's views stay in one block
+            out, block, size = (search(block) if out is None else out.unionByName(search(block))), [], 0
         block.append((r["query_id"], r["embedding"]))
         size += 8 * len(r["embedding"])
-        if size >= QUERY_BYTES:
-            out, block, size = (search(block) if out is None else out.unionByName(search(block))), [], 0
     if block or out is None:
         out = search(block) if out is None else out.unionByName(search(block))
     w = Window.partitionBy("query_id", "source").orderBy(F.round("score", 9).desc(), "item_id")
@@ -161,3 +164,26 @@ def rank_features(c: DataFrame) -> DataFrame:
     w = by_group(Q).orderBy(*best_first())
     n = F.count(F.lit(1)).over(by_group(Q))
     return ranked(c).select(*Q, "item_id", "rank", ((F.col("rank") - 1) / F.greatest(n - 1, F.lit(1))).alias("rank_fraction"), (F.max("score").over(by_group(Q)) - F.col("score")).alias("gap_top"), F.coalesce(F.lag("score").over(w) - F.col("score"), F.lit(0.0)).alias("gap_previous"))
+
+
+def rotated_views(queries: DataFrame, by: int, n: int) -> DataFrame:
+    """``n`` views of each query: its vector rotated left by 0, ``by``, 2 * ``by``, ..."""
+    size = F.size("embedding")
+    views = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda v: F.concat(F.slice("embedding", v * by + 1, size), F.slice("embedding", 1, v * by)))
+    return queries.withColumn("embedding", F.explode(views))
+
+
+def expanded_queries(index: DataFrame, queries: DataFrame, c: DataFrame, top_n: int, beta: float, alpha: float) -> DataFrame:
+    """Queries whose vectors are blended with the softmax-weighted mean of their best ``top_n`` items. Scores are linear in
+    the query, so that alpha * (score of q) + (1 - alpha) * (score of the blend) is one search with one vector."""
+    best = ranked(c).where(F.col("rank") <= top_n).join(index.select("item_id", F.col("embedding").alias("v")), "item_id")
+    e = F.exp(F.col("score") - F.max("score").over(by_group(Q)))
+    weighed = best.withColumn("wt", e / F.sum(e).over(by_group(Q))).groupBy(*Q).agg(F.sort_array(F.collect_list(F.struct("rank", "wt", "v"))).alias("items"))
+    add = lambda acc, x: F.zip_with(acc, x["v"], lambda p, q: p + q.cast("double") * x["wt"])
+    zeros = F.transform(F.get(F.col("items"), 0)["v"], lambda x: F.lit(0.0))
+    unit = lambda v: F.transform(v, lambda x: x / F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)), F.lit(1e-12)))
+    mean = weighed.select(*Q, F.aggregate("items", zeros, add).alias("f")).select(*Q, unit(F.col("f")).alias("f"))
+    doubles = F.transform("embedding", lambda x: x.cast("double"))
+    j = queries.withColumn("embedding", doubles).join(mean, Q)
+    j = j.withColumn("b", F.zip_with("embedding", "f", lambda p, q: (1 - beta) * p + beta * q)).withColumn("b", unit(F.col("b")))
+    return j.withColumn("embedding", F.zip_with("embedding", "b", lambda p, q: alpha * p + (1 - alpha) * q)).drop("f", "b")
