@@ -14,4 +14,5 @@ def latest_by_key(events: DataFrame, keys: list[str]) -> DataFrame:
 
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
     """Counts per window and kind; runs as a batch job or, with the watermark, as a stream."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "kind", "n", "total")
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs a time with a zone
+    return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "kind", "n", "total")
