@@ -41,7 +41,7 @@ add("f11_sun_position", lambda s, d: o.street_points(s, d).select("image_id", *(
 _STAMPS = lambda s, d: o.street_points(s, d).select("image_id", F.when(F.col("image_id") % 3 == 0, F.unix_seconds("captured_at").cast("string")).when(F.col("image_id") % 3 == 1, F.date_format("captured_at", "yyyy:MM:dd HH:mm:ss")).otherwise(F.concat(F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).alias("raw"))
 add("f13_capture_time", lambda s, d: _STAMPS(s, d).select("image_id", F.unix_seconds(text.capture_time(F.col("raw"))).alias("epoch")), with_("sp", "SELECT image_id, epoch(date_trunc('second', captured_at))::BIGINT AS epoch FROM sp"))
 add("f17_box_overlap", lambda s, d: o.detections(s, d).select("label", spatial.box_iou(("x", "y", "w", "h"), (F.lit(20.0), F.lit(20.0), F.lit(20.0), F.lit(10.0))).alias("iou")).groupBy("label").agg(F.avg("iou").alias("iou")), with_("det", f"SELECT label, {r_('avg(CASE WHEN ov > 0 THEN ov/(w*h+200-ov) ELSE 0 END)', 'iou')} FROM (SELECT *, greatest(0,least(x+w,40)-greatest(x,20))*greatest(0,least(y+h,30)-greatest(y,20)) AS ov FROM det) GROUP BY label"))
-add("f14_f33_display", lambda s, d: o.street_points(s, d).select("image_id", geo.dms_to_degrees(F.floor("lat"), F.floor((F.col("lat") % 1) * 60), F.lit(30.0), F.lit("S")).alias("dms"), F.round("lat", 2).alias("coarse")), with_("sp", "SELECT image_id, round(-(floor(lat)+floor((lat % 1)*60)/60+30/3600e0), 6) AS dms, round(lat, 2) AS coarse FROM sp"))
+add("f14_f33_display", lambda s, d: o.street_points(s, d).select("image_id", geo.dms_to_degrees(F.floor("lat"), F.floor((F.col("lat") % 1) * 60), F.lit(30.0), F.lit("S")).alias("dms"), (F.floor(F.col("lat") * 100 + 0.5) / 100).alias("coarse")), with_("sp", "SELECT image_id, round(-(floor(lat)+floor((lat % 1)*60)/60+30/3600e0), 6) AS dms, round(floor(lat*100+0.5e0)/100, 6) AS coarse FROM sp"))
 
 # Joins, mining, evaluation ------------------------------------------------------------------------------------------
 _HEADED = lambda s, d: o.street_points(s, d).select(F.col("image_id").alias("r_image_id"), "lat", "lon", F.col("heading_deg").alias("r_heading_deg"))
