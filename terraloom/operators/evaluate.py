@@ -100,3 +100,24 @@ def standardised(df: DataFrame, columns: list[str], keys: list[str]) -> DataFram
     w = by_group(keys)
     z = lambda x: (F.col(x) - F.avg(x).over(w)) / F.when(F.stddev_pop(x).over(w) < 1e-9, F.lit(1.0)).otherwise(F.stddev_pop(x).over(w))
     return df.withColumns({f"z_{x}": z(x) for x in columns})
+
+
+def tier_threshold(rows: DataFrame, target: float, least: int, digits: int = 2) -> DataFrame:
+    """From (conf, hit): the highest confidence, rounded, from which on there are ``least`` rows of at least the target
+    precision. Rows are counted by rounded confidence first."""
+    counted = rows.groupBy(F.round("conf", digits).alias("threshold")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("hit").cast("long")).alias("hits"))
+    w = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = counted.select("threshold", F.sum("n").over(w).alias("support"), (F.sum("hits").over(w) / F.sum("n").over(w)).alias("precision"))
+    return run.where((F.col("support") >= least) & (F.col("precision") >= target)).orderBy(F.col("threshold").desc()).limit(1)
+
+
+def worst_failures(e: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """Per query the ``n`` largest errors, one per rounded key."""
+    first = e.withColumn("_n", F.row_number().over(Window.partitionBy(*Q, *keys).orderBy(F.round("km", 9).desc(), "item_id"))).where("_n = 1").drop("_n")
+    return first.withColumn("at", F.row_number().over(by_group(Q).orderBy(F.round("km", 9).desc(), "item_id"))).where(F.col("at") <= n)
+
+
+def objective_ranking(values: DataFrame, keys: list[str]) -> DataFrame:
+    """Places by a chain of keys, each smaller first and nulls last."""
+    order = [F.col(k).asc_nulls_last() for k in keys]
+    return values.withColumn("place", F.row_number().over(Window.orderBy(*order)))

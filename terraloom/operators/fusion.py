@@ -170,3 +170,19 @@ def fuse(c: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
     """One row per query: position, ellipse, diagnostics."""
     weighed = posterior(c, knobs)
     return weighted_position(credible_set(weighed, knobs)).join(diagnostics(weighed, knobs), Q)
+
+
+def densest_cluster(credible: DataFrame, radius_km: float, min_weight: float, min_size: int = 1) -> DataFrame:
+    """Of each query's credible rows: the ball around one of them with the largest (mass, size, weight of its centre); all
+    rows where no ball has the mass and size."""
+    both = pairs(credible, ["w"]).where(F.col("km") <= max(1.0, radius_km))
+    balls = both.groupBy(*Q, "item_id", "w").agg(F.sum("o_w").alias("mass"), F.count(F.lit(1)).alias("size")).where((F.col("mass") >= min_weight) & (F.col("size") >= min_size))
+    best = balls.groupBy(*Q).agg(F.max_by("item_id", F.struct(F.round("mass", 9), F.col("size"), F.round("w", 9), -F.col("item_id"))).alias("center"))
+    members = both.join(best, Q).where(F.col("item_id") == F.col("center")).select(*Q, F.col("o_item_id").alias("item_id"), F.lit(True).alias("_in"))
+    return credible.join(best, Q, "left").join(members, [*Q, "item_id"], "left").where(F.col("center").isNull() | F.col("_in")).drop("_in", "center")
+
+
+def capped_tier(tier: str, support: str, radius_m: str, high=(0.30, 150_000.0), medium=(0.10, 800_000.0)) -> Column:
+    """The tier lowered where cross-source support is too small or the radius too large."""
+    t = F.when((F.col(tier) == "high") & ((F.col(support) < high[0]) | (F.col(radius_m) > high[1])), "medium").otherwise(F.col(tier))
+    return F.when((t == "medium") & ((F.col(support) < medium[0]) | (F.col(radius_m) > medium[1])), "low").otherwise(t)

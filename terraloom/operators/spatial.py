@@ -115,3 +115,16 @@ def detection_summary(d: DataFrame, top_k: int = 3) -> DataFrame:
     """Per image: detections and the mean confidence of the best ``top_k``."""
     best = d.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_list("confidence"), asc=False), 1, top_k).alias("c"))
     return best.select("image_id", "n", (F.aggregate("c", F.lit(0.0), lambda a, x: a + x) / F.size("c")).alias("score"))
+
+
+def valid_candidates(c: DataFrame, min_score: float = 0.001) -> DataFrame:
+    """Finite numbers, coordinates in range, score of at least the minimum."""
+    ok = F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180) & (F.col("score") >= min_score) & (F.abs("score") < float("inf"))
+    return c.where(~F.isnan("lat") & ~F.isnan("lon") & ~F.isnan("score") & ok)
+
+
+def least_split_distance(split: DataFrame, within_km: float) -> DataFrame:
+    """Per pair of different splits the least distance of their points, if within the given distance."""
+    a = split.select(F.col("split").alias("a"), "lat", "lon")
+    met = radius_pairs(a, split.select(F.col("split").alias("b"), "lat", "lon"), within_km).where("a < b")
+    return met.groupBy("a", "b").agg(F.min("km").alias("km"))
