@@ -128,11 +128,11 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """``docs`` with ``leaks``, an array of (item_id, distance)."""
-    out = docs.withColumn("leaks", F.array().cast("array<struct<item_id:bigint,distance:int>>"))
+def marked(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, column: str = "leaks") -> DataFrame:
+    """``docs`` with ``column``, an array of (item_id, distance); a column of that name is replaced."""
+    out = docs.withColumn(column, F.array().cast("array<struct<item_id:bigint,distance:int>>"))
     for items in _blocks(benchmark):
-        out = out.withColumn("leaks", F.concat("leaks", _finder(docs.sparkSession.sparkContext.broadcast(items), rate)("text")))
+        out = out.withColumn(column, F.concat(column, _finder(docs.sparkSession.sparkContext.broadcast(items), rate)("text")))
     return out
 
 
@@ -148,7 +148,7 @@ def _finder(shared, rate: float):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    return marked(docs, benchmark, rate).where(F.size("leaks") == 0).drop("leaks")
+    return marked(docs, benchmark, rate, "__leaks").where(F.size("__leaks") == 0).drop("__leaks")
 
 
 def query(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

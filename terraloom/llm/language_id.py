@@ -102,7 +102,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from rows of ``docs`` (doc_id, text, lang) with a label; the caller leaves out what is held out."""
-    known = docs.where(F.col("lang").isNotNull())
+    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull())
     sizes = known.groupBy("lang").count().withColumn("share", F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")))
     chosen = known.join(F.broadcast(sizes.select("lang", "share")), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < F.col("share") * (1 << 20)).where(F.col("text").isNotNull())
 
@@ -134,7 +134,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         rows = [own.predict(t) if t is not None and own.languages and letter.search(t) else ("und", 0.0, False) for t in texts]
         return pd.DataFrame(rows, columns=["lang_pred", "score", "ambiguous"])
 
-    return docs.withColumn("_p", predicted("text")).withColumns({c: F.col(f"_p.{c}") for c in ("lang_pred", "score", "ambiguous")}).drop("_p")
+    return docs.withColumn("__lang_p", predicted("text")).withColumns({c: F.col(f"__lang_p.{c}") for c in ("lang_pred", "score", "ambiguous")}).drop("__lang_p")
 
 
 

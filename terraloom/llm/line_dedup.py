@@ -64,17 +64,17 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with the kept lines as text, and n_lines_before and n_dropped_lines."""
-    marks = bitmaps.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), F.col("n_dropped").alias("_n"), F.col("drop_runs").alias("_runs"))
-    joined = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_t")), "left")
-    dropped = F.flatten(F.transform("_runs", lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1)))
+    marks = bitmaps.select(F.col("doc_id").alias("__line_id"), F.col("t").alias("__line_t"), F.col("n_dropped").alias("__line_n"), F.col("drop_runs").alias("__line_runs"))
+    joined = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("__line_id")) & (text_key(F.col("text")) == F.col("__line_t")), "left")
+    dropped = F.flatten(F.transform("__line_runs", lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1)))
     kept = let(lines_of(F.col("text")), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), dropped), lambda i: F.get(ls, i)), "\n"))
     return joined.withColumns(
         {
             "n_lines_before": (F.char_length(F.coalesce("text", F.lit(""))) - F.char_length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1).cast("long"),
-            "n_dropped_lines": F.coalesce("_n", F.lit(0)).cast("long"),
-            "text": F.when(F.col("_n").isNull(), F.col("text")).otherwise(kept),
+            "n_dropped_lines": F.coalesce("__line_n", F.lit(0)).cast("long"),
+            "text": F.when(F.col("__line_n").isNull(), F.col("text")).otherwise(kept),
         }
-    ).drop("_id", "_t", "_n", "_runs")
+    ).drop("__line_id", "__line_t", "__line_n", "__line_runs")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

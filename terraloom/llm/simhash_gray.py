@@ -254,7 +254,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """doc_id, fp, component_id of every row of ``docs``."""
-    marked = staged(with_fingerprints(docs).select("doc_id", "fp"), "fingerprints")
+    marked = staged(with_fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"), "fingerprints")
     distinct = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
     links = components(fingerprint_links(distinct.select("fp"), budget))
     rooted = distinct.join(links, distinct.fp == links.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
@@ -264,8 +264,8 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 def keep_one(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """The rows of ``docs`` whose doc_id names a component (a null doc_id stays only in components without another)."""
-    kept = near_duplicates(docs, budget).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
+    kept = near_duplicates(docs.select("doc_id", "text"), budget).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__sim_id")).distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("__sim_id")), "left_semi")
 
 
 def query(documents: DataFrame) -> DataFrame:

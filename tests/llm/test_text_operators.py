@@ -372,3 +372,41 @@ def test_hilbert_neighbours_touch():
     cells = sorted(product(range(8), repeat=3), key=lambda p: hilbert_key(np.array(p), 3))
     assert [hilbert_key(np.array(p), 3) for p in cells] == list(range(512))
     assert all(sum(abs(a - b) for a, b in zip(p, q, strict=True)) == 1 for p, q in zip(cells[:-1], cells[1:], strict=True))
+
+
+def test_clashing_extra_columns_pass_through(spark, docs):
+    from terraloom.llm import decontam, language_id, line_dedup, simhash_gray
+
+    names = ["_id", "_t", "_n", "_runs", "_p", "fp", "leaks", "h1", "h2", "t", "b", "stratum", "share", "held_out"]
+    wide = docs
+    for n in names:
+        wide = wide.withColumn(n, docs.row)
+    bench = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
+    model = language_id.fit(wide)
+    for out in (line_dedup.dedup_lines(wide), simhash_gray.keep_one(wide), decontam.decontaminate(wide, bench), language_id.identify(wide, model)):
+        assert out.columns[: len(wide.columns)] == wide.columns
+        assert all(set(r) == {r[0]} for r in out.select("row", *names).collect())
+    for module in ("line_dedup", "simhash_gray", "secret_scan", "license_scan", "packing"):
+        query = __import__(f"terraloom.llm.{module}", fromlist=["query"]).query
+        assert query(wide).count() == query(docs).count()
+
+
+def test_very_long_texts(spark):
+    from terraloom.llm import decontam, license_scan, line_dedup, packing, quality_rules, secret_scan, simhash_gray
+
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(9000)}" for _ in range(120_000)]
+    line = "a line that is long enough to count as a line key, number"
+    text = " ".join(words) + "\n" + "\n".join(f"{line} {i % 700} token = abcdef{i:06d}" for i in range(6000)) + " " + "y" * 200_000
+    frame = spark.createDataFrame([(i, text if i < 5 else "short", "en", "s") for i in range(6)], "doc_id long, text string, lang string, source string")
+    f = quality_rules.features(frame).where("doc_id = 0").first()
+    want = quality_numbers(text)
+    assert (f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words) == want[:5]
+    assert secret_scan.query(frame).where("doc_id = 0").first().base_sha256 == hashlib.sha256(secrets_of(text).encode()).hexdigest()
+    same([tuple(r) for r in line_dedup.query(frame).collect()], lines_brute([(r["doc_id"], r["text"]) for r in frame.collect()]))
+    assert simhash_gray.query(frame).where("doc_id = 4").first().fingerprint == f"{fingerprint_brute(text):016x}"
+    bench = spark.createDataFrame([(1, text[5000:5300])], "item_id long, text string")
+    assert decontam.query(frame, bench).where("contaminated").count() == 5
+    assert license_scan.query(frame).count() == 0
+    total = packing.query(frame).groupBy("doc_id").sum("length").count()
+    assert total == 6
