@@ -95,3 +95,19 @@ def world_pixel(lat, lon, zoom: int, tile: int = 256) -> tuple[Column, Column]:
 def dms_to_degrees(deg, minutes, seconds, hemisphere) -> Column:
     value = _c(deg) + _c(minutes) / 60 + _c(seconds) / 3600
     return F.when(F.upper(_c(hemisphere)).isin("S", "W"), -value).otherwise(value)
+
+
+def metres_per_degree(lat) -> tuple[Column, Column]:
+    """Of latitude and longitude, by the public cosine series of the ellipsoid (fixed values)."""
+    p = F.radians(_c(lat))
+    along = 111132.92 - 559.82 * F.cos(2 * p) + 1.175 * F.cos(4 * p) - 0.0023 * F.cos(6 * p)
+    across = 111412.84 * F.cos(p) - 93.5 * F.cos(3 * p) + 0.118 * F.cos(5 * p)
+    return along, across
+
+
+def box_cells(south: float, west: float, north: float, east: float, step: float) -> list[tuple[float, float, float, float]]:
+    """A box as a grid of cells of ``step`` degrees, row by row; the last row and column are cut at the box."""
+    if not (south < north and west < east and step > 0):
+        raise ValueError("a box needs south < north, west < east and a positive step")
+    rows, cols = int(-(-(north - south) // step)), int(-(-(east - west) // step))
+    return [(south + r * step, west + c * step, min(north, south + (r + 1) * step), min(east, west + (c + 1) * step)) for r in range(rows) for c in range(cols)]

@@ -121,3 +121,23 @@ def objective_ranking(values: DataFrame, keys: list[str]) -> DataFrame:
     """Places by a chain of keys, each smaller first and nulls last."""
     order = [F.col(k).asc_nulls_last() for k in keys]
     return values.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def regression_gate(compared: DataFrame, absolute: float, relative_pct: float) -> DataFrame:
+    """One row: how many values regressed by more than the larger of the absolute and relative allowance, and whether the
+    run passes; a missing value fails."""
+    bad = F.coalesce(F.col("delta") > F.greatest(F.lit(absolute), F.abs("before") * relative_pct / 100), F.lit(True))
+    return compared.agg(F.count(F.lit(1)).alias("n"), F.sum(bad.cast("long")).alias("n_failed")).withColumn("passed", F.col("n_failed") == 0)
+
+
+def utility_weights(rows: DataFrame, keys: list[str], score: str, temperature: float) -> DataFrame:
+    """Softmax of score / temperature within each group."""
+    w = by_group(keys)
+    e = F.exp((F.col(score) - F.max(score).over(w)) / max(1e-6, temperature))
+    return rows.withColumn("weight", e / F.sum(e).over(w))
+
+
+def view_agreement(ranks: DataFrame, top_n: int, n_views: int) -> DataFrame:
+    """From (query_id, view, item_id, rank): the items' share of the reciprocal ranks that agreement could give them."""
+    best = sum(1.0 / r for r in range(1, top_n + 1)) * n_views
+    return ranks.where(F.col("rank") <= top_n).groupBy(*Q, "item_id").agg((F.sum(1.0 / F.col("rank")) / best).alias("agreement"))

@@ -128,3 +128,32 @@ def least_split_distance(split: DataFrame, within_km: float) -> DataFrame:
     a = split.select(F.col("split").alias("a"), "lat", "lon")
     met = radius_pairs(a, split.select(F.col("split").alias("b"), "lat", "lon"), within_km).where("a < b")
     return met.groupBy("a", "b").agg(F.min("km").alias("km"))
+
+
+def street_aerial_pairs(streets: DataFrame, scenes: DataFrame) -> DataFrame:
+    """One row per street id (the first by captured_at) with its covering scene, a pair id where there is one, and a status."""
+    first = first_by_key(streets, ["image_id"], [F.col("captured_at")])
+    met = covering_scene(first, scenes, "image_id")
+    return met.withColumn("pair_id", F.when(F.col("scene_id").isNotNull(), F.concat_ws("__", F.col("image_id").cast("string"), F.col("scene_id").cast("string"))))
+
+
+def matched_notes(notes: DataFrame, pins: DataFrame, degrees: float = 1e-4) -> DataFrame:
+    """Notes with pins: by pin_id if the note has one, else the first pin within ``degrees`` in both directions. The second
+    way meets by cells of that size and their neighbours."""
+    by_id = notes.where("pin_id is not null").join(pins.select("pin_id"), "pin_id").select("note_id", "pin_id")
+    cell = lambda la, lo: (F.floor(F.col(la) / degrees).cast("long").alias("cy"), F.floor(F.col(lo) / degrees).cast("long").alias("cx"))
+    around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
+    y, x = cell("p_lat", "p_lon")
+    p = pins.select("pin_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).withColumn("d", around)
+    p = p.withColumns({"cy": y + F.col("d.a"), "cx": x + F.col("d.b")})
+    y, x = cell("lat", "lon")
+    near = notes.where("pin_id is null").drop("pin_id").withColumns({"cy": y, "cx": x}).join(p, ["cy", "cx"]).where((F.abs(F.col("lat") - F.col("p_lat")) <= degrees) & (F.abs(F.col("lon") - F.col("p_lon")) <= degrees))
+    return by_id.unionByName(near.groupBy("note_id").agg(F.min("pin_id").alias("pin_id")))
+
+
+def spatial_histogram(points: DataFrame, key: str, bins: int = 4) -> DataFrame:
+    """key, by, bx, share: weights of points (u, v in [0, 1], weight) per cell of a bins x bins grid, 1 in all per key."""
+    at = lambda c: F.least(F.floor(F.col(c) * bins), F.lit(bins - 1)).cast("int")
+    cells = points.groupBy(key, at("v").alias("by"), at("u").alias("bx")).agg(F.sum("weight").alias("w"))
+    total = F.sum("w").over(Window.partitionBy(key))
+    return cells.select(key, "by", "bx", F.when(total > 0, F.col("w") / total).otherwise(F.lit(0.0)).alias("share"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import geo, sun, text
 from .operators import evaluate, fit, fusion, greedy, merge, mining, retrieval, spatial
+from .plans import chains
 from .plans import overlay as o
 from .queries import _EVENTS, _HITS, _POST, _SPLIT, _SPLIT_SQL, _errors, _place_sql, add, hav, r_, with_
 from .sources import scan
@@ -79,3 +80,27 @@ add("a25_tier_threshold", lambda s, d: evaluate.tier_threshold(_HITS(s, d), 0.2,
 add("w09_worst_failures", lambda s, d: evaluate.worst_failures(_errors(s, d), ["source"], 2).select("query_id", "item_id", "km"), with_("err", f"SELECT query_id, item_id, {r_('km', 'km')} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(km,9) DESC, item_id) AS b FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY round(km,9) DESC, item_id) AS a FROM err) WHERE a = 1) WHERE b <= 2"))
 add("w10_objective_ranking", lambda s, d: evaluate.objective_ranking(o.run_metrics(s, d).groupBy("run").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n")), ["mean", "run"]), with_("runs", f"SELECT run, {r_('avg(value)', 'mean')}, count(*) AS n, row_number() OVER (ORDER BY avg(value), run) AS place FROM runs GROUP BY run"))
 add("f21_capped_tier", lambda s, d: fusion.weighted_position(fusion.credible_set(_POST(s, d))).join(fusion.diagnostics(_POST(s, d)), "query_id").join(_POST(s, d).groupBy("query_id").agg(F.max_by("cross", F.struct(F.round("w", 9), -F.col("item_id"))).alias("support")), "query_id").select("query_id", fusion.capped_tier("tier", "support", "major_m", (0.3, 1500.0), (0.1, 8000.0)).alias("tier")), with_("ell diag post", "SELECT query_id, CASE WHEN hi AND cross_ >= 0.3 AND major_m <= 1500 THEN 'high' WHEN (hi OR mid) AND cross_ >= 0.1 AND major_m <= 8000 THEN 'medium' ELSE 'low' END AS tier FROM ell JOIN diag USING (query_id) JOIN (SELECT query_id, first(cross_ ORDER BY round(w,9) DESC, item_id) AS cross_ FROM post GROUP BY query_id) USING (query_id)"))
+add("p06_source_filter", lambda s, d: scan.by_source_text(o.candidates(s, d), ["IDX0:", "idx2:"], ("match_id",)).select("query_id", "item_id"), with_("cand", "SELECT query_id, item_id FROM cand WHERE contains(lower(match_id), 'idx0:') OR contains(lower(match_id), 'idx2:')"))
+add("p09_t04_frames", lambda s, d: scan.sampled_frames(o.street_points(s, d).withColumn("ord", F.struct("captured_at", "image_id")), "sequence", "ord", 5, 8).select("sequence", "image_id", "frame"), with_("sp", "SELECT sequence, image_id, frame FROM (SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY captured_at, image_id) - 1 AS frame FROM sp) WHERE frame % 5 = 0 AND frame < 40"))
+add("p10_wanted_paths", lambda s, d: o.street_points(s, d).join(o.reference_points(s, d).select(F.col("ref_id").alias("image_id")), "image_id", "left_semi").select("image_id", "source"), with_("sp ref", "SELECT image_id, source FROM sp WHERE image_id IN (SELECT ref_id FROM ref)"))
+add("p11_refusal", lambda s, d: scan.without_refused(o.candidates(s, d).drop("rk"), _errors(s, d).where("km > 6").select("query_id", "item_id"), ["query_id", "item_id"], "query_id", retrieval.best_first()).select("query_id", "item_id", "rank"), with_("err", "SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score,9) DESC, item_id) AS rank FROM err WHERE NOT km > 6"))
+add("p13_fill_missing", lambda s, d: scan.fill_missing(o.street_points(s, d).select("image_id", "sequence", "heading_deg"), o.street_points(s, d).groupBy("sequence").agg(F.avg("heading_deg").alias("heading_deg")), "sequence", ["heading_deg"]).select("image_id", "heading_deg"), with_("sp", f"SELECT image_id, {r_('coalesce(heading_deg, avg(heading_deg) OVER (PARTITION BY sequence))', 'heading_deg')} FROM sp"))
+add("s17_paths", lambda s, d: scan.resolved_paths(o.street_points(s, d).select(F.col("image_id").alias("key"), F.concat(F.lit("chips/"), "image_id").alias("path")), o.reference_points(s, d).select(F.concat(F.when(F.col("ref_id") % 2 == 0, "chips/").otherwise(""), "ref_id").alias("file"))).select("key", "found"), with_("sp ref", "SELECT image_id AS key, CASE WHEN ref_id IS NULL THEN NULL WHEN ref_id % 2 = 0 THEN 'chips/' || ref_id ELSE ref_id::VARCHAR END AS found FROM sp LEFT JOIN ref ON ref_id = image_id"))
+add("u04_unique_by_keys", lambda s, d: scan.first_unique(o.street_points(s, d).select("image_id", "sequence", F.floor("quality").alias("mark")), ["sequence", "mark"], [F.col("image_id")]), with_("sp", "SELECT image_id, sequence, mark FROM (SELECT *, row_number() OVER (PARTITION BY mark ORDER BY image_id) AS b FROM (SELECT image_id, sequence, floor(quality)::BIGINT AS mark, row_number() OVER (PARTITION BY sequence ORDER BY image_id) AS a FROM sp) WHERE a = 1) WHERE b = 1"))
+_CMP2 = lambda s, d: evaluate.compare_runs(o.run_metrics(s, d).where("run = 'F'"), o.run_metrics(s, d).where("run = 'O'"), ["scenario"])
+add("a30_regression_gate", lambda s, d: evaluate.regression_gate(_CMP2(s, d), 0.01, 0.2), with_("runs", "SELECT count(*) AS n, sum(bad::INT)::BIGINT AS n_failed, sum(bad::INT) = 0 AS passed FROM (SELECT coalesce(a.value-b.value > greatest(0.01, abs(b.value)*0.002), true) AS bad FROM (SELECT * FROM runs WHERE run='F') b FULL JOIN (SELECT * FROM runs WHERE run='O') a USING (scenario))"))
+add("a33_utility_weights", lambda s, d: evaluate.utility_weights(o.candidates(s, d), ["query_id"], "score", 0.1).select("query_id", "item_id", "weight"), with_("cand", f"SELECT query_id, item_id, {r_('e/sum(e) OVER (PARTITION BY query_id)', 'weight')} FROM (SELECT *, exp((score - max(score) OVER (PARTITION BY query_id))/0.1e0) AS e FROM cand)"))
+add("w08_view_agreement", lambda s, d: evaluate.view_agreement(o.candidates(s, d).select("query_id", "item_id", F.col("source").alias("view"), F.col("rk").alias("rank")), 5, 3), with_("cand", f"SELECT query_id, item_id, {r_('sum(1e0/rk)/(3*(1+1/2e0+1/3e0+1/4e0+1/5e0))', 'agreement')} FROM cand WHERE rk <= 5 GROUP BY query_id, item_id"))
+add("f03_f04_local_metres", lambda s, d: o.street_points(s, d).select("image_id", geo.metres_per_degree("lat")[0].alias("along"), geo.metres_per_degree("lat")[1].alias("across"), geo.local_xy_km("lat", "lon", 48.85, 2.35)[0].alias("x"), geo.local_xy_km("lat", "lon", 48.85, 2.35)[1].alias("y")), with_("sp", f"SELECT image_id, {r_('111132.92e0-559.82e0*cos(2*radians(lat))+1.175e0*cos(4*radians(lat))-0.0023e0*cos(6*radians(lat))', 'along')}, {r_('111412.84e0*cos(radians(lat))-93.5e0*cos(3*radians(lat))+0.118e0*cos(5*radians(lat))', 'across')}, {r_('(lon-2.35e0)*111.320e0*cos(radians(48.85e0))', 'x')}, {r_('(lat-48.85e0)*110.574e0', 'y')} FROM sp"))
+add("f15_match_ids", lambda s, d: o.candidates(s, d).groupBy(fusion.source_family("match_id").alias("family")).agg(F.count(F.lit(1)).alias("n")), with_("cand", "SELECT 'retrieval:' || source AS family, count(*) AS n FROM cand GROUP BY 1"))
+add("f16_path_keys", lambda s, d: o.street_points(s, d).select("image_id", text.base_name(F.concat(F.lit("a\\b/"), "source", F.lit("\\"), "image_id")).alias("name")), with_("sp", "SELECT image_id, image_id::VARCHAR AS name FROM sp"))
+add("s16_run_history", lambda s, d: o.table(s, d, "orders").groupBy(F.col("o_orderdate").cast("date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("day").desc()).limit(500), "SELECT o_orderdate::DATE::VARCHAR AS day, count(*) AS n FROM orders GROUP BY 1 ORDER BY 1 DESC LIMIT 500")
+_PART = lambda s, d: o.table(s, d, "part").select(F.col("p_partkey").alias("scene_id"), *o._place("p_partkey"), (F.col("p_size") / 1e4).alias("half"), (F.col("p_size") / 1e2).alias("resolution_m")).select("scene_id", "resolution_m", (F.col("lat") - F.col("half")).alias("south"), (F.col("lat") + F.col("half")).alias("north"), (F.col("lon") - F.col("half")).alias("west"), (F.col("lon") + F.col("half")).alias("east"))
+add("j08_street_aerial_pairs", lambda s, d: spatial.street_aerial_pairs(o.street_points(s, d), _PART(s, d)).select("image_id", "pair_id", "status"), with_("sp", f", sc AS (SELECT scene_id, resolution_m, lat-half AS south, lat+half AS north, lon-half AS west, lon+half AS east FROM (SELECT p_partkey AS scene_id, {_place_sql('p_partkey')}, p_size/1e4 AS half, p_size/1e2 AS resolution_m FROM part)) SELECT sp.image_id, sp.image_id || '__' || b.scene_id AS pair_id, CASE WHEN b.scene_id IS NULL THEN 'no_open_aerial_found' ELSE 'ok' END AS status FROM sp LEFT JOIN (SELECT image_id, first(scene_id ORDER BY resolution_m, scene_id) AS scene_id FROM sp JOIN sc ON lat BETWEEN south AND north AND lon BETWEEN west AND east GROUP BY image_id) b USING (image_id)").replace(" , sc AS", ", sc AS"))
+_NOTES = lambda s, d: o.street_points(s, d).select(F.col("image_id").alias("note_id"), "lat", "lon", F.when(F.col("image_id") % 4 == 0, F.col("image_id")).alias("pin_id"))
+add("j15_note_pins", lambda s, d: spatial.matched_notes(_NOTES(s, d), o.reference_points(s, d).withColumnRenamed("ref_id", "pin_id")), with_("sp ref", "SELECT image_id AS note_id, ref_id AS pin_id FROM sp JOIN ref ON ref_id = image_id WHERE image_id % 4 = 0 UNION ALL SELECT image_id, min(ref_id) FROM sp JOIN ref ON abs(sp.lat-ref.lat) <= 1e-4 AND abs(sp.lon-ref.lon) <= 1e-4 WHERE image_id % 4 <> 0 GROUP BY image_id"))
+add("f32_spatial_histogram", lambda s, d: spatial.spatial_histogram(o.detections(s, d).select("label", (F.col("x") / 50).alias("u"), (F.col("y") / 50).alias("v"), F.col("confidence").alias("weight")), "label"), with_("det", f"SELECT label, \"by\", bx, {r_('w/sum(w) OVER (PARTITION BY label)', 'share')} FROM (SELECT label, least(floor(y/50*4),3)::INT AS \"by\", least(floor(x/50*4),3)::INT AS bx, sum(confidence) AS w FROM det GROUP BY 1, 2, 3)"))
+add("o1_retrieval_chain", lambda s, d: chains.retrieval_chain(o.candidates(s, d), chains.RetrievalKnobs(norm="zscore", min_score=0.4, min_keep=5, top_k=8)).select("query_id", "item_id", "rank"), with_("cand", "SELECT query_id, item_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(z,9) DESC, item_id) AS rank FROM (SELECT *, sum((z >= 0.4)::INT) OVER (PARTITION BY query_id) AS kept, row_number() OVER (PARTITION BY query_id, z >= 0.4 ORDER BY round(z,9) DESC, item_id) AS p FROM (SELECT *, 1/(1+exp(-(score - avg(score) OVER g)/stddev_pop(score) OVER g)) AS z FROM cand WINDOW g AS (PARTITION BY query_id, source))) WHERE z >= 0.4 OR p <= 5 - kept) WHERE rank <= 8"))
+_SCENARIOS = {"plain": chains.RetrievalKnobs(), "local": chains.RetrievalKnobs(locality_radius_km=3.0, locality_weight=0.7), "graph": chains.RetrievalKnobs(graph_top_n=15)}
+add("o5_scenarios", lambda s, d: chains.compare_scenarios(o.candidates(s, d), o.queries(s, d), _SCENARIOS), None)
+add("s15_audit_export", lambda s, d: fusion.fuse(o.candidates(s, d)).select("query_id", F.round("mean_lat", 4).alias("mean_lat"), "set_size").join(o.candidates(s, d).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("item_id")), lambda x: x.cast("string")), ",").alias("items")), "query_id"), with_("ell cand", "SELECT query_id, round(mean_lat,4) AS mean_lat, set_size, items FROM ell JOIN (SELECT query_id, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items FROM cand GROUP BY query_id) USING (query_id)"))

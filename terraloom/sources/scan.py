@@ -112,3 +112,46 @@ def chip_grid(scenes: DataFrame, chip: int, stride: int, most: int) -> DataFrame
 def csv_rows(df: DataFrame, text: Sequence[str], eight_decimals: Sequence[str]) -> DataFrame:
     """Columns in a fixed order as text, coordinates with 8 decimals."""
     return df.select(*(posix_path(F.col(c).cast("string")).alias(c) for c in text), *(F.format_string("%.8f", c).alias(c) for c in eight_decimals))
+
+
+def by_source_text(df: DataFrame, needles: Sequence[str], columns: Sequence[str] = ("match_id", "path")) -> DataFrame:
+    """Rows whose given columns, joined and in lower case, contain any of the needles; no needle keeps all."""
+    words = [n.strip().lower() for n in needles if n.strip()]
+    if not words:
+        return df
+    text = F.lower(F.concat_ws(" ", *columns))
+    return df.where(F.exists(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(text, w)))
+
+
+def sampled_frames(df: DataFrame, key: str, order: str, step: int, most: int) -> DataFrame:
+    """Every ``step``-th frame of each key in order, ``most`` at most; ``frame`` counts from 0."""
+    at = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    return df.withColumn("frame", at).where((F.col("frame") % max(1, step) == 0) & (F.col("frame") < step * most))
+
+
+def without_refused(df: DataFrame, refused: DataFrame, keys: Sequence[str], group: str, order: Sequence[Column]) -> DataFrame:
+    """Drops the refused rows and numbers the rest of each group again."""
+    left = df.join(refused.select(*keys).distinct(), list(keys), "left_anti")
+    return left.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+
+
+def fill_missing(df: DataFrame, estimates: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """Estimates fill null fields and never overwrite."""
+    side = estimates.select(key, *(F.col(f).alias(f"__est_{f}") for f in fields))
+    return df.join(side, key, "left").withColumns({f: F.coalesce(f, f"__est_{f}") for f in fields}).drop(*(f"__est_{f}" for f in fields))
+
+
+def resolved_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """key, path, found: the wanted path itself, below its parent, or without a ``chips/`` prefix, the first that exists."""
+    p = posix_path(F.col("path"))
+    tries = F.array(p, F.concat(F.lit("../"), p), F.regexp_replace(p, "^chips/", ""))
+    each = wanted.select("key", "path", F.posexplode(tries).alias("at", "try"))
+    met = each.join(files.select(F.col("file").alias("try")).distinct(), "try").groupBy("key").agg(F.min_by("try", "at").alias("found"))
+    return wanted.join(met, "key", "left")
+
+
+def first_unique(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Unique by each key in turn: the first row of every value of the first key, then of the second, and so on."""
+    for k in keys:
+        df = df.withColumn("__n", F.row_number().over(Window.partitionBy(k).orderBy(*order))).where("__n = 1").drop("__n")
+    return df
