@@ -34,7 +34,48 @@ def calibrated(p: Column, scale: float = 1.0, bias: float = 0.0) -> Column:
 
 
 def gaussian(residual: Column, sigma: float) -> Column:
-    return F.exp(-0.5 * F.pow(residual / sigma, F.lit(2)))
+    """The normal density; 0 for a scale that is not positive."""
+    if sigma <= 0:
+        return F.lit(0.0)
+    return F.exp(-0.5 * F.pow(residual / sigma, F.lit(2))) / (sigma * F.sqrt(2 * F.pi()))
+
+
+#: The public polynomials of the modified Bessel function I0, below and above 3.75.
+BESSEL_SMALL = (1.0, 3.5156229, 3.0899424, 1.2067492, 0.2659732, 0.0360768, 0.0045813)
+BESSEL_LARGE = (0.39894228, 0.01328592, 0.00225319, -0.00157565, 0.00916281, -0.02057706, 0.02635537, -0.01647633, 0.00392377)
+
+
+def bessel_i0(x: Column) -> Column:
+    def poly(y: Column, coefficients) -> Column:
+        out = F.lit(0.0)
+        for c in reversed(coefficients):
+            out = out * y + c
+        return out
+
+    ax = F.abs(x)
+    small, large = poly(F.pow(x / 3.75, F.lit(2)), BESSEL_SMALL), F.exp(ax) / F.sqrt(ax) * poly(3.75 / ax, BESSEL_LARGE)
+    return F.when(ax < 3.75, small).otherwise(large)
+
+
+def von_mises(angle_rad: Column, kappa: Column) -> Column:
+    return F.when(kappa <= 0, 1 / (2 * F.pi())).otherwise(F.exp(kappa * F.cos(angle_rad)) / (2 * F.pi() * bessel_i0(kappa)))
+
+
+def histogram_similarity(a: Column, b: Column) -> Column:
+    """Cosine mapped to [0, 1]; 0.5 for empty or unlike shapes, 0.25 if only one has mass."""
+    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    na, nb = F.sqrt(dot(a, a)), F.sqrt(dot(b, b))
+    unlike = (F.size(a) == 0) | (F.size(a) != F.size(b)) | ((na <= 1e-12) & (nb <= 1e-12))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 * (dot(a, b) / F.greatest(F.lit(1e-12), na * nb) + 1)))
+    return F.when(unlike, F.lit(0.5)).when((na <= 1e-12) | (nb <= 1e-12), F.lit(0.25)).otherwise(score)
+
+
+def histogram_entropy(h: Column) -> Column:
+    """0 to 1 relative to an even histogram; 1 without mass, 0 for a single bin."""
+    total = F.aggregate(h, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    term = lambda s, x: s - F.when(x / total > 1e-12, x / total * F.log(x / total)).otherwise(F.lit(0.0))
+    value = F.aggregate(h, F.lit(0.0), term) / F.log(F.size(h).cast("double"))
+    return F.when((F.size(h) == 0) | (total <= 1e-12), F.lit(1.0)).when(F.size(h) == 1, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
 def by_group(keys: list[str]):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .geo import angle_between
+
 # The public series of the general solar position calculations, as (coefficient, harmonic) of cosines and sines.
 EQUATION_OF_TIME = (0.000075, ((0.001868, 1), (-0.014615, 2)), ((-0.032077, 1), (-0.040849, 2)))
 DECLINATION = (0.006918, ((-0.399912, 1), (-0.006758, 2), (-0.002697, 3)), ((0.070257, 1), (0.000907, 2), (0.00148, 3)))
@@ -33,3 +35,19 @@ def sun_position(ts: Column, lat: Column, lon: Column) -> tuple[Column, Column]:
 
 def shadow_azimuth(ts: Column, lat: Column, lon: Column) -> Column:
     return F.pmod(sun_position(ts, lat, lon)[0] + 180, F.lit(360.0))
+
+
+def shadow_verdict(ts: Column, lat: Column, lon: Column, shadows: Column) -> Column:
+    """What the sun says of an image's shadow azimuths (an array; null entries are none): night, low_sun (below 5 degrees),
+    time_only, ok (a mean difference of at most 25 degrees) or diff. A null time is missing_time."""
+    azimuth, elevation = sun_position(ts, lat, lon)
+    seen = F.filter(shadows, lambda x: x.isNotNull())
+    expected = F.pmod(azimuth + 180, F.lit(360.0))
+    mean = F.aggregate(seen, F.lit(0.0), lambda s, x: s + angle_between(expected, x)) / F.size(seen)
+    return F.when(ts.isNull(), "missing_time").when(elevation <= 0, "night").when(elevation < 5, "low_sun").when(F.size(seen) == 0, "time_only").when(mean <= 25, "ok").otherwise("diff")
+
+
+def shadow_length_fits(elevation: Column, ratio: Column) -> Column:
+    """Within a factor of three of what the elevation implies."""
+    expected = 1 / F.greatest(F.lit(0.01), F.tan(F.radians(elevation)))
+    return (elevation > 0) & (ratio > 0) & ratio.between(expected / 3, expected * 3)

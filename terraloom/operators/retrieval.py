@@ -187,3 +187,28 @@ def expanded_queries(index: DataFrame, queries: DataFrame, c: DataFrame, top_n:
     j = queries.withColumn("embedding", doubles).join(mean, Q)
     j = j.withColumn("b", F.zip_with("embedding", "f", lambda p, q: (1 - beta) * p + beta * q)).withColumn("b", unit(F.col("b")))
     return j.withColumn("embedding", F.zip_with("embedding", "b", lambda p, q: alpha * p + (1 - alpha) * q)).drop("f", "b")
+
+
+def augmented_vectors(index: DataFrame, queries: DataFrame, neighbours: int, self_weight: float, least: float, temperature: float) -> DataFrame:
+    """query_id, embedding: each query row's unit vector plus the softmax-weighted unit vectors of its nearest items of any
+    source that are similar enough, made a unit vector again."""
+    unit = lambda v: F.transform(v, lambda x: x / F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)), F.lit(1e-12)))
+    doubles = lambda c: F.transform(c, lambda x: x.cast("double"))
+    items = index.withColumn("embedding", unit(doubles("embedding")))
+    mine = queries.withColumn("embedding", unit(doubles("embedding")))
+    near = similarity_topk(items.withColumn("source", F.lit("all")), mine, neighbours).where(F.col("score") >= least)
+    e = F.exp((F.col("score") - F.max("score").over(by_group(Q))) / temperature)
+    weighed = near.withColumn("wt", e / F.sum(e).over(by_group(Q))).join(items.select("item_id", F.col("embedding").alias("v")), "item_id")
+    packed = weighed.groupBy(*Q).agg(F.sort_array(F.collect_list(F.struct("rk", "wt", "v"))).alias("items"))
+    j = mine.select(*Q, "embedding").join(packed, Q, "left")
+    start = F.transform("embedding", lambda x: x * self_weight)
+    total = F.aggregate(F.coalesce("items", F.array().cast(packed.schema["items"].dataType)), start, lambda acc, x: F.zip_with(acc, x["v"], lambda p, q: p + q * x["wt"]))
+    return j.select(*Q, total.alias("embedding")).select(*Q, unit(F.col("embedding")).alias("embedding"))
+
+
+def temporal_support(now: DataFrame, before: DataFrame, sigma_km: float) -> DataFrame:
+    """Per current candidate of a sequence the prior weight near it: sum of w * Gaussian of the distance to each candidate of
+    the frame before (both sides: key, item_id, lat, lon; the prior with w)."""
+    b = before.select("key", F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), "w")
+    near = now.join(b, "key").withColumn("km", haversine_km("lat", "lon", "o_lat", "o_lon"))
+    return near.groupBy("key", "item_id").agg(F.sum(F.col("w") * F.exp(-0.5 * F.pow(F.col("km") / sigma_km, F.lit(2)))).alias("support"))
