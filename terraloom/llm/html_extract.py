@@ -276,11 +276,13 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> TreeModel:
                 page = Page(source)
                 if labels := page.labels():
                     counts_of(page, labels, total)
-        yield pd.DataFrame({"counts": [total.tobytes()]})
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"at": at, "n": total[at]})
 
+    # Spark sums the tasks' counts; one number per potential reaches the driver.
     total = prior_counts()
-    for row in chosen.select("html").coalesce(32).mapInPandas(count, "counts binary").toLocalIterator():  # one vector of fixed length a task
-        total += np.frombuffer(row["counts"])
+    for row in chosen.select("html").mapInPandas(count, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        total[row["at"]] += row["n"]
     return TreeModel(total)
 
 

@@ -111,12 +111,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         for pdf in batches:
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
                 sums[lang] = sums.get(lang, 0) + ngram_counts(text)
-        if sums:
-            yield pd.DataFrame({"lang": list(sums), "counts": [x.tobytes() for x in sums.values()]})
-
-    parts: dict[str, np.ndarray] = {}  # a few vectors of fixed length for each task and language
-    for row in chosen.select("lang", "text").coalesce(32).mapInPandas(count, "lang string, counts binary").toLocalIterator():
-        parts[row["lang"]] = parts.get(row["lang"], 0) + np.frombuffer(row["counts"])
+        for lang, n in sums.items():
+            at = np.flatnonzero(n)
+            yield pd.DataFrame({"lang": lang, "bucket": at, "n": n[at]})
+
+    # Spark sums the tasks' counts; what reaches the driver is one number per language and bucket, at any size of the corpus.
+    summed = chosen.select("lang", "text").mapInPandas(count, "lang string, bucket long, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    parts: dict[str, np.ndarray] = {}
+    for row in summed.collect():
+        parts.setdefault(row["lang"], np.zeros(DIM))[row["bucket"]] = row["n"]
     languages = sorted(parts)
     return Model(languages, np.array([parts[x] for x in languages]).reshape(len(languages), DIM))
 

@@ -121,12 +121,13 @@ def select_cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, de
     values = rule_values()
     #: bin: how many cutoffs of the grid a value exceeds; it is rejected by the cutoffs beyond that index.
     bins = [F.struct(F.lit(rule).alias("rule"), sum(((values[rule] <= cut).cast("int") for cut in grid), F.lit(0)).alias("passed")) for rule, grid in RULES.items()]
-    counted = base.select("stratum", F.explode(F.array(*bins)).alias("b")).groupBy("stratum", "b.rule", "b.passed").agg(F.count("*").alias("n"))
+    counts = base.select("stratum", F.explode(F.array(*bins)).alias("b")).groupBy("stratum", "b.rule", "b.passed").agg(F.count("*").alias("n"))
+    counted = staged(counts, "counts")  # a row per stratum, rule and bin
+    families = max(1, counted.select("stratum").distinct().count() * len(RULES))
     grid = spark.createDataFrame([(rule, j, cut) for rule, cuts in RULES.items() for j, cut in enumerate(cuts)], "rule string, j int, cutoff double")
     # passed counts the cutoffs that hold the value, the most lenient first: cutoff j rejects it if j >= passed.
     tests = counted.join(F.broadcast(grid), "rule").groupBy("stratum", "rule", "j", "cutoff").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("j") >= F.col("passed"), F.col("n")).otherwise(0)).alias("k"))
-    families = tests.select("stratum").distinct().agg((F.count("*") * len(RULES)).alias("families"))
-    tested = tests.crossJoin(F.broadcast(families)).withColumn("ok", binomial_tail(F.col("n"), F.col("k"), alpha / len(RULES)) <= F.lit(delta) / F.col("families"))
+    tested = tests.withColumn("ok", binomial_tail(F.col("n"), F.col("k"), alpha / len(RULES)) <= F.lit(delta / families))
     order = Window.partitionBy("stratum", "rule").orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     passed = tested.withColumn("held", F.min(F.col("ok").cast("int")).over(order)).where("held = 1")
     best = passed.groupBy("stratum", "rule").agg(F.max_by("cutoff", "j").alias("cutoff"))
