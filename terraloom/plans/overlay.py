@@ -38,7 +38,7 @@ def candidates(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
 def street_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(
-        F.col("event_id").alias("image_id"), F.col("user_id").alias("sequence"), F.col("ts").alias("captured_at"), *_place("event_id", fine=True),
+        F.col("event_id").alias("image_id"), F.col("user_id").alias("sequence"), F.col("ts").cast("timestamp").alias("captured_at"), *_place("event_id", fine=True),
         F.when(F.col("event_id") % 11 != 0, (F.col("event_id") * 37 % 360).cast("double")).alias("heading_deg"), F.col("event_type").alias("source"), F.col("value").alias("quality"),
     )
 

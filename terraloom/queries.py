@@ -168,7 +168,7 @@ add("f07_f09_scores", lambda s, d: o.street_points(s, d).select("image_id", scor
 add("p05_detection_filter", lambda s, d: spatial.filter_detections(o.detections(s, d)).groupBy("label", "heading_deg").agg(F.count(F.lit(1)).alias("n"), F.avg("area").alias("area")), with_("det", f"SELECT label, CASE WHEN w >= h THEN 90e0 ELSE 0e0 END AS heading_deg, count(*) AS n, {r_('avg(w*h)', 'area')} FROM det WHERE confidence >= 0.25 AND w*h >= 16 GROUP BY 1, 2"))
 add("f23_detection_score", lambda s, d: spatial.detection_summary(o.detections(s, d)), with_("det", f"SELECT image_id, n, {r_('list_sum(c)/len(c)', 'score')} FROM (SELECT image_id, count(*) AS n, list_sort(list(confidence), 'DESC')[1:3] AS c FROM det GROUP BY image_id)"))
 add("p08_seeded_sample", lambda s, d: o.street_points(s, d).orderBy(F.md5(F.concat(F.col("image_id").cast("string"), F.lit("-7"))), "image_id").limit(50).select("image_id"), with_("sp", "SELECT image_id FROM sp ORDER BY md5(image_id || '-7'), image_id LIMIT 50"))
-_EVENTS = lambda s, d: o.table(s, d, "events").select("event_id", "ts", (F.col("user_id") % 7).alias("key"), F.col("user_id").alias("session"), F.col("event_type").alias("kind"), "value")
+_EVENTS = lambda s, d: o.table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 7).alias("key"), F.col("user_id").alias("session"), F.col("event_type").alias("kind"), "value")
 add("t06_session_fold", lambda s, d: ev.latest_by_key(_EVENTS(s, d), ["session", "key"]), f"SELECT user_id AS session, user_id % 7 AS key, first(event_id ORDER BY ts DESC, event_id DESC) AS event_id, first(event_type ORDER BY ts DESC, event_id DESC) AS kind, {r_('first(value ORDER BY ts DESC, event_id DESC)', 'value')}, count(*) AS n FROM events GROUP BY 1, 2")
 add("t08_windowed_counts", lambda s, d: ev.windowed_counts(_EVENTS(s, d)), f"SELECT date_trunc('hour', ts) AS start, event_type AS kind, count(*) AS n, {r_('sum(value)', 'total')} FROM events GROUP BY 1, 2")
 add("s09_result_json", lambda s, d: retrieval.ranked(o.candidates(s, d)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("c")).select("query_id", F.to_json(F.struct(F.col("query_id").alias("image"), F.transform("c", lambda x: x["item_id"]).alias("candidates"))).alias("json")), with_("rnk", "SELECT query_id, '{\"image\":' || query_id || ',\"candidates\":[' || string_agg(item_id, ',' ORDER BY rank) || ']}' AS json FROM rnk GROUP BY query_id"))
