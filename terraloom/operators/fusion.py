@@ -186,3 +186,18 @@ def capped_tier(tier: str, support: str, radius_m: str, high=(0.30, 150_000.0),
     """The tier lowered where cross-source support is too small or the radius too large."""
     t = F.when((F.col(tier) == "high") & ((F.col(support) < high[0]) | (F.col(radius_m) > high[1])), "medium").otherwise(F.col(tier))
     return F.when((t == "medium") & ((F.col(support) < medium[0]) | (F.col(radius_m) > medium[1])), "low").otherwise(t)
+
+
+def adaptive_prefix(c: DataFrame, mass: float, least: int = 2) -> DataFrame:
+    """The shortest prefix by weight with the given share of the weight, of ``least`` rows or more; lists of fewer than
+    three stay whole."""
+    w = by_group(Q).orderBy(*by_weight())
+    n = F.count(F.lit(1)).over(by_group(Q))
+    before = F.coalesce(F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) / F.sum("w").over(by_group(Q))
+    marked = c.withColumns({"_n": n, "_at": F.row_number().over(w), "_b": before})
+    return marked.where((F.col("_n") < 3) | (F.col("_b") < mass) | (F.col("_at") <= least)).drop("_n", "_at", "_b")
+
+
+def evidence_text() -> Column:
+    """One line on a candidate: its score, normalised score and likelihoods."""
+    return F.format_string("retrieval=%.3f (norm=%.3f); likelihoods=spatial:%.3f,cross:%.3f", "score", "norm", "spatial", "cross")

@@ -36,3 +36,33 @@ def margin_stats(items: DataFrame, margin: float = 0.1) -> DataFrame:
     """Hardest positive minus hardest negative score per query: mean, share above 0, hinge loss."""
     per = items.groupBy(*Q).agg((F.min(F.when(F.col("role") == "positive", F.col("score"))) - F.max(F.when(F.col("role") == "negative", F.col("score")))).alias("m"))
     return per.agg(F.count("m").alias("n"), F.avg("m").alias("mean_margin"), F.avg((F.col("m") > 0).cast("double")).alias("satisfied"), F.avg(F.greatest(F.lit(0.0), margin - F.col("m"))).alias("hinge"))
+
+
+def with_vectors(items: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(training rows: query_id, role, item_id, embedding, without the query itself or repeats and only of queries that
+    still have both roles; the number of rows dropped, by reason)."""
+    own = items.withColumn("reason", F.when(F.col("item_id") == F.col("query_id"), "self"))
+    again = F.row_number().over(Window.partitionBy(*Q, "role", "item_id").orderBy("at"))
+    own = own.withColumn("reason", F.coalesce("reason", F.when(again > 1, F.lit("repeat"))))
+    met = own.join(index.select("item_id", "embedding"), "item_id", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("embedding").isNull(), "no vector")))
+    roles = F.size(F.collect_set(F.when(F.col("reason").isNull(), F.col("role"))).over(by_group(Q)))
+    met = met.withColumn("reason", F.coalesce("reason", F.when(roles < 2, "one role left")))
+    return met.where("reason is null").select(*Q, "role", "item_id", "embedding"), met.where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pair_features(c: DataFrame, index: DataFrame, queries: DataFrame) -> DataFrame:
+    """Per candidate the sums of the product and of the absolute difference of both vectors, its score, reciprocal rank and
+    whether its source is the query's best."""
+    q = queries.select(*Q, F.col("embedding").alias("qv"))
+    j = c.join(index.select("item_id", F.col("embedding").alias("v")), "item_id").join(q, Q)
+    total = lambda f: F.aggregate(F.zip_with("qv", "v", lambda a, b: f(a.cast("double"), b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    best = F.first("source").over(by_group(Q).orderBy(F.round("score", 9).desc(), "item_id"))
+    return j.select(*Q, "item_id", total(lambda a, b: a * b).alias("product"), total(lambda a, b: F.abs(a - b)).alias("difference"), "score", (1.0 / F.col("rk")).alias("reciprocal_rank"), (F.col("source") == best).alias("best_source"))
+
+
+def severity_weights(items: DataFrame, cap: float, power: float) -> DataFrame:
+    """Per query ln(1 + error) of its first candidate over the mean of all, capped and raised to a power."""
+    per = items.where("rank = 1").select(*Q, F.log1p("km").alias("s"))
+    mean = per.agg(F.avg("s").alias("mean"))
+    share = F.when(F.col("mean") > 0, F.col("s") / F.col("mean")).otherwise(F.lit(1.0))
+    return per.crossJoin(F.broadcast(mean)).select(*Q, F.pow(F.least(F.lit(cap), share), F.lit(power)).alias("weight"))

@@ -112,3 +112,9 @@ add("g15_augmentation", lambda s, d: retrieval.augmented_vectors(o.geo_index(s,
 _KEYED = lambda s, d: o.candidates(s, d).withColumn("key", F.col("query_id")).select("key", "item_id", "lat", "lon")
 add("j13_temporal_support", lambda s, d: retrieval.temporal_support(_KEYED(s, d), _POST(s, d).select((F.col("query_id") + 100).alias("key"), "lat", "lon", "w"), 5.0), with_("post", f"SELECT a.query_id AS key, a.item_id, {r_('sum(b.w*exp(-0.5*pow(' + hav('a.lat', 'a.lon', 'b.lat', 'b.lon') + '/5e0,2)))', 'support')} FROM cand a JOIN post b ON b.query_id + 100 = a.query_id GROUP BY 1, 2"))
 add("a34_sample_summary", lambda s, d: _errors(s, d).where("rank = 1").agg(F.count(F.lit(1)).alias("n"), F.avg("km").alias("mean_km"), (F.avg((F.col("km") <= 2).cast("double")) * 100).alias("within_2km_pct")), with_("top1", f"SELECT count(*) AS n, {r_('avg(km)', 'mean_km')}, {r_('avg((km<=2)::INT)*100', 'within_2km_pct')} FROM top1"))
+add("j10_training_rows", lambda s, d: mining.with_vectors(_TRIPLETS(s, d), o.geo_index(s, d))[0].select("query_id", "role", "item_id", F.get("embedding", 0).cast("double").alias("first")), with_("err gi", _TRI_SQL + f" SELECT query_id, role, item_id, {r_('gi.e[1]', 'first')} FROM tri JOIN gi USING (item_id) WHERE query_id IN (SELECT query_id FROM tri GROUP BY query_id HAVING count(DISTINCT role) = 2)").replace(" , mk AS", ", mk AS"))
+add("g28_pair_features", lambda s, d: mining.pair_features(o.candidates(s, d), o.geo_index(s, d), o.queries(s, d)), with_("cand gi q", f"SELECT c.query_id, c.item_id, {r_('list_dot_product(q.e, gi.e)', 'product')}, {r_('list_sum([abs(x[1]-x[2]) for x in list_zip(q.e, gi.e)])', 'difference')}, {r_('score', 'score')}, {r_('1e0/rk', 'reciprocal_rank')}, c.source = first(c.source) OVER (PARTITION BY c.query_id ORDER BY round(score,9) DESC, c.item_id) AS best_source FROM cand c JOIN gi ON gi.item_id = c.item_id JOIN q ON q.query_id = c.query_id"))
+add("f26_severity_weights", lambda s, d: mining.severity_weights(_errors(s, d), 1.5, 0.5), with_("top1", f"SELECT query_id, {r_('pow(least(1.5, ln(1+km)/avg(ln(1+km)) OVER ()), 0.5)', 'weight')} FROM top1"))
+add("w05_adaptive_prefix", lambda s, d: fusion.adaptive_prefix(_POST(s, d), 0.6).select("query_id", "item_id"), with_("post", "SELECT query_id, item_id FROM (SELECT *, coalesce(sum(w) OVER (PARTITION BY query_id ORDER BY round(w,9) DESC, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, row_number() OVER (PARTITION BY query_id ORDER BY round(w,9) DESC, item_id) AS p FROM post) WHERE b < 0.6 OR p <= 2"))
+add("f27_evidence_text", lambda s, d: _POST(s, d).select("query_id", "item_id", fusion.evidence_text().alias("evidence")), with_("like_ cand", "SELECT query_id, item_id, printf('retrieval=%.3f (norm=%.3f); likelihoods=spatial:%.3f,cross:%.3f', score, score, spatial, cross_) AS evidence FROM cand JOIN like_ USING (query_id, item_id)"))
+add("g22_rerank_report", lambda s, d: fit.applied(_ROWS(s, d), fit.ridge(_ROWS(s, d), _FEATURES, "target", 1.0), _FEATURES).groupBy("query_id").agg(F.min_by("km", "rank").alias("base_km"), F.min_by("km", F.struct(-F.round("rerank", 9), F.col("rank"))).alias("reranked_km"), F.min("km").alias("oracle_km")).agg(*(F.avg(c).alias(c) for c in ("base_km", "reranked_km", "oracle_km"))), None)
