@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import ellipse, haversine_km, longitude_offset, wrap_longitude
 from ..functions.scores import by_group, calibrated, scaled_by_peak, scaled_log_odds, softmax, source_family, unit_by_logistic, zscore_logistic
+from ..sources.stage import written
 from .retrieval import Q, pairs
 
 
@@ -168,7 +169,7 @@ def weighted_position(c: DataFrame) -> DataFrame:
 
 def fuse(c: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
     """One row per query: position, ellipse, diagnostics."""
-    weighed = posterior(c, knobs)
+    weighed = written(posterior(c, knobs), "posterior")
     return weighted_position(credible_set(weighed, knobs)).join(diagnostics(weighed, knobs), Q)
 
 

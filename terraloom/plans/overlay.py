@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.retrieval import similarity_topk
+from ..sources.stage import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +33,8 @@ def candidates(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """query_id, source, item_id, lat, lon, score, match_id, rk: the best k other items of each source."""
     index, q = geo_index(spark, sf_dir), queries(spark, sf_dir)
     best = similarity_topk(index, q, k).join(index.select("item_id", "lat", "lon"), "item_id")
-    return best.withColumn("match_id", F.concat(F.lit("retrieval:"), "source", F.lit(":"), "item_id"))
+    # Written out: the lists are small beside the index, and what follows uses them several times.
+    return written(best.withColumn("match_id", F.concat(F.lit("retrieval:"), "source", F.lit(":"), "item_id")), "candidates")
 
 
 def street_points(spark: SparkSession, sf_dir: str) -> DataFrame:
