@@ -1,7 +1,8 @@
 """Packing of tokenised documents along a space-filling curve.
 
-Each text gives a vector of hashed word pieces, projected by fixed pseudo-random signs to three numbers; their ranks on
-fixed scales are the cell of a Hilbert curve, and the cell's place on the curve is the document's key. Texts go through
+Each text gives a vector of hashed byte trigrams, one at every byte, projected by fixed pseudo-random signs to three
+numbers; their ranks on fixed scales are the cell of a Hilbert curve, and the cell's place on the curve is the document's
+key. Texts go through
 one range partitioning by (key, a hash of the document), so that a key that a third of all rows share fills as many
 partitions as it needs, and are sorted by it. Each task then tokenises its texts, as they come, and cuts the stream of
 their ids into sequences of ``length`` tokens: neighbours on the curve share sequences. The last, short sequence of a
@@ -39,12 +40,12 @@ def _signs() -> np.ndarray:
 
 
 def coordinates(text: str | None, signs: np.ndarray) -> np.ndarray:
-    """Three numbers in [0, 2 ** ORDER) for a text: its hashed byte trigrams at every other byte, projected and scaled."""
+    """Three numbers in [0, 2 ** ORDER) for a text: its hashed byte trigrams at every byte, projected and scaled."""
     b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     total = np.zeros(FEATURES, np.float32)
     for at in range(0, max(len(b) - 2, 0), 1 << 20):
         c = b[at : at + (1 << 20) + 2].astype(np.uint32)
-        mixed = (c[:-2:2] * np.uint32(66049) + c[1:-1:2] * np.uint32(257) + c[2::2]) * np.uint32(2654435761)
+        mixed = (c[:-2] * np.uint32(66049) + c[1:-1] * np.uint32(257) + c[2:]) * np.uint32(2654435761)
         total += np.bincount(mixed >> np.uint32(20), minlength=FEATURES)
     norm = float(np.linalg.norm(total)) or 1.0
     place = 1 / (1 + np.exp(-4 * (total @ signs) / norm))  # the projection of a unit vector, spread over (0, 1)

@@ -374,6 +374,18 @@ def test_hilbert_neighbours_touch():
     assert all(sum(abs(a - b) for a, b in zip(p, q, strict=True)) == 1 for p, q in zip(cells[:-1], cells[1:], strict=True))
 
 
+def test_shifted_copies_get_nearby_cells(real):
+    from terraloom.llm.packing import _signs, coordinates
+
+    signs = _signs()
+    texts = [t for _, t in texts_of(real) if t and len(t) > 100]
+    moved = [int(np.abs(coordinates(t, signs) - coordinates(" " + t, signs)).sum()) for t in texts]
+    apart = [int(np.abs(coordinates(a, signs) - coordinates(b, signs)).sum()) for a, b in zip(texts[:-1], texts[1:], strict=True)]
+    assert np.median(moved) < 20 < np.median(apart) and np.percentile(moved, 90) < 60
+    long = "".join(chr(97 + k * k % 26) + chr(97 + k // 7 % 26) for k in range(1 << 20))  # more than one block of bytes
+    assert np.abs(coordinates(long, signs) - coordinates("x" + long, signs)).max() <= 2
+
+
 def test_clashing_extra_columns_pass_through(spark, docs):
     from terraloom.llm import decontam, language_id, line_dedup, simhash_gray
 
