@@ -1,7 +1,8 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
 *Tree.* A page's block elements are the nodes; inline elements and text belong to the block around them. Elements that
-are never read (scripts, styles, forms and the like) are cut off with all that is in them.
+are never read (scripts, styles, buttons and the like) are cut off with all that is in them. Forms are blocks like others,
+because whole pages are wrapped in one; their potentials speak against content, but not against what is in them.
 
 *Model.* Every node is content or not. A node has a potential from its tag, the words of its class, id and role, its
 text's length, share of links and punctuation; an edge has one from the two states and the child's tag. Sum-product
@@ -14,7 +15,9 @@ navigation, asides, footers, adverts or comments is labelled as not content. The
 mean in general, for kinds that the sample does not show.
 
 Defined results: null and empty pages give an empty text; markup that is not closed is closed as browsers do for
-paragraphs, list items and table cells; text outside any element belongs to the page's root; a null page_id or url is
+paragraphs, list items and table cells; a head ends at the first text or element that may not stand in it; an element that
+is cut off and not closed ends with the element around it, or where another button or select begins; ``</form>`` closes
+no element but the form, and a form within a form is none; text outside any element belongs to the page's root; a null page_id or url is
 kept; repeated rows get equal results; extra columns pass through ``extract``; without any labelled page the prior counts
 decide; an empty table gives an empty result.
 """
@@ -33,19 +36,23 @@ from pyspark.sql import functions as F
 
 #: Labelled pages that training reads on average, at any size of the corpus.
 SAMPLE = 2000
-CUT = frozenset("script style noscript template svg iframe object form button select textarea input head title canvas audio video map datalist math dialog".split())
+CUT = frozenset("script style noscript template svg iframe object button select textarea input head title canvas audio video map datalist math dialog".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCKS = tuple("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre figure figcaption address hr header footer nav aside menu center details summary fieldset".split())
+BLOCKS = tuple("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre figure figcaption address hr header footer nav aside menu center details summary fieldset form".split())
 TAG = {name: k for k, name in enumerate(BLOCKS)}
 OTHER = len(BLOCKS)
 #: What a start tag closes, and where the search for it ends.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: What may stand in a head; anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+#: What an end tag of a form closes on its way, if open last.
+IMPLIED = frozenset("p li dt dd option optgroup".split())
 ENDS_P = frozenset(BLOCKS) - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"}
 BOILER = re.compile(r"(?:^|[-_\s])(?:nav\w*|menu\w*|side-?bar\w*|foot(?:er)?\w*|ads?|advert\w*|banner\w*|promo\w*|sponsor\w*|cookie\w*|consent\w*|notice\w*|notification\w*|alert\w*|share\w*|sharing|social\w*|related\w*|recommend\w*|breadcrumb\w*|subscribe\w*|newsletter\w*|login\w*|signup\w*|popup\w*|modal\w*|masthead|topbar|pagination|pager|widget\w*|toolbar|skip\w*|complementary|contentinfo|navigation|search\w*)(?=$|[-_\s])", re.I)
 COMMENT = re.compile(r"(?:^|[-_\s])(?:comments?|comment-\w+|disqus\w*|replies|reply|respond|discussion|guestbook)(?=$|[-_\s])", re.I)
 CONTENT = re.compile(r"(?:^|[-_\s])(?:article\w*|content|main|post|entry|story|body|text)(?=$|[-_\s])", re.I)
-BOILER_TAGS = frozenset("nav aside footer menu".split())
+BOILER_TAGS = frozenset("nav aside footer menu form".split())
 #: Containers whose tag says nothing about what they hold: their potentials stay at the prior.
 GENERIC = frozenset(TAG[name] for name in "div section table tbody tr td center ul ol li".split())
 
@@ -79,6 +86,8 @@ class Page:
         while at < end:
             found = _TOKEN.search(source, at)
             stop = found.start() if found else end
+            if cut == ["head"] and source[at:stop].strip():
+                cut.clear()
             if stop > at and not cut:
                 self._text(stack[-1][1], source[at:stop], links > 0)
             if not found:
@@ -88,6 +97,15 @@ class Page:
             if not name:
                 continue
             closing, attributes = found[1], found[3]
+            if cut == ["head"] and not closing and name not in IN_HEAD:
+                cut.clear()
+            elif cut and closing and name not in cut and any(x == name for x, _ in stack[1:]):
+                cut.clear()  # the element around it ends, and with it what was not closed
+            elif cut and not closing and name in ("button", "select") and name in cut:
+                while cut.pop() != name:
+                    pass
+                if name == "select":
+                    continue
             if cut:
                 if closing and name in cut:
                     while cut.pop() != name:
@@ -96,6 +114,13 @@ class Page:
                     cut.append(name)
                     at = self._raw_end(source, name, at)
                 continue
+            if name == "form" and (k := next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "form"), 0)):
+                if closing:
+                    while stack[-1][0] in IMPLIED:
+                        stack.pop()
+                    del stack[k]
+                    self.runs.append((stack[-1][1], "\n"))
+                continue
             if closing:
                 if any(x == name for x, _ in stack[1:]):
                     while stack:
@@ -107,7 +132,7 @@ class Page:
                     self.runs.append((stack[-1][1], "\n"))
                 continue
             if name in CUT:
-                self.runs.append((stack[-1][1], "\n" if name in ("form", "head") else " "))
+                self.runs.append((stack[-1][1], "\n" if name == "head" else " "))
                 if name not in VOID and not attributes.endswith("/"):
                     cut.append(name)
                     at = self._raw_end(source, name, at)

@@ -27,6 +27,27 @@ def test_main_text():
     model.extract("</p></div><" + "<div>" * 3000 + "x")
 
 
+def test_unclosed_parts_and_forms():
+    from terraloom.llm.html_extract import TreeModel, prior_counts
+
+    model = TreeModel(prior_counts())
+    article = f"<article>{BODY}</article>"
+    # the end tag of head left out, before body, before another element, before text
+    for head in ("<head><title>T</title><body>", "<head><meta charset=x><style>p{}</style><header>Top</header>", "<html><head><script>1</script>"):
+        assert model.extract(head + article) == TEXT
+    assert model.extract("<head><title>T</title>loose words<article>x, y.</article></head>").endswith("x, y.")
+    # an element that is cut off and not closed ends with the element around it
+    for name in ("form", "button", "select", "object", "svg"):
+        assert model.extract(f"<body><div><{name}><b>cut off</b></div>{article}</body>") == TEXT
+        assert model.extract(f"<body><div><{name}><b>cut off</b></{name}></div>{article}</body>") == TEXT
+    assert model.extract(f"<body><button>a<button>b</button>{article}") == model.extract(f"<body><select><option>a<select>{article}") == TEXT
+    # a form around the whole body; one that ends inside of what it opened; one in the article
+    assert model.extract(f"<body><form action=x><input><div>{article}</div></form></body>") == TEXT
+    assert model.extract(f'<body><form><div class="content">{BODY}</div></form></body>') == TEXT
+    assert model.extract(f"<body><article><form><div></form></div>{BODY}</article></body>") == TEXT
+    assert model.extract(f"<body><article>{BODY}<form><p>Subscribe<form><p>now.</form></article></body>") == TEXT
+
+
 def test_marginals_are_exact():
     from itertools import product
 
