@@ -21,12 +21,12 @@ add("s03_last_wins", lambda s, d: scan.last_by_key(o.street_points(s, d).select(
 add("s07_index_scan", lambda s, d: scan.check_index(o.geo_index(s, d), 64).select("item_id", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("total")), with_("gi", f"SELECT item_id, {r_('list_sum(e)/greatest(sqrt(list_dot_product(e, e)), 1e-12)', 'total')} FROM gi"))
 add("s10_csv_text", lambda s, d: scan.csv_rows(o.street_points(s, d), ["image_id", "source"], ["lat", "lon"]), with_("sp", "SELECT image_id::VARCHAR AS image_id, source, format('{:.8f}', lat) AS lat, format('{:.8f}', lon) AS lon FROM sp"))
 add("s11_validation", lambda s, d: scan.violations(o.street_points(s, d), {"heading": F.col("heading_deg").isNotNull(), "quality": F.col("quality") < 50, "north": F.col("lat") < 48.89}), with_("sp", "SELECT 'heading' AS rule, sum((heading_deg IS NULL)::INT)::BIGINT AS broken FROM sp UNION ALL SELECT 'quality', sum((NOT quality < 50)::INT)::BIGINT FROM sp UNION ALL SELECT 'north', sum((NOT lat < 48.89e0)::INT)::BIGINT FROM sp"))
-add("s12_payload", lambda s, d: o.table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.concat_ws(" | ", "event_type", F.get_json_object("props", "$.missing")).alias("info")), "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, concat_ws(' | ', event_type, json_extract_string(props, '$.missing')) AS info FROM events")
+add("events_props", lambda s, d: o.table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.concat_ws(" | ", "event_type", F.get_json_object("props", "$.missing")).alias("info")), "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, concat_ws(' | ', event_type, json_extract_string(props, '$.missing')) AS info FROM events")
 add("s13_resume", lambda s, d: scan.resume(o.reference_points(s, d).select(F.col("ref_id").alias("image_id"), F.lit("done").alias("state")), o.street_points(s, d).select("image_id", F.lit("new").alias("state")), "image_id").groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("image_id").alias("total")), with_("sp ref", "SELECT 'done' AS state, count(*) AS n, sum(ref_id)::BIGINT AS total FROM ref UNION ALL SELECT 'new', count(*), sum(image_id)::BIGINT FROM sp WHERE image_id NOT IN (SELECT ref_id FROM ref)"))
 add("s14_enrichment", lambda s, d: scan.enrich(o.street_points(s, d).select("image_id", "heading_deg"), o.reference_points(s, d).select(F.col("ref_id").alias("image_id"), F.col("lat").alias("heading_deg")), "image_id", ["heading_deg"]).groupBy("changed").agg(F.count(F.lit(1)).alias("n"), F.sum("heading_deg").alias("total")), with_("sp ref", f"SELECT sp.heading_deg IS NULL AND ref.lat IS NOT NULL AS changed, count(*) AS n, {r_('sum(coalesce(heading_deg, ref.lat))', 'total')} FROM sp LEFT JOIN ref ON ref_id = image_id GROUP BY 1"))
 _SCENES = lambda s, d: o.table(s, d, "part").select(F.col("p_partkey").alias("scene_id"), (F.col("p_size") * 40).alias("width"), (F.col("p_size") * 30).alias("height"), *o._place("p_partkey"), F.lit(1e-5).alias("pixel")).withColumnsRenamed({"lat": "north", "lon": "west"})
 add("s18_chip_grid", lambda s, d: scan.chip_grid(_SCENES(s, d), 256, 128, 20).groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon")), f"SELECT scene_id, count(*) AS n, {r_('avg(lat-(r+128)*1e-5)', 'lat')}, {r_('avg(lon+(c+128)*1e-5)', 'lon')} FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY r, c) AS at_ FROM (SELECT scene_id, lat, lon, r, unnest(range(0, w-256+1, 128)) AS c FROM (SELECT p_partkey AS scene_id, {_place_sql('p_partkey')}, p_size*40 AS w, unnest(range(0, p_size*30-256+1, 128)) AS r FROM part WHERE p_size*40 >= 256 AND p_size*30 >= 256))) WHERE at_ <= 20 GROUP BY scene_id")
-add("s19_summary", lambda s, d: fusion.fuse(o.candidates(s, d)).agg(F.avg("top1").alias("mean_top1"), F.count_if(F.col("tier") == "high").alias("n_high"), F.count(F.lit(1)).alias("n")), with_("diag", f"SELECT {r_('avg(top1)', 'mean_top1')}, count(*) FILTER (hi) AS n_high, count(*) AS n FROM diag"))
+add("fusion_tiers", lambda s, d: fusion.fuse(o.candidates(s, d)).agg(F.avg("top1").alias("mean_top1"), F.count_if(F.col("tier") == "high").alias("n_high"), F.count(F.lit(1)).alias("n")), with_("diag", f"SELECT {r_('avg(top1)', 'mean_top1')}, count(*) FILTER (hi) AS n_high, count(*) AS n FROM diag"))
 add("j02_truth_join", lambda s, d: scan.match_truth(o.street_points(s, d).select("image_id", F.concat(F.lit("a/"), "image_id", F.lit(".jpg")).alias("image")), o.reference_points(s, d).select(F.concat(F.when(F.col("ref_id") % 2 == 0, "a/").otherwise("b/"), "ref_id", F.lit(".jpg")).alias("image"), "lat", "lon")).select("image_id", F.col("t.lat").alias("t_lat")), with_("sp ref", f"SELECT image_id, {r_('ref.lat', 't_lat')} FROM sp LEFT JOIN ref ON ref_id = image_id"))
 
 # Vectors ------------------------------------------------------------------------------------------------------------
