@@ -10,19 +10,34 @@ from pyspark.sql import functions as F
 from ..functions.geo import angle_between, grid_cell, haversine_km
 
 
-def radius_pairs(left: DataFrame, right: DataFrame, radius_km: float, max_abs_lat: float = 60.0) -> DataFrame:
-    """All pairs within the radius, with ``km``; the right side's place is r_lat, r_lon. Both sides are dealt by grid cells
-    that are at least as wide and high as the radius up to ``max_abs_lat``; the right side goes to the nine cells around
-    its own, so that one equi-join by cell finds every pair. Crowded cells can be split by the engine's skew join."""
-    size = radius_km / 110.574
-    wide = size / math.cos(math.radians(max_abs_lat))
-    cell = lambda la, lo: (grid_cell(la, lo, size)[0].alias("cy"), F.floor(F.col(lo) / wide).cast("long").alias("cx"))
-    around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
-    r = right.withColumnsRenamed({"lat": "r_lat", "lon": "r_lon"}).withColumn("_d", around)
-    cy, cx = cell("r_lat", "r_lon")
-    r = r.withColumns({"cy": cy + F.col("_d.a"), "cx": cx + F.col("_d.b")}).drop("_d")
-    y, x = cell("lat", "lon")
-    return left.withColumns({"cy": y, "cx": x}).join(r, ["cy", "cx"]).withColumn("km", haversine_km("lat", "lon", "r_lat", "r_lon")).where(F.col("km") <= radius_km).drop("cy", "cx")
+def _ring(lon, n: Column) -> Column:
+    """The cell of a longitude among ``n`` equal ones around the circle."""
+    return F.least(F.floor(F.pmod(F.col(lon) + 180, F.lit(360.0)) / 360 * n).cast("long"), n - 1)
+
+
+def _around(cy: Column, lon: str, ring) -> Column:
+    """The cells (cy, cx) of three bands and, in each, of three cells around the circle; no cell twice."""
+    cells = lambda y, n: F.transform(F.array_distinct(F.array(*(F.pmod(_ring(lon, n) + k, n) for k in (-1, 0, 1)))), lambda x: F.struct(y.alias("cy"), x.alias("cx")))
+    return F.explode(F.concat(*(cells(cy + k, ring(cy + k)) for k in (-1, 0, 1))))
+
+
+def radius_pairs(left: DataFrame, right: DataFrame, radius_km: float) -> DataFrame:
+    """All pairs within the radius, with ``km``; the right side's place is r_lat, r_lon. Both sides are dealt by grid cells:
+    bands at least as high as the radius, each cut around the circle into cells at least as wide as the radius spans at the
+    band's outer latitude (a single cell next to the poles). The right side goes to the cells around its own in three
+    bands, at most nine, so that one equi-join by cell finds every pair, also across 180 degrees. Crowded cells can be
+    split by the engine's skew join."""
+    size = max(radius_km, 1e-6) / 110.574
+
+    def ring(cy: Column) -> Column:
+        outer = F.greatest(F.abs(cy * size), F.abs((cy + 1) * size))
+        span = F.degrees(F.asin(F.least(F.lit(1.0), math.sin(math.radians(min(size, 90.0))) / F.cos(F.radians(F.least(outer, F.lit(90.0)))))))
+        return F.when(outer + size >= 90, F.lit(1).cast("long")).otherwise(F.floor(360 / span).cast("long"))
+
+    band = lambda c: F.floor(F.col(c) / size).cast("long")
+    r = right.withColumnsRenamed({"lat": "r_lat", "lon": "r_lon"}).withColumn("_d", _around(band("r_lat"), "r_lon", ring))
+    r = r.withColumns({"cy": F.col("_d.cy"), "cx": F.col("_d.cx")}).drop("_d")
+    return left.withColumns({"cy": band("lat"), "cx": _ring("lon", ring(band("lat")))}).join(r, ["cy", "cx"]).withColumn("km", haversine_km("lat", "lon", "r_lat", "r_lon")).where(F.col("km") <= radius_km).drop("cy", "cx")
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, order: list[Column], radius_km: float, n: int = 1) -> DataFrame:
@@ -138,16 +153,15 @@ def street_aerial_pairs(streets: DataFrame, scenes: DataFrame) -> DataFrame:
 
 
 def matched_notes(notes: DataFrame, pins: DataFrame, degrees: float = 1e-4) -> DataFrame:
-    """Notes with pins: by pin_id if the note has one, else the first pin within ``degrees`` in both directions. The second
-    way meets by cells of that size and their neighbours."""
+    """Notes with pins: by pin_id if the note has one, else the first pin within ``degrees`` in both directions, also across
+    180 degrees. The second way meets by cells of at least that size and their neighbours."""
     by_id = notes.where("pin_id is not null").join(pins.select("pin_id"), "pin_id").select("note_id", "pin_id")
-    cell = lambda la, lo: (F.floor(F.col(la) / degrees).cast("long").alias("cy"), F.floor(F.col(lo) / degrees).cast("long").alias("cx"))
-    around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
-    y, x = cell("p_lat", "p_lon")
-    p = pins.select("pin_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).withColumn("d", around)
-    p = p.withColumns({"cy": y + F.col("d.a"), "cx": x + F.col("d.b")})
-    y, x = cell("lat", "lon")
-    near = notes.where("pin_id is null").drop("pin_id").withColumns({"cy": y, "cx": x}).join(p, ["cy", "cx"]).where((F.abs(F.col("lat") - F.col("p_lat")) <= degrees) & (F.abs(F.col("lon") - F.col("p_lon")) <= degrees))
+    n = F.lit(max(1, math.floor(360 / degrees) - 1)).cast("long")
+    band = lambda c: F.floor(F.col(c) / degrees).cast("long")
+    p = pins.select("pin_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).withColumn("d", _around(band("p_lat"), "p_lon", lambda cy: n))
+    p = p.withColumns({"cy": F.col("d.cy"), "cx": F.col("d.cx")})
+    apart = F.abs(F.col("lon") - F.col("p_lon"))
+    near = notes.where("pin_id is null").drop("pin_id").withColumns({"cy": band("lat"), "cx": _ring("lon", n)}).join(p, ["cy", "cx"]).where((F.abs(F.col("lat") - F.col("p_lat")) <= degrees) & ((apart <= degrees) | (apart >= 360 - degrees)))
     return by_id.unionByName(near.groupBy("note_id").agg(F.min("pin_id").alias("pin_id")))
 
 
