@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import haversine_km
 from ..sources.stage import written
 from .spatial import radius_pairs
 
@@ -14,28 +18,51 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.greatest(F.sqrt(dot(a, a) * dot(b, b)), F.lit(1e-12))
 
 
-def merge_without_copies(index: DataFrame, radius_m: float, least_cosine: float, rounds: int = 200) -> DataFrame:
+def decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """item_id and kept (1, else -1) of the items that can be decided from conflicts sorted by item_id: an item goes if one
+    of its earlier conflicts stays, and stays if all of them go. ``known`` is 1, -1 or 0 for those of other tasks; those of
+    this task are decided on the way. Only the numbers of decided items are held."""
+    here: dict = {}
+    item, stays, waits = None, True, False
+
+    def close() -> list[tuple]:
+        if item is None or (stays and waits):
+            return []
+        here[item] = 1 if stays else -1
+        return [(item, here[item])]
+
+    for pdf in batches:
+        out = []
+        for i, other, known in zip(pdf["item_id"].tolist(), pdf["other"].tolist(), pdf["known"].tolist(), strict=True):
+            if i != item:
+                out += close()
+                item, stays, waits = i, True, False
+            known = known or here.get(other, 0)
+            stays, waits = stays and known != 1, waits or known == 0
+        yield pd.DataFrame(out, columns=["item_id", "kept"])
+    yield pd.DataFrame(close(), columns=["item_id", "kept"])
+
+
+def merge_without_copies(index: DataFrame, radius_m: float, least_cosine: float) -> DataFrame:
     """Walks the items in order of item_id and drops one if a kept earlier item lies within the radius and is at least
-    that similar. Conflicts are found by a distance join; then rounds decide all items whose earlier conflicts are
-    decided: kept if none of them is kept. A round is a few joins over what is undecided."""
-    right = index.select(F.col("item_id").alias("other"), "lat", "lon", F.col("embedding").alias("v"))
-    near = radius_pairs(index.select("item_id", "lat", "lon", "embedding"), right, radius_m / 1000).where("other < item_id")
+    that similar. Items of equal place and vector that conflict with each other are one item, that of the smallest id:
+    the others go with it or by it. Conflicts are found by a distance join and dealt by ranges of ids; a task walks its
+    range in order, so that a chain of ascending ids takes one round. What waits for other ranges goes to the next round;
+    each round decides the first range that is left at least, so that the rounds end by themselves."""
+    alike = (haversine_km("lat", "lon", "lat", "lon") <= radius_m / 1000) & (cosine(F.col("embedding"), F.col("embedding")) >= least_cosine)
+    own = F.when(~F.coalesce(alike, F.lit(False)), F.col("item_id")).alias("_own")
+    first = written(index.groupBy(own, "lat", "lon", "embedding").agg(F.min("item_id").alias("item_id")).drop("_own"), "first")
+    right = first.select(F.col("item_id").alias("other"), "lat", "lon", F.col("embedding").alias("v"))
+    near = radius_pairs(first, right, radius_m / 1000).where("other < item_id")
     edges = written(near.where(cosine(F.col("embedding"), F.col("v")) >= least_cosine).select("item_id", "other"), "conflicts")
-    undecided = edges.select("item_id").distinct()
     # Items without an earlier conflict are kept at once; only the others go through the rounds.
-    dropped = None
-    kept = written(edges.select(F.col("other").alias("item_id")).distinct().join(undecided, "item_id", "left_anti"), "kept")
-    for _ in range(rounds):
-        lost = edges.join(kept.withColumnRenamed("item_id", "other"), "other", "left_semi").select("item_id").distinct()
-        dropped = written(lost if dropped is None else dropped.unionByName(lost).distinct(), "dropped")
-        left = edges.join(dropped, "item_id", "left_anti")
-        # an item whose earlier conflicts are all dropped is kept
-        open_ = left.join(dropped.withColumnRenamed("item_id", "other"), "other", "left_anti").select("item_id").distinct()
-        fresh = written(left.select("item_id").distinct().join(open_, "item_id", "left_anti"), "fresh")
-        before = kept
-        kept = written(kept.unionByName(fresh).distinct(), "kept")
-        if kept.count() == before.count() and open_.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"undecided conflicts after {rounds} rounds")
-    return index.join(dropped, "item_id", "left_anti")
+    at_once = edges.select("other").distinct().join(edges.select(F.col("item_id").alias("other")).distinct(), "other", "left_anti")
+    left = written(edges.join(at_once.withColumn("n", F.lit(1)), "other", "left").select("item_id", "other", F.coalesce("n", F.lit(0)).alias("known")), "undecided")
+    schema = f"item_id {index.schema['item_id'].dataType.simpleString()}, kept int"
+    dropped = edges.select("item_id").limit(0)
+    while not left.isEmpty():
+        fresh = written(left.repartitionByRange("item_id").sortWithinPartitions("item_id").mapInPandas(decided, schema), "decided")
+        dropped = dropped.unionByName(fresh.where("kept = -1").select("item_id"))
+        waiting = left.join(fresh, "item_id", "left_anti").join(fresh.select(F.col("item_id").alias("other"), F.col("kept").alias("n")), "other", "left")
+        left = written(waiting.select("item_id", "other", F.when(F.col("known") == 0, F.coalesce("n", F.lit(0))).otherwise(F.col("known")).alias("known")), "undecided")
+    return index.join(first.select("item_id").join(dropped, "item_id", "left_anti"), "item_id", "left_semi")

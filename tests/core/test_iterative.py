@@ -33,6 +33,27 @@ def test_merge_keeps_both_ends_of_a_chain(spark):
     assert {r["item_id"] for r in got.collect()} == {1, 3, 4}
 
 
+def test_merge_of_long_chains_and_equal_items(spark):
+    from terraloom.operators.merge import merge_without_copies
+
+    schema = "item_id long, lat double, lon double, embedding array<double>"
+    chain = [(k, 48.0 + 0.0008 * k, 2.0, [1.0, 0.0]) for k in range(1000)]  # 89 m apart: each conflicts with the one before
+    same = [(5000 + k, 10.0, 2.0, [0.0, 1.0]) for k in range(4000)]  # 8 million pairs, were they not one item
+    odd = [(9000, 10.0, 2.0, [0.0, 0.0]), (9001, 10.0, 2.0, [0.0, 0.0]), (9002, None, 2.0, [1.0, 0.0]), (9003, None, 2.0, [1.0, 0.0])]  # no conflicts
+    got = sorted(r["item_id"] for r in merge_without_copies(spark.createDataFrame(chain + same + odd, schema), 100.0, 0.85).collect())
+    assert got == [*range(0, 1000, 2), 5000, 9000, 9001, 9002, 9003]
+
+
+def test_merge_waits_for_other_ranges():
+    import pandas as pd
+
+    from terraloom.operators.merge import decided
+
+    rows = [(5, 1, 0), (6, 5, 0), (7, 2, 1), (7, 1, 0), (8, 7, 0), (9, 2, -1)]
+    halves = (pd.DataFrame(part, columns=["item_id", "other", "known"]) for part in (rows[:3], rows[3:]))
+    assert [tuple(r) for pdf in decided(halves) for r in pdf.values.tolist()] == [(7, -1), (8, 1), (9, 1)]
+
+
 def test_temporal_posterior(spark):
     from terraloom.streaming.temporal import temporal_posterior
 
