@@ -18,8 +18,8 @@ groups that it has already joined.
 its state written to the shared folder, until nothing changes.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; a null doc_id counts as
-larger than all others and never names a component unless alone with its like; repeated rows keep their rows; extra
-columns are ignored by the index and pass through ``keep_one``; an empty table gives an empty result.
+larger than all others and never names a component unless alone with its like; repeated rows keep their rows in the
+index, and ``keep_one`` keeps one row of each component; extra columns are ignored by the index and pass through it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -252,20 +252,29 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
+def _rooted(distinct: DataFrame, budget: int) -> DataFrame:
+    """``distinct``, one row per fp, with the smallest fingerprint (``root``) of each one's component."""
+    distinct = staged(distinct, "distinct")
+    links = components(fingerprint_links(distinct.select("fp"), budget))
+    return distinct.join(links, distinct.fp == links.node, "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """doc_id, fp, component_id of every row of ``docs``."""
     marked = staged(with_fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"), "fingerprints")
-    distinct = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    links = components(fingerprint_links(distinct.select("fp"), budget))
-    rooted = distinct.join(links, distinct.fp == links.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), budget)
     named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names a component (a null doc_id stays only in components without another)."""
-    kept = near_duplicates(docs.select("doc_id", "text"), budget).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__sim_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("__sim_id")), "left_semi")
+    """One row of ``docs`` per component: of its smallest doc_id (a null doc_id stays only in components without another),
+    and of repeated ones any single row. Rows are numbered in a written table, so that the numbers hold in both reads."""
+    rows = staged(docs.withColumn("__sim_row", F.monotonically_increasing_id()), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__sim_row")).alias("first")
+    rooted = _rooted(with_fingerprints(rows.select("__sim_row", "doc_id", "text")).groupBy("fp").agg(first), budget)
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.__sim_row")
+    return rows.join(kept, "__sim_row", "left_semi").drop("__sim_row")
 
 
 def query(documents: DataFrame) -> DataFrame:

@@ -258,6 +258,15 @@ def test_index_against_all_pairs(n, spread):
     assert roots(two) == roots(every)
 
 
+def test_one_row_of_each_component_stays(spark):
+    from terraloom.llm import simhash_gray as m
+
+    a, b, c, d = (" ".join(f"{w}{k * k % 97}" for k in range(60)) for w in ("red", "sea", "oak", "ice"))
+    rows = [(1, a), (1, a), (1, b), (2, b), (2, b), (None, a), (None, c), (None, c), (4, d), (None, d)]
+    got = m.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(texts_of(got), key=repr) == sorted([(1, a), (1, b), (None, c), (4, d)], key=repr)
+
+
 def test_hot_buckets_are_split(spark):
     from terraloom.llm import simhash_gray as m
 
