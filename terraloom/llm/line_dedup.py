@@ -2,11 +2,14 @@
 
 A line's key is the line without white space at its ends and with A-Z in lower case. The keys of at least
 ``min_chars`` code points go, as two 64-bit hashes with document and position, through one range partitioning by
-(hash, document descending), sorted within each partition by hash, document and position. A key that fills many
-partitions is dealt out over them by its documents; in every partition the first occurrence of a key is seen first, and
-a small second step joins what the partitions found: the number of documents and the last document of each key. The
-result is, per document, the runs of dropped lines (a run-length coded bitmap), not text; ``apply_bitmaps`` cuts the
-texts by it.
+(hash, document from the last one down), sorted within each partition by hash, document and position; a key that fills
+many partitions is dealt out over them by its documents. A window runs along these sorted rows as they are (it asks for
+no other exchange and no other sort) and marks the first occurrence of every key in every document; as the largest
+document comes first, a key's very first occurrence is in the document that keeps it. A small second step joins what the
+partitions saw of a key: the number of first occurrences, which is the number of its documents, and the leading one.
+
+The result is, per document, a compressed keep bitmap (the runs of kept lines, as start and length), not text;
+``apply_bitmaps`` cuts the texts by it.
 
 Only DataFrame functions are used. Defined results: null and empty texts are one empty line; a document is a
 doc_id (rows that repeat a doc_id count once, and each loses or keeps its lines by that id); a null doc_id is a document
@@ -16,7 +19,7 @@ that sorts before all others; a key in the kept document keeps all its lines the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WHITE, ascii_lower, let, shuffle_width, staged
@@ -24,6 +27,8 @@ from .common import WHITE, ascii_lower, let, shuffle_width, staged
 MIN_CHARS = 40
 MIN_DOCS = 5
 _KEY = ("h1", "h2")
+#: Documents from the largest doc_id down, a null one last: ascending in these two columns.
+_DOWN = ("unnamed", "down")
 
 
 def lines_of(text: Column) -> Column:
@@ -35,42 +40,57 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def n_lines(text: Column) -> Column:
+    filled = F.coalesce(text, F.lit(""))
+    return (F.char_length(filled) - F.char_length(F.replace(filled, F.lit("\n"), F.lit(""))) + 1).cast("long")
+
+
 def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h1, h2, doc_id, t, pos of every line whose key is long enough."""
-    lines = docs.select("doc_id", text_key(F.col("text")).alias("t"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
+    """h1, h2, doc_id, t, n_lines (of the text), pos of every line whose key is long enough."""
+    lines = docs.select("doc_id", text_key(F.col("text")).alias("t"), n_lines(F.col("text")).alias("n_lines"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     keys = lines.where(F.octet_length("line") >= min_chars).withColumn("key", F.btrim("line", F.lit(WHITE))).where(F.char_length("key") >= min_chars)
     keys = keys.withColumn("key", ascii_lower(F.col("key")))
-    return keys.select(F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"), "doc_id", "t", "pos")
+    return keys.select(F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"), "doc_id", "t", "n_lines", "pos")
+
+
+def first_occurrences(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``first``: whether the row is the first of its key in its document, read off the sorted partitions."""
+    down = lines.withColumns({"unnamed": F.col("doc_id").isNull(), "down": F.bitwise_not("doc_id")})
+    ranged = down.repartitionByRange(shuffle_width(lines.sparkSession), *_KEY, *_DOWN)
+    run = Window.partitionBy(*_KEY, *_DOWN).orderBy("pos", "t")
+    return ranged.withColumn("first", F.lag("pos").over(run).isNull())
 
 
-def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, t (the text's key), n_dropped and drop_runs (array of start and length) of documents that lose lines."""
-    lines = staged(line_hashes(docs, min_chars), "lines")
-    order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc()]
-    ranged = lines.repartitionByRange(shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order, "pos")
-    first = ranged.groupBy(*_KEY, "doc_id").agg(F.min("pos").alias("first_pos"))
-    shared = first.groupBy(*_KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
+def shared_keys(marked: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """h1, h2, keeper of the keys of ``min_docs`` documents or more. Each partition brings one row per key."""
+    lead = F.min(F.when(F.col("first"), F.struct(*_DOWN))).alias("lead")
+    seen = marked.groupBy(*_KEY).agg(F.count_if("first").alias("n_docs"), lead).where(F.col("n_docs") >= min_docs)
+    return seen.select(*_KEY, F.bitwise_not("lead.down").alias("keeper"))
+
+
+def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """doc_id, t (the text's key), n_dropped and keep_runs (array of start and length). A document without a row keeps all."""
+    marked = staged(first_occurrences(staged(line_hashes(docs, min_chars), "lines")), "sorted-lines")
     # Written out, it lies across no key's partitioning: both sides of the join are dealt anew, and hot keys can be split.
-    shared = staged(shared, "shared")
-    lost = lines.join(shared, list(_KEY)).where(F.coalesce(F.col("doc_id") < F.col("keeper"), F.col("doc_id").isNull() & F.col("keeper").isNotNull()))
-    runs = lambda p: F.zip_with(
-        F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1) < x - 1)),
-        F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1) > x + 1)),
-        lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("length")),
-    )
-    per_doc = lost.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("pos")).alias("p"))
-    return per_doc.select("doc_id", "t", F.size("p").cast("long").alias("n_dropped"), let(F.col("p"), runs).alias("drop_runs"))
+    shared = staged(shared_keys(marked, min_docs), "shared")
+    lost = marked.join(shared, list(_KEY)).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    per_doc = lost.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.col("pos").cast("long"))).alias("p"), F.max("n_lines").alias("n"))
+
+    def kept_runs(p: Column, n: Column) -> Column:
+        starts, ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(p, lambda x: x + 1)), F.concat(p, F.array(n))
+        return F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b - a).alias("length"))), lambda r: r["length"] > 0)
+
+    return per_doc.select("doc_id", "t", F.size("p").cast("long").alias("n_dropped"), kept_runs(F.col("p"), F.col("n")).alias("keep_runs"))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with the kept lines as text, and n_lines_before and n_dropped_lines."""
-    marks = bitmaps.select(F.col("doc_id").alias("__line_id"), F.col("t").alias("__line_t"), F.col("n_dropped").alias("__line_n"), F.col("drop_runs").alias("__line_runs"))
+    marks = bitmaps.select(F.col("doc_id").alias("__line_id"), F.col("t").alias("__line_t"), F.col("n_dropped").alias("__line_n"), F.col("keep_runs").alias("__line_runs"))
     joined = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("__line_id")) & (text_key(F.col("text")) == F.col("__line_t")), "left")
-    dropped = F.flatten(F.transform("__line_runs", lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1)))
-    kept = let(lines_of(F.col("text")), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), dropped), lambda i: F.get(ls, i)), "\n"))
+    kept = let(lines_of(F.col("text")), lambda ls: F.array_join(F.flatten(F.transform("__line_runs", lambda r: F.slice(ls, (r["start"] + 1).cast("int"), r["length"].cast("int")))), "\n"))
     return joined.withColumns(
         {
-            "n_lines_before": (F.char_length(F.coalesce("text", F.lit(""))) - F.char_length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1).cast("long"),
+            "n_lines_before": n_lines(F.col("text")),
             "n_dropped_lines": F.coalesce("__line_n", F.lit(0)).cast("long"),
             "text": F.when(F.col("__line_n").isNull(), F.col("text")).otherwise(kept),
         }
@@ -78,7 +98,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    return apply_bitmaps(docs, drop_bitmaps(docs, min_chars, min_docs))
+    return apply_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs))
 
 
 def query(documents: DataFrame) -> DataFrame:

@@ -176,6 +176,27 @@ def test_line_dedup(docs, real, spark):
     assert m.dedup_lines(docs).where("doc_id is null").count() == 1
 
 
+def test_first_occurrences_stream_from_the_sorted_ranges(docs, real):
+    from terraloom.llm import line_dedup as m
+    from terraloom.llm.common import staged
+
+    plan = m.first_occurrences(staged(m.line_hashes(real), "t"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning(h1" in plan and plan.count("Sort [") == 1 and "Window" in plan
+    for df in (docs, real):
+        lines = m.line_hashes(df)
+        marked = [tuple(r) for r in m.first_occurrences(lines).select("h1", "h2", "doc_id", "first").collect()]
+        assert len(marked) == lines.count()
+        same([x[:3] for x in marked if x[3]], {x[:3] for x in marked})
+        shared = {(r["h1"], r["h2"]): r["keeper"] for r in m.shared_keys(m.first_occurrences(lines)).collect()}
+        holders = defaultdict(set)
+        for a, b, d, _ in marked:
+            holders[a, b].add(d)
+        assert shared == {k: max(v, key=lambda x: (x is not None, x)) for k, v in holders.items() if len(v) >= 5}
+        sizes = {d: len((t or "").split("\n")) for d, t in texts_of(df)}
+        for r in m.keep_bitmaps(df).collect():
+            assert sum(x["length"] for x in r["keep_runs"]) + r["n_dropped"] == sizes[r["doc_id"]]
+
+
 def fingerprint_brute(text):
     from xxhash import xxh64_intdigest
 
