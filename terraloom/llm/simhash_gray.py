@@ -5,14 +5,15 @@ bit of the fingerprint is set if it is set in more than half of the hashes.
 
 *Links.* Equal fingerprints are merged first, so that thousands of copies are one row. The 64 bits are cut into
 ``budget + 1`` blocks: two fingerprints within ``budget`` bits agree in one block at least. So each distinct fingerprint
-goes once per block to the bucket of that block's value. A bucket is an index in Gray order: its members share the
-block's pattern (the top node), are sorted by Gray rank, and runs of them are nodes
-that hold the mask of bits that all members share and the shared pattern. A fingerprint descends only into nodes whose
-masked difference, added up on the way, stays within the budget; whole groups fall away together. Buckets of more than
-``chunk`` rows are dealt by a hash into chunks; chunks meet in pairs, and each pair is a group of its own that any task
-can take. A task returns, for its bucket, a
-spanning forest of the links that it finds (at most one row per fingerprint, not the pairs), and skips comparisons of
-groups that it has already joined.
+goes once per block to the bucket of that block's value: the buckets are the top nodes of the index. Spark sorts every
+bucket by Gray rank, which puts codes with common leading bits side by side, and a task builds a tree over each sorted
+list: a node is a run of neighbours and holds the mask of the bits that all of them share, with the pattern there; the
+nodes above hold what their children share. The search goes down pairs of nodes from the roots. A pair adds to its
+parents' differences only the bits that have become common since, and when the sum exceeds the budget the whole
+group of pairs below falls away. Groups that are already joined by links are not looked at again. Buckets of more than
+``chunk`` rows are dealt by a hash into chunks; chunks meet in pairs, and each pair of chunks is a group of its own
+that any task can take. A task returns, for its lists, a spanning forest of the links that it finds (at most one row per
+fingerprint, not the pairs).
 
 *Components.* The forests' links are joined by alternating large-star and small-star steps, each a shuffle by node with
 its state written to the shared folder, until nothing changes.
@@ -28,18 +29,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import shuffle_width, staged
+from .common import let, shuffle_width, staged
 
 SHINGLE = 4
 BUDGET = 4
 SEED = 42
-#: Rows of a bucket that one task compares; larger buckets are cut into chunks of this size.
+#: Fingerprints of a bucket that one tree holds; larger buckets are cut into chunks of about this size.
 CHUNK = 4096
-LEAF = 64
+#: Children of a node.
+FAN = 2
+#: Rows that a task indexes at a time, and pairs of nodes that it looks at at a time.
+UNIT = 1 << 16
+FRONTIER = 1 << 15
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -70,7 +75,7 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
     return docs.withColumn("fp", _fingerprints("text"))
 
 
-# The Gray-order index of one bucket ---------------------------------------------------------------------------------
+# The Gray-order index ----------------------------------------------------------------------------------------------
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -81,152 +86,170 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _nodes(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For runs of ``size`` codes: where they start, the mask of the bits that all members share, and the pattern there."""
-    at = np.arange(0, len(codes), size)
-    ones, zeros = np.bitwise_and.reduceat(codes, at), np.bitwise_and.reduceat(~codes, at)
-    return at, ones | zeros, ones
-
-
-class _Forest:
-    """Union by smaller position."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return int(i)
-
-    def roots(self) -> np.ndarray:
-        up = self.up
-        while (nxt := up[up]).tolist() != up.tolist():
-            up = nxt
-        self.up = up
-        return up
+def gray_rank_column(code: str) -> Column:
+    folded = lambda shift: lambda r: r.bitwiseXOR(F.shiftrightunsigned(r, shift))
+    rank = F.col(code)
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank = let(rank, folded(shift))
+    return rank
 
 
-def link_codes(left: np.ndarray, right: np.ndarray | None, budget: int = BUDGET, leaf: int = LEAF) -> list[tuple[int, int]]:
+class _Level:
+    """Nodes over runs of neighbours in Gray order, none across two lists: the bits that all members share (mask), their
+    common pattern there, and the first and last of each node's children on the level below."""
+
+    def __init__(self, below: _Level | None, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray | None = None):
+        self.starts, self.sizes = starts, sizes  # of each list, on this level
+        if below is None:
+            self.mask, self.bits, self.first = np.full(len(codes), ~np.uint64(0)), codes, None
+            return
+        at = np.arange(int(sizes.sum())) - np.repeat(starts, sizes)  # the node's place in its list
+        self.first = np.repeat(below.starts, sizes) + at * FAN
+        self.last = np.minimum(self.first + FAN, np.repeat(below.starts + below.sizes, sizes))
+        agree = below.mask & below.bits, below.mask & ~below.bits
+        ones, zeros = (np.bitwise_and.reduceat(x, self.first) if len(at) else x[:0] for x in agree)
+        self.mask, self.bits = ones | zeros, ones
+
+
+class GrayForest:
+    """One tree of nodes per list of codes; every list is sorted by Gray rank. Level 0 are the codes themselves."""
+
+    def __init__(self, codes: np.ndarray, starts: np.ndarray):
+        self.codes = codes
+        sizes = np.diff(np.append(starts, len(codes)))
+        self.levels = [_Level(None, starts, sizes, codes)]
+        while (sizes > 1).any():
+            sizes = -(-sizes // FAN)
+            self.levels.append(_Level(self.levels[-1], np.cumsum(sizes) - sizes, sizes))
+        self.label = np.arange(len(codes))  # the tree of links that a code is known to lie in
+        self.visits = self.n_links = 0
+
+    def links(self, left: np.ndarray, right: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Codes a, b of a spanning forest of the links within ``budget`` bits between list ``left[i]`` and ``right[i]``,
+        for every i; within a list if both are the same. Starts at the roots; a pair of nodes carries the differences
+        that it has run up and the bits where they were counted, and all that lies below it falls away beyond the budget."""
+        top = len(self.levels) - 1
+        none = np.zeros(len(left), np.uint64)
+        pile = [(top, left, right, np.zeros(len(left), np.uint8), none)]
+        while pile:
+            depth, a, b, spent, seen = pile.pop()
+            if len(a) > FRONTIER:
+                for k in range(0, len(a), FRONTIER):
+                    pile.append((depth, *(x[k : k + FRONTIER] for x in (a, b, spent, seen))))
+                continue
+            level = self.levels[depth]
+            self.visits += len(a)
+            fresh = level.mask[a] & level.mask[b] & ~seen
+            spent = spent + np.bitwise_count((level.bits[a] ^ level.bits[b]) & fresh)
+            near = spent <= budget
+            a, b, spent, seen = a[near], b[near], spent[near], (seen | fresh)[near]
+            if depth == 0:
+                yield from self._join(a, b)
+            elif len(a):
+                open_ = ~self._joined(depth, a, b)
+                a, b, spent, seen = a[open_], b[open_], spent[open_], seen[open_]
+                # the children of one side, then those of the other; of equal nodes each pair once
+                n, m = (level.last - level.first)[a], (level.last - level.first)[b]
+                pair = np.repeat(np.arange(len(a)), n * m)
+                k = np.arange(len(pair)) - np.repeat(np.cumsum(n * m) - n * m, n * m)
+                x, y = level.first[a][pair] + k // m[pair], level.first[b][pair] + k % m[pair]
+                once = (a[pair] != b[pair]) | (x < y) | ((x == y) & (depth > 1))
+                pile.append((depth - 1, x[once], y[once], spent[pair][once], seen[pair][once]))
+
+    def _joined(self, depth: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether all codes below two nodes are already known to lie in one tree of links."""
+        if not self.n_links:
+            return np.zeros(len(a), bool)
+        low = high = self.label
+        for level in self.levels[1 : depth + 1]:
+            low, high = np.minimum.reduceat(low, level.first), np.maximum.reduceat(high, level.first)
+        return (low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b])
+
+    def _join(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        while True:
+            p, q = self.label[a], self.label[b]
+            apart = p != q
+            if not apart.any():
+                return
+            a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+            high, one = np.unique(np.maximum(p, q), return_index=True)  # each tree is hung once below a smaller one
+            self.n_links += len(one)
+            yield self.codes[a[one]], self.codes[b[one]]
+            up = np.arange(len(self.label))
+            up[high] = np.minimum(p, q)[one]
+            while not np.array_equal(nxt := up[up], up):
+                up = nxt
+            self.label = up[self.label]
+
+
+def link_codes(left: np.ndarray, right: np.ndarray | None, budget: int = BUDGET) -> list[tuple[int, int]]:
     """A spanning forest, as pairs of codes, of the links within ``budget`` bits among ``left`` (distinct codes), or
-    between ``left`` and ``right`` if given. Codes are compared in Gray order, leaf against leaf; of two leaves, only
-    the members that come within the budget of the other leaf's shared pattern are compared."""
-    codes = left[np.argsort(gray_rank(left), kind="stable")]
-    split = len(codes)
-    if right is not None:
-        codes = np.concatenate([codes, right[np.argsort(gray_rank(right), kind="stable")]])
-    trees, out = _Forest(len(codes)), []
-
-    def join(a: np.ndarray, b: np.ndarray) -> None:
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            p, q = trees.root(i), trees.root(j)
-            if p != q:
-                trees.up[max(p, q)] = min(p, q)
-                out.append((int(codes[i]), int(codes[j])))
-
-    if len(codes) <= leaf or (right is None and split <= 2 * leaf):
-        rows = [(0, split, 0 if right is None else split, len(codes))]
-    else:
-        top = leaf * 16
-        l_at, l_mask, l_bits = _nodes(codes[:split], leaf)
-        base = 0 if right is None else split
-        t_at, t_mask, t_bits = _nodes(codes[base:], top)
-        r_at, r_mask, r_bits = (l_at, l_mask, l_bits) if right is None else _nodes(codes[base:], leaf)
-        rows = []
-        for k in range(len(l_at)):
-            # upper nodes first; the leaves below those that stay within the budget next
-            near = np.flatnonzero(np.bitwise_count((l_bits[k] ^ t_bits) & l_mask[k] & t_mask) <= budget)
-            below = (near[:, None] * 16 + np.arange(16)).ravel()
-            below = below[below < len(r_at)]
-            if right is None:
-                below = below[below >= k]
-            below = below[np.bitwise_count((l_bits[k] ^ r_bits[below]) & l_mask[k] & r_mask[below]) <= budget]
-            rows += [(int(l_at[k]), min(int(l_at[k]) + leaf, split), base + int(r_at[m]), min(base + int(r_at[m]) + leaf, len(codes))) for m in below]
-    nodes: dict[int, tuple[np.uint64, np.uint64]] = {}
-
-    def node(a: int, b: int) -> tuple[np.uint64, np.uint64]:
-        if a not in nodes:
-            ones, zeros = np.bitwise_and.reduce(codes[a:b]), np.bitwise_and.reduce(~codes[a:b])
-            nodes[a] = (ones | zeros, ones)
-        return nodes[a]
-
-    whole: dict[int, int] = {}  # leaves known to lie in one tree, by a member
-    for a, b, c, d in rows:
-        if a in whole and c in whole and trees.root(whole[a]) == trees.root(whole[c]) and a != c:
-            continue
-        mask, bits = node(c, d)
-        x = a + np.flatnonzero(np.bitwise_count((codes[a:b] ^ bits) & mask) <= budget)
-        mask, bits = node(a, b)
-        y = c + np.flatnonzero(np.bitwise_count((codes[c:d] ^ bits) & mask) <= budget)
-        if len(x) and len(y):
-            i, j = np.nonzero(np.bitwise_count(codes[x][:, None] ^ codes[y][None, :]) <= budget)
-            i, j = x[i], y[j]
-            keep = i < j
-            join(i[keep], j[keep])
-        for p, q in ((a, b), (c, d)):
-            if p not in whole and all(trees.root(k) == trees.root(p) for k in range(p + 1, q)):
-                whole[p] = p
-    return out
-
-
-def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(codes, sides) of each run of one key; rows come sorted by key, and one bounded group is held at a time."""
-    key, codes, sides = None, [], []
+    between ``left`` and ``right`` if given."""
+    lists = [x[np.argsort(gray_rank(x), kind="stable")] for x in (left, right) if x is not None]
+    if not len(lists[0]) or not len(lists[-1]):
+        return []
+    forest = GrayForest(np.concatenate(lists), np.array([0, len(left)][: len(lists)]))
+    found = forest.links(np.array([0]), np.array([len(lists) - 1]), budget)
+    return [(int(x), int(y)) for a, b in found for x, y in zip(a, b, strict=True)]
+
+
+def _units(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """codes, starts and sides of whole lists. Rows come sorted by (block, value, pair, side, rank); what is held at a time
+    is ``UNIT`` rows and one bounded group more."""
+    held, size = [], 0
+    names = ["block", "value", "pair", "side"]
+
+    def unit(pdf: pd.DataFrame):
+        keys = pdf[names].to_numpy()
+        starts = np.append(0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1)
+        return np.ascontiguousarray(pdf["fp"].to_numpy()).view(np.uint64), starts, keys[starts]
+
     for pdf in batches:
         if pdf.empty:
             continue
-        keys = pdf[["block", "value", "pair"]].to_numpy()
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-        fp, side = pdf["fp"].to_numpy().view(np.uint64), pdf["side"].to_numpy()
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if key is not None and tuple(keys[a]) != key:
-                yield np.concatenate(codes), np.concatenate(sides)
-                codes, sides = [], []
-            key = tuple(keys[a])
-            codes.append(fp[a:b])
-            sides.append(side[a:b])
-    if key is not None:
-        yield np.concatenate(codes), np.concatenate(sides)
+        held.append(pdf)
+        size += len(pdf)
+        if size >= UNIT:
+            whole = pd.concat(held, ignore_index=True)
+            groups = whole[names[:3]].to_numpy()
+            last = np.flatnonzero((groups != groups[-1]).any(axis=1))  # the last group may go on in the next batch
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield unit(whole[:cut])
+            held, size = [whole[cut:]], len(whole) - cut
+    if size:
+        yield unit(pd.concat(held, ignore_index=True))
 
 
 def bucket_links(budget: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: list[tuple[int, int]] = []
-        for codes, sides in _groups(batches):
-            if len(codes) == 1:
-                continue
-            left = codes[sides < 2]
-            found += link_codes(left, codes[sides == 2] if (sides > 0).any() else None, budget)
-            if len(found) > 50_000:
-                yield _as_frame(found)
-                found = []
-        if found:
-            yield _as_frame(found)
+        for codes, starts, keys in _units(batches):
+            # a group is one list that meets itself (side 0), or two that meet each other (sides 1 and 2)
+            alone = np.flatnonzero(keys[:, 3] == 0)
+            first = np.flatnonzero((keys[:-1, 3] == 1) & (keys[1:, 3] == 2) & (keys[:-1, :3] == keys[1:, :3]).all(axis=1))
+            forest = GrayForest(codes, starts)
+            for a, b in forest.links(np.append(alone, first), np.append(alone, first + 1), budget):
+                yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return run
 
 
-def _as_frame(found: list[tuple[int, int]]) -> pd.DataFrame:
-    pairs = np.array(found, np.uint64).view(np.int64)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-
 def fingerprint_links(distinct: DataFrame, budget: int = BUDGET, chunk: int = CHUNK) -> DataFrame:
     """a, b: links whose components are those of all links within ``budget`` bits among the distinct ``fp``."""
     spark, blocks = distinct.sparkSession, budget + 1
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
     values = F.array(*(F.shiftrightunsigned("fp", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)) for k in range(blocks)))
-    rows = distinct.select("fp", F.posexplode(values).alias("block", "value"))
+    rows = distinct.select("fp", gray_rank_column("fp").alias("rank"), F.posexplode(values).alias("block", "value"))
     counts = rows.groupBy("block", "value").agg(F.count("*").alias("n"))
     hot = counts.where(F.col("n") > chunk).select("block", "value", F.ceil(F.col("n") / chunk).cast("int").alias("m"))
     sized = rows.join(hot, ["block", "value"], "left")
     mine = F.pmod(F.xxhash64("fp"), F.col("m")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.struct((F.least(o, F.col("mine")) * F.col("m") + F.greatest(o, F.col("mine"))).alias("pair"), F.when(o == F.col("mine"), 0).when(F.col("mine") < o, 1).otherwise(2).alias("side")))
     plain = F.array(F.struct(F.lit(0).alias("pair"), F.lit(0).alias("side")))
-    dealt = sized.withColumn("mine", mine).select("fp", "block", "value", F.explode(F.when(F.col("m").isNull(), plain).otherwise(others)).alias("x")).select("fp", "block", "value", "x.*")
+    dealt = sized.withColumn("mine", mine).select("fp", "rank", "block", "value", F.explode(F.when(F.col("m").isNull(), plain).otherwise(others)).alias("x")).select("fp", "rank", "block", "value", "x.*")
     keys = ["block", "value", "pair"]
-    return dealt.repartition(shuffle_width(spark), *keys).sortWithinPartitions(*keys).mapInPandas(bucket_links(budget), "a long, b long")
+    sorted_ = dealt.repartition(shuffle_width(spark), *keys).sortWithinPartitions(*keys, "side", "rank")
+    return sorted_.mapInPandas(bucket_links(budget), "a long, b long")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -235,7 +258,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        joined = both.join(low, "a")
+        # A hub has many neighbours: with the least ones written out, the engine can split the hub's side of the join.
+        joined = both.join(staged(low, "least") if large else low, "a")
         if large:
             return joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         return joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.where(F.col("a") != F.col("m")).select("a", F.col("m").alias("b"))).distinct()

@@ -1,10 +1,13 @@
 """Web archives inside ZIP packages: written by tasks, read back by byte ranges.
 
-*Writing.* Every page becomes a WARC record. Payload digests are computed by Spark and summed to the largest page_id per
-digest; that page's record is a response, the others of that payload are revisits that name it. Each task writes its
-records, each a gzip member of its own, to archives of a bounded size: a ZIP (or ZIP64) package with two stored members,
-``archive/data.warc.gz`` and ``indexes/index.cdxj``. A package is written under a temporary name and renamed, so that a
-task that runs twice leaves one archive.
+*Writing.* Every page becomes a WARC record. Payload digests are computed by Spark and those found more than once are
+summed to their largest page_id; that page's record is a response, the others of that payload are revisits that name it.
+The table of these digests is written out before pages meet it: where it is small, pages stay where they are; where not,
+a digest of very many pages is split over tasks, and only length and digest of a revisit's payload travel on. Each task
+writes its records, each a gzip member of its own, to archives of a bounded size: a ZIP (or ZIP64) package with two
+stored members, ``archive/data.warc.gz`` and ``indexes/index.cdxj``. A package is written under a temporary name and
+renamed. Names hold the task attempt: the table of archives that is returned names those of the attempts that succeeded,
+and what a lost attempt leaves in the folder is in no table and is not read.
 
 *Reading.* The reader takes a package's end record, its ZIP64 end record if there is one, and the central directory;
 finds the stored members; reads the index; and from then on reads single records by their byte ranges. Nothing is
@@ -14,7 +17,7 @@ The archives lie in the shared folder and are opened through ``pyarrow.fs``, whi
 
 Defined results: a null html is an empty payload and counts as payload like any other; a null url is an empty target;
 rows with a null page_id are records without a page (they can only be responses if no page with an id has the payload);
-rows of equal page_id and payload stay separate records; extra columns are ignored; an empty table gives no archive and
+rows of equal page_id and payload stay separate records with one record id; extra columns are ignored; an empty table gives no archive and
 an empty result.
 """
 
@@ -31,9 +34,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import shared_dir, staged
+from .common import shared_dir, shuffle_width, staged
 
 #: Bytes of compressed records after which a task begins another archive.
 ARCHIVE_BYTES = 64 << 20
@@ -43,21 +45,29 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WARC_NAME, INDEX_NAME = "archive/data.warc.gz", "indexes/index.cdxj"
 
 
-def page_uri(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def page_uri(page_id: int | None, digest: str) -> str:
+    """The id of a page's record: rows that repeat a page_id with another payload have another id."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest}>"
+
+
+def page_of(uri: str) -> int | None:
+    page = uri.removeprefix("<urn:page:").partition(":")[0]
+    return int(page) if page else None
 
 
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC record, not compressed. A revisit's block ends with its HTTP headers; they tell the full payload's length."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page_id: int | None, url: str, payload: bytes | None, size: int, digest: str, refers_to: int | None) -> bytes:
+    """One WARC record, not compressed; without a payload a revisit, whose block ends with its HTTP headers. They tell the
+    full payload's length."""
+    revisit = payload is None
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {page_uri(page_id)}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Target-URI: {' '.join(url.split())}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {page_uri(page_id, digest)}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Target-URI: {' '.join(url.split())}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {page_uri(refers_to)}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {page_uri(refers_to, digest)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -173,20 +183,27 @@ def _reader(uri: str) -> tuple[PackageReader, object]:
     return PackageReader(read, source.size()), source
 
 
+def settle(pages: DataFrame) -> DataFrame:
+    """page_id, url, size, payload (null for revisits), sha1, response (of revisits) of every page; ids as text."""
+    html = F.coalesce("html", F.lit("")).cast("binary")
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("payload"), F.unhex(F.sha1(html)).alias("sha1"))
+    found = rows.select("page_id", "sha1").groupBy("sha1").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("response"))
+    shared = staged(found.where("n > 1").select("sha1", "response"), "payloads")
+    revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
+    joined = rows.join(shared, "sha1", "left")
+    return joined.select(F.col("page_id").cast("string"), "url", F.length("payload").cast("long").alias("size"), F.when(~revisit, F.col("payload")).alias("payload"), "sha1", F.when(revisit, F.col("response")).cast("string").alias("response"))
+
+
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes ``pages`` to archives below ``folder``; returns archive and records of each, after they are written."""
-    html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.unhex(F.sha1(html.cast("binary"))).alias("sha1"))
-    # Copies of one payload are settled on page_id and digest alone; every row of it but one of the largest page_id is a revisit.
-    # The digest is summed before the shuffle, and the join may be split where one digest has very many rows.
-    chosen = rows.groupBy("sha1").agg(F.max("page_id").alias("response"))
-    settled = rows.join(chosen, "sha1").withColumn("revisit", ~F.col("page_id").eqNullSafe(F.col("response")))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done, package = [], None
+        from pyspark import TaskContext
+
+        task, done, package = TaskContext.get(), [], None
 
         def begin():
-            name = f"{folder}/{uuid.uuid4().hex}.wacz"
+            name = f"{folder}/{task.partitionId():06d}-{task.taskAttemptId()}-{len(done)}.wacz"
             system, path = _open(name)
             system.create_dir(path.rpartition("/")[0], recursive=True)
             out = system.open_output_stream(path + ".part")
@@ -205,12 +222,11 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
             done.append((name, len(index)))
 
         for pdf in batches:
-            for page_id, url, text, digest, response, revisit in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["sha1"], pdf["response"], pdf["revisit"], strict=True):
-                page_id, response = (None if pd.isna(x) else int(x) for x in (page_id, response))
+            for page_id, url, size, payload, digest, response in zip(pdf["page_id"], pdf["url"], pdf["size"], pdf["payload"], pdf["sha1"], pdf["response"], strict=True):
+                page_id, response = (None if x is None else int(x) for x in (page_id, response))
                 package = package or begin()
-                payload = text.encode("utf-8", "surrogatepass")
                 pack = zlib.compressobj(1, wbits=31)
-                data = pack.compress(record(page_id, url, payload, base64.b32encode(bytes(digest)).decode(), response, bool(revisit))) + pack.flush()
+                data = pack.compress(record(page_id, url, payload, size, base64.b32encode(bytes(digest)).decode(), response)) + pack.flush()
                 writer, index = package[4], package[5]
                 index.append(f"{'%20'.join(url.split()) or '-'} 20240101000000 {json.dumps({'offset': writer.size, 'length': len(data)})}\n")
                 writer.write(data)
@@ -221,7 +237,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
             finish(*package)
         yield pd.DataFrame(done, columns=["archive", "records"])
 
-    return staged(settled.select("page_id", "url", "html", "sha1", "response", "revisit").mapInPandas(write, "archive string, records long"), "archives")
+    return staged(settle(pages).mapInPandas(write, "archive string, records long"), "archives")
 
 
 def read_archives(archives: DataFrame, records_at_once: int = READ_RECORDS) -> DataFrame:
@@ -229,12 +245,12 @@ def read_archives(archives: DataFrame, records_at_once: int = READ_RECORDS) -> D
     payload_bytes, refers_to and the payload (null for revisits). Each archive is read in parts."""
     if "records" not in archives.columns:
         archives = archives.withColumn("records", F.lit(1))
-    parts = archives.select("archive", F.explode(F.sequence(F.lit(0), F.floor((F.col("records") - 1) / records_at_once).cast("int"))).alias("part"))
-    parts = parts.withColumn("last", F.col("part") == F.max("part").over(Window.partitionBy("archive")))
+    n = F.greatest(F.ceil(F.col("records") / records_at_once).cast("int"), F.lit(1))
+    parts = archives.withColumn("n", n).select("archive", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), "n").select("archive", "part", (F.col("part") == F.col("n") - 1).alias("last"))
+    parts = parts.repartition(shuffle_width(archives.sparkSession))  # dealt out in turn: the parts of one archive to many tasks
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"]
-        to_id = lambda uri: int(x) if (x := uri.removeprefix("<urn:page:").removesuffix(">")) else None
         for pdf in batches:
             for archive, part, last in zip(pdf["archive"], pdf["part"], pdf["last"], strict=True):
                 package, source = _reader(archive)
@@ -248,7 +264,7 @@ def read_archives(archives: DataFrame, records_at_once: int = READ_RECORDS) -> D
                     digest = warc["WARC-Payload-Digest"].removeprefix("sha1:")
                     if not revisit and base32_sha1(payload) != digest:
                         raise ValueError(f"{archive}: the payload of {warc['WARC-Record-ID']} does not have its digest")
-                    rows.append((to_id(warc["WARC-Record-ID"]), warc.get("WARC-Target-URI", ""), warc["WARC-Type"], digest, int(http["Content-Length"]) if revisit else len(payload), to_id(warc["WARC-Refers-To"]) if revisit else None, None if revisit else payload))
+                    rows.append((page_of(warc["WARC-Record-ID"]), warc.get("WARC-Target-URI", ""), warc["WARC-Type"], digest, int(http["Content-Length"]) if revisit else len(payload), page_of(warc["WARC-Refers-To"]) if revisit else None, None if revisit else payload))
                     if len(rows) == 500:
                         yield _typed(rows, names)
                         rows = []
@@ -260,7 +276,8 @@ def read_archives(archives: DataFrame, records_at_once: int = READ_RECORDS) -> D
 
 
 def _typed(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+    columns = dict(zip(names, zip(*rows, strict=True), strict=True))
+    return pd.DataFrame({name: pd.array(values, "Int64") if name in ("page_id", "refers_to") else list(values) for name, values in columns.items()})
 
 
 def query(pages: DataFrame) -> DataFrame:

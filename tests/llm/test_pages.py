@@ -111,6 +111,31 @@ def test_archives_round_trip(spark):
     assert m.query(frame.limit(0)).count() == 0
 
 
+def test_hot_payloads_are_not_dealt_to_one_task(spark):
+    from terraloom.llm import warc_zip as m
+
+    big = (1 << 60) + 1  # ids beyond the whole numbers of a double
+    rows = [(big + k, f"http://a/{k}", None if k % 5 else f"page {k}") for k in range(20_000)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    plan = m.settle(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    with_skew = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in with_skew.items():
+        spark.conf.set(k, v)
+    try:
+        settled = m.settle(frame)
+        got = settled.collect()
+        assert "skew=true" in settled._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in with_skew:
+            spark.conf.unset(k)
+    assert {int(r["response"]) for r in got if r["response"]} == {big + 19_999} and sum(r["payload"] is None for r in got) == 15_999
+    answer = m.query(frame)
+    assert answer.rdd.getNumPartitions() > 1
+    rows = answer.collect()
+    assert len(rows) == 20_000 and {r["refers_to"] for r in rows} == {None, big + 19_999} and {r["page_id"] for r in rows} == {big + k for k in range(20_000)}
+
+
 @pytest.mark.parametrize("limit", [0xFFFFFFFF, 10])
 def test_zip64_directories(limit):
     from terraloom.llm.warc_zip import PackageReader, PackageWriter

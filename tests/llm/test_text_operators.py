@@ -279,6 +279,27 @@ def test_index_against_all_pairs(n, spread):
     assert roots(two) == roots(every)
 
 
+def test_the_index_prunes():
+    """Pairs of nodes that are looked at, on every level together, against all pairs of codes."""
+    from terraloom.llm.simhash_gray import GrayForest, gray_rank
+
+    rng = np.random.default_rng(4)
+    for n, share in ((30, 0.6), (300, 0.45), (4000, 0.25)):
+        codes = np.unique(rng.integers(0, 1 << 51, n, dtype=np.uint64))  # a bucket: 13 bits are common to all
+        codes = codes[np.argsort(gray_rank(codes))]
+        forest = GrayForest(codes, np.array([0]))
+        list(forest.links(np.array([0]), np.array([0]), 4))
+        assert forest.visits < share * n * (n - 1) / 2, (n, forest.visits / (n * (n - 1) / 2))
+
+
+def test_gray_rank_column(spark):
+    from terraloom.llm import simhash_gray as m
+
+    codes = np.random.default_rng(1).integers(-(1 << 63), (1 << 63) - 1, 200)
+    got = spark.createDataFrame([(int(c),) for c in codes], "fp long").select("fp", m.gray_rank_column("fp").alias("rank")).collect()
+    assert [r["rank"] for r in got] == m.gray_rank(codes.view(np.uint64)).view(np.int64).tolist()
+
+
 def test_one_row_of_each_component_stays(spark):
     from terraloom.llm import simhash_gray as m
 
