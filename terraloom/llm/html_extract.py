@@ -4,15 +4,22 @@
 are never read (scripts, styles, buttons and the like) are cut off with all that is in them. Forms are blocks like others,
 because whole pages are wrapped in one; their potentials speak against content, but not against what is in them.
 
-*Model.* Every node is content or not. A node has a potential from its tag, the words of its class, id and role, its
-text's length, share of links and punctuation; an edge has one from the two states and the child's tag. Sum-product
-messages go from the leaves to the root and back, and give every node the exact marginal of being content. The text of
-nodes with a marginal over one half is the page's text, in page order.
+*Model.* Every node is content or not. A node has a potential from its tag, its words of class, id and role (each word by
+a hash, and what public word lists say of them), its text's length, share of links and punctuation; an edge has one from
+the two states, the child's tag, and whether the parent is the page's frame (root, html or body), in which any part may
+begin. Sum-product messages go from the leaves to the root and back, and give every node the exact marginal of being
+content. The text of nodes with a marginal over one half is the page's text, in page order.
 
 *Training.* The potentials are smoothed counts over a bounded sample of labelled pages, counted by Spark: pages that mark
 their main part themselves by a single ``article`` or ``main`` element label their own nodes; what such a part holds of
-navigation, asides, footers, adverts or comments is labelled as not content. The prior counts carry what these words
-mean in general, for kinds that the sample does not show.
+navigation, asides, footers, adverts or comments is labelled as not content. Each such page counts three times: as it is;
+with the marking element as a plain ``div`` and no class words; and with the marking element taken away, its children put
+in its place. So what is learned is how content looks, not how it is announced. What the tags and word lists say in general
+are counts as well, of stated weights, which the sample outweighs; the bounds on what single features may say are stated
+with them.
+
+*Time.* A page is read once from left to right. Elements nest ``MAX_DEPTH`` deep, as in browsers; deeper ones become
+neighbours, and no text is lost.
 
 Defined results: null and empty pages give an empty text; markup that is not closed is closed as browsers do for
 paragraphs, list items and table cells; a head ends at the first text or element that may not stand in it; an element that
@@ -27,6 +34,8 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +51,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = tuple("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre figure figcaption address hr header footer nav aside menu center details summary fieldset form".split())
 TAG = {name: k for k, name in enumerate(BLOCKS)}
 OTHER = len(BLOCKS)
+#: Elements by which pages mark their main part.
+MARKS = frozenset((TAG["article"], TAG["main"]))
 #: What a start tag closes, and where the search for it ends.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: What may stand in a head; anything else ends it.
@@ -53,18 +64,66 @@ BOILER = re.compile(r"(?:^|[-_\s])(?:nav\w*|menu\w*|side-?bar\w*|foot(?:er)?\w*|
 COMMENT = re.compile(r"(?:^|[-_\s])(?:comments?|comment-\w+|disqus\w*|replies|reply|respond|discussion|guestbook)(?=$|[-_\s])", re.I)
 CONTENT = re.compile(r"(?:^|[-_\s])(?:article\w*|content|main|post|entry|story|body|text)(?=$|[-_\s])", re.I)
 BOILER_TAGS = frozenset("nav aside footer menu form".split())
-#: Containers whose tag says nothing about what they hold: their potentials stay at the prior.
+#: Containers whose tag says little about what they hold.
 GENERIC = frozenset(TAG[name] for name in "div section table tbody tr td center ul ol li".split())
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: The page's frame, in which parts of any kind begin.
+FRAME = frozenset((TAG["html"], TAG["body"], OTHER))
+#: Elements nest no deeper, as in browsers.
+MAX_DEPTH = 512
+#: Buckets of class, id and role words.
+WORDS = 1024
+
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
+_WORD = re.compile(r"[A-Za-z][A-Za-z0-9]*")
+_RAW_END = {name: re.compile(rf"</{name}", re.I) for name in RAW}
 _NAMING = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
+class _Tags:
+    """Reads tags from a source in time that grows with its length: a quote that is never closed is looked for once."""
+
+    def __init__(self, source: str):
+        self.source, self.unclosed = source, set()
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """The next tag or comment: start, end, closing, name (empty for comments and declarations), attributes."""
+        source = self.source
+        while (start := source.find("<", at)) >= 0:
+            if source.startswith(("<!", "<?"), start):
+                comment = source.startswith("<!--", start)
+                end = source.find("-->" if comment else ">", start + 2)
+                return start, len(source) if end < 0 else end + (3 if comment else 1), False, "", ""
+            closing = source.startswith("/", start + 1)
+            if name := _NAME.match(source, start + 1 + closing):
+                end = self._end(name.end())
+                return start, end, closing, name[0].lower(), source[name.end() : end - 1]
+            at = start + 1
+        return None
+
+    def _end(self, at: int) -> int:
+        source = self.source
+        while found := _STOP.search(source, at):
+            at, mark = found.end(), found[0]
+            if mark == ">":
+                return at
+            before = found.start() - 1
+            while source[before].isspace():
+                before -= 1
+            if source[before] == "=" and mark not in self.unclosed:  # it begins an attribute's value
+                close = source.find(mark, at)
+                if close < 0:
+                    self.unclosed.add(mark)
+                else:
+                    at = close + 1
+        return len(source) + 1  # a tag that the page does not end
+
+
 class Page:
     """The block tree of a page. Node 0 is the root; parents come before their children."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.kind = [-1], [OTHER], [0]
+        self.parent, self.tag, self.kind, self.words = [-1], [OTHER], [0], [()]
         self.chars, self.link_chars, self.stops = [0], [0], [0]
         self.runs: list[tuple[int, str]] = []  # (node, text) in page order; a run of "\n" separates blocks
         self._parse(source)
@@ -80,82 +139,95 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("", 0)]  # (element, its block node)
-        at, end, links = 0, len(source), 0
+        opened: Counter[str] = Counter()  # of the elements on the stack
+        at, end, tags = 0, len(source), _Tags(source)
         cut: list[str] = []  # open elements from the first that is cut off
+        in_cut: Counter[str] = Counter()
+
+        def shut() -> str:
+            name, _ = stack.pop()
+            opened[name] -= 1
+            return name
+
+        def uncut(name: str = "") -> None:
+            while cut:
+                last = cut.pop()
+                in_cut[last] -= 1
+                if last == name:
+                    break
+
+        def begin_cut(name: str) -> int:
+            cut.append(name)
+            in_cut[name] += 1
+            if name not in RAW:
+                return at
+            found = _RAW_END[name].search(source, at)
+            return found.start() if found else end
 
         while at < end:
-            found = _TOKEN.search(source, at)
-            stop = found.start() if found else end
+            found = tags.next(at)
+            stop = found[0] if found else end
             if cut == ["head"] and source[at:stop].strip():
-                cut.clear()
+                uncut()
             if stop > at and not cut:
-                self._text(stack[-1][1], source[at:stop], links > 0)
+                self._text(stack[-1][1], source[at:stop], opened["a"] > 0)
             if not found:
                 break
-            at = found.end()
-            name = (found[2] or "").lower()
-            if not name:
+            _, at, closing, name, attributes = found
+            if not name or at > end:
                 continue
-            closing, attributes = found[1], found[3]
             if cut == ["head"] and not closing and name not in IN_HEAD:
-                cut.clear()
-            elif cut and closing and name not in cut and any(x == name for x, _ in stack[1:]):
-                cut.clear()  # the element around it ends, and with it what was not closed
-            elif cut and not closing and name in ("button", "select") and name in cut:
-                while cut.pop() != name:
-                    pass
+                uncut()
+            elif cut and closing and not in_cut[name] and opened[name]:
+                uncut()  # the element around it ends, and with it what was not closed
+            elif cut and not closing and name in ("button", "select") and in_cut[name]:
+                uncut(name)
                 if name == "select":
                     continue
             if cut:
-                if closing and name in cut:
-                    while cut.pop() != name:
-                        pass
+                if closing and in_cut[name]:
+                    uncut(name)
                 elif not closing and name not in VOID and not attributes.endswith("/"):
-                    cut.append(name)
-                    at = self._raw_end(source, name, at)
+                    at = begin_cut(name)
                 continue
-            if name == "form" and (k := next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "form"), 0)):
+            if name == "form" and opened["form"]:
                 if closing:
                     while stack[-1][0] in IMPLIED:
-                        stack.pop()
-                    del stack[k]
+                        shut()
+                    del stack[max(k for k, (x, _) in enumerate(stack) if x == "form")]
+                    opened["form"] -= 1
                     self.runs.append((stack[-1][1], "\n"))
                 continue
             if closing:
-                if any(x == name for x, _ in stack[1:]):
-                    while stack:
-                        x, _ = stack.pop()
-                        links -= x == "a"
-                        if x == name:
-                            break
+                if opened[name]:
+                    while shut() != name:
+                        pass
                 if name in TAG:
                     self.runs.append((stack[-1][1], "\n"))
                 continue
             if name in CUT:
                 self.runs.append((stack[-1][1], "\n" if name == "head" else " "))
                 if name not in VOID and not attributes.endswith("/"):
-                    cut.append(name)
-                    at = self._raw_end(source, name, at)
+                    at = begin_cut(name)
                 continue
             if name in VOID:
                 if name in ("br", "hr"):
                     self.runs.append((stack[-1][1], "\n"))
                 continue
-            if name in ENDS_P and any(x == "p" for x, _ in stack):
-                while True:
-                    x, _ = stack.pop()
-                    links -= x == "a"
-                    if x == "p":
-                        break
-            if name in CLOSES:
-                shut, bound = CLOSES[name]
+            if name in ENDS_P and opened["p"]:
+                while shut() != "p":
+                    pass
+            if name in CLOSES and any(opened[x] for x in CLOSES[name][0]):
+                closes, bound = CLOSES[name]
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] in bound:
                         break
-                    if stack[k][0] in shut:
-                        links -= sum(x == "a" for x, _ in stack[k:])
-                        del stack[k:]
+                    if stack[k][0] in closes:
+                        while len(stack) > k:
+                            shut()
                         break
+            if len(stack) >= MAX_DEPTH:
+                shut()
             node = stack[-1][1]
             if name in TAG:
                 self.runs.append((node, "\n"))
@@ -164,27 +236,30 @@ class Page:
                 node = len(self.tag)
                 self.tag.append(TAG[name])
                 self.kind.append((2 if COMMENT.search(naming) else 1 if BOILER.search(naming) else 3 if CONTENT.search(naming) else 0) if naming else 0)
+                self.words.append(tuple(sorted({zlib.crc32(w.lower().encode()) % WORDS for w in _WORD.findall(naming)})) if naming else ())
                 self.chars.append(0)
                 self.link_chars.append(0)
                 self.stops.append(0)
-            links += name == "a"
+            opened[name] += 1
             stack.append((name, node))
 
-    @staticmethod
-    def _raw_end(source: str, name: str, at: int) -> int:
-        if name not in RAW:
-            return at
-        found = re.compile(rf"</{name}", re.I).search(source, at)
-        return found.start() if found else len(source)
-
-    def features(self, node: int) -> tuple[int, ...]:
+    def features(self, node: int, plain: bool = False) -> list[int]:
+        """The node's features as places of one table; ``plain``: as if it were a div without class words."""
         chars = self.chars[node]
         share = self.link_chars[node] / chars if chars else 0.0
-        return self.tag[node], self.kind[node], (chars > 0) + (chars > 25) + (chars > 80) + (chars > 250), (share > 0) + (share > 0.3) + (share > 0.7), min(self.stops[node], 2)
+        tag = TAG["div"] if plain and self.tag[node] in MARKS else self.tag[node]
+        looks = (tag + (OTHER + 1) * (chars > 0), 0 if plain else self.kind[node])
+        if chars:  # an element without text of its own does not look like anything
+            looks += ((chars > 25) + (chars > 80) + (chars > 250), (share > 0) + (share > 0.3) + (share > 0.7), min(self.stops[node], 2))
+        return [a + f for a, f in zip(_AT, looks)] + ([] if plain else [_AT[-1] + SHAPE[-1] + w for w in self.words[node]])
+
+    def edge(self, node: int, parent: int, plain: bool = False) -> int:
+        tag = TAG["div"] if plain and self.tag[node] in MARKS else self.tag[node]
+        return (self.tag[parent] not in FRAME) * (OTHER + 1) + tag
 
     def labels(self) -> list[int] | None:
         """1 for the nodes of the only article or main element, but for the parts of it that are not content."""
-        roots = [k for k in range(len(self.tag)) if self.tag[k] in (TAG["article"], TAG["main"])]
+        roots = [k for k in range(len(self.tag)) if self.tag[k] in MARKS]
         if not roots or sum(self.parent[k] not in roots for k in roots) != 1:
             return None
         out = [0] * len(self.tag)
@@ -205,68 +280,97 @@ class Page:
         return " ".join(blocks)
 
 
-SHAPE = (OTHER + 1, 4, 5, 4, 3)
-_SPANS = np.cumsum((0, *SHAPE))
-_EDGES = int(_SPANS[-1]) * 2
-SIZE = _EDGES + (OTHER + 1) * 4
+#: Sizes of the groups of features: tag (without and with text of its own), kind of words, length, share of links, stops;
+#: the words' buckets follow.
+SHAPE = (2 * (OTHER + 1), 4, 4, 4, 3)
+_AT = [0, *np.cumsum(SHAPE)[:-1].tolist()]
+_LOOKS = sum(SHAPE) + WORDS
+#: (parent in the frame or not, child's tag, parent's state, child's state)
+_EDGES = 2 * (OTHER + 1) * 4
+SIZE = 2 * _LOOKS + _EDGES
 
 
 def counts_of(page: Page, labels: list[int], total: np.ndarray) -> None:
-    for k, y in enumerate(labels):
-        generic = page.tag[k] in GENERIC
-        for which, (span, f) in enumerate(zip(_SPANS[:-1], page.features(k), strict=True)):
-            if which or not generic:
-                total[2 * (span + f) + y] += 1
-        if k and not generic:
-            total[_EDGES + page.tag[k] * 4 + labels[page.parent[k]] * 2 + y] += 1
-
-
-def prior_counts() -> np.ndarray:
-    """One of everything, and edges along which a state tends to persist; a part named article or main may begin anywhere."""
-    total = np.ones(SIZE)
-    for k in range(OTHER + 1):
-        total[_EDGES + 4 * k : _EDGES + 4 * k + 4] += (30, 1, 1, 30)
+    """Adds a labelled page to the counts: as it is, with its marks hidden, and with its marks taken away."""
+    n = len(labels)
+    above = [page.parent[k] for k in range(n)]
+    for k in range(1, n):  # the parents that are left if marks are taken away
+        while above[k] > 0 and page.tag[above[k]] in MARKS:
+            above[k] = page.parent[above[k]]
+    for plain, gone in ((False, False), (True, False), (True, True)):
+        for k, y in enumerate(labels):
+            if gone and page.tag[k] in MARKS:
+                continue
+            for f in page.features(k, plain):
+                total[2 * f + y] += 1
+            if k:
+                parent = above[k] if gone else page.parent[k]
+                total[2 * _LOOKS + 4 * page.edge(k, parent, plain) + 2 * labels[parent] + y] += 1
+
+
+def _prior() -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of content before any page is seen, and how many nodes that counts for, by feature."""
+    odds, weight = np.zeros(_LOOKS), np.full(_LOOKS, 3.0)
+    known = {"nav": -10, "aside": -10, "footer": -10, "menu": -10, "form": -5, "article": 4, "main": 4, "html": -2, "body": -2, "header": -2, "p": 1, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "h5": 2, "h6": 2}
+    for at, x in [*((TAG[name], x) for name, x in known.items()), (OTHER, -2)]:
+        odds[[at, at + OTHER + 1]], weight[[at, at + OTHER + 1]] = x, 20 if x == -10 else 3
+    odds[_AT[1] : _AT[1] + 4] = (0, -8, -10, 4)  # words of class, id and role: none, boilerplate, comments, content
+    odds[_AT[2] : _AT[2] + 4] = (0, 0.3, 1, 1)
+    odds[_AT[3] : _AT[3] + 4] = (0, 0, -1, -3)
+    odds[_AT[4] : _AT[4] + 3] = (0, 0.3, 0.7)
+    return odds, weight
+
+
+def _bounds() -> tuple[np.ndarray, np.ndarray]:
+    """The least and the most that a single feature may say, as log odds. The looks of a text together say less than an
+    edge, and little against it if it is short: menus teach that short items are not content, but lists have such too."""
+    most = np.full(_LOOKS, 2.0)
+    for at in range(OTHER + 1):
+        bound = 4 if at in MARKS else 2 if at == OTHER else 10 if BLOCKS[at] in BOILER_TAGS else None
+        most[[at, at + OTHER + 1]] = bound or ((0.5, 1.5) if at in GENERIC else 2)
+    most[_AT[1] : _AT[1] + 4] = 0.5, 10, 10, 4
+    most[_AT[2] : _AT[2] + 4] = most[_AT[4] : _AT[4] + 3] = 1
+    most[_AT[3] : _AT[3] + 4] = 0.5, 1, 2, 3
+    least = -most
+    least[_AT[2] : _AT[2] + 4] = least[_AT[4] : _AT[4] + 3] = -0.3
+    return least, most
+
+
+def prior_edges() -> np.ndarray:
+    """Counts of (parent's state, child's state): in the frame a child is free; elsewhere a state tends to persist."""
+    total = np.ones((2, OTHER + 1, 2, 2))
+    total[1] = (400, 0.5), (1, 60)
     for name in BOILER_TAGS:
-        total[_EDGES + 4 * TAG[name] + 2] += 60
+        total[1, TAG[name], 1, 0] += 60
     for name in ("article", "main"):
-        total[_EDGES + 4 * TAG[name] + 1] += 60
+        total[1, TAG[name], 0, 1] += 60
     return total
 
 
-def prior_odds() -> list[np.ndarray]:
-    """Log odds of content that are taken for granted, whatever the sample shows."""
-    odds = [np.zeros(n) for n in SHAPE]
-    odds[0][[TAG[name] for name in BOILER_TAGS]] = -5
-    odds[0][[TAG["html"], TAG["body"], OTHER]] = -5
-    odds[0][[TAG["article"], TAG["main"]]] = 4
-    odds[1][:] = (0, -6, -6, 6)  # words of class, id and role: none, boilerplate, comments, content
-    odds[2][:] = (0, 0, 0, 1, 1)
-    odds[3][:] = (0, 0, -1, -3)
-    odds[4][:] = (0, 0, 1)
-    return odds
-
-
 class TreeModel:
-    def __init__(self, counts: np.ndarray):
-        unary = counts[:_EDGES].reshape(-1, 2)
-        self.odds = []
-        for a, b, prior in zip(_SPANS[:-1], _SPANS[1:], prior_odds(), strict=True):
-            p = unary[a:b] / unary[a:b].sum(axis=0)
-            self.odds.append(np.clip(np.log(p[:, 1] / p[:, 0]) + prior, -8, 8).tolist())
-        edge = counts[_EDGES:].reshape(-1, 2, 2)
-        self.edge = (edge / edge.sum(axis=2, keepdims=True)).tolist()  # P(child | parent), by the child's tag
+    def __init__(self, counts: np.ndarray | None = None):
+        """From the sample's counts; without them the prior alone speaks."""
+        counts = np.zeros(SIZE) if counts is None else counts
+        looks = counts[: 2 * _LOOKS].reshape(-1, 2)
+        tags = looks[: SHAPE[0]].sum(axis=0)  # nodes of either state: both weigh alike
+        looks = looks * (tags.sum() / 2 / np.maximum(tags, 1))
+        odds, weight = _prior()
+        learned = np.log((looks[:, 1] + weight * np.exp(odds / 2)) / (looks[:, 0] + weight * np.exp(-odds / 2)))
+        self.odds = np.clip(learned, *_bounds()).tolist()
+        edge = counts[2 * _LOOKS :].reshape(2, OTHER + 1, 2, 2) + prior_edges()
+        self.edge = (edge / edge.sum(axis=3, keepdims=True)).reshape(-1, 2, 2).tolist()  # P(child | parent)
 
     def marginals(self, page: Page) -> list[float]:
         """Sum-product over the tree, with messages as probabilities: upward in reverse order, then downward."""
         n = len(page.tag)
         own = []
         for k in range(n):
-            odds = sum(table[f] for table, f in zip(self.odds, page.features(k), strict=True))
+            odds = sum(self.odds[f] for f in page.features(k))
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
             own.append([1 - p, p])
         up, message = [list(x) for x in own], [(1.0, 1.0)] * n
         for k in range(n - 1, 0, -1):
-            (a, b), (c, d) = self.edge[page.tag[k]]
+            (a, b), (c, d) = self.edge[page.edge(k, page.parent[k])]
             m0, m1 = a * up[k][0] + b * up[k][1], c * up[k][0] + d * up[k][1]
             total = m0 + m1
             message[k] = (m0 / total, m1 / total)
@@ -277,7 +381,7 @@ class TreeModel:
         for k in range(1, n):
             # what the parent believes without this child, sent through the edge
             p0, p1 = belief[page.parent[k]][0] / max(message[k][0], 1e-300), belief[page.parent[k]][1] / max(message[k][1], 1e-300)
-            (a, b), (c, d) = self.edge[page.tag[k]]
+            (a, b), (c, d) = self.edge[page.edge(k, page.parent[k])]
             x, y = up[k][0] * (p0 * a + p1 * c), up[k][1] * (p0 * b + p1 * d)
             belief[k] = [x / (x + y), y / (x + y)]
         return [b[1] for b in belief]
@@ -305,7 +409,7 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> TreeModel:
         yield pd.DataFrame({"at": at, "n": total[at]})
 
     # Spark sums the tasks' counts; one number per potential reaches the driver.
-    total = prior_counts()
+    total = np.zeros(SIZE)
     for row in chosen.select("html").mapInPandas(count, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
         total[row["at"]] += row["n"]
     return TreeModel(total)

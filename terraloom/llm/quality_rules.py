@@ -5,8 +5,10 @@ a fixed grid are tested from the most lenient to the strictest on the labelled g
 which ``k`` would be rejected, the exact binomial tail ``P(Bin(n, alpha) <= k)`` must not exceed ``delta`` divided by
 the number of (stratum, rule) families. A sequence that is tested in a fixed order and stops at its first failure
 needs no correction within itself; the division corrects for the families. A rule that no cutoff passes never rejects.
-With the ``rules`` rules of a stratum at ``alpha / rules`` each, all of them together reject more than ``alpha`` of a
-stratum's good documents with a chance of at most ``delta``.
+With the ``rules`` rules of a stratum at ``alpha / rules`` each, the chance that in any stratum all of them together
+reject more than ``alpha`` of the good documents that pass the base rules is at most ``delta``. The base rules are given,
+not chosen, and what they reject is outside of this guarantee. ``log(delta / families) / log(1 - alpha / rules)`` good
+labels are the least with which a cutoff that rejects none of them can be certified.
 
 Only DataFrame functions are used. Texts are read once; what is shuffled is a few numbers a document.
 
@@ -113,11 +115,16 @@ def binomial_tail(n: Column, k: Column, p: float, terms: int = 512) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(total, F.lit(1.0)))
 
 
+def stratum_key(stratum: str) -> Column:
+    """The stratum's name; null is a stratum of its own, apart from an empty name."""
+    return F.when(F.col(stratum).isNull(), F.lit("none")).otherwise(F.concat(F.lit("is "), F.col(stratum)))
+
+
 def select_cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row per stratum with a struct of the certified cutoffs (null: the rule never rejects there)."""
     spark = feats.sparkSession
     good = labels.where(F.col("doc_id").isNotNull() & (F.col("quality") == 1)).select("doc_id").distinct()
-    base = feats.where(~F.col("base_failed")).join(good, "doc_id", "left_semi").withColumn("stratum", F.coalesce("stratum", F.lit("")))
+    base = feats.where(~F.col("base_failed")).join(good, "doc_id", "left_semi").withColumn("stratum", stratum_key("stratum"))
     values = rule_values()
     #: bin: how many cutoffs of the grid a value exceeds; it is rejected by the cutoffs beyond that index.
     bins = [F.struct(F.lit(rule).alias("rule"), sum(((values[rule] <= cut).cast("int") for cut in grid), F.lit(0)).alias("passed")) for rule, grid in RULES.items()]
@@ -138,7 +145,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame, stratum: str = "lang", al
     """Every document with its numbers, ``base_failed``, ``rule_failed`` (the first rule beyond its cutoff) and ``kept``."""
     feats = staged(features(docs, stratum), "quality")
     cuts = select_cutoffs(feats, labels, alpha, delta)
-    joined = feats.withColumn("stratum_key", F.coalesce("stratum", F.lit(""))).join(cuts.withColumnRenamed("stratum", "stratum_key"), "stratum_key", "left")
+    joined = feats.withColumn("stratum_key", stratum_key("stratum")).join(cuts.withColumnRenamed("stratum", "stratum_key"), "stratum_key", "left")
     failed = F.coalesce(*(F.when(value > F.col(f"max_{rule}"), F.lit(rule)) for rule, value in rule_values().items()))
     return joined.withColumn("rule_failed", failed).withColumn("kept", ~F.col("base_failed") & F.col("rule_failed").isNull()).drop("stratum_key")
 

@@ -64,7 +64,7 @@ w AS (SELECT doc_id, lang, text, regexp_extract_all(text, '{_WORD}') AS words, l
 g AS (SELECT doc_id, i, array_to_string(words[i:i+7], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words)-6)) AS i FROM w)),
 d AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
 r AS (SELECT doc_id, count(DISTINCT at_) AS n FROM (SELECT doc_id, unnest(range(i, i+8)) AS at_ FROM d) GROUP BY doc_id),
-f AS (SELECT w.doc_id, coalesce(lang, '') AS stratum, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars, length(text)-length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines)-len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(lines) AS n_lines, len(list_filter(words, lambda x: length(x) > {quality_rules.LONG_WORD})) AS n_long_words FROM w LEFT JOIN r USING (doc_id)),
+f AS (SELECT w.doc_id, CASE WHEN lang IS NULL THEN 'none' ELSE 'is ' || lang END AS stratum, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars, length(text)-length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines)-len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(lines) AS n_lines, len(list_filter(words, lambda x: length(x) > {quality_rules.LONG_WORD})) AS n_long_words FROM w LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100*n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT}*n_words AS base_failed FROM f),
 grid(rule, j, cut) AS (VALUES {grid}),
 c AS (SELECT stratum, rule, j, cut, count(*) AS n, sum(({value} > cut)::INT)::BIGINT AS k FROM b, grid WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL),
@@ -90,8 +90,8 @@ WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 f AS ({parts}),
 u AS (SELECT *, unnest(range(1, len(m)+1)) AS i FROM f),
 p AS (SELECT doc_id, source, kind, name, v[i] AS value, list_sum(list_transform(g[1:i], lambda x: length(x)))+coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS start, length(m[i]) AS n FROM u WHERE length(v[i]) >= least),
-o AS (SELECT value, count(DISTINCT coalesce(source, '?null')) AS owners FROM p GROUP BY value),
-j AS (SELECT doc_id, kind, name, start::BIGINT AS start, (start+n)::BIGINT AS stop, CASE WHEN owners > {secret_scan.MAX_OWNERS} THEN 'copied' WHEN len(list_distinct(string_split(value, ''))) >= 8 AND NOT regexp_matches(value, '{secret_scan._PLACEHOLDER}') AND regexp_matches(value, '[0-9]') THEN 'owner_specific' ELSE 'plain' END AS verdict FROM p JOIN o USING (value)),
+o AS (SELECT value, count(DISTINCT coalesce(source, '?null')) AS owners, count(DISTINCT (coalesce(source, '?null'), doc_id)) AS repositories FROM p GROUP BY value),
+j AS (SELECT doc_id, kind, name, start::BIGINT AS start, (start+n)::BIGINT AS stop, CASE WHEN owners > {secret_scan.MAX_OWNERS} OR repositories > {secret_scan.MAX_REPOSITORIES} THEN 'copied' WHEN len(list_distinct(string_split(value, ''))) >= 8 AND NOT regexp_matches(value, '{secret_scan._PLACEHOLDER}') AND regexp_matches(value, '[0-9]') THEN 'owner_specific' ELSE 'plain' END AS verdict FROM p JOIN o USING (value)),
 k AS (SELECT * FROM j WHERE kind < {len(secret_scan.BASE)} OR verdict = 'owner_specific')
 SELECT d.doc_id, {base}, sha256(coalesce(string_agg({span}, ',' ORDER BY start, kind) FILTER (kind < {len(secret_scan.BASE)}), '')) AS base_sha256, coalesce(string_agg({span}, ',' ORDER BY start, kind), '') AS spans, count(*) FILTER (verdict = 'owner_specific') AS n_owner_specific, count(*) FILTER (verdict = 'copied') AS n_copied
 FROM (SELECT doc_id FROM documents) d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id

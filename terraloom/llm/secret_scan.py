@@ -2,8 +2,8 @@
 
 Every text is searched for the base kinds and for further candidate kinds. The candidates' values are hashed and counted
 over the whole corpus by distinct repositories and owners, first per (hash, owner, repository), so that a value that a
-third of the corpus repeats is summed before it is shuffled by hash. A value of many owners is a copied example; one of
-few owners whose characters look random is a live-looking credential. Base spans are always reported; a span of a
+third of the corpus repeats is summed before it is shuffled by hash. A value of many owners, or found in many repositories
+whoever owns them, is a copied example; another whose characters look random is an owner's live-looking credential. Base spans are always reported; a span of a
 further kind only if its value is live-looking and owner-specific.
 
 Only DataFrame functions are used: matches come from ``regexp_extract_all``, their places from the lengths of what
@@ -34,6 +34,7 @@ GATES = {"assign": r"(?i)(?:password|passwd|secret|token|api_?key)", "access": r
 #: These take whole runs, so that asking for the least length in the pattern finds the same spans.
 LONG = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 MAX_OWNERS = 2
+MAX_REPOSITORIES = 20
 _PLACEHOLDER = r"(?i)example|changeme|placeholder|x{6}|1234567|abcdefg"
 
 
@@ -73,11 +74,11 @@ def ownership(cands: DataFrame) -> DataFrame:
     return by_owner.groupBy("v", "v2").agg(F.count("*").alias("n_owners"), F.sum("n_repositories").alias("n_repositories"))
 
 
-def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """Every document with ``spans``, an array of (kind, start, end, n_owners, n_repositories, verdict)."""
     cands = staged(candidates(docs, owner, repository), "secrets")
     each = cands.select("row", F.explode("c").alias("x")).select("row", "x.*")
-    verdict = F.when(F.col("n_owners") > max_owners, F.lit("copied")).when(F.col("live"), F.lit("owner_specific")).otherwise(F.lit("plain"))
+    verdict = F.when((F.col("n_owners") > max_owners) | (F.col("n_repositories") > max_repositories), F.lit("copied")).when(F.col("live"), F.lit("owner_specific")).otherwise(F.lit("plain"))
     judged = each.join(ownership(cands), ["v", "v2"]).withColumn("verdict", verdict).where((F.col("kind") < len(BASE)) | (F.col("verdict") == "owner_specific"))
     names = F.array(*(F.lit(k) for k in KINDS))
     spans = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "n_owners", "n_repositories", "verdict"))).alias("s"))

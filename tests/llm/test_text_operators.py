@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = "the quick brown fox jumps over the lazy dog again and again, " * 3
@@ -125,6 +126,45 @@ def test_secret_ownership(spark):
     assert s.query(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_secret_repositories(spark):
+    """One owner's value in very many repositories is copied; every added kind acts on some row."""
+    from terraloom.llm import secret_scan as s
+
+    many, few = "xoxb-123456789012-abcdefGHIJ", "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJ5c"
+    rows = [(i, f"key {many}", "o") for i in range(25)] + [(30 + i, f"auth {few} sk_live_a8B7c6D5e4F3g2H1", "o") for i in range(3)]
+    got = {r["doc_id"]: r for r in s.query(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not got[0]["spans"]
+    assert got[30]["spans"] == f"bearer:5:{5 + len(few)},prefixed:{6 + len(few)}:{6 + len(few) + 24}" and got[30]["n_owner_specific"] == 2
+
+
+def test_quality_strata_of_null_and_empty(spark):
+    from terraloom.llm import quality_rules as q
+
+    junk = " ".join(f"w{k} ##" for k in range(40))
+    rows = [(i, " ".join(f"w{k}" for k in range(40)), None) for i in range(3000)] + [(5000, junk, None), (5001, junk, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(3000)], "doc_id long, quality int")
+    kept = {r["doc_id"]: r["kept"] for r in q.quality_filter(frame, labels).collect()}
+    assert not kept[5000] and kept[5001] and sum(kept.values()) == 3001  # only the labelled stratum has cutoffs
+
+
+def test_matches_in_given_documents(real, spark, sf_dir):
+    """Real texts and items: an item within e edits of a text of m characters shares at least m + 1 - q - q e of its q-grams."""
+    from terraloom.llm import decontam as m
+
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    items = [(r["item_id"], m.normalised(r["text"])) for r in bench.collect()]
+    got = {r["doc_id"]: (r["item_ids"], r["least_distance"]) for r in m.query(real, bench).collect()}
+    grams = lambda t: [t[i : i + 3] for i in range(len(t) - 2)]
+    for d, t in texts_of(real):
+        text, have, found = m.normalised(t), set(grams(m.normalised(t))), []
+        for i, item in items:
+            if len(item) > 1 and sum(g in have for g in grams(item)) >= len(item) - 2 - 3 * m.budget_of(item) and (n := distance_brute(item, text)) <= m.budget_of(item):
+                found.append((i, n))
+        assert got[d][0] == sorted(i for i, _ in found), d
+        assert not found or got[d][1] >= min(n for _, n in found)
+
+
 def test_prefix_sums(spark):
     from pyspark.sql import functions as F
 
@@ -153,6 +193,24 @@ def test_licenses(docs, real):
         m.scan_licenses(real, {"short": "three words only"})
 
 
+def test_license_blocks_and_long_templates(spark):
+    """More band shingles than one pass takes, templates of hundreds of words, and notices with words changed."""
+    from terraloom.llm import license_scan as m
+
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(400)}"
+    templates = {f"t{k}": " ".join(word() for _ in range(rng.choice((8, 40, 300, 900)))) for k in range(24)}
+    rows = []
+    for k in range(120):
+        w = templates[f"t{k % 24}"].split()
+        for _ in range(rng.randrange(0, 1 + len(w) // 25)):
+            w[rng.randrange(len(w))] = "changed"
+        rows.append((k, " ".join([*(word() for _ in range(rng.randrange(200))), *w, *(word() for _ in range(rng.randrange(200)))])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["license"]) for r in m.scan_licenses(frame, templates, max_keys=150).collect()}
+    assert got == {(d, x) for d, t in rows for x in license_brute(t, templates)} and len(got) > 60
+
+
 def lines_brute(rows):
     key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
     holders = defaultdict(set)
@@ -340,14 +398,90 @@ def test_language(spark, docs):
     assert m.query(docs.limit(0)).count() == 0
 
 
+def language_brute(rows):
+    """lang_pred by plain loops: counts, codewords, log odds, thresholds, losses. ``rows``: (doc_id, text, lang)."""
+    from math import erfc, exp, log, log1p, sqrt
+
+    from terraloom.llm.language_id import BITS, DIM, codewords
+
+    def grams(text):
+        b, out = f" {text.lower()} ".encode(), Counter()
+        for size, factor in ((2, 2654435761), (3, 2246822519), (4, 3266489917)):
+            for i in range(len(b) - size + 1):
+                h = b[i] * 257 + b[i + 1]
+                for c in b[i + 2 : i + size]:
+                    h = h * 65599 + c
+                out[h * factor % (1 << 32) >> 18] += 1
+        return out
+
+    known = [(t, x) for d, t, x in rows if x is not None and t is not None and d is not None and zlib.crc32(str(d).encode()) % 5]
+    langs = sorted({x for _, x in known})
+    code, sums = codewords(langs).tolist(), {x: Counter() for x in langs}
+    counted = [(grams(t), x) for t, x in known]
+    for g, x in counted:
+        sums[x].update(g)
+    p = {x: [(sums[x][k] + 0.5) / (sum(sums[x].values()) + 0.5 * DIM) for k in range(DIM)] for x in langs}
+    mean = lambda side, k: sum(p[x][k] for x in side) / max(len(side), 1)
+    sides = [([x for x, c in zip(langs, code, strict=True) if c[b]], [x for x, c in zip(langs, code, strict=True) if not c[b]]) for b in range(BITS)]
+    weights = [[log(mean(a, k) + 1e-9) - log(mean(z, k) + 1e-9) for k in range(DIM)] for a, z in sides]
+    margin = lambda g, b: sum(n * weights[b][k] for k, n in g.items()) / max(sum(g.values()), 1)
+    margins = [([margin(g, b) for b in range(BITS)], x) for g, x in counted]
+    bits = []
+    for b in range(BITS):
+        by = {x: [m[b] for m, y in margins if y == x] for x in langs}
+        mu = {x: sum(v) / len(v) for x, v in by.items()}
+        spread = sqrt(sum(sum(v * v for v in by[x]) / len(by[x]) - mu[x] ** 2 for x in langs) / len(langs))
+        low, high = min(mu[x] for x in sides[b][0]), max(mu[x] for x in sides[b][1])
+        gap = max(low - high, 1e-3)
+        bits.append(((low + high) / 2, 6 / gap, 1 - erfc(gap / spread / 2 / sqrt(2))))
+    whole, out = sum(x[2] for x in bits), {}
+    for d, t, _ in rows:
+        if t is None or not any(c.isalpha() for c in t):
+            out[d] = "und", 0.0
+            continue
+        g = grams(t)
+        signed = [(margin(g, b) - bits[b][0]) * bits[b][1] for b in range(BITS)]
+        loss = [sum(bits[b][2] / whole * log1p(exp(-s if c[b] else s)) for b, s in enumerate(signed)) for c in code]
+        share = [exp(-BITS * (x - min(loss))) for x in loss]
+        out[d] = langs[loss.index(min(loss))], max(share) / sum(share)
+    return out
+
+
+def test_language_against_plain_loops(spark):
+    from terraloom.llm import language_id as m
+
+    full = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted(((r["doc_id"], r["text"], r["lang"]) for r in full.where("n_chars < 600").select("doc_id", "text", "lang").collect()), key=lambda r: r[0])[:160]
+    want = language_brute(rows)
+    got = m.query(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["lang_pred"] == want[r["doc_id"]][0] and r["score"] == pytest.approx(want[r["doc_id"]][1], abs=1e-3)
+
+
+def test_codewords_and_blocks(monkeypatch):
+    from terraloom.llm import language_id as m
+
+    for n, least in ((2, 24), (4, 17), (30, 10), (200, 8)):
+        words = m.codewords([str(k) for k in range(n)])
+        apart = (words[:, None] != words[None]).sum(axis=2) + 99 * np.eye(n, dtype=int)
+        assert apart.min() >= least and (words.min(axis=0) == 0).all() and (words.max(axis=0) == 1).all()
+    text = "Größe und naïve Wörter, " * 40
+    whole = m.ngram_counts(text)
+    for block in (1, 2, 7, 100):
+        monkeypatch.setattr(m, "_BLOCK", block)
+        assert (m.ngram_counts(text) == whole).all()
+    assert m.ngram_counts("").sum() == 1
+
+
 def distance_brute(item, text):
-    prev = [0] * (len(text) + 1)
-    for i, a in enumerate(item, 1):
-        cur = [i]
-        for j, b in enumerate(text, 1):
-            cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (a != b)))
-        prev = cur
-    return min(prev)
+    """The whole table of edit distances, a row per character of the item; free starts and ends in the text."""
+    letters, at = np.array([ord(c) for c in text], np.int64), np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)
+    for i, c in enumerate(item, 1):
+        best = np.append(i, np.minimum(row[1:] + 1, row[:-1] + (letters != ord(c))))
+        row = np.minimum.accumulate(best - at) + at
+    return int(row.min())
 
 
 def test_edit_matching(spark):
@@ -415,14 +549,58 @@ def test_ids_are_the_tokenizers(text):
     assert encoder()(text).tolist() == Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_all_given_documents():
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    from terraloom.llm.packing import encoder
+
+    own, fast = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), encoder()
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist():
+        assert not text or fast(text).tolist() == own.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_keeps_repeated_and_unnamed_rows(docs, spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from terraloom.llm import packing as m
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    big = (1 << 60) + 1
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None, "x y"), (None, "x y"), (big, "a")], "doc_id long, text string"))
+    want = Counter()
+    for d, t in texts_of(frame):
+        want[d] += len(own.encode(t or "", add_special_tokens=False).ids) + 1
+    got = Counter()
+    for r in m.query(frame).collect():
+        got[r["doc_id"]] += r["length"]
+    assert got == want and big in got
+
+
+def test_ranges_hold_equal_bytes(spark):
+    from terraloom.llm import packing as m
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("tie"))
+    bounds = m.range_bounds(docs, 8)
+    sums = docs.withColumn("at", m._placer(bounds)).groupBy("at.part").agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    sizes = [r["n"] for r in sums]
+    assert len(sizes) == 8 and max(sizes) < 1.5 * sum(sizes) / 8
+    one = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("one text").alias("text")).withColumn("tie", F.xxhash64("doc_id", "text"))
+    sizes = [r["count"] for r in one.withColumn("at", m._placer(m.range_bounds(one, 8))).groupBy("at.part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 800  # a key that all rows share fills all ranges
+
+
 def test_hilbert_neighbours_touch():
     from itertools import product
 
-    from terraloom.llm.packing import hilbert_key
+    from terraloom.llm.packing import hilbert_keys
 
-    cells = sorted(product(range(8), repeat=3), key=lambda p: hilbert_key(np.array(p), 3))
-    assert [hilbert_key(np.array(p), 3) for p in cells] == list(range(512))
-    assert all(sum(abs(a - b) for a, b in zip(p, q, strict=True)) == 1 for p, q in zip(cells[:-1], cells[1:], strict=True))
+    cells = np.array(list(product(range(8), repeat=3)))
+    keys = hilbert_keys(cells, 3)
+    assert sorted(keys.tolist()) == list(range(512))
+    assert (np.abs(np.diff(cells[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
 
 
 def test_shifted_copies_get_nearby_cells(real):
