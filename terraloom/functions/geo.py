@@ -65,6 +65,12 @@ def local_xy_km(lat, lon, lat0, lon0) -> tuple[Column, Column]:
     return longitude_offset(lon, lon0) * 111.320 * F.cos(F.radians(_c(lat0))), (_c(lat) - _c(lat0)) * 110.574
 
 
+def local_degrees(x_km, y_km, lat0, lon0) -> tuple[Column, Column]:
+    """The inverse of ``local_xy_km``."""
+    across = 111.320 * F.cos(F.radians(_c(lat0)))
+    return _c(lat0) + _c(y_km) / 110.574, wrap_longitude(_c(lon0) + _c(x_km) / F.when(F.abs(across) < 1e-9, F.lit(1e-9)).otherwise(across))
+
+
 def distance_bucket(km) -> Column:
     d = _c(km)
     return F.when(d <= 1, "0-1km").when(d <= 5, "1-5km").when(d <= 25, "5-25km").when(d <= 100, "25-100km").otherwise(">100km")

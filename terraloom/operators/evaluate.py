@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import distance_bucket, haversine_km
 from ..functions.scores import by_group
+from ..sources.scan import match_truth
 from .retrieval import Q, ranked
 
 
@@ -16,18 +19,41 @@ def errors(c: DataFrame, truth: DataFrame) -> DataFrame:
     return ranked(c).join(t, Q).withColumn("km", haversine_km("lat", "lon", "t_lat", "t_lon"))
 
 
-def nearest_rank(sorted_values: Column, percent: float) -> Column:
-    """The value at half-even rounding of p / 100 * (n - 1)."""
-    return F.get(sorted_values, F.bround(F.lit(percent) / 100.0 * (F.size(sorted_values) - 1)).cast("int"))
+def order_statistics(rows: DataFrame, keys: list[str], value: str, places: dict[str, Column], width: float = 0.01) -> DataFrame:
+    """Per group of ``keys`` its size ``n`` and the values at the given places (from 0, columns of ``n``) of its sorted
+    values. Values are counted by buckets of ``width`` first; only the buckets that hold a place are sorted, by value, and
+    equal values are one row: no group is ever gathered or sorted whole."""
+    keyed = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.floor(F.col(value) / width).alias("_b"))
+    before = lambda part, order, n: F.coalesce(F.sum(n).over(Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = keyed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_m"))
+    counted = counted.withColumns({"_at": before(keys, "_b", "_m"), "n": F.sum("_m").over(Window.partitionBy(*keys))})
+    wanted = counted.withColumn("_p", F.explode(F.array(*(F.struct(F.lit(name).alias("name"), place.cast("long").alias("at")) for name, place in places.items()))))
+    wanted = wanted.where((F.col("_p.at") >= F.col("_at")) & (F.col("_p.at") < F.col("_at") + F.col("_m"))).select(*keys, "_b", "n", "_p.name", (F.col("_p.at") - F.col("_at")).alias("_k"))
+    same = lambda a, b: reduce(lambda x, y: x & y, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in [*keys, "_b"]))
+    inside = keyed.alias("v").join(wanted.select(*keys, "_b").distinct().alias("w"), same("v", "w"), "left_semi")
+    runs = inside.groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    runs = runs.withColumn("_at", before([*keys, "_b"], "_v", "_m"))
+    met = wanted.alias("w").join(runs.alias("r"), same("w", "r"))
+    met = met.where((F.col("_k") >= F.col("_at")) & (F.col("_k") < F.col("_at") + F.col("_m")))
+    return met.groupBy(*(F.col(f"w.{k}").alias(k) for k in keys)).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in places))
+
+
+def nearest_rank(percent: float) -> Column:
+    """The place at half-even rounding of p / 100 * (n - 1)."""
+    return F.bround(F.lit(percent) / 100.0 * (F.col("n") - 1))
 
 
 def distance_report(top: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Mean, upper median, the report's p90, nearest-rank percentiles and the shares within 1, 2, 5, 10 and 50 km. The
-    values of a report are one number per query."""
-    v, n = F.col("v"), F.size("v")
-    out = top.groupBy(*(keys or [])).agg(F.avg("km").alias("mean_km"), F.sort_array(F.collect_list("km")).alias("v"), *((F.avg((F.col("km") <= r).cast("double")) * 100).alias(f"within_{r}km_pct") for r in (1, 2, 5, 10, 50)))
-    p90 = F.floor(n * F.lit(0.9)).cast("int") - 1
-    return out.withColumns({"evaluated": n.cast("long"), "median_km": F.get(v, F.floor(n / 2).cast("int")), "p90_km": F.get(v, F.when(p90 < 0, n - 1).otherwise(p90))} | {f"p{p}_km": nearest_rank(v, p) for p in (10, 25, 75, 95)}).drop("v")
+    """Mean, upper median, the report's p90, nearest-rank percentiles and the shares within 1, 2, 5, 10 and 50 km."""
+    keys = keys or []
+    p90 = F.floor(F.col("n") * F.lit(0.9)) - 1
+    places = {"median_km": F.floor(F.col("n") / 2), "p90_km": F.when(p90 < 0, F.col("n") - 1).otherwise(p90)} | {f"p{p}_km": nearest_rank(p) for p in (10, 25, 75, 95)}
+    out = top.groupBy(*keys).agg(F.avg("km").alias("mean_km"), F.count("km").alias("evaluated"), *((F.avg((F.col("km") <= r).cast("double")) * 100).alias(f"within_{r}km_pct") for r in (1, 2, 5, 10, 50)))
+    stats = order_statistics(top, keys, "km", places).drop("n")
+    if not keys:
+        return out.join(stats, F.lit(True), "left")  # one row each
+    stats = stats.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return out.join(stats, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)), "left").drop(*(f"_{k}" for k in keys))
 
 
 def candidate_oracle(e: DataFrame) -> DataFrame:
@@ -40,9 +66,13 @@ def bucket_report(top: DataFrame) -> DataFrame:
 
 
 def group_report(e: DataFrame, radius_km: float, k: int) -> DataFrame:
-    """Per group of queries: mean and median top-1 error, top-k hit rate."""
+    """Per group of queries: mean and median top-1 error, top-k hit rate, and the group's place by mean error, the hardest
+    first."""
     per = e.groupBy(*Q, "grp").agg(F.max(F.when(F.col("rank") == 1, F.col("km"))).alias("km"), F.max(((F.col("rank") <= k) & (F.col("km") <= radius_km)).cast("double")).alias("hit"))
-    return per.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg("km").alias("mean_km"), F.median("km").alias("median_km"), F.avg("hit").alias("hit_rate"))
+    middle = order_statistics(per, ["grp"], "km", {"low": F.floor((F.col("n") - 1) / 2), "high": F.floor(F.col("n") / 2)})
+    out = per.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg("km").alias("mean_km"), F.avg("hit").alias("hit_rate"))
+    joined = out.join(middle.select(F.col("grp").alias("_g"), ((F.col("low") + F.col("high")) / 2).alias("median_km")), F.col("grp").eqNullSafe(F.col("_g")), "left").drop("_g")
+    return joined.withColumn("hardest", F.row_number().over(Window.orderBy(F.round("mean_km", 9).desc(), "grp")))
 
 
 def recall_report(e: DataFrame, ks=(1, 5, 10), radii=(0.5, 1.0, 2.0, 5.0)) -> DataFrame:
@@ -141,3 +171,51 @@ def view_agreement(ranks: DataFrame, top_n: int, n_views: int) -> DataFrame:
     """From (query_id, view, item_id, rank): the items' share of the reciprocal ranks that agreement could give them."""
     best = sum(1.0 / r for r in range(1, top_n + 1)) * n_views
     return ranks.where(F.col("rank") <= top_n).groupBy(*Q, "item_id").agg((F.sum(1.0 / F.col("rank")) / best).alias("agreement"))
+
+
+def metric_report(assessed: DataFrame, truth: DataFrame, radius_km: float = 1.0, top_k: int = 5, bins: int = 10) -> DataFrame:
+    """One row on results as ``sources.results.assessed`` gives them, and the truth (image, lat, lon): hits of the first and
+    of the first ``top_k``, distances, support, coverage and precision by tier, buckets, calibration, radius. Radius and
+    support count results with candidates; the rest those that have a true place as well."""
+    some = assessed.where(F.col("image").isNotNull() & (F.size("candidates") > 0))
+    far = F.transform("candidates", lambda x: haversine_km(F.col("t.lat"), F.col("t.lon"), x["latitude"], x["longitude"]))
+    met = match_truth(some, truth).where("t is not null").withColumn("d", far).withColumn("km", F.get("d", F.lit(0)))
+    any_within = lambda n, r: F.exists(F.slice("d", 1, n), lambda x: x <= r).cast("double")
+    hit = (F.col("km") <= radius_km).cast("double")
+    rated = F.col("tier").isin("high", "medium")
+    bucket = distance_bucket("km")
+    names = {"0-1km": "n_0_1km", "1-5km": "n_1_5km", "5-25km": "n_5_25km", "25-100km": "n_25_100km", ">100km": "n_over_100km"}
+    row = met.agg(
+        F.count(F.lit(1)).alias("with_ground_truth"), F.avg(hit).alias("top1"), F.avg(any_within(top_k, radius_km)).alias("topk"), F.avg("km").alias("top1_mean_km"), (100 * F.avg(any_within(5, 25.0))).alias("top5_within_25km_pct"),
+        (100 * F.avg(F.col("tier").eqNullSafe("high").cast("double"))).alias("high_confidence_coverage_pct"), F.avg(F.when(F.col("tier") == "high", hit)).alias("high_confidence_top1"),
+        (100 * F.avg(F.coalesce(rated, F.lit(False)).cast("double"))).alias("medium_or_higher_coverage_pct"), F.avg(F.when(rated, hit)).alias("medium_or_higher_top1"), *(F.count_if(bucket == b).alias(n) for b, n in names.items()),
+    )
+    whole = assessed.agg(F.count(F.lit(1)).alias("total"))
+    seen = some.agg(F.avg("support").alias("avg_top1_cross_source_support"), F.avg("radius_m").alias("avg_uncertainty_radius_m"))
+    middle = order_statistics(met, [], "km", {"top1_median_km": F.floor(F.col("n") / 2)}).select("top1_median_km")
+    score = F.get("candidates", F.lit(0))["score"]
+    conf = F.when(F.isnan(score), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+    calibration = calibration_report(met.select(conf.alias("conf"), hit.alias("hit")), bins).drop("n")
+    out = whole
+    for one in (row, seen, middle, calibration):  # one row each
+        out = out.join(one, F.lit(True), "left")
+    return out
+
+
+def provider_report(rows: DataFrame) -> DataFrame:
+    """Per (model, error; null where none): rows, and mean, least and largest score of those without an error."""
+    return rows.groupBy("model", "error").agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("n_scored"), F.avg("score").alias("mean_score"), F.min("score").alias("min_score"), F.max("score").alias("max_score"))
+
+
+def promoted(runs: DataFrame, run: str, profile: str, baseline: DataFrame | None = None) -> DataFrame:
+    """The baseline (profile, scenario, value, run) with the values of a chosen run in place of that profile's old ones."""
+    fresh = runs.where(F.col("run") == run).select(F.lit(profile).alias("profile"), "scenario", "value", "run")
+    return fresh if baseline is None else baseline.where(F.col("profile") != profile).select(*fresh.columns).unionByName(fresh)
+
+
+def best_round(rounds: DataFrame, objective: str, higher: bool) -> DataFrame:
+    """The round (columns round, mean_km, within_2km_pct and the objective) that no later one improves: by the objective;
+    on ties by mean_km if higher is better, else by the share within 2 km; then the first."""
+    aim = F.col(objective).desc_nulls_last() if higher else F.col(objective).asc_nulls_last()
+    ties = F.col("mean_km").asc_nulls_last() if higher else F.coalesce("within_2km_pct", F.lit(0.0)).desc()
+    return rounds.orderBy(aim, ties, "round").limit(1)

@@ -11,9 +11,9 @@ def distance_target(km: str, sigma_km: float) -> Column:
     return F.exp(-0.5 * F.pow(F.col(km) / sigma_km, F.lit(2)))
 
 
-def ridge(rows: DataFrame, features: list[str], target: str, strength: float = 1.0) -> DataFrame:
-    """feature, weight (and the intercept, which is not shrunk): the products of all columns are summed by Spark in one
-    pass, and the small system is solved on the driver."""
+def sums_of_products(rows: DataFrame, features: list[str], target: str, strength: float) -> list[float]:
+    """The weights of the features and, last, the intercept (which is not shrunk): the products of all columns are summed
+    by Spark in one pass, and the small system is solved on the driver."""
     names = [*features, "1"]
     column = lambda n: F.lit(1.0) if n == "1" else F.col(n).cast("double")
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
@@ -22,8 +22,13 @@ def ridge(rows: DataFrame, features: list[str], target: str, strength: float = 1
     for i, j in pairs:
         a[i, j] = a[j, i] = sums[f"p{i}_{j}"] or 0.0
     shrink = np.diag([strength] * len(features) + [1e-12])
-    weights = np.linalg.solve(a + shrink, np.array([sums[f"t{i}"] or 0.0 for i in range(len(names))]))
-    return rows.sparkSession.createDataFrame([(n if n != "1" else "intercept", float(w)) for n, w in zip(names, weights, strict=True)], "feature string, weight double")
+    return np.linalg.solve(a + shrink, np.array([sums[f"t{i}"] or 0.0 for i in range(len(names))])).tolist()
+
+
+def ridge(rows: DataFrame, features: list[str], target: str, strength: float = 1.0) -> DataFrame:
+    """feature, weight, and the intercept."""
+    weights = sums_of_products(rows, features, target, strength)
+    return rows.sparkSession.createDataFrame(list(zip([*features, "intercept"], weights, strict=True)), "feature string, weight double")
 
 
 def applied(rows: DataFrame, model: DataFrame, features: list[str]) -> DataFrame:

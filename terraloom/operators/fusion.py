@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import ellipse, haversine_km, longitude_offset, wrap_longitude
-from ..functions.scores import by_group, calibrated, scaled_by_peak, scaled_log_odds, softmax, source_family, unit_by_logistic, zscore_logistic
+from ..functions.scores import by_group, calibrated, minmax, rank_decay, scaled_by_peak, scaled_log_odds, softmax, source_family, unit_by_logistic, zscore_logistic
 from ..sources.stage import written
+from .rerank import LinearModel, candidate_features, scored_by_model
 from .retrieval import Q, pairs
 
 
 @dataclass(frozen=True)
 class Knobs:
     temperature: float = 0.2
-    normalise: bool = False
+    #: none, zscore, minmax or rank, within a source family.
+    normalise: str = "none"
     prior_retrieval: float = 1.0
     prior_geoclip: float = 1.0
     prior_exif: float = 1.0
@@ -36,15 +38,23 @@ class Knobs:
     credible_mass: float = 0.9
     min_credible: int = 2
     top_k: int = 5
-
-
-def normalised_scores(c: DataFrame, on: bool) -> DataFrame:
-    """``norm`` and ``family``: z-score logistic within each source family of two rows or more."""
+    #: A linear model of candidates whose likelihood counts with this power.
+    reranker: LinearModel | None = None
+    reranker_weight: float = 0.0
+    #: The densest ball of this radius stands for the credible set, if it has the mass.
+    cluster_radius_km: float = 0.0
+    cluster_least_mass: float = 0.35
+    #: Least cross-source support and largest radius in metres of the high and of the medium tier.
+    high_cap: tuple[float, float] | None = None
+    medium_cap: tuple[float, float] = (0.10, 800_000.0)
+
+
+def normalised_scores(c: DataFrame, mode: str = "none") -> DataFrame:
+    """``norm`` and ``family``: z-score logistic, min-max or decay by rank within each source family of two rows or more."""
     c = c.withColumn("family", source_family("match_id"))
-    if not on:
-        return c.withColumn("norm", F.col("score"))
     keys = [*Q, "family"]
-    return c.withColumn("norm", F.when(F.count(F.lit(1)).over(by_group(keys)) < 2, F.col("score")).otherwise(zscore_logistic("score", keys)))
+    value = {"none": F.col("score"), "zscore": zscore_logistic("score", keys), "minmax": minmax("score", keys), "rank": rank_decay("score", keys, [F.col("item_id")])}[mode]
+    return c.withColumn("norm", F.when(F.count(F.lit(1)).over(by_group(keys)) < 2, F.col("score")).otherwise(value))
 
 
 def with_priors(c: DataFrame) -> DataFrame:
@@ -116,6 +126,10 @@ def posterior(c: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
     c = spatial_and_cross_support(normalised_scores(c, knobs.normalise), knobs)
     log = lambda x: F.log(F.greatest(x, F.lit(1e-12)))
     logit = scaled_log_odds(F.col("norm"), knobs.temperature) + log(source_prior(knobs)) + max(knobs.spatial_weight_floor, knobs.spatial_weight) * log(F.col("spatial")) + max(0.0, knobs.cross_weight) * log(F.col("cross"))
+    if knobs.reranker and knobs.reranker_weight > 0:
+        likes = scored_by_model(candidate_features(c), knobs.reranker).select(*Q, "item_id", "rerank")
+        c = c.join(likes, [*Q, "item_id"])
+        logit = logit + knobs.reranker_weight * log(F.col("rerank"))
     c = c.withColumn("logit", logit).withColumn("w", softmax("logit", Q))
     if knobs.plausibility_weight > 0:
         c = reweighted(plausibility(c, knobs.plausibility_radius_km), "plausible", knobs.plausibility_weight)
@@ -167,10 +181,20 @@ def weighted_position(c: DataFrame) -> DataFrame:
     return cov.withColumn("e", ellipse("cxx", "cxy", "cyy")).select(*Q, "mean_lat", "mean_lon", "set_size", F.col("e.major_m").alias("major_m"), F.col("e.minor_m").alias("minor_m"), F.col("e.orientation_deg").alias("orientation_deg"))
 
 
+def fused(weighed: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
+    """One row per query from its weighed candidates: position, ellipse, diagnostics."""
+    credible = credible_set(weighed, knobs)
+    if knobs.cluster_radius_km > 0:
+        credible = densest_cluster(credible, knobs.cluster_radius_km, knobs.cluster_least_mass)
+    out = weighted_position(credible).join(diagnostics(weighed, knobs), Q)
+    if knobs.high_cap:
+        support = weighed.groupBy(*Q).agg(F.max_by("cross", F.struct(F.round("w", 9), -F.col("item_id"))).alias("top1_cross_support"))
+        out = out.join(support, Q).withColumn("tier", capped_tier("tier", "top1_cross_support", "major_m", knobs.high_cap, knobs.medium_cap))
+    return out
+
+
 def fuse(c: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
-    """One row per query: position, ellipse, diagnostics."""
-    weighed = written(posterior(c, knobs), "posterior")
-    return weighted_position(credible_set(weighed, knobs)).join(diagnostics(weighed, knobs), Q)
+    return fused(written(posterior(c, knobs), "posterior"), knobs)
 
 
 def densest_cluster(credible: DataFrame, radius_km: float, min_weight: float, min_size: int = 1) -> DataFrame:

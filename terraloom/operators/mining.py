@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import haversine_km
 from ..functions.scores import by_group
+from ..sources.stage import written
 from .retrieval import Q
+from .spatial import first_by_key, radius_pairs
 
 
 def triplet_items(e: DataFrame, positive_km: float, near_km: float, far_km: float, n: int) -> DataFrame:
@@ -66,3 +71,113 @@ def severity_weights(items: DataFrame, cap: float, power: float) -> DataFrame:
     mean = per.agg(F.avg("s").alias("mean"))
     share = F.when(F.col("mean") > 0, F.col("s") / F.col("mean")).otherwise(F.lit(1.0))
     return per.crossJoin(F.broadcast(mean)).select(*Q, F.pow(F.least(F.lit(cap), share), F.lit(power)).alias("weight"))
+
+
+def _listed(rows: DataFrame, keys: list[str], name: str, fields: list[str], at: str = "at") -> DataFrame:
+    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), *fields))).alias("_l"))
+    return packed.select(*keys, F.transform("_l", lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias(name))
+
+
+def _place(rows: DataFrame, keys: list[str], order: list[Column]) -> Column:
+    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+
+
+def failure_triplets(failures: DataFrame, references: DataFrame, min_error_km: float = 2.0, positive_km: float = 0.35, predicted_km: float = 2.0, least_km: float = 2.0, most_km: float = 25.0, max_positives: int = 3, max_negatives: int = 10, reference_km: float = 10.0, max_weight: float = 3.0) -> DataFrame:
+    """Triplets of failed queries (query_path, scene, lat, lon, pred_lat, pred_lon, km) among references (path, scene, lat,
+    lon): positives near the true place; negatives near the wrong prediction, then in a ring around the true place. One
+    reference per scene, none of the query's scene or a positive's. Each list is cut after its scenes are settled, by
+    distance; joins are by cells, and what is gathered is the lists."""
+    key = ["query_path"]
+    failed = failures.where(F.col("km").isNull() | (F.col("km") >= min_error_km))
+    asked = failed.select("query_path", F.col("scene").alias("q_scene"), "lat", "lon")
+    refs = references.select("path", "scene", "lat", "lon")
+    other = (F.col("path") != F.col("query_path")) & ~F.col("scene").eqNullSafe(F.col("q_scene"))
+
+    def one_per_scene(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
+        first = rows.withColumn("_n", _place(rows, [*key, "scene"], order)).where("_n = 1").drop("_n")
+        return first.withColumn("at", _place(first, key, order)).where(F.col("at") <= most)
+
+    by_truth = [F.round("distance_to_gt_km", 9), F.col("path")]
+    near = radius_pairs(asked, refs, positive_km).where(other).withColumnRenamed("km", "distance_to_gt_km")
+    positives = written(one_per_scene(near, by_truth, max_positives).select(*key, "at", "path", "scene", "distance_to_gt_km"), "positives")
+    going = asked.join(positives.select(*key).distinct(), key, "left_semi")
+    wrong = failed.where("pred_lat is not null and pred_lon is not null").join(going.select(*key), key, "left_semi")
+    wrong = wrong.select(*key, F.col("scene").alias("q_scene"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), F.col("pred_lat").alias("lat"), F.col("pred_lon").alias("lon"))
+    truly = haversine_km("t_lat", "t_lon", "r_lat", "r_lon")
+    first = radius_pairs(wrong, refs, predicted_km).where(other).withColumn("distance_to_gt_km", truly).where(F.col("distance_to_gt_km") >= least_km)
+    first = first.select(*key, "path", "scene", "distance_to_gt_km", F.col("km").alias("distance_to_pred_km"), F.lit("pred_neighborhood").alias("source"))
+    ring = radius_pairs(going, refs, most_km).where(other & (F.col("km") >= least_km))
+    ring = ring.select(*key, "path", "scene", F.col("km").alias("distance_to_gt_km"), F.lit(None).cast("double").alias("distance_to_pred_km"), F.lit("gt_ring").alias("source"))
+    pool = first.unionByName(ring).join(positives.select(*key, "scene"), [*key, "scene"], "left_anti")
+    order = [F.col("source") == "gt_ring", F.round(F.coalesce("distance_to_pred_km", "distance_to_gt_km"), 9), F.col("path")]
+    negatives = one_per_scene(pool, order, max_negatives)
+    lists = _listed(positives, key, "positives", ["path", "distance_to_gt_km"]).join(_listed(negatives, key, "hard_negatives", ["path", "distance_to_gt_km", "distance_to_pred_km", "source"]), key)
+    severity = F.log1p(F.greatest(F.lit(0.0), F.coalesce("km", F.lit(0.0)))) / math.log1p(max(0.1, reference_km))
+    mixed = 0.5 * F.size(F.filter("hard_negatives", lambda x: x["source"] == "pred_neighborhood")) / F.size("hard_negatives")
+    weight = F.least(F.lit(max(1.0, max_weight)), F.greatest(F.lit(1.0), 1 + severity + mixed))
+    return lists.join(failed.select(*key, "lat", "lon", "pred_lat", "pred_lon", "km"), key).withColumn("triplet_weight", weight)
+
+
+def crossview_triplets(pairs: DataFrame, aerials: DataFrame, positive_km: float, least_km: float, most_km: float, max_positives: int, max_negatives: int) -> DataFrame:
+    """Triplets of street images (query_id, lat, lon, aerial_id) among aerial images (aerial_id, lat, lon): the paired image
+    first, then near ones; negatives from a ring, nearest first, that are no positives. Queries without either are left out."""
+    key, by_km = ["query_id"], [F.round("km", 9), F.col("aerial_id")]
+    paired = pairs.select("query_id", "lat", "lon", "aerial_id").join(aerials.select("aerial_id", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")), "aerial_id")
+    exact = paired.select("query_id", "aerial_id", haversine_km("lat", "lon", "r_lat", "r_lon").alias("km"), F.lit(0).alias("late"))
+    near = radius_pairs(pairs.select("query_id", "lat", "lon"), aerials, positive_km).select("query_id", "aerial_id", "km").join(exact.select("query_id", "aerial_id"), ["query_id", "aerial_id"], "left_anti").withColumn("late", F.lit(1))
+    both = exact.unionByName(near)
+    placed = both.withColumn("at", _place(both, key, [F.col("late"), *by_km])).where(F.col("at") <= F.greatest(F.lit(1), F.lit(max_positives)))
+    placed = written(placed.select("query_id", "at", "aerial_id", "km"), "positives")
+    ring = radius_pairs(pairs.select("query_id", "lat", "lon"), aerials, most_km).where(F.col("km") >= least_km).select("query_id", "aerial_id", "km").join(placed.select("query_id", "aerial_id"), ["query_id", "aerial_id"], "left_anti")
+    negatives = ring.withColumn("at", _place(ring, key, by_km)).where(F.col("at") <= max(1, max_negatives))
+    return _listed(placed, key, "positives", ["aerial_id", "km"]).join(_listed(negatives, key, "hard_negatives", ["aerial_id", "km"]), key)
+
+
+def quota_sample(candidates: DataFrame, per_cell: int, per_sequence: int, order: list[Column], most: int | None = None) -> DataFrame:
+    """Of candidates (cell, image_id, sequence, ...; the cells in their order) the best by ``order`` in each cell, one of a
+    sequence per cell and ``per_sequence`` of it in all, an image once; the first ``most`` by cell and order. What a cell
+    may take of a sequence depends on the cells before it: all cells choose given what those before them chose in the
+    last round, until a round changes nothing. The first cell is right after one round, and each round settles one more at
+    least; in practice few cells depend on each other."""
+    once = first_by_key(candidates, ["image_id"], [F.col("cell"), *order])
+    pool = written(once.withColumn("_k", F.row_number().over(Window.partitionBy("cell").orderBy(*order, "image_id"))), "pool")
+    taken, before = None, None
+    while True:
+        rows = pool
+        if taken is not None:
+            counts = taken.where("sequence is not null").groupBy("sequence", "cell").agg(F.count(F.lit(1)).alias("_c"))
+            asked = pool.where("sequence is not null").select("sequence", "cell").distinct().join(counts, ["sequence", "cell"], "left")
+            earlier = F.coalesce(F.sum("_c").over(Window.partitionBy("sequence").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            rows = pool.join(asked.select("sequence", "cell", earlier.alias("_e")), ["sequence", "cell"], "left").where(F.coalesce(F.col("_e") < max(1, per_sequence), F.lit(True))).drop("_e")
+        first = rows.withColumn("_s", F.when(F.col("sequence").isNotNull(), F.row_number().over(Window.partitionBy("cell", "sequence").orderBy("_k")))).where("_s is null or _s = 1").drop("_s")
+        taken = written(first.withColumn("_t", F.row_number().over(Window.partitionBy("cell").orderBy("_k"))).where(F.col("_t") <= per_cell).drop("_t"), "taken")
+        now = taken.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("cell", "image_id").cast("decimal(20,0)")).alias("s")).first()
+        if now == before:
+            break
+        before = now
+    if most is None:
+        return taken.drop("_k")
+    sizes = taken.groupBy("cell").agg(F.count(F.lit(1)).alias("_c"))
+    start = sizes.select("cell", F.coalesce(F.sum("_c").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    at = F.col("_b") + F.row_number().over(Window.partitionBy("cell").orderBy("_k"))
+    return taken.join(start, "cell").withColumn("_at", at).where(F.col("_at") <= most).drop("_k", "_b", "_at")
+
+
+def merged_once(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Walks the rows in order and takes one if none of its ``keys`` was taken before; rows without a key are left out. A
+    row that comes first among what is left for each of its keys is taken; then all rows that share a key with a taken
+    one go. Each round takes the first row that is left at least."""
+    ok = rows
+    for k in keys:
+        ok = ok.where(F.col(k).isNotNull() & (F.trim(F.col(k).cast("string")) != ""))
+    left, out = written(ok, "left"), None
+    while not left.isEmpty():
+        marked = left
+        for i, k in enumerate(keys):
+            marked = marked.withColumn(f"_n{i}", F.row_number().over(Window.partitionBy(k).orderBy(*order)))
+        taken = written(marked.where(" and ".join(f"_n{i} = 1" for i in range(len(keys)))).drop(*(f"_n{i}" for i in range(len(keys)))), "taken")
+        out = taken if out is None else out.unionByName(taken)
+        for k in keys:
+            left = left.join(taken.select(k), k, "left_anti")
+        left = written(left.select(*rows.columns), "left")
+    return ok.limit(0) if out is None else out

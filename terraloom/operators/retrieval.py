@@ -16,59 +16,89 @@ from pyspark.sql import functions as F
 from ..functions.geo import box_distance_km, haversine_km
 from ..functions.scores import by_group, minmax, rank_decay, scaled_by_peak, unit_by_shift, zscore_logistic
 
-#: Bytes of query vectors that one pass over the index carries to every task.
-QUERY_BYTES = 64 << 20
+#: Bytes of vectors, as doubles, in one block of queries or of index rows.
+BLOCK_BYTES = 32 << 20
+#: Rows of a block that are multiplied at a time, so that a tile of scores has a bounded size.
+TILE = 2048
 Q = ["query_id"]
 
 
+def _blocks(df: DataFrame) -> int:
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    return max(1, -(-row["n"] * 8 * max(row["dim"] or 1, 1) // BLOCK_BYTES))
+
+
+def _cut(row: np.ndarray, score: np.ndarray, item: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best k of each row by rounded score, then item."""
+    order = np.lexsort((item, -np.round(score, 9), row))
+    row, score, item = row[order], score[order], item[order]
+    first = np.append(0, np.flatnonzero(np.diff(row)) + 1) if len(row) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(first, len(row)))
+    keep = np.arange(len(row)) - np.repeat(first, sizes) < k
+    return row[keep], score[keep], item[keep]
+
+
+def _best_of_blocks(index: pd.DataFrame, queries: pd.DataFrame, k: int, reduce: str) -> Iterator[tuple]:
+    """(query ids, source, item ids, scores) of a block of queries against a block of the index, tile by tile."""
+    queries = queries.sort_values("query_id", kind="stable")
+    ids, at = np.unique(queries["query_id"].to_numpy(), return_index=True)
+    matrix = np.array(queries["embedding"].tolist(), np.float64)
+    ends = np.append(at[1:], len(matrix))
+    for source, part in index.groupby("source", sort=False):
+        items, vectors = part["item_id"].to_numpy(), np.array(part["embedding"].tolist(), np.float64)
+        for q in range(0, len(ids), TILE):
+            own = ids[q : q + TILE]
+            a, b = at[q], ends[min(q + TILE, len(ids)) - 1]
+            row, score, item = np.zeros(0, np.int64), np.zeros(0), items[:0]
+            for i in range(0, len(items), TILE):
+                tile = matrix[a:b] @ vectors[i : i + TILE].T
+                if b - a > len(own):  # several views of a query
+                    tile = np.array([getattr(np, reduce)(tile[x - a : y - a], axis=0) for x, y in zip(at[q : q + TILE], ends[q : q + TILE], strict=True)])
+                tile[own[:, None] == items[None, i : i + TILE]] = -np.inf  # not itself
+                rounded, width = np.round(tile, 9), tile.shape[1]
+                least = np.partition(rounded, width - k, axis=1)[:, width - k, None] if width > k else np.full((len(own), 1), -np.inf)
+                r, c = np.nonzero((rounded >= least) & np.isfinite(tile))
+                row, score, item = _cut(np.append(row, r), np.append(score, tile[r, c]), np.append(item, items[i : i + TILE][c]), k)
+            yield own[row], source, item, score
+
+
 def similarity_topk(index: DataFrame, queries: DataFrame, k: int, reduce: str = "mean") -> DataFrame:
     """query_id, source, item_id, score, rk: for every query and source the k items of the largest dot product. A query
     of several rows has as many views; an item's score is the mean, median or max over them.
 
-    The query set is carried to the index in blocks of bounded size; a task multiplies each batch of the index with the
-    block and keeps the best k per query and source, so that what is shuffled is k rows per task, query and source.
+    Queries and index rows are dealt by hashes into blocks of bounded bytes, and every pair of blocks is one group of a
+    grid: a task multiplies the two blocks and keeps the best k per query and source. So neither side passes the driver or
+    is sent whole to any task; an index row travels once per block of queries, and k rows per query, source and block
+    come back.
     """
-    out = None
-    block, size = [], 0
-    spark = index.sparkSession
-
-    def search(rows: list[tuple[int, list[float]]]) -> DataFrame:
-        ids = np.array(list(dict.fromkeys(r[0] for r in rows)), np.int64)
-        views = [np.array([r[1] for r in rows if r[0] == i], np.float64) for i in ids] if len(ids) < len(rows) else None
-        shared = spark.sparkContext.broadcast((ids, np.array([r[1] for r in rows], np.float64) if views is None else views))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            query_ids, matrix = shared.value
-            best: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # source -> scores and items, (queries, up to k)
-            for pdf in batches:
-                for source, part in pdf.groupby("source", sort=False):
-                    items = part["item_id"].to_numpy()
-                    vectors = np.array(part["embedding"].tolist(), np.float64).T
-                    scores = matrix @ vectors if isinstance(matrix, np.ndarray) else np.array([getattr(np, reduce)(view @ vectors, axis=0) for view in matrix])
-                    scores = np.where(query_ids[:, None] == items[None, :], -np.inf, scores)  # not itself
-                    items = np.broadcast_to(items, scores.shape)
-                    if source in best:
-                        scores, items = np.hstack([best[source][0], scores]), np.hstack([best[source][1], items])
-                    order = np.lexsort((items, -np.round(scores, 9)), axis=1)[:, :k]
-                    best[source] = np.take_along_axis(scores, order, 1), np.take_along_axis(items, order, 1)
-            for source, (scores, items) in best.items():
-                n, m = scores.shape
-                found = pd.DataFrame({"query_id": np.repeat(query_ids, m), "source": source, "item_id": items.ravel(), "score": scores.ravel()})
-                yield found[np.isfinite(found["score"])]
-
-        return index.select("item_id", "source", "embedding").mapInPandas(run, "query_id long, source string, item_id long, score double")
-
-    for r in queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator():
-        if size >= QUERY_BYTES and block[-1][0] != r["query_id"]:  # a query's views stay in one block
-            out, block, size = (search(block) if out is None else out.unionByName(search(block))), [], 0
-        block.append((r["query_id"], r["embedding"]))
-        size += 8 * len(r["embedding"])
-    if block or out is None:
-        out = search(block) if out is None else out.unionByName(search(block))
+    n_query, n_index = _blocks(queries), _blocks(index)
+    n_index = max(n_index, -(-index.sparkSession.sparkContext.defaultParallelism // n_query))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    items = index.select("item_id", "source", "embedding", block("item_id", n_index).alias("ib"), all_of(n_query).alias("qb"))
+    asked = queries.select("query_id", "embedding", block("query_id", n_query).alias("qb"), all_of(n_index).alias("ib"))
+
+    def search(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        found = [] if mine.empty or theirs.empty else list(_best_of_blocks(mine, theirs, k, reduce))
+        return pd.DataFrame({
+            "query_id": np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)]),
+            "source": np.repeat([f[1] for f in found], [len(f[0]) for f in found]) if found else np.zeros(0, object),
+            "item_id": np.concatenate([f[2] for f in found] or [np.zeros(0, np.int64)]),
+            "score": np.concatenate([f[3] for f in found] or [np.zeros(0)]),
+        })
+
+    out = items.groupBy("ib", "qb").cogroup(asked.groupBy("ib", "qb")).applyInPandas(search, "query_id long, source string, item_id long, score double")
     w = Window.partitionBy("query_id", "source").orderBy(F.round("score", 9).desc(), "item_id")
     return out.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 
+def views_by_rank(scores: DataFrame, k: float = 60.0) -> DataFrame:
+    """From (query_id, view, item_id, score) the items' sums of 1 / (k + rank in the view), min-max scaled per query."""
+    w = Window.partitionBy(*Q, "view").orderBy(F.round("score", 9).desc(), "item_id")
+    summed = scores.withColumn("_r", F.row_number().over(w)).groupBy(*Q, "item_id").agg(F.sum(1 / (k + F.col("_r"))).alias("rrf"))
+    return summed.withColumn("score", minmax("rrf", Q))
+
+
 def best_first(score: str = "score") -> list[Column]:
     return [F.round(score, 9).desc(), F.col("item_id")]
 
@@ -151,13 +181,14 @@ def rerank_by_graph(c: DataFrame, top_n: int, sigma_km: float = 3.0, score_alpha
 
 
 def balanced_by_source(c: DataFrame, top_k: int, beta: float) -> DataFrame:
-    """Repeatedly the largest score / (1 + beta * rows taken of its source). Within a source the order is by score, so the
-    n-th row of a source is always weighed with n - 1 taken: one window gives the greedy result for scores >= 0."""
-    place = F.row_number().over(Window.partitionBy(*Q, "source").orderBy(*best_first())) - 1
-    out = c.withColumn("balanced", F.col("score") / (1 + beta * place))
-    # a later row of a source never passes an earlier one, because its score is smaller and its divisor larger
-    w = by_group(Q).orderBy(F.round("balanced", 9).desc(), F.round("score", 9).desc(), "item_id")
-    return out.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= top_k).drop("_at")
+    """Repeatedly the largest score / (1 + beta * rows taken of its source). Within a source the order is by score, and the
+    n-th row is always weighed with n - 1 taken. Of scores below 0 a later row may weigh more than an earlier one; it still
+    waits for that, and follows it at once. So the place of a row is that of the least weight up to it in its source."""
+    by_score = Window.partitionBy(*Q, "source").orderBy(*best_first())
+    out = c.withColumn("_n", F.row_number().over(by_score) - 1).withColumn("balanced", F.col("score") / (1 + beta * F.col("_n")))
+    out = out.withColumn("_least", F.min(F.round("balanced", 9)).over(by_score.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    w = by_group(Q).orderBy(F.col("_least").desc(), F.round("score", 9).desc(), "item_id")
+    return out.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= top_k).drop("_at", "_n", "_least")
 
 
 def rank_features(c: DataFrame) -> DataFrame:
@@ -212,3 +243,14 @@ def temporal_support(now: DataFrame, before: DataFrame, sigma_km: float) -> Data
     b = before.select("key", F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), "w")
     near = now.join(b, "key").withColumn("km", haversine_km("lat", "lon", "o_lat", "o_lon"))
     return near.groupBy("key", "item_id").agg(F.sum(F.col("w") * F.exp(-0.5 * F.pow(F.col("km") / sigma_km, F.lit(2)))).alias("support"))
+
+
+def local_matches(pairs: DataFrame, own: DataFrame, theirs: DataFrame, ratio: float) -> DataFrame:
+    """From pairs (query_id, item_id), descriptors of queries (query_id, q_part, qv) and of items (item_id, part, v): per
+    pair the query's descriptors, and those whose nearest one in the item is nearer than ``ratio`` times the second. What is
+    gathered is the distances of one descriptor to those of one image."""
+    d2 = F.aggregate(F.zip_with("qv", "v", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    far = pairs.join(own, "query_id").join(theirs, "item_id").select("query_id", "item_id", "q_part", F.sqrt(d2).alias("d"))
+    two = far.groupBy("query_id", "item_id", "q_part").agg(F.slice(F.array_sort(F.collect_list("d")), 1, 2).alias("n"))
+    good = (F.size("n") == 2) & (F.get("n", F.lit(0)) < ratio * F.get("n", F.lit(1)))
+    return two.groupBy("query_id", "item_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("n_good"))

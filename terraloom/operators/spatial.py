@@ -51,14 +51,27 @@ def heading_order(a: str = "heading_deg", b: str = "r_heading_deg") -> Column:
     return F.coalesce(angle_between(a, b), F.lit(180.0))
 
 
-def covering_scene(points: DataFrame, scenes: DataFrame, key: str, cell_deg: float = 0.01) -> DataFrame:
-    """For each point the scene of the finest resolution whose box holds it, then the smallest id. Scenes go to every cell
-    that they touch."""
-    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell_deg).cast("long"), F.floor(F.col(b) / cell_deg).cast("long")))
-    dealt = scenes.withColumn("cy", span("south", "north")).withColumn("cx", span("west", "east"))
-    y, x = grid_cell("lat", "lon", cell_deg)
+#: Cell sizes for boxes: level 0 has cells of this many degrees, each level twice as wide ones as the level before.
+BOX_CELL_DEG = 0.01
+BOX_LEVELS = 17
+
+
+def covering_scene(points: DataFrame, scenes: DataFrame, key: str) -> DataFrame:
+    """For each point the scene of the finest resolution whose box holds it, then the smallest id. A scene is dealt on the
+    level whose cells are as wide as its box at least, so that it touches four cells at most, whatever its size; a point
+    looks on every level that any scene is on."""
+    cell = lambda level: F.lit(BOX_CELL_DEG) * F.pow(F.lit(2.0), level)
+    wide = F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west"))
+    level = F.greatest(F.lit(0), F.least(F.lit(BOX_LEVELS - 1), F.ceil(F.log2(F.greatest(wide, F.lit(1e-12)) / BOX_CELL_DEG)))).cast("int")
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell(F.col("level"))).cast("long"), F.floor(F.col(b) / cell(F.col("level"))).cast("long")))
+    dealt = scenes.withColumn("level", level).withColumn("cy", span("south", "north")).withColumn("cx", span("west", "east"))
+    used = [r["level"] for r in scenes.select(level.alias("level")).distinct().collect()]  # of BOX_LEVELS at most
+    if not used:
+        return points.select(key, F.lit(None).cast("double").alias("resolution_m"), F.lit(None).cast("long").alias("scene_id"), F.lit("no_open_aerial_found").alias("status"))
+    looked = points.withColumn("level", F.explode(F.array(*(F.lit(x) for x in used))))
+    at = lambda c: F.floor(F.col(c) / cell(F.col("level"))).cast("long")
     inside = F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))
-    met = points.withColumns({"cy": y, "cx": x}).join(dealt, ["cy", "cx"]).where(inside)
+    met = looked.withColumns({"cy": at("lat"), "cx": at("lon")}).join(dealt, ["level", "cy", "cx"]).where(inside)
     best = met.groupBy(key).agg(F.min(F.struct("resolution_m", "scene_id")).alias("b")).select(key, "b.resolution_m", "b.scene_id")
     return points.select(key).join(best, key, "left").withColumn("status", F.when(F.col("scene_id").isNull(), "no_open_aerial_found").otherwise("ok"))
 
@@ -127,9 +140,10 @@ def filter_detections(d: DataFrame, min_confidence: float = 0.25, min_area: floa
 
 
 def detection_summary(d: DataFrame, top_k: int = 3) -> DataFrame:
-    """Per image: detections and the mean confidence of the best ``top_k``."""
-    best = d.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_list("confidence"), asc=False), 1, top_k).alias("c"))
-    return best.select("image_id", "n", (F.aggregate("c", F.lit(0.0), lambda a, x: a + x) / F.size("c")).alias("score"))
+    """Per image: detections and the mean confidence of the best ``top_k``; tasks pass on an image's best few only."""
+    best = d.withColumn("_at", F.row_number().over(Window.partitionBy("image_id").orderBy(F.col("confidence").desc_nulls_last()))).where(F.col("_at") <= top_k)
+    scores = best.groupBy("image_id").agg(F.avg("confidence").alias("score"))
+    return d.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).join(scores, "image_id", "left")
 
 
 def valid_candidates(c: DataFrame, min_score: float = 0.001) -> DataFrame:

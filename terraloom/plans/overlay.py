@@ -29,12 +29,28 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("grp"), *_place("vec_id"), "embedding")
 
 
+#: Candidate lists of the query that is being planned: one search serves all its parts.
+_LISTS: dict[tuple[str, int], DataFrame] = {}
+
+
+def planned(query, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query's plan; what it searches for is searched once, and not kept for the next query."""
+    _LISTS.clear()
+    try:
+        return query(spark, sf_dir)
+    finally:
+        _LISTS.clear()
+
+
 def candidates(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """query_id, source, item_id, lat, lon, score, match_id, rk: the best k other items of each source."""
+    if (sf_dir, k) in _LISTS:
+        return _LISTS[sf_dir, k]
     index, q = geo_index(spark, sf_dir), queries(spark, sf_dir)
     best = similarity_topk(index, q, k).join(index.select("item_id", "lat", "lon"), "item_id")
     # Written out: the lists are small beside the index, and what follows uses them several times.
-    return written(best.withColumn("match_id", F.concat(F.lit("retrieval:"), "source", F.lit(":"), "item_id")), "candidates")
+    _LISTS[sf_dir, k] = written(best.withColumn("match_id", F.concat(F.lit("retrieval:"), "source", F.lit(":"), "item_id")), "candidates")
+    return _LISTS[sf_dir, k]
 
 
 def street_points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,7 +85,7 @@ def r_(expr: str, name: str) -> str:
 
 
 def add(name: str, query: Query, sql: str | None) -> None:
-    QUERIES[name] = lambda s, d: rounded(query(s, d))
+    QUERIES[name] = lambda s, d: rounded(o.planned(query, s, d))
     if sql:
         SQL[name] = sql
 
@@ -116,12 +116,13 @@ add("p03_geo_prior_soft", lambda s, d: retrieval.geo_prior(o.candidates(s, d), B
 add("p03_geo_prior_hard", lambda s, d: retrieval.geo_prior(o.candidates(s, d), BOX, True, min_keep=12).select("query_id", "item_id", "adjusted"), with_("cand", f"SELECT query_id, item_id, {r_('greatest(1e-6, least(1, adj))', 'adjusted')} FROM (SELECT *, sum((box_km <= 1e-6)::INT) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id, box_km <= 1e-6 ORDER BY round(adj,9) DESC, item_id) AS at_ FROM {_ADJ}) WHERE box_km <= 1e-6 OR at_ <= 12 - n"))
 add("g13_locality_rerank", lambda s, d: retrieval.rerank_by_locality(o.candidates(s, d), 3.0, 0.7), with_("pr", f"SELECT query_id, item_id, {r_('greatest(1e-6, least(1, u*((1-0.7e0/1.7e0)+0.7e0/1.7e0*greatest(1e-3, least(1, s/max(s) OVER (PARTITION BY query_id))))))', 'local_score')} FROM (SELECT query_id, item_id, any_value({SHIFT.format('score')}) AS u, greatest(1e-9, sum(CASE WHEN item_id <> o_item THEN {SHIFT.format('o_score')}*exp(-km/3e0) ELSE 0 END)) AS s FROM pr GROUP BY query_id, item_id)"))
 add("g12_graph_rerank", lambda s, d: retrieval.rerank_by_graph(o.candidates(s, d), 15), with_("rnk", f"SELECT query_id, item_id, {r_('greatest(1e-6, least(1, raw/max(raw) OVER (PARTITION BY query_id)))', 'graph_score')} FROM (SELECT a.query_id, a.item_id, pow(greatest(1e-9, any_value({SHIFT.format('a.score')})), 0.4e0)*greatest(1e-9, sum(greatest(1e-9,{SHIFT.format('b.score')})*exp(-pow({hav('a.lat', 'a.lon', 'b.lat', 'b.lon')},2)*0.5/9e0))) AS raw FROM rnk a JOIN rnk b USING (query_id) WHERE a.rank <= 15 AND b.rank <= 15 GROUP BY a.query_id, a.item_id) UNION ALL SELECT query_id, item_id, round(score,6) FROM rnk WHERE rank > 15"))
-add("g01_source_balance", lambda s, d: retrieval.balanced_by_source(o.candidates(s, d), 10, 0.3).select("query_id", "item_id", "balanced"), with_("cand", f"SELECT query_id, item_id, {r_('b', 'balanced')} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(b,9) DESC, round(score,9) DESC, item_id) AS at_ FROM (SELECT *, score/(1+0.3e0*(row_number() OVER (PARTITION BY query_id, source ORDER BY round(score,9) DESC, item_id)-1)) AS b FROM cand)) WHERE at_ <= 10"))
+_LOW = lambda s, d: o.candidates(s, d).withColumn("score", F.col("score") - 0.5)  # scores on both sides of 0
+add("g01_source_balance", lambda s, d: retrieval.balanced_by_source(_LOW(s, d), 10, 0.3).select("query_id", "item_id", "balanced"), with_("cand", f"SELECT query_id, item_id, {r_('b', 'balanced')} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY low DESC, round(score,9) DESC, item_id) AS at_ FROM (SELECT *, min(round(b,9)) OVER (PARTITION BY query_id, source ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS low FROM (SELECT *, score/(1+0.3e0*(n-1)) AS b FROM (SELECT query_id, source, item_id, score-0.5e0 AS score, row_number() OVER (PARTITION BY query_id, source ORDER BY round(score-0.5e0,9) DESC, item_id) AS n FROM cand)))) WHERE at_ <= 10"))
 add("w07_rank_features", lambda s, d: retrieval.rank_features(o.candidates(s, d)), with_("rnk", f"SELECT query_id, item_id, rank, {r_('(rank-1)/greatest(count(*) OVER g - 1, 1)::DOUBLE', 'rank_fraction')}, {r_('max(score) OVER g - score', 'gap_top')}, {r_('coalesce(lag(score) OVER (PARTITION BY query_id ORDER BY rank) - score, 0)', 'gap_previous')} FROM rnk WINDOW g AS (PARTITION BY query_id)"))
 
 # Fusion -------------------------------------------------------------------------------------------------------------
 _POST = lambda s, d: fusion.posterior(o.candidates(s, d))
-add("a08_a09_support", lambda s, d: fusion.spatial_and_cross_support(fusion.normalised_scores(o.candidates(s, d), False), fusion.Knobs()).select("query_id", "item_id", "spatial", "cross"), with_("like_", f"SELECT query_id, item_id, {r_('spatial', 'spatial')}, {r_('cross_', '\"cross\"')} FROM like_"))
+add("a08_a09_support", lambda s, d: fusion.spatial_and_cross_support(fusion.normalised_scores(o.candidates(s, d)), fusion.Knobs()).select("query_id", "item_id", "spatial", "cross"), with_("like_", f"SELECT query_id, item_id, {r_('spatial', 'spatial')}, {r_('cross_', '\"cross\"')} FROM like_"))
 add("a05_posterior", lambda s, d: _POST(s, d).select("query_id", "item_id", "w"), with_("post", f"SELECT query_id, item_id, {r_('w', 'w')} FROM post"))
 add("a10_plausibility", lambda s, d: fusion.plausibility(_POST(s, d), 6.0).select("query_id", "item_id", "plausible"), with_("post", f"SELECT query_id, item_id, {r_('CASE WHEN max(m) OVER g <= 1e-6 THEN 1 ELSE greatest(1e-3, least(1, m/max(m) OVER g)) END', 'plausible')} FROM (SELECT a.query_id, a.item_id, greatest(1e-6, sum(CASE WHEN a.item_id <> b.item_id AND {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 6 THEN b.w ELSE 0 END)) AS m FROM post a JOIN post b USING (query_id) GROUP BY ALL) WINDOW g AS (PARTITION BY query_id)"))
 add("a11_outlier_guard", lambda s, d: fusion.outlier_guard(o.candidates(s, d), 1.0, 3.0).select("query_id", "item_id", "inlier"), with_("pr", f", tot AS (SELECT query_id, item_id, any_value(lat) AS lat, any_value(lon) AS lon, sum(km) AS t FROM pr GROUP BY query_id, item_id), mid AS (SELECT query_id, first(lat ORDER BY round(t,9), item_id) AS cl, first(lon ORDER BY round(t,9), item_id) AS co FROM tot GROUP BY query_id), dst AS (SELECT tot.query_id, item_id, {hav('lat', 'lon', 'cl', 'co')} AS d FROM tot JOIN mid USING (query_id)), med AS (SELECT query_id, list_sort(list(d))[ceil(count(*)/2.0)::INT] AS m FROM dst GROUP BY query_id), mad AS (SELECT query_id, any_value(m) AS m, list_sort(list(abs(d-m)))[ceil(count(*)/2.0)::INT] AS a FROM dst JOIN med USING (query_id) GROUP BY query_id) SELECT query_id, item_id, {r_('greatest(1e-3, least(1, r/max(r) OVER (PARTITION BY query_id)))', 'inlier')} FROM (SELECT dst.*, exp(-0.5*pow(d/greatest(1, m+3*greatest(a,1e-6)),2)) AS r FROM dst JOIN mad USING (query_id))".replace(", tot AS", ", tot AS", 1)).replace(" , tot AS", ", tot AS"))
@@ -135,7 +136,7 @@ _V = "list_sort(list(km))"
 add("a18_distance_report", lambda s, d: evaluate.distance_report(_top1(s, d)), with_("top1", "SELECT " + ", ".join([r_("avg(km)", "mean_km"), *(r_(f"avg((km <= {x})::INT)*100", f"within_{x}km_pct") for x in (1, 2, 5, 10, 50)), "count(*) AS evaluated", r_(f"{_V}[(count(*)//2)::INT+1]", "median_km"), r_(f"{_V}[CASE WHEN floor(count(*)*0.9)-1 < 0 THEN count(*) ELSE floor(count(*)*0.9) END::INT]", "p90_km"), *(r_(f"{_V}[round_even({p}/100.0*(count(*)-1), 0)::INT+1]", f"p{p}_km") for p in (10, 25, 75, 95))]) + " FROM top1"))
 add("a19_candidate_oracle", lambda s, d: evaluate.candidate_oracle(_errors(s, d)), with_("err", f"SELECT query_id, {r_('min(km)', 'oracle_km')}, first(rank ORDER BY round(km,9), rank) AS oracle_rank, count(*) AS n_candidates FROM err GROUP BY query_id"))
 add("f22_bucket_report", lambda s, d: evaluate.bucket_report(_errors(s, d)), with_("err", f"SELECT CASE WHEN km<=1 THEN '0-1km' WHEN km<=5 THEN '1-5km' WHEN km<=25 THEN '5-25km' WHEN km<=100 THEN '25-100km' ELSE '>100km' END AS bucket, count(*) AS n, {r_('avg(km)', 'mean_km')} FROM err GROUP BY 1"))
-add("a21_group_report", lambda s, d: evaluate.group_report(_errors(s, d), 5.0, 5), with_("err", f"SELECT grp, count(*) AS n, {r_('avg(km)', 'mean_km')}, {r_('median(km)', 'median_km')}, {r_('avg(hit)', 'hit_rate')} FROM (SELECT query_id, grp, max(CASE WHEN rank=1 THEN km END) AS km, max((rank<=5 AND km<=5)::INT) AS hit FROM err GROUP BY ALL) GROUP BY grp"))
+add("a21_group_report", lambda s, d: evaluate.group_report(_errors(s, d), 5.0, 5), with_("err", f"SELECT grp, count(*) AS n, {r_('avg(km)', 'mean_km')}, {r_('median(km)', 'median_km')}, {r_('avg(hit)', 'hit_rate')}, row_number() OVER (ORDER BY round(avg(km),9) DESC, grp) AS hardest FROM (SELECT query_id, grp, max(CASE WHEN rank=1 THEN km END) AS km, max((rank<=5 AND km<=5)::INT) AS hit FROM err GROUP BY ALL) GROUP BY grp"))
 add("a20_recall_report", lambda s, d: evaluate.recall_report(_errors(s, d)), with_("err", f"SELECT k, radius_km, {r_('avg(hit)', 'recall')}, count(*) AS n FROM (SELECT k, radius_km, query_id, max((rank<=k AND km<=radius_km)::INT) AS hit FROM err, (SELECT unnest([1,5,10]) AS k) a, (SELECT unnest([0.5e0,1,2,5]) AS radius_km) b GROUP BY ALL) GROUP BY k, radius_km"))
 add("a22_a23_source_priors", lambda s, d: evaluate.source_reliability(_errors(s, d), 5.0), with_("err", f"SELECT source, n, hits, {r_('rate', 'rate')}, {r_('greatest(0.25, least(4, rate/avg(rate) OVER ()))', 'prior')} FROM (SELECT source, count(*) AS n, sum((km<=5)::INT)::BIGINT AS hits, (sum((km<=5)::INT)+1)/(count(*)+2e0) AS rate FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS at_ FROM err) WHERE at_ = 1 GROUP BY source)"))
 _HITS = lambda s, d: _POST(s, d).join(_errors(s, d).select("query_id", "item_id", (F.col("km") <= 5).cast("int").alias("hit")), ["query_id", "item_id"]).withColumnRenamed("w", "conf")

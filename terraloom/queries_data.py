@@ -54,7 +54,7 @@ add("g09_reuse_cap", lambda s, d: mining.capped_reuse(_TRIPLETS(s, d), 1).select
 add("a26_triplet_summary", lambda s, d: mining.triplet_summary(_TRIPLETS(s, d)), with_("err", _TRI_SQL + f" SELECT role, count(*) AS n, count(DISTINCT query_id) AS queries, count(DISTINCT item_id) AS items, {r_('avg(km)', 'mean_km')}, {r_('min(score)', 'min_score')}, {r_('max(score)', 'max_score')} FROM tri GROUP BY role").replace(" , mk AS", ", mk AS"))
 add("a27_margins", lambda s, d: mining.margin_stats(_TRIPLETS(s, d)), with_("err", _TRI_SQL + f" SELECT count(m) AS n, {r_('avg(m)', 'mean_margin')}, {r_('avg((m>0)::INT)', 'satisfied')}, {r_('avg(greatest(0, 0.1e0-m))', 'hinge')} FROM (SELECT min(score) FILTER (role='positive') - max(score) FILTER (role='negative') AS m FROM tri GROUP BY query_id)").replace(" , mk AS", ", mk AS"))
 add("w12_best_candidate", lambda s, d: _POST(s, d).groupBy("query_id").agg(F.min_by("item_id", F.struct(-F.round("w", 9), F.col("item_id"))).alias("item_id")), with_("post", "SELECT query_id, first(item_id ORDER BY round(w,9) DESC, item_id) AS item_id FROM post GROUP BY query_id"))
-add("w11_order_statistics", lambda s, d: o.street_points(s, d).groupBy("source").agg(F.sort_array(F.collect_list("quality")).alias("v")).select("source", *(evaluate.nearest_rank(F.col("v"), p).alias(f"p{p}") for p in (10, 50, 90))), with_("sp", "SELECT source, " + ", ".join(r_(f"list_sort(list(quality))[round_even({p}/100.0*(count(*)-1), 0)::INT+1]", f"p{p}") for p in (10, 50, 90)) + " FROM sp GROUP BY source"))
+add("w11_order_statistics", lambda s, d: evaluate.order_statistics(o.street_points(s, d), ["source"], "quality", {f"p{p}": evaluate.nearest_rank(p) for p in (10, 50, 90)}, 1.0).drop("n"), with_("sp", "SELECT source, " + ", ".join(r_(f"list_sort(list(quality))[round_even({p}/100.0*(count(*)-1), 0)::INT+1]", f"p{p}") for p in (10, 50, 90)) + " FROM sp GROUP BY source"))
 _SWEEP = lambda s, d: evaluate.distance_report(_HITS(s, d).join(_errors(s, d).select("query_id", "item_id", "km"), ["query_id", "item_id"]).crossJoin(F.broadcast(s.createDataFrame([(0.0,), (0.5,), (1.0,)], "mix double"))).withColumn("v", F.round(F.col("conf") * F.col("mix") + F.col("score") * (1 - F.col("mix")), 9)).groupBy("mix", "query_id").agg(F.min_by("km", F.struct(-F.col("v"), F.col("item_id"))).alias("km")), ["mix"]).select("mix", "mean_km", "median_km")
 add("g23_sweep", _SWEEP, with_("post err", f"SELECT mix, {r_('avg(km)', 'mean_km')}, {r_('list_sort(list(km))[(count(*)//2)::INT+1]', 'median_km')} FROM (SELECT mix, query_id, first(km ORDER BY round(w*mix+post.score*(1-mix),9) DESC, item_id) AS km FROM post JOIN (SELECT query_id, item_id, km FROM err) USING (query_id, item_id), (SELECT unnest([0e0,0.5e0,1e0]) AS mix) GROUP BY mix, query_id) GROUP BY mix"))
 add("t07_session_listing", lambda s, d: _EVENTS(s, d).groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("ts", "event_id")).alias("m")).select("session", "n", F.col("m.event_id").alias("last_event")), "SELECT user_id AS session, count(*) AS n, first(event_id ORDER BY ts DESC, event_id DESC) AS last_event FROM events GROUP BY 1")
@@ -106,8 +106,8 @@ add("o5_scenarios", lambda s, d: chains.compare_scenarios(o.candidates(s, d), o.
 add("s15_audit_export", lambda s, d: fusion.fuse(o.candidates(s, d)).select("query_id", F.round("mean_lat", 4).alias("mean_lat"), "set_size").join(o.candidates(s, d).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("item_id")), lambda x: x.cast("string")), ",").alias("items")), "query_id"), with_("ell cand", "SELECT query_id, round(mean_lat,4) AS mean_lat, set_size, items FROM ell JOIN (SELECT query_id, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items FROM cand GROUP BY query_id) USING (query_id)"))
 add("f10_densities", lambda s, d: o.street_points(s, d).select("image_id", scores.gaussian(F.col("quality") - 10, 20.0).alias("g"), scores.von_mises(F.radians("heading_deg"), F.col("quality") / 5).alias("v")), with_("sp", f"SELECT image_id, {r_('exp(-0.5*pow((quality-10)/20e0,2))/(20e0*sqrt(2*pi()))', 'g')}, {r_('CASE WHEN k <= 0 THEN CASE WHEN heading_deg IS NULL THEN 1/(2*pi()) ELSE 1/(2*pi()) END WHEN k < 3.75 THEN exp(k*cos(radians(heading_deg)))/(2*pi()*(1+y*(3.5156229e0+y*(3.0899424e0+y*(1.2067492e0+y*(0.2659732e0+y*(0.0360768e0+y*0.0045813e0))))))) ELSE exp(k*cos(radians(heading_deg)))/(2*pi()*exp(k)/sqrt(k)*(0.39894228e0+z*(0.01328592e0+z*(0.00225319e0+z*(-0.00157565e0+z*(0.00916281e0+z*(-0.02057706e0+z*(0.02635537e0+z*(-0.01647633e0+z*0.00392377e0))))))))) END', 'v')} FROM (SELECT *, quality/5 AS k, pow(quality/5/3.75e0,2) AS y, 3.75e0/nullif(quality/5,0) AS z FROM sp)"))
 add("f12_shadow_verdict", lambda s, d: o.street_points(s, d).select("image_id", sun.shadow_verdict(F.col("captured_at"), F.col("lat"), F.col("lon"), F.array("heading_deg")).alias("verdict")), with_("sp", ", h AS (SELECT *, hour(captured_at)+minute(captured_at)/60e0+second(captured_at)/3600e0 AS hr FROM sp), g AS (SELECT *, 2*pi()*(dayofyear(captured_at)-1+(hr-12)/24e0)/365e0 AS ga FROM h), t AS (SELECT *, 0.006918e0-0.399912e0*cos(ga)+0.070257e0*sin(ga)-0.006758e0*cos(2*ga)+0.000907e0*sin(2*ga)-0.002697e0*cos(3*ga)+0.00148e0*sin(3*ga) AS de, radians((hr*60+229.18e0*(0.000075e0+0.001868e0*cos(ga)-0.032077e0*sin(ga)-0.014615e0*cos(2*ga)-0.040849e0*sin(2*ga))+4*lon)/4-180) AS ha, radians(lat) AS la FROM g) SELECT image_id, CASE WHEN el <= 0 THEN 'night' WHEN el < 5 THEN 'low_sun' WHEN heading_deg IS NULL THEN 'time_only' WHEN least(abs((az-heading_deg+720) % 360), 360-abs((az-heading_deg+720) % 360)) <= 25 THEN 'ok' ELSE 'diff' END AS verdict FROM (SELECT *, degrees(atan2(sin(ha), cos(ha)*sin(la)-tan(de)*cos(la)))+360 AS az, 90-degrees(acos(greatest(-1,least(1,sin(la)*sin(de)+cos(la)*cos(de)*cos(ha))))) AS el FROM t)").replace(" , h AS", ", h AS"))
-_HIST = lambda s, d: o.table(s, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.transform(F.slice("embedding", 1, 16), lambda x: F.abs(x).cast("double")).alias("a"), F.transform(F.slice("embedding", 17, 16), lambda x: F.abs(x).cast("double")).alias("b"))
-add("f19_histograms", lambda s, d: _HIST(s, d).select("item_id", scores.histogram_similarity(F.col("a"), F.col("b")).alias("similarity"), scores.histogram_entropy(F.col("a")).alias("entropy")), f"SELECT item_id, {r_('least(1, 0.5*(list_dot_product(a,b)/sqrt(list_dot_product(a,a)*list_dot_product(b,b))+1))', 'similarity')}, {r_('-list_sum(list_transform(a, lambda x: CASE WHEN x/t > 1e-12 THEN x/t*ln(x/t) ELSE 0 END))/ln(16)', 'entropy')} FROM (SELECT *, list_sum(a) AS t FROM (SELECT vec_id AS item_id, list_transform(embedding[1:16]::DOUBLE[], lambda x: abs(x)) AS a, list_transform(embedding[17:32]::DOUBLE[], lambda x: abs(x)) AS b FROM embeddings))")
+_HIST = lambda s, d: o.table(s, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.transform(F.slice("embedding", 1, 32), lambda x: F.abs(x).cast("double")).alias("a"), F.transform(F.slice("embedding", 33, 32), lambda x: F.abs(x).cast("double")).alias("b"))
+add("f19_histograms", lambda s, d: _HIST(s, d).select("item_id", scores.histogram_similarity(F.col("a"), F.col("b")).alias("similarity"), scores.histogram_entropy(F.col("a")).alias("entropy")), f"SELECT item_id, {r_('least(1, 0.5*(list_dot_product(a,b)/sqrt(list_dot_product(a,a)*list_dot_product(b,b))+1))', 'similarity')}, {r_('-list_sum(list_transform(a, lambda x: CASE WHEN x/t > 1e-12 THEN x/t*ln(x/t) ELSE 0 END))/ln(32)', 'entropy')} FROM (SELECT *, list_sum(a) AS t FROM (SELECT vec_id AS item_id, list_transform(embedding[1:32]::DOUBLE[], lambda x: abs(x)) AS a, list_transform(embedding[33:64]::DOUBLE[], lambda x: abs(x)) AS b FROM embeddings))")
 add("g15_augmentation", lambda s, d: retrieval.augmented_vectors(o.geo_index(s, d), o.queries(s, d), 6, 1.0, 0.1, 0.2).select("query_id", F.get("embedding", 0).alias("first"), F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("total")), with_("gi q", ", un AS (SELECT item_id, list_transform(e, lambda x: x/sqrt(list_dot_product(e,e))) AS e FROM gi), nb AS (SELECT * FROM (SELECT q.query_id, un.item_id, s.e AS qe, un.e, list_dot_product(s.e, un.e) AS sc, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_dot_product(s.e, un.e),9) DESC, un.item_id) AS p FROM q JOIN un s ON s.item_id = q.query_id JOIN un ON un.item_id <> q.query_id) WHERE p <= 6 AND sc >= 0.1), wt AS (SELECT *, exp((sc - max(sc) OVER (PARTITION BY query_id))/0.2e0) AS x FROM nb), sm AS (SELECT s.item_id AS query_id, i, any_value(s.e[i]) + coalesce(sum(x*wt.e[i])/sum(x), 0) AS v FROM (SELECT * FROM un WHERE item_id IN (SELECT query_id FROM q)) s CROSS JOIN range(1, 65) t(i) LEFT JOIN wt ON wt.query_id = s.item_id GROUP BY 1, 2) SELECT query_id, round(max(CASE WHEN i = 1 THEN v END)/sqrt(sum(v*v)), 6) AS first, round(sum(v)/sqrt(sum(v*v)), 6) AS total FROM sm GROUP BY query_id").replace(" , un AS", ", un AS"))
 _KEYED = lambda s, d: o.candidates(s, d).withColumn("key", F.col("query_id")).select("key", "item_id", "lat", "lon")
 add("j13_temporal_support", lambda s, d: retrieval.temporal_support(_KEYED(s, d), _POST(s, d).select((F.col("query_id") + 100).alias("key"), "lat", "lon", "w"), 5.0), with_("post", f"SELECT a.query_id AS key, a.item_id, {r_('sum(b.w*exp(-0.5*pow(' + hav('a.lat', 'a.lon', 'b.lat', 'b.lon') + '/5e0,2)))', 'support')} FROM cand a JOIN post b ON b.query_id + 100 = a.query_id GROUP BY 1, 2"))

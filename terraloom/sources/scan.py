@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import base_name, number, posix_path
 
 #: Field -> header names, the first that a file has is taken (fixed values).
-ALIASES = {"path": ("path", "image", "image_path", "file", "filename"), "lat": ("lat", "latitude", "gps_lat"), "lon": ("lon", "lng", "longitude", "gps_lon")}
+ALIASES = {"path": ("path", "street_path", "image", "image_path", "query_path", "file", "filename"), "lat": ("lat", "latitude", "gps_lat"), "lon": ("lon", "lng", "longitude", "gps_lon")}
 
 
 def resolve(columns: Sequence[str], names: Sequence[str]) -> str | None:
