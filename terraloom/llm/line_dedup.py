@@ -47,7 +47,9 @@ def n_lines(text: Column) -> Column:
 
 def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """h1, h2, doc_id, t, n_lines (of the text), pos of every line whose key is long enough."""
-    lines = docs.select("doc_id", text_key(F.col("text")).alias("t"), n_lines(F.col("text")).alias("n_lines"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
+    # What belongs to the text is computed before its lines are dealt out, once a text.
+    whole = docs.select("doc_id", text_key(F.col("text")).alias("t"), lines_of(F.col("text")).alias("lines")).withColumn("n_lines", F.size("lines"))
+    lines = whole.select("doc_id", "t", "n_lines", F.posexplode("lines").alias("pos", "line"))
     keys = lines.where(F.octet_length("line") >= min_chars).withColumn("key", F.btrim("line", F.lit(WHITE))).where(F.char_length("key") >= min_chars)
     keys = keys.withColumn("key", ascii_lower(F.col("key")))
     return keys.select(F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"), "doc_id", "t", "n_lines", "pos")
@@ -77,7 +79,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     per_doc = lost.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.col("pos").cast("long"))).alias("p"), F.max("n_lines").alias("n"))
 
     def kept_runs(p: Column, n: Column) -> Column:
-        starts, ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(p, lambda x: x + 1)), F.concat(p, F.array(n))
+        starts, ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(p, lambda x: x + 1)), F.concat(p, F.array(n.cast("long")))
         return F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b - a).alias("length"))), lambda r: r["length"] > 0)
 
     return per_doc.select("doc_id", "t", F.size("p").cast("long").alias("n_dropped"), kept_runs(F.col("p"), F.col("n")).alias("keep_runs"))
