@@ -219,3 +219,41 @@ def best_round(rounds: DataFrame, objective: str, higher: bool) -> DataFrame:
     aim = F.col(objective).desc_nulls_last() if higher else F.col(objective).asc_nulls_last()
     ties = F.col("mean_km").asc_nulls_last() if higher else F.coalesce("within_2km_pct", F.lit(0.0)).desc()
     return rounds.orderBy(aim, ties, "round").limit(1)
+
+
+def score_report(top: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row on first candidates (query_id, score, km; km null without a place) of the expected queries: how many have no
+    candidate, how many no distance, and mean, least and largest score."""
+    j = expected.select(*Q).join(top.select(*Q, "score", "km", F.lit(True).alias("_there")), Q, "left")
+    return j.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_there").isNull()).alias("n_missing"), F.count_if(F.col("_there") & F.col("km").isNull()).alias("n_null"), F.avg("score").alias("mean_score"), F.min("score").alias("min_score"), F.max("score").alias("max_score"))
+
+
+def crossview_report(e: DataFrame) -> DataFrame:
+    """One row: the shares of first candidates within 0.1 to 5 km, and of queries with a hit among the first 1, 5 and 10
+    within 0.1 to 1 km."""
+    names = {0.1: "100m", 0.25: "250m", 0.5: "500m", 1.0: "1km", 2.0: "2km", 5.0: "5km"}
+    hit = lambda k, r: F.max(((F.col("rank") <= k) & (F.col("km") <= r)).cast("double")).alias(f"h{k}_{names[r]}")
+    grid = [(k, r) for k in (1, 5, 10) for r in (0.1, 0.25, 0.5, 1.0)]
+    per = e.groupBy(*Q).agg(*(hit(k, r) for k, r in [*grid, (1, 2.0), (1, 5.0)]))
+    return per.agg(F.count(F.lit(1)).alias("evaluated"), *((100 * F.avg(f"h1_{n}")).alias(f"within_{n}_pct") for n in names.values()), *((100 * F.avg(f"h{k}_{names[r]}")).alias(f"top{k}_recall_{names[r]}_pct") for k, r in grid))
+
+
+def metric_gate(compared: DataFrame, tolerances: DataFrame) -> DataFrame:
+    """Per metric of two runs (metric, before, after) whether it passes its tolerance (metric, kind, absolute, relative): a
+    hit rate may drop by ``absolute``; an error may grow by the larger of both; a count must keep 95 %. A missing value
+    fails, but for an error that both runs lack, and for counts."""
+    j = tolerances.join(compared, "metric", "left")
+    before, after = F.col("before"), F.col("after")
+    ok = (
+        F.when(F.col("kind") == "rate", F.coalesce(after >= before - F.col("absolute"), F.lit(False)))
+        .when(F.col("kind") == "error", (before.isNull() & after.isNull()) | F.coalesce(after <= before + F.greatest(F.col("absolute"), before * F.col("relative")), F.lit(False)))
+        .otherwise(F.coalesce((before <= 0) | (after >= 0.95 * before), F.lit(True)))
+    )
+    return j.select("metric", "kind", "before", "after", ok.alias("passed"))
+
+
+def tier_thresholds(rows: DataFrame, high: tuple[float, int], medium: tuple[float, int]) -> DataFrame:
+    """One row: the thresholds of both tiers, each with its target precision and least support; medium never above high."""
+    one = lambda target, name: tier_threshold(rows, *target).select(F.col("threshold").alias(name))
+    j = one(high, "high").join(one(medium, "medium"), F.lit(True), "full")
+    return j.withColumn("medium", F.when(F.col("high").isNotNull(), F.least("medium", "high")).otherwise(F.col("medium")))

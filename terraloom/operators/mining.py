@@ -181,3 +181,16 @@ def merged_once(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame
             left = left.join(taken.select(k), k, "left_anti")
         left = written(left.select(*rows.columns), "left")
     return ok.limit(0) if out is None else out
+
+
+def most_reused(items: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` negatives that most queries use, with their number."""
+    uses = items.where("role = 'negative'").groupBy("item_id").agg(F.countDistinct("query_id").alias("uses"))
+    return uses.orderBy(F.col("uses").desc(), "item_id").limit(n)
+
+
+def weight_summary(weights: DataFrame, items: DataFrame) -> DataFrame:
+    """One row: triplets, mean positives and negatives, least, mean and largest weight, distinct items."""
+    per = items.groupBy(*Q).agg(F.count_if(F.col("role") == "positive").alias("p"), F.count_if(F.col("role") == "negative").alias("m"))
+    totals = per.join(weights, Q, "left").agg(F.count(F.lit(1)).alias("triplets"), F.avg("p").alias("mean_positives"), F.avg("m").alias("mean_negatives"), F.min("weight").alias("min_weight"), F.avg("weight").alias("mean_weight"), F.max("weight").alias("max_weight"))
+    return totals.join(items.agg(F.countDistinct("item_id").alias("items")), F.lit(True), "left")

@@ -148,3 +148,57 @@ def parsed_reports(lines: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     schema = ", ".join(f"{f}: double" for f in fields)
     raw = lines.withColumn("r", F.from_json("value", f"struct<{schema}, report: struct<{schema}>>"))
     return raw.select(*lines.columns, *(F.when(F.col("r.report").isNotNull(), F.col(f"r.report.{f}")).otherwise(F.col(f"r.{f}")).alias(f) for f in fields))
+
+
+# Payloads, validation, history, feeds -------------------------------------------------------------------------------
+
+
+def parsed_street_images(payloads: DataFrame) -> DataFrame:
+    """image_id, lat, lon, heading_deg, captured_at, quality, sequence, thumb_url of provider payloads (``value``): computed
+    values go before raw ones, the large thumbnail before the small one; an id, a point and a thumbnail are needed."""
+    point = "struct<coordinates: array<double>>"
+    fields = f"id string, computed_geometry {point}, geometry {point}, computed_compass_angle double, compass_angle double, thumb_2048_url string, thumb_1024_url string, captured_at string, quality_score double, sequence string"
+    r = payloads.select(F.from_json("value", fields).alias("r")).select("r.*")
+    whole = lambda g: F.when((F.size(f"{g}.coordinates") >= 2) & F.col(f"{g}.coordinates")[0].isNotNull() & F.col(f"{g}.coordinates")[1].isNotNull(), F.col(f"{g}.coordinates"))
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
+    named = F.when(F.col("sequence").startswith("{"), F.get_json_object("sequence", "$.id")).otherwise(F.col("sequence"))
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    at = r.withColumns({"_p": F.coalesce(whole("computed_geometry"), whole("geometry")), "_t": F.coalesce(text("thumb_2048_url"), text("thumb_1024_url"))})
+    return at.where(text("id").isNotNull() & F.col("_p").isNotNull() & F.col("_t").isNotNull()).select(
+        F.trim("id").alias("image_id"), F.col("_p")[1].alias("lat"), F.col("_p")[0].alias("lon"), F.coalesce(finite("computed_compass_angle"), finite("compass_angle")).alias("heading_deg"),
+        F.coalesce("captured_at", F.lit("")).alias("captured_at"), finite("quality_score").alias("quality"), F.coalesce(named, F.lit("")).alias("sequence"), F.col("_t").alias("thumb_url"),
+    )
+
+
+def result_violations(lines: DataFrame) -> DataFrame:
+    """rule, n: how many lines (``value``) of results break each rule of their schema: what is required, ranges of arrays,
+    values of tiers. A line that is no JSON object breaks the first rule and is not looked at further."""
+    keys, inner = F.json_object_keys("value"), F.json_object_keys(F.get_json_object("value", "$.result"))
+    r = lines.select(keys.alias("k"), inner.alias("i"), F.from_json("value", RESULT + ", x string").alias("r"), F.from_json("value", "result struct<detections: array<struct<label: string, confidence: double, obb: array<array<double>>>>, fusion: struct<confidence_tier: string, credible_set_size: long>>")["result"].alias("d"))
+    has = lambda c, *names: F.forall(F.array(*map(F.lit, names)), lambda n: F.array_contains(c, n))
+    tiers = lambda c: c.isNull() | c.isin("low", "medium", "high")
+    boxes = F.forall("d.detections", lambda x: x["label"].isNotNull() & x["confidence"].isNotNull() & (F.size(x["obb"]) == 4) & F.forall(x["obb"], lambda p: F.size(p) == 2))
+    listed = F.forall("r.result.candidates", lambda x: x["latitude"].isNotNull() & x["longitude"].isNotNull() & x["retrieval_score"].isNotNull())
+    rules = {
+        "object": F.col("k").isNotNull(), "required": has(F.col("k"), "image", "result"), "result_required": has(F.col("i"), "detections", "geo", "verification", "score"),
+        "detections": boxes, "candidates": listed, "geo_tier": tiers(F.col("r.result.geo.confidence_tier")), "fusion_tier": tiers(F.col("d.fusion.confidence_tier")),
+        "credible_set_size": F.coalesce(F.col("d.fusion.credible_set_size") >= 0, F.lit(True)),
+    }
+    soft = {name: rule if name == "object" else F.col("k").isNull() | F.coalesce(rule, F.lit(name not in ("required", "result_required"))) for name, rule in rules.items()}
+    counts = r.agg(*(F.count_if(~rule).alias(name) for name, rule in soft.items()))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(n).alias("n")) for n in rules))).alias("x")).select("x.*")
+
+
+def run_history(lines: DataFrame, limit: int = 50) -> DataFrame:
+    """The newest runs first, 1 to 500 of them: run_id, finished_at and the summary's numbers, beside or under ``summary``."""
+    r = lines.select(F.from_json("value", "run_id string, finished_at string, top1_mean_km double, within_5km_pct double, summary struct<top1_mean_km: double, within_5km_pct: double>").alias("r")).select("r.*")
+    pick = lambda c: F.coalesce(F.col(f"summary.{c}"), F.col(c)).alias(c)
+    return r.where("run_id is not null").select("run_id", "finished_at", pick("top1_mean_km"), pick("within_5km_pct")).orderBy(F.col("finished_at").desc(), "run_id").limit(max(1, min(500, limit)))
+
+
+def summary_feed(assessments: DataFrame, rows: int = 200, candidates: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(one row: results, mean of the best scores, how many are of the high tier; the first ``rows`` results by image with
+    their best ``candidates``): what a page of results shows."""
+    best = F.get("candidates", F.lit(0))["score"]
+    totals = assessments.agg(F.count(F.lit(1)).alias("n"), F.avg(best).alias("mean_score"), F.count_if(F.col("tier") == "high").alias("n_high"))
+    return totals, assessments.orderBy("image").limit(rows).withColumn("candidates", F.slice("candidates", 1, candidates))

@@ -228,3 +228,26 @@ def test_consensus_and_density_by_plain_loops(spark):
                 best = d, x, y
         assert km(got[q], (la0 + best[2] / 110.574, lo0 + best[1] / (111.32 * math.cos(math.radians(la0))))) < 1e-3
     assert pytest.approx(0.0) == km((1.0, 1.0), (1.0, 1.0))
+
+
+def test_ingestion_stops_and_starts_again(spark, tmp_path):
+    from terraloom.streaming.ingest import ingest
+
+    drop, out = tmp_path / "in", str(tmp_path / "out")
+    drop.mkdir()
+    for run, ids in enumerate(([1, 2, 2, 3], [3, 4], [], [1, 5, None])):
+        (drop / f"{run}.json").write_text("\n".join(json.dumps({"image_id": i, "n": run}) for i in ids))
+        source = spark.readStream.schema("image_id long, n long").json(str(drop))
+        ingest(source, out, str(tmp_path / "log")).awaitTermination(60)
+    assert rows_of(spark.read.parquet(out), "image_id", "n") == [(1, 0), (2, 0), (3, 0), (4, 1), (5, 3)]
+    # a batch that is done again after a failure, with another log
+    ingest(spark.readStream.schema("image_id long, n long").json(str(drop)), out, str(tmp_path / "other")).awaitTermination(60)
+    assert spark.read.parquet(out).count() == 5
+
+
+def test_crop_tiles_go_round(spark):
+    from terraloom.functions.keys import crop_tiles
+
+    row = spark.createDataFrame([(0.0, -179.9999), (85.0, 10.0)], "lat double, lon double").select(crop_tiles("lat", "lon", 3, 512).alias("t")).collect()
+    assert {(t["x"], t["y"]) for t in row[0]["t"]} == {(x, y) for x in (7, 0) for y in (3, 4)} | {(x, y) for x in (7, 0) for y in (3, 4)}
+    assert min(t["y"] for t in row[1]["t"]) == 0
