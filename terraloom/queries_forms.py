@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import geo, keys
 from .operators import evaluate, fusion, mining
+from .plans import knobs
 from .plans import overlay as o
 from .queries import _HITS, _errors, add, r_, with_
 from .queries_data import _TRI_SQL, _TRIPLETS
@@ -93,3 +94,9 @@ def _fused_all(s, d):
 
 
 add("o2_full_fusion", _fused_all, None)
+
+# Knobs --------------------------------------------------------------------------------------------------------------
+_GRID = lambda s, d: o.table(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 9 - 2).alias("spatial_weight"), F.when(F.col("o_orderkey") % 5 != 0, (F.col("o_orderkey") % 7) / 4.0).alias("credible_mass"), F.when(F.col("o_orderkey") % 3 == 0, " MinMax ").when(F.col("o_orderkey") % 3 == 1, "other").otherwise("rank").alias("normalise"))
+add("o7_clamped_knobs", lambda s, d: knobs.clamped_grid(_GRID(s, d)), f"SELECT o_orderkey, {r_('greatest(0e0, least(10e0, o_orderkey % 9 - 2))', 'spatial_weight')}, {r_('CASE WHEN o_orderkey % 5 = 0 THEN 0.9e0 ELSE greatest(0.5e0, least(0.999e0, (o_orderkey % 7)/4e0)) END', 'credible_mass')}, CASE o_orderkey % 3 WHEN 0 THEN 'minmax' WHEN 1 THEN 'none' ELSE 'rank' END AS normalise FROM orders")
+_SETTINGS = [{"spatial_sigma_km": 1.0, "cross_weight": 0.5}, {"temperature": 0.5, "normalise": "minmax"}, {"credible_mass": 0.6, "outlier_strength": 1.0, "outlier_min_scale_km": 2}]
+add("g24_fusion_sweep", lambda s, d: knobs.fusion_sweep(o.candidates(s, d), o.queries(s, d), _SETTINGS), None)

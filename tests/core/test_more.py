@@ -251,3 +251,18 @@ def test_crop_tiles_go_round(spark):
     row = spark.createDataFrame([(0.0, -179.9999), (85.0, 10.0)], "lat double, lon double").select(crop_tiles("lat", "lon", 3, 512).alias("t")).collect()
     assert {(t["x"], t["y"]) for t in row[0]["t"]} == {(x, y) for x in (7, 0) for y in (3, 4)} | {(x, y) for x in (7, 0) for y in (3, 4)}
     assert min(t["y"] for t in row[1]["t"]) == 0
+
+
+def test_knobs_and_configs(spark, sf_dir):
+    from terraloom.operators.fusion import Knobs, fuse
+    from terraloom.plans import knobs as m
+    from terraloom.plans import overlay as o
+    from terraloom.queries_forms import _SETTINGS
+
+    k = m.fusion_knobs({"temperature": -4, "top_k": 3.9, "normalise": "Other", "credible_mass": float("nan"), "spatial_weight": True, "unknown": 1, "cross_weight": "2"})
+    assert (k.temperature, k.top_k, k.normalise, k.credible_mass, k.spatial_weight, k.cross_weight) == (1e-3, 3, "none", 0.9, Knobs().spatial_weight, Knobs().cross_weight)
+    assert json.loads(m.with_best('{"fusion": {"a": 1, "b": 2}, "x": 3}', "fusion", {"b": 5})) == {"fusion": {"a": 1, "b": 5}, "x": 3}
+    c, truth = o.candidates(spark, sf_dir), {r["query_id"]: (r["lat"], r["lon"]) for r in o.queries(spark, sf_dir).collect()}
+    got = {r["setting"]: (r["mean_km"], r["place"]) for r in m.fusion_sweep(c, o.queries(spark, sf_dir), _SETTINGS).collect()}
+    means = [np.mean([km((r["mean_lat"], r["mean_lon"]), truth[r["query_id"]]) for r in fuse(c, m.fusion_knobs(s)).collect()]) for s in _SETTINGS]
+    assert np.allclose([got[n][0] for n in range(3)], means) and [got[n][1] for n in np.argsort(means)] == [1, 2, 3]
