@@ -651,3 +651,27 @@ def test_very_long_texts(spark):
     assert license_scan.query(frame).count() == 0
     total = packing.query(frame).groupBy("doc_id").sum("length").count()
     assert total == 6
+
+
+def test_edge_cases_of_the_other_operators(spark, docs):
+    """Clashing columns, repeated rows and very long texts where the tests above have none."""
+    from terraloom.llm import decontam, html_extract, language_id, quality_rules, warc_zip
+
+    labels = spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, stratum int")
+    wide = docs.withColumns({n: docs.row for n in ("stratum", "w", "l", "rule_failed", "kept", "n_words", "stratum_key")})
+    same([tuple(r) for r in quality_rules.query(wide, labels).collect()], [tuple(r) for r in quality_rules.query(docs, labels).collect()])
+    long = "Ein langer Satz mit vielen Wörtern, der sich wiederholt. " * 60_000
+    texts = [(1, long, "de"), (1, long, "de"), (2, "the same words in english for a while and then some more of them", "en"), (3, "und noch ein kurzer deutscher Satz mit Wörtern", "de"), (3, "und noch ein kurzer deutscher Satz mit Wörtern", "de")]
+    frame = spark.createDataFrame([(d + 10 * k, t, x) for k in range(12) for d, t, x in texts], "doc_id long, text string, lang string")
+    got = [tuple(r) for r in language_id.query(frame).collect()]
+    assert len(got) == 60 and all(p == ("en" if d % 10 == 2 else "de") for d, _, p, _, _ in got)
+    assert all(n == 2 for (d, *_), n in Counter(got).items() if d % 10 != 2)
+    bench = spark.createDataFrame([(7, long[1000:1100]), (7, long[1000:1100])], "item_id long, text string")
+    found = decontam.query(frame, bench).where("contaminated").collect()
+    assert len(found) == 24 and all(r["item_ids"] == [7, 7] for r in found)
+    pages = spark.createDataFrame([(1, "u", f"<article><p>{long}</p></article>", 5), (1, "u", f"<article><p>{long}</p></article>", 5), (2, "v", "x" * 3_000_000, 6)], "page_id long, url string, html string, sha1 int")
+    clash = pages.withColumns({n: F.col("sha1") for n in ("payload", "size", "response", "n", "archive")})
+    back = warc_zip.query(clash).collect()
+    assert sorted((r["page_id"], r["record_type"], r["payload_bytes"]) for r in back) == [(1, "response", len(f"<article><p>{long}</p></article>".encode()))] * 2 + [(2, "response", 3_000_000)]
+    out = html_extract.extract(clash, html_extract.TreeModel())
+    assert out.columns == [*clash.columns, "text"] and [r["text"] for r in out.where("page_id = 1").collect()] == [long.strip()] * 2
