@@ -27,3 +27,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(table: DataFrame) -> None:
+    """Deletes the files of a table that ``written`` gave, once nothing that is still to run reads it."""
+    spark = table.sparkSession
+    files = table.inputFiles()
+    if files and files[0].rsplit("/", 1)[0].find(f"/terraloom-{spark.sparkContext.applicationId}/") > 0:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
