@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_extract, language_id, license_scan, line_dedup, packing, quality_rules, secret_scan, simhash_gray, warc_zip
+from . import decontam, html_extract, importance, language_id, license_scan, line_dedup, packing, pii_bootstrap, quality_rules, secret_scan, simhash_gray, token_alignment, warc_zip
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -28,6 +28,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_zip": lambda s, d: warc_zip.query(pages(s, d)),
         "op9_packing": lambda s, d: packing.query(documents(s, d)),
         "op10_line_dedup": lambda s, d: line_dedup.query(documents(s, d)),
+        "op11_importance": lambda s, d: importance.query(documents(s, d), benchmark(s, d)),
+        "op12_token_alignment": lambda s, d: token_alignment.query(documents(s, d)),
+        "op13_pii_bootstrap": lambda s, d: pii_bootstrap.query(documents(s, d)),
     }
 
 
