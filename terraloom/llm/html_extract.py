@@ -1,22 +1,27 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
 *Tree.* A page's block elements are the nodes; inline elements and text belong to the block around them. Elements that
-are never read (scripts, styles, buttons and the like) are cut off with all that is in them. Forms are blocks like others,
-because whole pages are wrapped in one; their potentials speak against content, but not against what is in them.
+are never read (scripts, styles, templates, frames and the controls of forms) are cut off with all that is in them. Formulas,
+pictures' texts and image maps are inline text; dialogs, objects, media fallbacks and ``noscript`` are blocks like others.
+So are forms, because whole pages are wrapped in one; their potentials speak against content, but not against what is in
+them.
 
 *Model.* Every node is content or not. A node has a potential from its tag, its words of class, id and role (each word by
-a hash, and what public word lists say of them), its text's length, share of links and punctuation; an edge has one from
+a hash, and what public word lists say of whole words: strongly where a name holds nothing but such words and words of
+layout, as in ``related-posts``; weakly where others are among them, as in ``search-methods``), its text's length, share of links and punctuation; an edge has one from
 the two states, the child's tag, and whether the parent is the page's frame (root, html or body), in which any part may
 begin. Sum-product messages go from the leaves to the root and back, and give every node the exact marginal of being
 content. The text of nodes with a marginal over one half is the page's text, in page order.
 
 *Training.* The potentials are smoothed counts over a bounded sample of labelled pages, counted by Spark: pages that mark
 their main part themselves by a single ``article`` or ``main`` element label their own nodes; what such a part holds of
-navigation, asides, footers, adverts or comments is labelled as not content. Each such page counts three times: as it is;
+navigation, asides, footers, forms, and of names that say nothing but adverts, notices or comments, is labelled as not
+content; everything else in it is content, whatever words its names hold. Each such page counts three times: as it is;
 with the marking element as a plain ``div`` and no class words; and with the marking element taken away, its children put
 in its place. So what is learned is how content looks, not how it is announced. What the tags and word lists say in general
-are counts as well, of stated weights, which the sample outweighs; the bounds on what single features may say are stated
-with them.
+are counts as well, of stated weights: a sample soon outweighs those of 3 nodes, but hardly what is said of navigation,
+asides, footers and plain names of boilerplate, which is meant to hold. The bounds on what single features may say are
+stated with them.
 
 *Time.* A page is read once from left to right. Elements nest ``MAX_DEPTH`` deep, as in browsers; deeper ones become
 neighbours, and no text is lost.
@@ -45,10 +50,10 @@ from pyspark.sql import functions as F
 
 #: Labelled pages that training reads on average, at any size of the corpus.
 SAMPLE = 2000
-CUT = frozenset("script style noscript template svg iframe object button select textarea input head title canvas audio video map datalist math dialog".split())
-RAW = frozenset("script style textarea title noscript iframe xmp".split())
+CUT = frozenset("script style template iframe button select textarea input datalist head title".split())
+RAW = frozenset("script style textarea title iframe xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCKS = tuple("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre figure figcaption address hr header footer nav aside menu center details summary fieldset form".split())
+BLOCKS = tuple("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre figure figcaption address hr header footer nav aside menu center details summary fieldset form dialog noscript object canvas audio video".split())
 TAG = {name: k for k, name in enumerate(BLOCKS)}
 OTHER = len(BLOCKS)
 #: Elements by which pages mark their main part.
@@ -59,11 +64,24 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 #: What an end tag of a form closes on its way, if open last.
 IMPLIED = frozenset("p li dt dd option optgroup".split())
-ENDS_P = frozenset(BLOCKS) - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"}
-BOILER = re.compile(r"(?:^|[-_\s])(?:nav\w*|menu\w*|side-?bar\w*|foot(?:er)?\w*|ads?|advert\w*|banner\w*|promo\w*|sponsor\w*|cookie\w*|consent\w*|notice\w*|notification\w*|alert\w*|share\w*|sharing|social\w*|related\w*|recommend\w*|breadcrumb\w*|subscribe\w*|newsletter\w*|login\w*|signup\w*|popup\w*|modal\w*|masthead|topbar|pagination|pager|widget\w*|toolbar|skip\w*|complementary|contentinfo|navigation|search\w*)(?=$|[-_\s])", re.I)
-COMMENT = re.compile(r"(?:^|[-_\s])(?:comments?|comment-\w+|disqus\w*|replies|reply|respond|discussion|guestbook)(?=$|[-_\s])", re.I)
-CONTENT = re.compile(r"(?:^|[-_\s])(?:article\w*|content|main|post|entry|story|body|text)(?=$|[-_\s])", re.I)
+ENDS_P = frozenset(BLOCKS) - frozenset("html body td th tr tbody thead tfoot noscript object canvas audio video".split())
+#: Whole words that name boilerplate, readers' comments, and content; words of layout say nothing of either.
+BOILER = frozenset(
+    "nav navs navbar navigation menu menus menubar sidebar sidebars footer footers ad ads adsense advert adverts advertisement advertisements advertising banner banners promo promos promotion "
+    "promotions sponsor sponsors sponsored cookie cookies consent notice notices notification notifications alert alerts share sharing social socials related recommended recommendations "
+    "breadcrumb breadcrumbs subscribe subscription newsletter login signin signup popup modal masthead topbar pagination pager widget widgets toolbar skip complementary contentinfo search "
+    "searchbox searchbar searchform".split()
+)
+COMMENT = frozenset("comment comments commentlist disqus reply replies respond guestbook".split())
+CONTENT = frozenset("article articles content main post entry story body text".split())
+LAYOUT = frozenset(
+    "box block bar container wrap wrapper list lists item items link links area section sections inner outer row col column columns left right top bottom site page primary secondary global "
+    "header head content body main post posts article articles story stories button buttons btn form icon icons group panel module unit slot text title thread form small large mobile desktop "
+    "sticky fixed js to".split()
+)
 BOILER_TAGS = frozenset("nav aside footer menu form".split())
+#: What these hold is shown where they can't be played or drawn.
+MEDIA = frozenset("canvas audio video".split())
 #: Containers whose tag says little about what they hold.
 GENERIC = frozenset(TAG[name] for name in "div section table tbody tr td center ul ol li".split())
 #: The page's frame, in which parts of any kind begin.
@@ -76,10 +94,25 @@ WORDS = 1024
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _STOP = re.compile(r"[>\"']")
 _WORD = re.compile(r"[A-Za-z][A-Za-z0-9]*")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _RAW_END = {name: re.compile(rf"</{name}", re.I) for name in RAW}
 _NAMING = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
+def kind_of(naming: str) -> int:
+    """What the names in class, id and role say: 0 nothing, 1 boilerplate, 2 comments, 3 content, 4 a word of the first two
+    among others."""
+    kinds = set()
+    for name in naming.split():
+        words = [w.lower() for w in _PART.findall(name)]
+        said = BOILER.union(COMMENT).intersection([*words, "".join(words)])
+        if said and all(w in BOILER or w in COMMENT or w in LAYOUT for w in words) or "".join(words) in said:
+            kinds.add(2 if said & COMMENT else 1)
+        else:
+            kinds.add(4 if said else 3 if CONTENT.intersection(words) else 0)
+    return next((k for k in (2, 1, 3, 4) if k in kinds), 0)
+
+
 class _Tags:
     """Reads tags from a source in time that grows with its length: a quote that is never closed is looked for once."""
 
@@ -235,7 +268,7 @@ class Page:
                 self.parent.append(node)
                 node = len(self.tag)
                 self.tag.append(TAG[name])
-                self.kind.append((2 if COMMENT.search(naming) else 1 if BOILER.search(naming) else 3 if CONTENT.search(naming) else 0) if naming else 0)
+                self.kind.append(kind_of(naming) if naming else 0)
                 self.words.append(tuple(sorted({zlib.crc32(w.lower().encode()) % WORDS for w in _WORD.findall(naming)})) if naming else ())
                 self.chars.append(0)
                 self.link_chars.append(0)
@@ -254,7 +287,8 @@ class Page:
         return [a + f for a, f in zip(_AT, looks)] + ([] if plain else [_AT[-1] + SHAPE[-1] + w for w in self.words[node]])
 
     def edge(self, node: int, parent: int, plain: bool = False) -> int:
-        tag = TAG["div"] if plain and self.tag[node] in MARKS else self.tag[node]
+        """Parts that are named boilerplate or comments hang on their parents as asides do."""
+        tag = TAG["div"] if plain and self.tag[node] in MARKS else TAG["aside"] if not plain and self.kind[node] in (1, 2) else self.tag[node]
         return (self.tag[parent] not in FRAME) * (OTHER + 1) + tag
 
     def labels(self) -> list[int] | None:
@@ -282,7 +316,7 @@ class Page:
 
 #: Sizes of the groups of features: tag (without and with text of its own), kind of words, length, share of links, stops;
 #: the words' buckets follow.
-SHAPE = (2 * (OTHER + 1), 4, 4, 4, 3)
+SHAPE = (2 * (OTHER + 1), 5, 4, 4, 3)
 _AT = [0, *np.cumsum(SHAPE)[:-1].tolist()]
 _LOOKS = sum(SHAPE) + WORDS
 #: (parent in the frame or not, child's tag, parent's state, child's state)
@@ -311,10 +345,10 @@ def counts_of(page: Page, labels: list[int], total: np.ndarray) -> None:
 def _prior() -> tuple[np.ndarray, np.ndarray]:
     """Log odds of content before any page is seen, and how many nodes that counts for, by feature."""
     odds, weight = np.zeros(_LOOKS), np.full(_LOOKS, 3.0)
-    known = {"nav": -10, "aside": -10, "footer": -10, "menu": -10, "form": -5, "article": 4, "main": 4, "html": -2, "body": -2, "header": -2, "p": 1, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "h5": 2, "h6": 2}
+    known = {"nav": -10, "aside": -10, "footer": -10, "menu": -10, "form": -5, "article": 4, "main": 4, "html": -2, "body": -2, "header": -2, "p": 1, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "h5": 2, "h6": 2, "dialog": -2, "noscript": -1, "object": -0.5, "canvas": -3, "audio": -3, "video": -3}
     for at, x in [*((TAG[name], x) for name, x in known.items()), (OTHER, -2)]:
         odds[[at, at + OTHER + 1]], weight[[at, at + OTHER + 1]] = x, 20 if x == -10 else 3
-    odds[_AT[1] : _AT[1] + 4] = (0, -8, -10, 4)  # words of class, id and role: none, boilerplate, comments, content
+    odds[_AT[1] : _AT[1] + 5] = (0, -8, -10, 4, -1)  # names: none, boilerplate, comments, content, mixed
     odds[_AT[2] : _AT[2] + 4] = (0, 0.3, 1, 1)
     odds[_AT[3] : _AT[3] + 4] = (0, 0, -1, -3)
     odds[_AT[4] : _AT[4] + 3] = (0, 0.3, 0.7)
@@ -326,9 +360,9 @@ def _bounds() -> tuple[np.ndarray, np.ndarray]:
     edge, and little against it if it is short: menus teach that short items are not content, but lists have such too."""
     most = np.full(_LOOKS, 2.0)
     for at in range(OTHER + 1):
-        bound = 4 if at in MARKS else 2 if at == OTHER else 10 if BLOCKS[at] in BOILER_TAGS else None
+        bound = 4 if at in MARKS else 2 if at == OTHER else 10 if BLOCKS[at] in BOILER_TAGS else 3 if BLOCKS[at] in MEDIA else None
         most[[at, at + OTHER + 1]] = bound or ((0.5, 1.5) if at in GENERIC else 2)
-    most[_AT[1] : _AT[1] + 4] = 0.5, 10, 10, 4
+    most[_AT[1] : _AT[1] + 5] = 0.5, 10, 10, 4, 1
     most[_AT[2] : _AT[2] + 4] = most[_AT[4] : _AT[4] + 3] = 1
     most[_AT[3] : _AT[3] + 4] = 0.5, 1, 2, 3
     least = -most

@@ -221,3 +221,85 @@ def test_zip64_directories(limit):
         assert z.testzip() is None and z.read("a") == b"first" * 9
     with pytest.raises(ValueError):
         PackageReader(lambda at, n: b"nothing"[at : at + n], 7)
+
+
+PARTS = {
+    "math": ("<p>The law is <math><mi>E</mi>=<mi>m</mi></math> as known to all, and more of it follows.</p>", "The law is E=m as known to all, and more of it follows."),
+    "figure": ("<figure><img src=x><figcaption>The old bridge in spring, seen from the mill.</figcaption></figure>", "The old bridge in spring, seen from the mill."),
+    "footnotes": ("<section class='footnotes'><ol><li>See the first report, page 12.</li><li>Ibid.</li></ol></section>", "See the first report, page 12. Ibid."),
+    "search-methods": ("<section class='search-methods'><h2>Methods</h2><p>We looked through nine archives by hand, twice.</p></section>", "Methods We looked through nine archives by hand, twice."),
+    "share-prices": ("<table class='share-prices'><tr><th>Year<th>Price<tr><td>1901<td>12 marks</table>", "Year Price 1901 12 marks"),
+    "noscript": ("<noscript><p>The tables of this study are given below as text.</p></noscript>", "The tables of this study are given below as text."),
+    "discussion": ("<section id='discussion'><h2>Discussion</h2><p>Both results agree, although the second is weaker.</p></section>", "Discussion Both results agree, although the second is weaker."),
+    "socialHistory": ("<div class='socialHistory'><p>The villagers kept bees, goats and a common oven.</p></div>", "The villagers kept bees, goats and a common oven."),
+    "object": ("<p>The map is here: <object data=m.svg>a map of the valley, in words</object></p>", "The map is here: a map of the valley, in words"),
+    "svg": ("<p>The sign said <svg><text>Mind the step</text></svg> in red.</p>", "The sign said Mind the step in red."),
+    "navigators": ("<div id='navigators'><p>Of the three pilots, two had sailed the strait before.</p></div>", "Of the three pilots, two had sailed the strait before."),
+    "definition": ("<dl><dt>Weir</dt><dd>A low dam across a river, often of stone.</dd></dl>", "Weir A low dam across a river, often of stone."),
+}
+LAYOUTS = (
+    "<article>%s</article>", "<main>%s</main>", '<div class="content">%s</div>', '<div id="wrap"><div class="post-body">%s</div></div>',
+    "<main><article>%s<div class='ad'>Buy two, get one.</div><div class='related-posts'><p>Other things to read, if you like these.</p></div></article></main>",
+)
+AROUND = "<!doctype html><html><head><title>T</title><noscript><link></noscript></head><body><header class='site-header'><a href=/>Logo</a></header><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav><div class='cookieConsent'><p>We use cookies, as all do.</p></div>%s<div id='side-bar'><p>Most read, this week.</p></div><section class='comments'><p>Reader one: how nice, thanks for this.</p></section><iframe>frame</iframe><footer>Imprint</footer></body></html>"
+
+
+def test_gold_pages_of_many_forms(trained):
+    """60 pages whose names of parts lie: the article's text and nothing else."""
+    from terraloom.llm.html_extract import TreeModel
+
+    pages = [(AROUND % (layout % f"<h1>A title</h1><p>{P1}</p>{part}<p>{P1} It is done, and the end is near.</p>"), f"A title {P1} {text} {P1} It is done, and the end is near.", name) for layout in LAYOUTS for name, (part, text) in PARTS.items()]
+    assert len(pages) == 60
+    for model in (TreeModel(), trained):
+        exact = [model.extract(page) == want for page, want, _ in pages]
+        f1 = [word_f1(model.extract(page), want) for page, want, _ in pages]
+        missed = sorted({name for (_, _, name), ok in zip(pages, exact, strict=True) if not ok})
+        print(f"exact {sum(exact)} of {len(exact)}, F1 {sum(f1) / len(f1):.4f}, not exact: {missed}")
+        assert sum(exact) >= 54 and min(f1) > 0.9, missed
+
+
+def word_f1(got, want):
+    from collections import Counter
+
+    a, b = Counter(got.split()), Counter(want.split())
+    both = sum((a & b).values())
+    return 2 * both / (a.total() + b.total())
+
+
+def test_names():
+    from terraloom.llm.html_extract import kind_of
+
+    for naming, kind in {"nav": 1, "main-nav": 1, "side-bar": 1, "sideBar": 1, "cookie-notice": 1, "ad-slot-2": 1, "related-posts": 1, "comment-12": 2, "post-comments": 2, "footnotes": 0, "football": 0, "search-methods": 4, "share-price": 4, "navigators": 0, "content": 3, "post-body": 3, "discussion": 0, "": 0, "content sidebar": 1}.items():
+        assert kind_of(naming) == kind, naming
+
+
+def test_given_pages_by_their_marks(spark, sf_dir):
+    """The given pages mark their article: its text, read off with another parser, is the result."""
+    import html.parser
+
+    from terraloom.llm import html_extract as m
+
+    class Article(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.parts = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            if tag in ("p", "h1", "br", "article"):
+                self.parts.append("\n")
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            if tag in ("p", "h1", "article"):
+                self.parts.append("\n")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.parts.append(data)
+
+    for r in m.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), m.train(spark.read.parquet(f"{sf_dir}/pages.parquet"))).collect():
+        own = Article()
+        own.feed(r["html"])
+        own.close()
+        assert r["text"] == " ".join(x for x in (" ".join(b.split()) for b in "".join(own.parts).split("\n")) if x)
