@@ -2,9 +2,8 @@
 
 *Links.* A document's text, with a space before it, is cut by tokenizer A (byte-level BPE) and by tokenizer B (pieces with
 byte fallback). Byte offsets where tokens of both end cut the tokens into groups, and every A-B pair of occurrences within
-a group is a link. Neither tokenizer joins what lies left of a single space between two other characters with what lies
-right of it (A cuts before such a space; no piece of B holds a space after another character), so that texts are cut there
-and a segment's ids, groups and links are worked out once per task and kept in a bounded table.
+a group is a link. The documents of a block are tokenised one by one and laid end to end; groups and links are then worked out for
+all of them at once. A group of very many tokens is counted by its distinct ids, not pair by pair.
 
 *Runs.* A block of documents gives, for every radix bucket of the A ids, one run: the distinct (A, B, document) records
 with their numbers of links, sorted by A, B and document, as a zstd frame. The runs of all blocks are written to the shared
@@ -27,8 +26,6 @@ import base64
 import hashlib
 import heapq
 import itertools
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from operator import itemgetter
 
@@ -43,52 +40,20 @@ from .common import staged
 RADIX = 16
 #: Bytes of zstd frames that a task merges, on average.
 TASK_BYTES = 16 << 20
-#: A block ends at so many documents, or distinct (document, segment) records.
-BLOCK_DOCS, BLOCK_RECORDS = 4096, 1 << 20
-#: Segments that a task remembers, and their greatest length.
-SEGMENTS, SEGMENT_CHARS = 100_000, 48
+#: A block ends at 2 ** _DOC_BITS documents or so many A tokens.
+BLOCK_TOKENS = 1 << 19
+#: Groups with more links than this are counted by their distinct ids.
+WIDE = 1024
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Bits of a B id in a pair.
-_B_BITS = 16
+#: Bits of a B id (and of an A id) in a pair, and of a document's place in its block.
+_B_BITS, _DOC_BITS = 16, 12
 
 _DOCS = "block long, idx int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 _MAPPED = pa.schema([("block", pa.int64()), ("idx", pa.int32()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("bucket", pa.int32()), ("run", pa.binary())])
 
 
-class Segment:
-    """What a segment between cuts adds to its document: numbers of tokens, groups and links, the groups as text, and its
-    distinct pairs with their links. ``text`` is None where the tokens of a side do not spell the segment."""
-
-    __slots__ = ("links", "n_a", "n_b", "n_groups", "pairs", "text", "times")
-
-    def __init__(self, a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes], want: bytes):
-        spelt_a, spelt_b = [a_bytes[i] for i in a], [b_bytes[i] for i in b]
-        self.text = None
-        if b"".join(spelt_a) != want or b"".join(spelt_b) != want:
-            return
-        ends_a, ends_b = np.cumsum([len(x) for x in spelt_a]), np.cumsum([len(x) for x in spelt_b])
-        both = np.intersect1d(ends_a, ends_b)
-        upto_a, upto_b = (np.searchsorted(x, both, "right").tolist() for x in (ends_a, ends_b))
-        pairs: Counter[int] = Counter()
-        parts = []
-        for a0, a1, b0, b1 in zip([0, *upto_a[:-1]], upto_a, [0, *upto_b[:-1]], upto_b, strict=True):
-            group_a, group_b = a[a0:a1], b[b0:b1]
-            parts.append(f"{','.join(map(str, group_a))}|{','.join(map(str, group_b))}")
-            if a1 - a0 == b1 - b0 == 1:
-                pairs[group_a[0] << _B_BITS | group_b[0]] += 1
-                continue
-            times_b = Counter(group_b)
-            for x, n in Counter(group_a).items():
-                for y, m in times_b.items():
-                    pairs[x << _B_BITS | y] += n * m
-        self.n_a, self.n_b, self.n_groups, self.text = len(a), len(b), len(parts), ";".join(parts)
-        self.links = sum(pairs.values())
-        self.pairs, self.times = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
-
-
-def byte_tables(ranks_path: str | None = None, model_path: str | None = None) -> tuple[Callable, Callable, list[bytes], list[bytes], bool]:
-    """A's and B's encoders, the bytes of their tokens, and whether texts may be cut at single spaces."""
+def byte_tables(ranks_path: str | None = None, model_path: str | None = None) -> tuple[Callable, Callable, list[bytes], list[bytes]]:
+    """A's encoder of a text and B's of a list of texts, and the bytes of their tokens."""
     import public_tokenizers as files
     import sentencepiece
     import tiktoken
@@ -102,54 +67,92 @@ def byte_tables(ranks_path: str | None = None, model_path: str | None = None) ->
     pieces = sentencepiece.SentencePieceProcessor(model_file=model_path or files.path("piece_bpe_32k.model"))
     names = [pieces.id_to_piece(i) for i in range(pieces.get_piece_size())]
     b_bytes = [bytes([int(x[3:5], 16)]) if pieces.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
-    return own.encode_ordinary, pieces.encode, a_bytes, b_bytes, not any("▁" in x.lstrip("▁") for x in names)
+    return own.encode_ordinary, lambda texts: pieces.encode(texts, num_threads=1), a_bytes, b_bytes
+
+
+def _digit_table(n: int) -> np.ndarray:
+    """The decimal digits of 0 to n - 1, a row each, with zero bytes for leading zeros."""
+    powers = 10 ** np.arange(len(str(n - 1)) - 1, -1, -1)
+    at = np.arange(n)[:, None]
+    return np.where((at >= powers) | (powers == 1), at // powers % 10 + 48, 0).astype(np.uint8)
 
 
 class Aligner:
-    """Documents to their segments."""
+    """Blocks of documents to their groups and links, for all documents of a block at once."""
 
     def __init__(self, ranks_path: str | None = None, model_path: str | None = None):
-        self.encode_a, self.encode_b, self.a_bytes, self.b_bytes, self.may_cut = byte_tables(ranks_path, model_path)
-        self.known: dict[str, Segment] = {}
-
-    def segment(self, text: str) -> Segment:
-        if found := self.known.get(text):
-            return found
-        spaced = " " + text
-        made = Segment(self.encode_a(spaced), self.encode_b(text), self.a_bytes, self.b_bytes, spaced.encode("utf-8", "surrogatepass"))
-        if len(text) <= SEGMENT_CHARS:
-            if len(self.known) >= SEGMENTS:
-                self.known.clear()
-            self.known[text] = made
-        return made
-
-    def cut(self, text: str) -> list[str]:
-        if not self.may_cut:
-            return [text]
-        parts = text.split(" ")
-        loose = lambda x: not x or x[0].isspace() or x[-1].isspace()
-        return _CUT.split(text) if any(map(loose, set(parts))) else parts
-
-    def document(self, text: str | None) -> tuple[tuple, np.ndarray, np.ndarray]:
-        """(n_a, n_b, n_groups, n_links, groups_sha256), then pairs, perhaps repeated, and their numbers of links."""
-        none = (0, 0, 0, 0, ""), np.empty(0, np.int64), np.empty(0, np.int64)
-        if not text:
-            return none
-        parts = self.cut(text)
-        times = Counter(parts)
-        made = {x: self.segment(x) for x in times}
-        if any(s.text is None for s in made.values()):
-            return none
-        n_a = n_b = n_groups = n_links = 0
-        for x, n in times.items():
-            s = made[x]
-            n_a, n_b, n_groups, n_links = n_a + n * s.n_a, n_b + n * s.n_b, n_groups + n * s.n_groups, n_links + n * s.links
-        digest = hashlib.sha256()
-        for at in range(0, len(parts), 1 << 16):
-            digest.update(((";" if at else "") + ";".join([made[x].text for x in parts[at : at + (1 << 16)]])).encode())
-        pairs = np.concatenate([made[x].pairs for x in times])
-        links = np.concatenate([made[x].times * n for x, n in times.items()])
-        return (n_a, n_b, n_groups, n_links, digest.hexdigest()), pairs, links
+        self.encode_a, self.encode_b, self.a_bytes, self.b_bytes = byte_tables(ranks_path, model_path)
+        self.a_size, self.b_size = (np.array([len(x) for x in table]) for table in (self.a_bytes, self.b_bytes))
+        self.digits = _digit_table(max(len(self.a_bytes), len(self.b_bytes)))
+
+    def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Both sides' ids of every text; none where a side's tokens do not spell the text."""
+        out = []
+        for text, b in zip(texts, self.encode_b([x or "" for x in texts]), strict=True):
+            a = self.encode_a(" " + text) if text else []
+            want = (" " + text).encode("utf-8", "surrogatepass") if text else b""
+            good = b"".join(map(self.a_bytes.__getitem__, a)) == want == b"".join(map(self.b_bytes.__getitem__, b))
+            out.append((np.array(a, np.int64), np.array(b, np.int64)) if good else (np.empty(0, np.int64),) * 2)
+        return out
+
+    def block(self, tokens: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+        """(n_a, n_b, n_groups, n_links, groups_sha256) of every document; then the sorted keys (bucket, pair, document) of
+        the block's links and how often each is linked. Documents end tokens of both sides, so that all of them can be
+        laid end to end."""
+        n_a, n_b = (np.array([len(x[side]) for x in tokens], np.int64) for side in (0, 1))
+        a, b = (np.concatenate([x[side] for x in tokens]) for side in (0, 1))
+        if not len(a):
+            return [(0, 0, 0, 0, "")] * len(tokens), np.empty(0, np.int64), np.empty(0, np.int64)
+        ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        cut_a, cut_b = ends_b[np.searchsorted(ends_b, ends_a)] == ends_a, ends_a[np.searchsorted(ends_a, ends_b)] == ends_b
+        group_a, group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
+        size_a, size_b = np.bincount(group_a), np.bincount(group_b)
+        first_a, first_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+        doc_of_a = np.repeat(np.arange(len(tokens)), n_a)
+        doc_of_group = doc_of_a[first_a]
+        n_groups = np.bincount(doc_of_group, minlength=len(tokens))
+        n_links = np.zeros(len(tokens), np.int64)
+        np.add.at(n_links, doc_of_group, size_a * size_b)
+        keys, times = self._links(a, b, doc_of_a, group_a, size_a, size_b, first_a, first_b)
+        # The groups as text: every token is a separator and its digits, those of A before those of B in each group.
+        text = np.zeros((len(a) + len(b), 1 + self.digits.shape[1]), np.uint8)
+        at_a, at_b = np.arange(len(a)) + first_b[group_a], np.arange(len(b)) + (first_a + size_a)[group_b]
+        text[:, 0] = ord(",")
+        text[at_a[first_a], 0], text[at_b[first_b], 0] = ord(";"), ord("|")
+        text[at_a, 1:], text[at_b, 1:] = self.digits[a], self.digits[b]
+        stops = np.cumsum(n_a + n_b)
+        rows = []
+        for k, stop in enumerate(stops.tolist()):
+            cells = text[stop - int(n_a[k] + n_b[k]) : stop].ravel()
+            digest = hashlib.sha256(cells[cells != 0][1:].tobytes()).hexdigest() if len(cells) else ""
+            rows.append((int(n_a[k]), int(n_b[k]), int(n_groups[k]), int(n_links[k]), digest))
+        return rows, keys, times
+
+    @staticmethod
+    def _links(a, b, doc_of_a, group_a, size_a, size_b, first_a, first_b) -> tuple[np.ndarray, np.ndarray]:
+        wide = size_a * size_b > WIDE
+        mine = ~wide[group_a]
+        reps = np.where(mine, size_b[group_a], 0)
+        within = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        pair = np.repeat(a << _B_BITS, reps) | b[np.repeat(first_b[group_a], reps) + within]
+        keys, times = np.unique(_keys(pair, np.repeat(doc_of_a, reps)), return_counts=True)
+        if not wide.any():
+            return keys, times
+        every, often = [keys], [times]
+        for g in np.flatnonzero(wide).tolist():  # distinct ids against distinct ids, with the products of their numbers
+            ids_a, many_a = np.unique(a[first_a[g] : first_a[g] + size_a[g]], return_counts=True)
+            ids_b, many_b = np.unique(b[first_b[g] : first_b[g] + size_b[g]], return_counts=True)
+            every.append(_keys((ids_a[:, None] << _B_BITS | ids_b).ravel(), doc_of_a[first_a[g]]))
+            often.append(np.outer(many_a, many_b).ravel())
+        keys, at = np.unique(np.concatenate(every), return_inverse=True)
+        times = np.zeros(len(keys), np.int64)
+        np.add.at(times, at, np.concatenate(often))
+        return keys, times
+
+
+def _keys(pair: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Numbers that sort by bucket, pair and document."""
+    return (pair >> _B_BITS) % RADIX << (2 * _B_BITS + _DOC_BITS) | pair << _DOC_BITS | doc
 
 
 def packed_run(pairs: np.ndarray, idx: np.ndarray, links: np.ndarray) -> bytes:
@@ -170,22 +173,14 @@ def unpacked_run(frame: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(steps, dtype=np.int64), np.frombuffer(raw, "<u2", n, 8 + 4 * n).astype(np.int64), np.frombuffer(raw, "<i8", n, 8 + 6 * n)
 
 
-def runs_of(pairs: list[np.ndarray], links: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
-    """(bucket, run) of a block of documents, given each document's pairs and links."""
-    if not pairs:
-        return
-    idx = np.repeat(np.arange(len(pairs)), [len(x) for x in pairs])
-    pair, link = np.concatenate(pairs), np.concatenate(links)
-    bucket = (pair >> _B_BITS) % RADIX
-    order = np.lexsort((idx, pair, bucket))
-    bucket, pair, idx, link = bucket[order], pair[order], idx[order], link[order]
-    if not len(pair):
-        return
-    new = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (idx[1:] != idx[:-1])]))
-    bucket, pair, idx, link = bucket[new], pair[new], idx[new], np.add.reduceat(link, new)
-    for r in np.unique(bucket).tolist():
-        a, b = np.searchsorted(bucket, (r, r + 1))
-        yield r, packed_run(pair[a:b], idx[a:b], link[a:b])
+def runs_of(keys: np.ndarray, times: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, run) of a block, from its sorted keys."""
+    bucket = keys >> (2 * _B_BITS + _DOC_BITS)
+    pair, doc = keys >> _DOC_BITS & ((1 << 2 * _B_BITS) - 1), keys & ((1 << _DOC_BITS) - 1)
+    cuts = np.searchsorted(bucket, np.arange(RADIX + 1)).tolist()
+    for r, (a, b) in enumerate(itertools.pairwise(cuts)):
+        if a < b:
+            yield r, packed_run(pair[a:b], doc[a:b], times[a:b])
 
 
 def mapped(docs: DataFrame, ranks_path: str | None = None, model_path: str | None = None) -> DataFrame:
@@ -195,24 +190,25 @@ def mapped(docs: DataFrame, ranks_path: str | None = None, model_path: str | Non
         from pyspark import TaskContext
 
         aligner, block = Aligner(ranks_path, model_path), TaskContext.get().partitionId() << 32
-        rows, pairs, links, records = [], [], [], 0
+        ids, tokens, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            out = [{"block": block, "idx": k, "doc_id": d, "n_a": n[0], "n_b": n[1], "n_groups": n[2], "n_links": n[3], "groups_sha256": n[4]} for k, (d, n) in enumerate(rows)]
-            out += [{"block": block, "bucket": r, "run": run} for r, run in runs_of(pairs, links)]
+            rows, keys, times = aligner.block(tokens)
+            out = [{"block": block, "idx": k, "doc_id": d, "n_a": n[0], "n_b": n[1], "n_groups": n[2], "n_links": n[3], "groups_sha256": n[4]} for k, (d, n) in enumerate(zip(ids, rows, strict=True))]
+            out += [{"block": block, "bucket": r, "run": run} for r, run in runs_of(keys, times)]
             return pa.RecordBatch.from_pylist(out, _MAPPED)
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                numbers, pair, link = aligner.document(text.as_py())
-                rows.append((doc, numbers))
-                pairs.append(pair)
-                links.append(link)
-                records += len(pair)
-                if len(rows) >= BLOCK_DOCS or records >= BLOCK_RECORDS:
-                    yield flush()
-                    block, rows, pairs, links, records = block + 1, [], [], [], 0
-        if rows:
+            for at in range(0, len(batch), 64):
+                some = batch.slice(at, 64)
+                for doc, found in zip(some.column("doc_id").to_pylist(), aligner.tokens(some.column("text").to_pylist()), strict=True):
+                    ids.append(doc)
+                    tokens.append(found)
+                    size += len(found[0])
+                    if len(ids) >= 1 << _DOC_BITS or size >= BLOCK_TOKENS:
+                        yield flush()
+                        block, ids, tokens, size = block + 1, [], [], 0
+        if ids:
             yield flush()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, f"{_DOCS}, bucket int, run binary")

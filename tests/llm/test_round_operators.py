@@ -188,17 +188,26 @@ def test_alignment(spark, docs, real, monkeypatch):
     assert m.query(docs.where("text is null")).where("n_a = 0 and groups_sha256 = '' and count_sum = 0").count() == 2
 
 
-def test_segments_give_the_whole_texts_tokens():
-    from terraloom.llm.token_alignment import Aligner
+def test_blocks_of_hard_texts(monkeypatch):
+    """Random texts, and groups so wide that they are counted by distinct ids, against the loops over one document each."""
+    from terraloom.llm import token_alignment as m
 
-    aligner, rng = Aligner(), random.Random(6)
-    alphabet = [*"abcXYZ019.,'!$%", " ", " ", " ", "\n", "\t", " ", " ", "\x1c", "\x85", "é", "日", "🙂", " the", " and", "'s", "ing", "<s>", "<0x41>"]
-    for _ in range(3000):
-        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 40)))
-        parts = aligner.cut(text)
-        assert " ".join(parts) == text
-        assert [i for x in parts for i in aligner.encode_a(" " + x)] == aligner.encode_a(" " + text)
-        assert [i for x in parts for i in aligner.encode_b(x)] == aligner.encode_b(text)
+    rng = random.Random(6)
+    alphabet = [*"abcXYZ019.,'!$%", " ", " ", " ", "\n", "\t", "\xa0", "\x1c", "\x85", "é", "日本", "🙂", " the", " and", "'s", "ing", "<s>", "<0x41>", "▁"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 60))) for _ in range(300)] + ["日本" * 900, "🙂" * 500 + "x", None]
+    want, _ = alignment_brute(list(enumerate(texts)))
+    for wide in (1024, 1):
+        monkeypatch.setattr(m, "WIDE", wide)
+        aligner = m.Aligner()
+        rows, keys, times = aligner.block(aligner.tokens(texts))
+        assert [(k, *r[:4], r[4]) for k, r in enumerate(rows)] == [(w[0], *w[1:5], w[7]) for w in want]
+        got = Counter()
+        for _, run in m.runs_of(keys, times):
+            pairs, docs, links = m.unpacked_run(run)
+            assert (np.diff(pairs) >= 0).all()
+            for d, n in zip(docs.tolist(), links.tolist(), strict=True):
+                got[d] += n
+        assert all(got[k] == w[4] for k, w in enumerate(want))
 
 
 def test_runs_and_their_merge():
@@ -209,7 +218,8 @@ def test_runs_and_their_merge():
         sets = [np.unique(rng.integers(0, 1 << 20, rng.integers(0, 300))) << 8 for _ in range(9)]
         for x in sets:
             want.update(x.tolist())
-        runs += [run for _, run in m.runs_of(sets, [np.ones(len(x), np.int64) for x in sets])]
+        keys = np.sort(np.concatenate([m._keys(x, np.full(len(x), k)) for k, x in enumerate(sets)]))
+        runs += [run for _, run in m.runs_of(keys, np.ones(len(keys), np.int64))]
     got = [(int(p), int(n)) for pairs, counts in m.merged_counts(runs) for p, n in zip(pairs, counts, strict=True)]
     assert dict(got) == dict(want) and len(got) == len(want)
     heads = [int(pairs[0]) >> 16 for pairs, _ in m.merged_counts(runs)]
