@@ -182,11 +182,14 @@ def weighted_position(c: DataFrame) -> DataFrame:
 
 
 def fused(weighed: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
-    """One row per query from its weighed candidates: position, ellipse, diagnostics."""
-    credible = credible_set(weighed, knobs)
+    """One row per query from its weighed candidates: position, ellipse, diagnostics. With a cluster's radius, the densest
+    cluster stands for the credible set of ambiguous queries."""
+    credible, told = credible_set(weighed, knobs), diagnostics(weighed, knobs)
     if knobs.cluster_radius_km > 0:
-        credible = densest_cluster(credible, knobs.cluster_radius_km, knobs.cluster_least_mass)
-    out = weighted_position(credible).join(diagnostics(weighed, knobs), Q)
+        unsure = credible.join(told.where("ambiguous").select(*Q), Q, "left_semi")
+        dense = densest_cluster(unsure, knobs.cluster_radius_km, knobs.cluster_least_mass, max(1, knobs.min_credible))
+        credible = dense.unionByName(credible.join(told.where("ambiguous").select(*Q), Q, "left_anti"))
+    out = weighted_position(credible).join(told, Q)
     if knobs.high_cap:
         support = weighed.groupBy(*Q).agg(F.max_by("cross", F.struct(F.round("w", 9), -F.col("item_id"))).alias("top1_cross_support"))
         out = out.join(support, Q).withColumn("tier", capped_tier("tier", "top1_cross_support", "major_m", knobs.high_cap, knobs.medium_cap))
@@ -199,9 +202,11 @@ def fuse(c: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
 
 def densest_cluster(credible: DataFrame, radius_km: float, min_weight: float, min_size: int = 1) -> DataFrame:
     """Of each query's credible rows: the ball around one of them with the largest (mass, size, weight of its centre); all
-    rows where no ball has the mass and size."""
-    both = pairs(credible, ["w"]).where(F.col("km") <= max(1.0, radius_km))
-    balls = both.groupBy(*Q, "item_id", "w").agg(F.sum("o_w").alias("mass"), F.count(F.lit(1)).alias("size")).where((F.col("mass") >= min_weight) & (F.col("size") >= min_size))
+    rows where no ball has the mass and ``min_size`` rows, or all rows if they are fewer."""
+    both = pairs(credible, ["w"])
+    sizes = credible.groupBy(*Q).agg(F.least(F.count(F.lit(1)), F.lit(min_size)).alias("_least"))
+    both = both.where(F.col("km") <= max(1.0, radius_km))
+    balls = both.groupBy(*Q, "item_id", "w").agg(F.sum("o_w").alias("mass"), F.count(F.lit(1)).alias("size")).join(sizes, Q).where((F.col("mass") >= min_weight) & (F.col("size") >= F.col("_least")))
     best = balls.groupBy(*Q).agg(F.max_by("item_id", F.struct(F.round("mass", 9), F.col("size"), F.round("w", 9), -F.col("item_id"))).alias("center"))
     members = both.join(best, Q).where(F.col("item_id") == F.col("center")).select(*Q, F.col("o_item_id").alias("item_id"), F.lit(True).alias("_in"))
     return credible.join(best, Q, "left").join(members, [*Q, "item_id"], "left").where(F.col("center").isNull() | F.col("_in")).drop("_in", "center")

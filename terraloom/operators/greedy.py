@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def per_key(df: DataFrame, key: str, order: list, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -36,11 +37,17 @@ def _km(a, b) -> float:
     return 12742 * math.atan2(math.sqrt(t), math.sqrt(max(0.0, 1 - t)))
 
 
+def _rounded(score: float) -> float:
+    return score if math.isinf(score) else round(score, 9)
+
+
 def diverse(c: DataFrame, top_k: int, radius_km: float, weight: float, min_keep: int = 1) -> DataFrame:
-    """query_id, item_id, at: the best ``min_keep``, then the largest weight * score - (1 - weight) * exp(-nearest / r)."""
+    """query_id, item_id, at: the best ``min_keep``, then the largest weight * score - (1 - weight) * exp(-nearest / r).
+    Null and NaN scores count as less than any other."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(pdf.itertuples(index=False), key=lambda r: (-round(r.score, 9), r.item_id))
+        pdf = pdf.assign(score=pdf["score"].fillna(-math.inf))
+        rows = sorted(pdf.itertuples(index=False), key=lambda r: (-_rounded(r.score), r.item_id))
         taken, left = rows[: max(1, min_keep)], rows[max(1, min_keep) :]
         near = {r.item_id: min(_km((r.lat, r.lon), (t.lat, t.lon)) for t in taken) for r in left}
         while left and len(taken) < top_k:
@@ -49,7 +56,7 @@ def diverse(c: DataFrame, top_k: int, radius_km: float, weight: float, min_keep:
             taken.append(best)
             for r in left:
                 near[r.item_id] = min(near[r.item_id], _km((r.lat, r.lon), (best.lat, best.lon)))
-        taken.sort(key=lambda r: (-round(r.score, 9), r.item_id))
+        taken.sort(key=lambda r: (-_rounded(r.score), r.item_id))
         return pd.DataFrame([(r.query_id, r.item_id, k + 1) for k, r in enumerate(taken[:top_k])], columns=["query_id", "item_id", "at"])
 
     return per_key(c.select("query_id", "item_id", "lat", "lon", "score"), "query_id", [], work, "query_id long, item_id long, at int")
@@ -57,9 +64,11 @@ def diverse(c: DataFrame, top_k: int, radius_km: float, weight: float, min_keep:
 
 def clustered(c: DataFrame, radius_m: float = 300.0) -> DataFrame:
     """query_id, cluster, lat, lon, score, n: best first, each row joins the first cluster whose moving centroid lies within
-    the radius; a cluster's score is 1 - prod(1 - s), its centroid weighted by max(s, 0.05)."""
+    the radius; a cluster's score is 1 - prod(1 - s), its centroid weighted by max(s, 0.05). Null and NaN scores
+    count as 0."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(score=pdf["score"].fillna(0.0))
         clusters: list[list[float]] = []  # lat sum, lon sum, weight, prod(1 - s), n
         for r in sorted(pdf.itertuples(index=False), key=lambda r: (-round(r.score, 9), r.item_id)):
             s = min(0.999, max(0.0, r.score))
@@ -78,21 +87,70 @@ def clustered(c: DataFrame, radius_m: float = 300.0) -> DataFrame:
     return per_key(c.select("query_id", "item_id", "lat", "lon", "score"), "query_id", [], work, "query_id long, cluster int, lat double, lon double, score double, n long")
 
 
-def suppressed(d: DataFrame, iou: float = 0.5, most: int = 100) -> DataFrame:
-    """Non-maximum suppression of boxes (image_id, label, det, confidence, x, y, w, h) per image and label; det of the rest."""
+def _clipped_area(p: list[tuple[float, float]], q: list[tuple[float, float]]) -> float:
+    """The area that two convex polygons with counter-clockwise corners share."""
+    for a, b in zip(q, [*q[1:], q[0]], strict=True):
+        side = [(b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) for x, y in p]
+        out = []
+        for k, (e, at) in enumerate(zip(p, side, strict=True)):
+            s, was = p[k - 1], side[k - 1]
+            if (at >= 0) != (was >= 0):
+                t = was / (was - at)
+                out.append((s[0] + t * (e[0] - s[0]), s[1] + t * (e[1] - s[1])))
+            if at >= 0:
+                out.append(e)
+        p = out
+        if len(p) < 3:
+            return 0.0
+    return abs(_area(p))
+
+
+def _area(p: list[tuple[float, float]]) -> float:
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, [*p[1:], p[0]], strict=True)) / 2
+
+
+def suppressed(d: DataFrame, iou: float = 0.5, most: int = 100, per_label: bool = True, mode: str = "hull") -> DataFrame:
+    """Non-maximum suppression of detections (image_id, label, det, confidence, and quad or x, y, w, h) in each image, of one
+    label or across labels, by the overlap of hulls or of quads; image_id and det of the rest, ``most`` an image (0: all).
+    The best confidence comes first, then the smallest det; null and NaN confidences come last. Rows stream through in this
+    order, and a task holds what it kept of one image. A threshold of 0 or less suppresses nothing."""
+    if "quad" not in d.columns:
+        x, y, x1, y1 = F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h")
+        d = d.withColumn("quad", F.array(*(F.struct(a.alias("x"), b.alias("y")) for a, b in ((x, y), (x1, y), (x1, y1), (x, y1)))))
+    corners = [F.get("quad", i)[axis].cast("double").alias(f"{axis}{i}") for i in range(4) for axis in ("x", "y")]
+    sure = F.when(F.isnan(F.col("confidence").cast("double")), F.lit(None)).otherwise(F.col("confidence").cast("double"))
+    flat = d.select("image_id", "label", "det", sure.alias("confidence"), *corners)
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for r in sorted(pdf.itertuples(index=False), key=lambda r: (-r.confidence, r.det)):
-            for k in kept:
-                if k.label == r.label:
-                    a = max(0.0, min(k.x + k.w, r.x + r.w) - max(k.x, r.x)) * max(0.0, min(k.y + k.h, r.y + r.h) - max(k.y, r.y))
-                    if a and a / (k.w * k.h + r.w * r.h - a) > iou:
-                        break
-            else:
-                kept.append(r)
-                if len(kept) == most:
-                    break
-        return pd.DataFrame([(r.image_id, r.det) for r in kept], columns=["image_id", "det"])
-
-    return per_key(d, "image_id", [], work, "image_id long, det long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        image, kept, n = object(), [], 0
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.image_id != image:
+                    image, kept, n = r.image_id, [], 0
+                if most > 0 and n >= most:
+                    continue
+                p = [(r[4 + 2 * i], r[5 + 2 * i]) for i in range(4)]
+                if mode == "hull":
+                    xs, ys = [c[0] for c in p], [c[1] for c in p]
+                    p = [(min(xs), min(ys)), (max(xs), min(ys)), (max(xs), max(ys)), (min(xs), max(ys))]
+                area = _area(p)
+                if area < 0:
+                    p, area = p[::-1], -area
+                box = min(c[0] for c in p), min(c[1] for c in p), max(c[0] for c in p), max(c[1] for c in p)
+                if iou > 0 and any((not per_label or label == r.label) and _overlap(p, area, box, q, q_area, q_box) > iou for label, q, q_area, q_box in kept):
+                    continue
+                n += 1
+                kept.append((r.label, p, area, box))
+                out.append((r.image_id, r.det))
+            yield pd.DataFrame(out, columns=["image_id", "det"])
+
+    order = [F.col("image_id"), F.col("confidence").desc_nulls_last(), F.col("det")]
+    return flat.repartition("image_id").sortWithinPartitions(*order).mapInPandas(run, "image_id long, det long")
+
+
+def _overlap(p, p_area: float, p_box, q, q_area: float, q_box) -> float:
+    if p_area <= 0 or q_area <= 0 or p_box[2] <= q_box[0] or q_box[2] <= p_box[0] or p_box[3] <= q_box[1] or q_box[3] <= p_box[1]:
+        return 0.0
+    both = _clipped_area(p, q)
+    return both / (p_area + q_area - both) if both > 0 else 0.0

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine_km
 from ..functions.scores import by_group
 from ..sources.stage import written
+from .ranges import RANGE_ROWS, first_of_keys, quotas_by_cell
 from .retrieval import Q
-from .spatial import first_by_key, radius_pairs
+from .spatial import first_by_key, radius_pairs, running_totals
 
 
 def triplet_items(e: DataFrame, positive_km: float, near_km: float, far_km: float, n: int) -> DataFrame:
@@ -133,54 +134,29 @@ def crossview_triplets(pairs: DataFrame, aerials: DataFrame, positive_km: float,
     return _listed(placed, key, "positives", ["aerial_id", "km"]).join(_listed(negatives, key, "hard_negatives", ["aerial_id", "km"]), key)
 
 
-def quota_sample(candidates: DataFrame, per_cell: int, per_sequence: int, order: list[Column], most: int | None = None) -> DataFrame:
+def quota_sample(candidates: DataFrame, per_cell: int, per_sequence: int, order: list[Column], most: int | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Of candidates (cell, image_id, sequence, ...; the cells in their order) the best by ``order`` in each cell, one of a
     sequence per cell and ``per_sequence`` of it in all, an image once; the first ``most`` by cell and order. What a cell
-    may take of a sequence depends on the cells before it: all cells choose given what those before them chose in the
-    last round, until a round changes nothing. The first cell is right after one round, and each round settles one more at
-    least; in practice few cells depend on each other."""
+    may take of a sequence depends on the cells before it."""
     once = first_by_key(candidates, ["image_id"], [F.col("cell"), *order])
-    pool = written(once.withColumn("_k", F.row_number().over(Window.partitionBy("cell").orderBy(*order, "image_id"))), "pool")
-    taken, before = None, None
-    while True:
-        rows = pool
-        if taken is not None:
-            counts = taken.where("sequence is not null").groupBy("sequence", "cell").agg(F.count(F.lit(1)).alias("_c"))
-            asked = pool.where("sequence is not null").select("sequence", "cell").distinct().join(counts, ["sequence", "cell"], "left")
-            earlier = F.coalesce(F.sum("_c").over(Window.partitionBy("sequence").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            rows = pool.join(asked.select("sequence", "cell", earlier.alias("_e")), ["sequence", "cell"], "left").where(F.coalesce(F.col("_e") < max(1, per_sequence), F.lit(True))).drop("_e")
-        first = rows.withColumn("_s", F.when(F.col("sequence").isNotNull(), F.row_number().over(Window.partitionBy("cell", "sequence").orderBy("_k")))).where("_s is null or _s = 1").drop("_s")
-        taken = written(first.withColumn("_t", F.row_number().over(Window.partitionBy("cell").orderBy("_k"))).where(F.col("_t") <= per_cell).drop("_t"), "taken")
-        now = taken.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("cell", "image_id").cast("decimal(20,0)")).alias("s")).first()
-        if now == before:
-            break
-        before = now
+    pool = once.withColumn("_k", F.row_number().over(Window.partitionBy("cell").orderBy(*order, "image_id")))
+    taken = quotas_by_cell(pool, per_cell, max(1, per_sequence), range_rows)
     if most is None:
         return taken.drop("_k")
+    # How many the cells before it took: cells are counted by ranges of their order first, then within each range.
     sizes = taken.groupBy("cell").agg(F.count(F.lit(1)).alias("_c"))
-    start = sizes.select("cell", F.coalesce(F.sum("_c").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    start = running_totals(sizes, "cell", "_c", "_b")
     at = F.col("_b") + F.row_number().over(Window.partitionBy("cell").orderBy("_k"))
     return taken.join(start, "cell").withColumn("_at", at).where(F.col("_at") <= most).drop("_k", "_b", "_at")
 
 
-def merged_once(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Walks the rows in order and takes one if none of its ``keys`` was taken before; rows without a key are left out. A
-    row that comes first among what is left for each of its keys is taken; then all rows that share a key with a taken
-    one go. Each round takes the first row that is left at least."""
+def merged_once(rows: DataFrame, keys: list[str], order: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Walks the rows in order and takes one if none of its ``keys`` was taken before; rows without a key are left out.
+    ``order`` should leave no ties; the keys settle those that it leaves, and of rows that are equal in all one is taken."""
     ok = rows
     for k in keys:
         ok = ok.where(F.col(k).isNotNull() & (F.trim(F.col(k).cast("string")) != ""))
-    left, out = written(ok, "left"), None
-    while not left.isEmpty():
-        marked = left
-        for i, k in enumerate(keys):
-            marked = marked.withColumn(f"_n{i}", F.row_number().over(Window.partitionBy(k).orderBy(*order)))
-        taken = written(marked.where(" and ".join(f"_n{i} = 1" for i in range(len(keys)))).drop(*(f"_n{i}" for i in range(len(keys)))), "taken")
-        out = taken if out is None else out.unionByName(taken)
-        for k in keys:
-            left = left.join(taken.select(k), k, "left_anti")
-        left = written(left.select(*rows.columns), "left")
-    return ok.limit(0) if out is None else out
+    return first_of_keys(ok, keys, [*order, *keys], range_rows)
 
 
 def most_reused(items: DataFrame, n: int = 10) -> DataFrame:

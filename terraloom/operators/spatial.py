@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import angle_between, grid_cell, haversine_km
+from ..sources.stage import written
 
 
 def _ring(lon, n: Column) -> Column:
@@ -40,6 +41,19 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius_km: float) -> DataFra
     return left.withColumns({"cy": band("lat"), "cx": _ring("lon", ring(band("lat")))}).join(r, ["cy", "cx"]).withColumn("km", haversine_km("lat", "lon", "r_lat", "r_lon")).where(F.col("km") <= radius_km).drop("cy", "cx")
 
 
+def running_totals(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """``order`` and ``name``: the total of ``value`` over all rows before, by ``order``. Two levels: the rows' ranges are
+    written and summed, one number a range; a window then runs within each range."""
+    spark = rows.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(rows.select(order, value).repartitionByRange(width, order).withColumn("_part", F.spark_partition_id()), "running")
+    parts = ranged.groupBy("_part").agg(F.sum(value).alias("_all"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select("_part", F.coalesce(F.sum("_all").over(before(Window.orderBy("_part"))), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum(value).over(before(Window.partitionBy("_part").orderBy(order))), F.lit(0))
+    return ranged.withColumn("_in", inside).join(F.broadcast(base), "_part").select(order, (F.col("_base") + F.col("_in")).alias(name))
+
+
 def nearest(left: DataFrame, right: DataFrame, key: str, order: list[Column], radius_km: float, n: int = 1) -> DataFrame:
     """The first ``n`` of the right side within the radius for every ``key``, by ``order``."""
     w = Window.partitionBy(key).orderBy(*order)
