@@ -20,10 +20,12 @@ from .fit import sums_of_products
 from .retrieval import Q, pairs, ranked
 
 
-def with_agreement(c: DataFrame, ranks: DataFrame, top_n: int, n_views: int, weight: float) -> DataFrame:
-    """``score`` blended, in the lists' own range, with the agreement of the views on each item. Flat lists stay."""
+def with_agreement(c: DataFrame, ranks: DataFrame, top_n: int, n_views: int, weight: float, within: tuple[str, ...] = ()) -> DataFrame:
+    """``score`` blended, in the lists' own range, with the agreement of the views on each item. A query has as many lists
+    as it has values of ``within``. Flat lists stay."""
     joined = c.join(view_agreement(ranks, top_n, n_views), [*Q, "item_id"], "left")
-    low, span = F.min("score").over(by_group(Q)), F.max("score").over(by_group(Q)) - F.min("score").over(by_group(Q))
+    own = by_group([*Q, *within])
+    low, span = F.min("score").over(own), F.max("score").over(own) - F.min("score").over(own)
     mixed = (1 - weight) * (F.col("score") - low) / span + weight * F.least(F.lit(1.0), F.coalesce("agreement", F.lit(0.0)))
     return joined.withColumn("score", F.when(span <= 1e-12, F.col("score")).otherwise(low + F.least(F.lit(1.0), mixed) * span)).drop("agreement")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, greedy, rerank, retrieval
@@ -41,6 +41,9 @@ class RetrievalKnobs:
     density_sigma_km: float = 2.0
     density_power: float = 2.0
     density_mass: float = 0.0
+    #: Where the first candidate leads by this score, a mode this far away is not taken (0: any mode is).
+    density_margin: float = 0.0
+    density_switch_km: float = 0.0
     top_k: int = 10
 
 
@@ -49,16 +52,21 @@ def _rescored(c: DataFrame, scores: DataFrame, column: str) -> DataFrame:
     return written(joined, "chain")  # lists are small beside the index, and the next stage uses them several times
 
 
-def retrieval_chain(c: DataFrame, knobs: RetrievalKnobs) -> DataFrame:
-    """Normalise, agreement of the sources' rankings, fusion by weights or reciprocal ranks, de-duplicate, evidence of
+def retrieval_chain(c: DataFrame, knobs: RetrievalKnobs, views: DataFrame | None = None) -> DataFrame:
+    """Normalise, agreement of the query's views, fusion by weights or reciprocal ranks, de-duplicate, evidence of
     structure and of local matches (columns ``structure`` and ``local``), box prior, threshold, locality, source balance,
     graph support, diversity, rank, consensus, density mode: in this order. Queries are expanded, and views reduced, by the
-    search before it."""
+    search before it; ``views`` (query_id, source, item_id, view, score) is how each view saw the candidates, and agreement
+    is taken in each source's list, before sources are merged."""
     if knobs.norm != "none":
         c = retrieval.normalise_by_source(c, knobs.norm).drop("score").withColumnRenamed("norm", "score")
     if knobs.agreement_weight > 0:
-        ranks = c.select("query_id", "item_id", F.col("source").alias("view"), F.col("rk").alias("rank"))
-        c = written(rerank.with_agreement(c, ranks, knobs.agreement_top_n, 3, knobs.agreement_weight), "chain")
+        if views is None:
+            raise ValueError("agreement needs the views' scores")
+        order = Window.partitionBy("query_id", "source", "view").orderBy(F.round("score", 9).desc(), "item_id")
+        ranks = written(views.withColumn("rank", F.row_number().over(order)), "views")
+        n_views = ranks.select("view").distinct().count()
+        c = written(rerank.with_agreement(c, ranks, knobs.agreement_top_n, n_views, knobs.agreement_weight, ("source",)), "chain")
     if knobs.weights:
         c = retrieval.fuse_by_weight(c.withColumn("norm", F.col("score")), knobs.weights).drop("score", "norm").withColumnRenamed("fused", "score")
     elif knobs.reciprocal_rank:
@@ -84,7 +92,7 @@ def retrieval_chain(c: DataFrame, knobs: RetrievalKnobs) -> DataFrame:
     if knobs.consensus_top_n > 1:
         c = rerank.refined_by_consensus(written(c, "chain").drop("rank"), knobs.consensus_top_n, knobs.consensus_radius_km, knobs.consensus_power)
     if knobs.density_top_n > 1:
-        c = rerank.refined_by_density(written(c, "chain").drop("rank"), knobs.density_top_n, knobs.density_sigma_km, knobs.density_power, mass=knobs.density_mass)
+        c = rerank.refined_by_density(written(c, "chain").drop("rank"), knobs.density_top_n, knobs.density_sigma_km, knobs.density_power, knobs.density_margin, knobs.density_switch_km, mass=knobs.density_mass)
     return c
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.spatial import valid_candidates
+from .verification import ScoreWeights, overall_score, verified
 
 
 class CandidateProvider(Protocol):
@@ -110,16 +111,27 @@ def index_weights(indices: DataFrame) -> DataFrame:
     return indices.withColumn("weight", F.when(w.isNull() | F.isnan(w) | (w == float("inf")) | (w <= 0), F.lit(1.0)).otherwise(w))
 
 
-def whole_pipeline(images: DataFrame, detections: DataFrame, estimates: DataFrame, provider: CandidateProvider, fuse: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Per image (image_id): detections and their score, the estimate (a given one, else fusion's mean with the top weight
-    clamped to [0.05, 0.95] as its confidence), and fusion's result. An estimate that is given is never replaced."""
+def whole_pipeline(images: DataFrame, detections: DataFrame, estimates: DataFrame, provider: CandidateProvider, fuse: Callable[[DataFrame], DataFrame], weights: ScoreWeights = ScoreWeights()) -> DataFrame:
+    """Per image (image_id, and captured_at if known): detections and their score, the verification of a given estimate, the
+    estimate (a given one, else fusion's mean with the top weight clamped to [0.05, 0.95] as its confidence), fusion's
+    result, and the overall score of all of these. An estimate that is given is never replaced; one that fusion makes comes
+    too late to be verified."""
     from ..operators.spatial import detection_summary
 
+    timed = images if "captured_at" in images.columns else images.withColumn("captured_at", F.lit(None).cast("timestamp"))
+    marked = detections
+    for name in ("shadow_azimuth_deg", "heading_deg", "shadow_length_ratio"):
+        if name not in detections.columns:
+            marked = marked.withColumn(name, F.lit(None).cast("double"))
+    checked = verified(timed, estimates, marked).select("image_id", "shadow_ok", "ground_ok", "verdict", "notes")
+
     fused = fuse(provider(images.withColumn("query_id", F.col("image_id"))))
     seen = detection_summary(detections).withColumnsRenamed({"n": "n_detections", "score": "detection_score"})
     given = estimates.select("image_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("confidence").alias("_c"), F.col("uncertainty_m").alias("_u"))
-    j = images.join(seen, "image_id", "left").join(given, "image_id", "left").join(fused.withColumnRenamed("query_id", "image_id"), "image_id", "left")
+    j = images.join(seen, "image_id", "left").join(given, "image_id", "left").join(checked, "image_id", "left").join(fused.withColumnRenamed("query_id", "image_id"), "image_id", "left")
     own = F.col("_lat").isNotNull()
     pick = lambda a, b: F.when(own, F.col(a)).otherwise(b)
     top = F.greatest(F.lit(0.05), F.least(F.lit(0.95), F.col("top1")))
-    return j.select("image_id", F.coalesce("n_detections", F.lit(0)).alias("n_detections"), "detection_score", pick("_lat", F.col("mean_lat")).alias("lat"), pick("_lon", F.col("mean_lon")).alias("lon"), pick("_c", top).alias("confidence"), pick("_u", F.col("major_m")).alias("uncertainty_m"), "tier", F.when(own, "given").when(F.col("mean_lat").isNotNull(), "fused").alias("estimate"))
+    out = j.select("image_id", F.coalesce("n_detections", F.lit(0)).alias("n_detections"), "detection_score", pick("_lat", F.col("mean_lat")).alias("lat"), pick("_lon", F.col("mean_lon")).alias("lon"), pick("_c", top).alias("confidence"), pick("_u", F.col("major_m")).alias("uncertainty_m"), "tier", F.when(own, "given").when(F.col("mean_lat").isNotNull(), "fused").alias("estimate"), "shadow_ok", "ground_ok", "verdict", "notes")
+    score = overall_score(*(F.col(c) for c in ("detection_score", "confidence", "uncertainty_m", "shadow_ok", "ground_ok")), weights)
+    return out.withColumn("score", score)

@@ -329,5 +329,11 @@ def _pipeline(s, d):
 
 
 add("o3_image_pipeline", _pipeline, with_("q ell diag det", ", ds AS (SELECT image_id, count(*) AS n, list_avg(list_sort(list(confidence), 'DESC')[1:3]) AS c FROM det GROUP BY image_id) SELECT query_id AS image_id, coalesce(ds.n, 0) AS n_detections, round(ds.c, 6) AS detection_score, round(CASE WHEN query_id % 500 = 0 THEN 1e0 ELSE mean_lat END, 4) AS lat, round(CASE WHEN query_id % 500 = 0 THEN 2e0 ELSE mean_lon END, 4) AS lon, round(CASE WHEN query_id % 500 = 0 THEN 0.6e0 ELSE greatest(0.05e0, least(0.95e0, top1)) END, 5) AS confidence, round(CASE WHEN query_id % 500 = 0 THEN 50e0 ELSE major_m END, 2) AS uncertainty_m, CASE WHEN hi THEN 'high' WHEN mid THEN 'medium' ELSE 'low' END AS tier, CASE WHEN query_id % 500 = 0 THEN 'given' ELSE 'fused' END AS estimate FROM q JOIN ell USING (query_id) JOIN diag USING (query_id) LEFT JOIN ds ON ds.image_id = query_id").replace(" , ds AS", ", ds AS"))
+
+
+def _sourced_views(s, d):
+    return _views(s, d).join(o.candidates(s, d).select("query_id", "item_id", "source"), ["query_id", "item_id"])
+
+
 _FULL = chains.RetrievalKnobs(norm="minmax", agreement_weight=0.2, weights={"idx0": 1.2, "idx1": 0.9}, structure_weight=0.3, local_weight=0.3, box=(48.8, 48.95, 2.25, 2.45), min_score=0.1, min_keep=6, locality_radius_km=3.0, locality_weight=0.5, balance_beta=0.1, graph_top_n=12, diverse_km=1.0, consensus_top_n=8, consensus_radius_km=3.0, density_top_n=8, density_sigma_km=2.0, top_k=10)
-add("o1_full_chain", lambda s, d: chains.retrieval_chain(_evidence(s, d, 1).withColumn("structure", F.col("evidence")).withColumn("local", F.col("evidence")).drop("evidence"), _FULL).select("query_id", "item_id", "rank", "match_id", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon")), None)
+add("o1_full_chain", lambda s, d: chains.retrieval_chain(_evidence(s, d, 1).withColumn("structure", F.col("evidence")).withColumn("local", F.col("evidence")).drop("evidence"), _FULL, _sourced_views(s, d)).select("query_id", "item_id", "rank", "match_id", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon")), None)

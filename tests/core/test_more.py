@@ -158,7 +158,8 @@ def test_every_knob_changes_the_chains(spark, sf_dir):
     from terraloom.sources.stage import written
 
     c = written(o.candidates(spark, sf_dir).withColumns({"structure": F.col("item_id") % 10 / 10.0, "local": F.col("item_id") % 7 / 7.0}), "knobs")
-    shape = lambda k: rows_of(chains.retrieval_chain(c, k), "query_id", "rank", "item_id", "lat")
+    views = c.selectExpr("query_id", "source", "item_id", "explode(array(0, 1)) as view", "score").withColumn("score", F.pmod(F.xxhash64("item_id", "view"), F.lit(97)) / 97.0)
+    shape = lambda k: rows_of(chains.retrieval_chain(c, k, views), "query_id", "rank", "item_id", "lat")
     base = chains.RetrievalKnobs(top_k=8)
     plain = shape(base)
     from dataclasses import replace
