@@ -21,7 +21,7 @@ def _quads(s: SparkSession, d: str) -> DataFrame:
     li = o.table(s, d, "lineitem")
     x, y, w, h = (F.col(c) % 50 if c.endswith("key") else F.col(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_tax"))
     turn = (F.col("l_linenumber") * 23 + F.col("l_partkey")) % 180 + 0.25
-    quad = quads.box_quad(x.cast("double"), y.cast("double"), w.cast("double"), 5 + h.cast("double") * 100, turn.cast("double"))
+    quad = quads.box_quad(x.cast("double"), y.cast("double"), w.cast("double"), 5.5 + h.cast("double") * 100, turn.cast("double"))
     return li.select(
         F.col("l_orderkey").alias("image_id"),
         F.col("l_linenumber").cast("long").alias("det"),
@@ -42,7 +42,7 @@ dq AS (
   FROM (SELECT *, x+w/2 AS cx, y+h/2 AS cy FROM (
     SELECT l_orderkey AS image_id, l_linenumber::BIGINT AS det, l_returnflag AS label, l_discount::DOUBLE*10 AS confidence,
            CASE WHEN l_linenumber % 3 = 0 THEN l_suppkey::DOUBLE END AS heading_deg,
-           (l_partkey % 50)::DOUBLE AS x, (l_suppkey % 50)::DOUBLE AS y, l_quantity::DOUBLE AS w, 5+l_tax::DOUBLE*100 AS h,
+           (l_partkey % 50)::DOUBLE AS x, (l_suppkey % 50)::DOUBLE AS y, l_quantity::DOUBLE AS w, 5.5e0+l_tax::DOUBLE*100 AS h,
            radians(((l_linenumber*23+l_partkey) % 180)::DOUBLE+0.25e0) AS t
     FROM lineitem))
 )"""
@@ -54,14 +54,14 @@ def _area_sql(p: str) -> str:
 
 
 def _filtered(s: SparkSession, d: str) -> DataFrame:
-    kept = quads.oriented_detections(_quads(s, d), 0.35, 150.5)
+    kept = quads.oriented_detections(_quads(s, d), 0.35, 150.3)
     at = lambda i, axis: F.get("quad", F.lit(i))[axis].alias(f"{axis}{i}")
     return kept.select("image_id", "det", at(0, "x"), at(0, "y"), at(1, "x"), at(1, "y"), at(2, "x"), at(2, "y"), "heading_deg")
 
 
 _FILTERED_SQL = f"""
 WITH {_QUADS_SQL},
-big AS (SELECT *, (quad[1].x+quad[2].x+quad[3].x+quad[4].x)/4 AS mx, (quad[1].y+quad[2].y+quad[3].y+quad[4].y)/4 AS my FROM dq WHERE confidence >= 0.35e0 AND abs({_area_sql("quad")}) >= 150.5e0),
+big AS (SELECT *, (quad[1].x+quad[2].x+quad[3].x+quad[4].x)/4 AS mx, (quad[1].y+quad[2].y+quad[3].y+quad[4].y)/4 AS my FROM dq WHERE confidence >= 0.35e0 AND abs({_area_sql("quad")}) >= 150.3e0),
 turned AS (SELECT *, list_transform(list_sort(list_transform(range(1, 5), lambda i: {{'a': -atan2(quad[i].y-my, quad[i].x-mx), 'p': quad[i]}})), lambda s: s.p) AS p FROM big),
 firsts AS (SELECT *, list_sort(list_transform(range(1, 5), lambda i: {{'y': p[i].y, 'x': p[i].x, 'i': i}}))[1].i AS f FROM turned),
 ordered AS (SELECT image_id, det, heading_deg, p[f:4] || p[1:f-1] AS p FROM firsts),
