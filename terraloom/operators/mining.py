@@ -12,7 +12,7 @@ from ..functions.scores import by_group
 from ..sources.stage import written
 from .ranges import RANGE_ROWS, first_of_keys, quotas_by_cell
 from .retrieval import Q
-from .spatial import first_by_key, radius_pairs, running_totals
+from .spatial import first_by_key, nearest_in_ring, running_totals
 
 
 def triplet_items(e: DataFrame, positive_km: float, near_km: float, far_km: float, n: int) -> DataFrame:
@@ -86,30 +86,31 @@ def _place(rows: DataFrame, keys: list[str], order: list[Column]) -> Column:
 def failure_triplets(failures: DataFrame, references: DataFrame, min_error_km: float = 2.0, positive_km: float = 0.35, predicted_km: float = 2.0, least_km: float = 2.0, most_km: float = 25.0, max_positives: int = 3, max_negatives: int = 10, reference_km: float = 10.0, max_weight: float = 3.0) -> DataFrame:
     """Triplets of failed queries (query_path, scene, lat, lon, pred_lat, pred_lon, km) among references (path, scene, lat,
     lon): positives near the true place; negatives near the wrong prediction, then in a ring around the true place. One
-    reference per scene, none of the query's scene or a positive's. Each list is cut after its scenes are settled, by
-    distance; joins are by cells, and what is gathered is the lists."""
+    reference per scene, none of the query's scene or a positive's. Each list is the nearest scenes, searched by growing
+    radii, and what is gathered is the lists. A query_path is one failure."""
     key = ["query_path"]
     failed = failures.where(F.col("km").isNull() | (F.col("km") >= min_error_km))
     asked = failed.select("query_path", F.col("scene").alias("q_scene"), "lat", "lon")
     refs = references.select("path", "scene", "lat", "lon")
-    other = (F.col("path") != F.col("query_path")) & ~F.col("scene").eqNullSafe(F.col("q_scene"))
 
     def one_per_scene(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
         first = rows.withColumn("_n", _place(rows, [*key, "scene"], order)).where("_n = 1").drop("_n")
         return first.withColumn("at", _place(first, key, order)).where(F.col("at") <= most)
 
     by_truth = [F.round("distance_to_gt_km", 9), F.col("path")]
-    near = radius_pairs(asked, refs, positive_km).where(other).withColumnRenamed("km", "distance_to_gt_km")
+    near = nearest_in_ring(asked, refs, "query_path", 0.0, positive_km, max_positives).withColumnRenamed("km", "distance_to_gt_km")
     positives = written(one_per_scene(near, by_truth, max_positives).select(*key, "at", "path", "scene", "distance_to_gt_km"), "positives")
     going = asked.join(positives.select(*key).distinct(), key, "left_semi")
     wrong = failed.where("pred_lat is not null and pred_lon is not null").join(going.select(*key), key, "left_semi")
     wrong = wrong.select(*key, F.col("scene").alias("q_scene"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), F.col("pred_lat").alias("lat"), F.col("pred_lon").alias("lon"))
     truly = haversine_km("t_lat", "t_lon", "r_lat", "r_lon")
-    first = radius_pairs(wrong, refs, predicted_km).where(other).withColumn("distance_to_gt_km", truly).where(F.col("distance_to_gt_km") >= least_km)
+    barred = positives.select(*key, "scene")
+    first = nearest_in_ring(wrong, refs, "query_path", 0.0, predicted_km, max_negatives, barred, max_positives + 1, truly >= least_km).withColumn("distance_to_gt_km", truly)
     first = first.select(*key, "path", "scene", "distance_to_gt_km", F.col("km").alias("distance_to_pred_km"), F.lit("pred_neighborhood").alias("source"))
-    ring = radius_pairs(going, refs, most_km).where(other & (F.col("km") >= least_km))
+    # Scenes near the prediction may be among the ring's nearest as well.
+    ring = nearest_in_ring(going, refs, "query_path", least_km, most_km, 2 * max_negatives, barred, max_positives + 1)
     ring = ring.select(*key, "path", "scene", F.col("km").alias("distance_to_gt_km"), F.lit(None).cast("double").alias("distance_to_pred_km"), F.lit("gt_ring").alias("source"))
-    pool = first.unionByName(ring).join(positives.select(*key, "scene"), [*key, "scene"], "left_anti")
+    pool = first.unionByName(ring)
     order = [F.col("source") == "gt_ring", F.round(F.coalesce("distance_to_pred_km", "distance_to_gt_km"), 9), F.col("path")]
     negatives = one_per_scene(pool, order, max_negatives)
     lists = _listed(positives, key, "positives", ["path", "distance_to_gt_km"]).join(_listed(negatives, key, "hard_negatives", ["path", "distance_to_gt_km", "distance_to_pred_km", "source"]), key)
@@ -125,11 +126,16 @@ def crossview_triplets(pairs: DataFrame, aerials: DataFrame, positive_km: float,
     key, by_km = ["query_id"], [F.round("km", 9), F.col("aerial_id")]
     paired = pairs.select("query_id", "lat", "lon", "aerial_id").join(aerials.select("aerial_id", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")), "aerial_id")
     exact = paired.select("query_id", "aerial_id", haversine_km("lat", "lon", "r_lat", "r_lon").alias("km"), F.lit(0).alias("late"))
-    near = radius_pairs(pairs.select("query_id", "lat", "lon"), aerials, positive_km).select("query_id", "aerial_id", "km").join(exact.select("query_id", "aerial_id"), ["query_id", "aerial_id"], "left_anti").withColumn("late", F.lit(1))
+    place = F.min(F.struct("lat", "lon")).alias("p")
+    asked = pairs.groupBy("query_id").agg(place).select("query_id", F.lit(None).cast("string").alias("q_scene"), "p.lat", "p.lon")
+    refs = aerials.select(F.col("aerial_id").alias("path"), F.col("aerial_id").alias("scene"), "lat", "lon")
+    most_of = lambda low, high, n, barred, spare: nearest_in_ring(asked, refs, "query_id", low, high, n, barred, spare, paths=False).select("query_id", F.col("scene").alias("aerial_id"), "km")
+    own = exact.select("query_id", F.col("aerial_id").alias("scene"))
+    near = most_of(0.0, positive_km, max(1, max_positives), own, 1).join(exact.select("query_id", "aerial_id"), ["query_id", "aerial_id"], "left_anti").withColumn("late", F.lit(1))
     both = exact.unionByName(near)
     placed = both.withColumn("at", _place(both, key, [F.col("late"), *by_km])).where(F.col("at") <= F.greatest(F.lit(1), F.lit(max_positives)))
     placed = written(placed.select("query_id", "at", "aerial_id", "km"), "positives")
-    ring = radius_pairs(pairs.select("query_id", "lat", "lon"), aerials, most_km).where(F.col("km") >= least_km).select("query_id", "aerial_id", "km").join(placed.select("query_id", "aerial_id"), ["query_id", "aerial_id"], "left_anti")
+    ring = most_of(least_km, most_km, max(1, max_negatives), placed.select("query_id", F.col("aerial_id").alias("scene")), max(1, max_positives)).join(placed.select("query_id", "aerial_id"), ["query_id", "aerial_id"], "left_anti")
     negatives = ring.withColumn("at", _place(ring, key, by_km)).where(F.col("at") <= max(1, max_negatives))
     return _listed(placed, key, "positives", ["aerial_id", "km"]).join(_listed(negatives, key, "hard_negatives", ["aerial_id", "km"]), key)
 

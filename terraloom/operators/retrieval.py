@@ -62,6 +62,19 @@ def _best_of_blocks(index: pd.DataFrame, queries: pd.DataFrame, k: int, reduce:
             yield own[row], source, item, score
 
 
+def same_dimension(*tables: DataFrame) -> int | None:
+    """The number of dimensions of all vectors (column embedding); an error where they differ, or a row has none, or a null
+    or NaN among them. Tables without rows fit any."""
+    bad = F.count_if(F.col("embedding").isNull() | F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
+    ends = [t.agg(F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high"), bad.alias("bad")).first() for t in tables]
+    if n := sum(e["bad"] for e in ends):
+        raise ValueError(f"{n} rows have no vector, or one with a null or NaN: leave them out by scan.check_index")
+    sizes = {x for e in ends for x in (e["low"], e["high"]) if x is not None}
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of different dimensions: {sorted(sizes)}")
+    return sizes.pop() if sizes else None
+
+
 def similarity_topk(index: DataFrame, queries: DataFrame, k: int, reduce: str = "mean") -> DataFrame:
     """query_id, source, item_id, score, rk: for every query and source the k items of the largest dot product. A query
     of several rows has as many views; an item's score is the mean, median or max over them.
@@ -71,6 +84,7 @@ def similarity_topk(index: DataFrame, queries: DataFrame, k: int, reduce: str =
     is sent whole to any task; an index row travels once per block of queries, and k rows per query, source and block
     come back.
     """
+    same_dimension(index, queries)
     n_query, n_index = _blocks(queries), _blocks(index)
     n_index = max(n_index, -(-index.sparkSession.sparkContext.defaultParallelism // n_query))
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

@@ -11,6 +11,10 @@ from ..functions.geo import angle_between, grid_cell, haversine_km
 from ..sources.stage import written
 
 
+#: No two places are farther apart.
+HALF_ROUND_KM = 20_016.0
+
+
 def _ring(lon, n: Column) -> Column:
     """The cell of a longitude among ``n`` equal ones around the circle."""
     return F.least(F.floor(F.pmod(F.col(lon) + 180, F.lit(360.0)) / 360 * n).cast("long"), n - 1)
@@ -166,11 +170,58 @@ def valid_candidates(c: DataFrame, min_score: float = 0.001) -> DataFrame:
     return c.where(~F.isnan("lat") & ~F.isnan("lon") & ~F.isnan("score") & ok)
 
 
-def least_split_distance(split: DataFrame, within_km: float) -> DataFrame:
-    """Per pair of different splits the least distance of their points, if within the given distance."""
-    a = split.select(F.col("split").alias("a"), "lat", "lon")
-    met = radius_pairs(a, split.select(F.col("split").alias("b"), "lat", "lon"), within_km).where("a < b")
-    return met.groupBy("a", "b").agg(F.min("km").alias("km"))
+def least_split_distance(split: DataFrame, start_km: float = 0.1, most_km: float = HALF_ROUND_KM) -> DataFrame:
+    """Per pair of different splits the least distance of their points. Radii double from ``start_km`` on until every pair
+    has met, and a round only looks at splits that have not met all others; what meets within a radius holds the least
+    distance. Points of one place and split count once."""
+    points = written(split.select("split", "lat", "lon").where("split is not null and lat is not null and lon is not null").distinct(), "splits")
+    names = points.select("split").distinct()
+    open_pairs = names.select(F.col("split").alias("a")).join(names.select(F.col("split").alias("b")), F.expr("a < b"))
+    open_pairs, out, radius = written(open_pairs, "open"), None, min(start_km, most_km)
+    while True:
+        left = points.select(F.col("split").alias("a"), "lat", "lon").join(F.broadcast(open_pairs.select("a").distinct()), "a", "left_semi")
+        right = points.select(F.col("split").alias("b"), "lat", "lon").join(F.broadcast(open_pairs.select("b").distinct()), "b", "left_semi")
+        met = written(radius_pairs(left, right, radius).where("a < b").groupBy("a", "b").agg(F.min("km").alias("km")), "met")
+        found = met.join(F.broadcast(open_pairs), ["a", "b"], "left_semi")
+        out = found if out is None else out.unionByName(found)
+        open_pairs = written(open_pairs.join(F.broadcast(met), ["a", "b"], "left_anti"), "open")
+        if radius >= most_km or open_pairs.isEmpty():
+            return out
+        radius = min(2 * radius, most_km)
+
+
+def nearest_in_ring(asked: DataFrame, refs: DataFrame, key: str, least_km: float, most_km: float, need: int, barred: DataFrame | None = None, spare: int = 1, allowed: Column | None = None, start_km: float | None = None, paths: bool = True) -> DataFrame:
+    """For every row of ``asked`` (key, q_scene, lat, lon; one row a key) the nearest of ``refs`` (path, scene, lat, lon) from
+    ``least_km`` to ``most_km``, the first by (km, path) of each scene, at least the first ``need`` scenes by this order; none
+    of the row's own scene or (with ``paths``, where keys are paths) its own path, or of its ``barred`` scenes (key, scene), ``spare`` of these at most; ``allowed`` may
+    say more of a pair, by what depends on the two places only. Gives key, path, scene, km, r_lat, r_lon, and asked's columns.
+
+    Radii double; a row that has its scenes within a radius is done, so that a crowded neighbourhood is never listed whole.
+    At one place only the first path of each scene counts, and only as many scenes as a row could need."""
+    by_place = Window.partitionBy("lat", "lon")
+    once = refs.withColumn("_n", F.row_number().over(Window.partitionBy("lat", "lon", "scene").orderBy("path"))).where("_n = 1")
+    once = written(once.withColumn("_n", F.row_number().over(by_place.orderBy("path"))).where(F.col("_n") <= need + spare + 1).select("path", "scene", "lat", "lon"), "places")
+    radius = min(most_km, start_km or max(1.25 * least_km, most_km / 64))
+    left, out, low = asked, None, None
+    while True:
+        met = radius_pairs(left, once, radius).where((F.col("km") >= least_km) & ~F.col("scene").eqNullSafe(F.col("q_scene")))
+        met = met.where(F.col("path") != F.col(key)) if paths else met
+        met = met.where(F.col("km") > low) if low is not None else met
+        met = met.where(allowed) if allowed is not None else met
+        if barred is not None:
+            met = met.join(barred.select(key, "scene"), [key, "scene"], "left_anti")
+        found = met if out is None else met.unionByName(out.join(left.select(key), key, "left_semi"))
+        first = Window.partitionBy(key, "scene").orderBy(F.round("km", 9), "path")
+        found = written(found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"), "ring")
+        done = out.join(left.select(key), key, "left_anti") if out is not None else None
+        out = found if done is None else done.unionByName(found)
+        if radius >= most_km:
+            return out
+        enough = found.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= need)
+        left = written(left.join(enough, key, "left_anti"), "asking")
+        if left.isEmpty():
+            return out
+        low, radius = radius, min(2 * radius, most_km)
 
 
 def street_aerial_pairs(streets: DataFrame, scenes: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from .functions import quads
 from .operators import fusion, greedy, spatial
 from .plans import chains, verification
 from .plans import overlay as o
-from .queries import CTE, add, hav, r_, with_
+from .queries import _SPLIT, _SPLIT_SQL, CTE, add, hav, r_, with_
 from .queries_more import _VW, _sourced_views
 from .streaming import sequences, sessions
 
@@ -278,3 +278,13 @@ mx AS (SELECT query_id, item_id, CASE WHEN hi-lo <= 1e-12 THEN score ELSE lo+lea
 SELECT query_id, item_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, item_id) AS rank FROM mx) WHERE rank <= 6""",
 ).replace(" @", ", ")
 add("o1_view_agreement", _agreed, _AGREED_SQL)
+
+# Splits ---------------------------------------------------------------------------------------------------------------
+
+_DISTANCE_SQL = with_(
+    "sp",
+    f"""{_SPLIT_SQL},
+pt AS MATERIALIZED (SELECT DISTINCT split, lat, lon FROM sp JOIN spl ON floor(lat/0.01e0)::BIGINT = cy AND floor(lon/0.01e0)::BIGINT = cx)
+SELECT a.split AS a, b.split AS b, {r_("min(" + _near + ")", "km")} FROM pt a JOIN pt b ON a.split < b.split GROUP BY ALL""",
+).replace(" , c AS", ", c AS")
+add("j12_least_distance", lambda s, d: spatial.least_split_distance(_SPLIT(s, d), 0.05), _DISTANCE_SQL)

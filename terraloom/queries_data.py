@@ -75,7 +75,7 @@ add("g19_rerank", lambda s, d: fit.applied(_ROWS(s, d), fit.ridge(_ROWS(s, d), _
 add("f29_distance_target", lambda s, d: _errors(s, d).select("query_id", "item_id", fit.distance_target("km", 3.0).alias("target")), with_("err", f"SELECT query_id, item_id, {r_('exp(-0.5*pow(km/3e0,2))', 'target')} FROM err"))
 add("p01_valid_candidates", lambda s, d: spatial.valid_candidates(o.candidates(s, d), 0.2).select("query_id", "item_id"), with_("cand", "SELECT query_id, item_id FROM cand WHERE score >= 0.2"))
 add("w04_densest_cluster", lambda s, d: fusion.densest_cluster(fusion.credible_set(_POST(s, d)), 4.0, 0.35).select("query_id", "item_id"), with_("cred", f", pp AS (SELECT a.query_id, a.item_id, a.w, b.item_id AS o_item, b.w AS o_w FROM cred a JOIN cred b USING (query_id) WHERE {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 4), bl AS (SELECT query_id, item_id, any_value(w) AS w, sum(o_w) AS mass, count(*) AS n FROM pp GROUP BY query_id, item_id HAVING sum(o_w) >= 0.35), ct AS (SELECT query_id, first(item_id ORDER BY round(mass,9) DESC, n DESC, round(w,9) DESC, item_id) AS item_id FROM bl GROUP BY query_id) SELECT query_id, o_item AS item_id FROM pp JOIN ct USING (query_id, item_id) UNION ALL SELECT query_id, item_id FROM cred WHERE query_id NOT IN (SELECT query_id FROM ct)").replace(" , pp AS", ", pp AS"))
-add("j12_split_distance", lambda s, d: spatial.least_split_distance(_SPLIT(s, d), 0.3), with_("sp", _SPLIT_SQL + f", pt AS (SELECT split, lat, lon FROM sp JOIN spl ON floor(lat/0.01e0)::BIGINT = cy AND floor(lon/0.01e0)::BIGINT = cx) SELECT a.split AS a, b.split AS b, {r_('min(' + hav('a.lat', 'a.lon', 'b.lat', 'b.lon') + ')', 'km')} FROM pt a JOIN pt b ON a.split < b.split AND abs(a.lat-b.lat) <= 0.003 AND abs(a.lon-b.lon) <= 0.0045 WHERE {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 0.3 GROUP BY 1, 2").replace(" , c AS", ", c AS"))
+add("j12_split_distance", lambda s, d: spatial.least_split_distance(_SPLIT(s, d), 0.1, 0.3), with_("sp", _SPLIT_SQL + f", pt AS (SELECT split, lat, lon FROM sp JOIN spl ON floor(lat/0.01e0)::BIGINT = cy AND floor(lon/0.01e0)::BIGINT = cx) SELECT a.split AS a, b.split AS b, {r_('min(' + hav('a.lat', 'a.lon', 'b.lat', 'b.lon') + ')', 'km')} FROM pt a JOIN pt b ON a.split < b.split AND abs(a.lat-b.lat) <= 0.003 AND abs(a.lon-b.lon) <= 0.0045 WHERE {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 0.3 GROUP BY 1, 2").replace(" , c AS", ", c AS"))
 add("a25_tier_threshold", lambda s, d: evaluate.tier_threshold(_HITS(s, d), 0.2, 5), with_("hits", f"SELECT {r_('t', 'threshold')}, support, {r_('p', 'precision')} FROM (SELECT t, sum(n) OVER w AS support, sum(h) OVER w / sum(n) OVER w AS p FROM (SELECT round(w,2) AS t, count(*) AS n, sum(hit) AS h FROM hits GROUP BY 1) WINDOW w AS (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE support >= 5 AND p >= 0.2 ORDER BY t DESC LIMIT 1").replace("support,", "support::BIGINT AS support,", 1))
 add("w09_worst_failures", lambda s, d: evaluate.worst_failures(_errors(s, d), ["source"], 2).select("query_id", "item_id", "km"), with_("err", f"SELECT query_id, item_id, {r_('km', 'km')} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(km,9) DESC, item_id) AS b FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY round(km,9) DESC, item_id) AS a FROM err) WHERE a = 1) WHERE b <= 2"))
 add("w10_objective_ranking", lambda s, d: evaluate.objective_ranking(o.run_metrics(s, d).groupBy("run").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n")), ["mean", "run"]), with_("runs", f"SELECT run, {r_('avg(value)', 'mean')}, count(*) AS n, row_number() OVER (ORDER BY avg(value), run) AS place FROM runs GROUP BY run"))

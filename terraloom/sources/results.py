@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name
@@ -110,9 +110,12 @@ def detection_sidecars(sidecars: DataFrame) -> DataFrame:
 
 def built_index(metadata: DataFrame, vectors: DataFrame, model_id: str) -> DataFrame:
     """The metadata (path, lat, lon, source) that have a vector (path, embedding), with unit vectors and the model's id;
-    rows without a path or a place in range are left out, and of a repeated path one stays."""
-    ok = metadata.where(F.col("path").isNotNull() & F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)).dropDuplicates(["path"])
-    return ok.join(vectors.select("path", "embedding").dropDuplicates(["path"]), "path").withColumn("embedding", unit_vector(F.col("embedding"))).withColumn("model_id", F.lit(model_id))
+    rows without a path or a place in range are left out, and of a repeated path the row of
+    the least (lat, lon, source) stays, and the least vector."""
+    placed = metadata.where(F.col("path").isNotNull() & F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180))
+    first = F.row_number().over(Window.partitionBy("path").orderBy("lat", "lon", "source"))
+    ok = placed.withColumn("_n", first).where("_n = 1").drop("_n")
+    return ok.join(vectors.groupBy("path").agg(F.min("embedding").alias("embedding")), "path").withColumn("embedding", unit_vector(F.col("embedding"))).withColumn("model_id", F.lit(model_id))
 
 
 def write_index(index: DataFrame, path: str) -> DataFrame:
