@@ -62,47 +62,53 @@ def _best_of_blocks(index: pd.DataFrame, queries: pd.DataFrame, k: int, reduce:
             yield own[row], source, item, score
 
 
-def same_dimension(*tables: DataFrame) -> int | None:
-    """The number of dimensions of all vectors (column embedding); an error where they differ, or a row has none, or a null
-    or NaN among them. Tables without rows fit any."""
+def same_dimension(*tables: DataFrame, within: str | None = None) -> int | None:
+    """The largest number of dimensions of vectors (column embedding); an error where they differ, or a row has none, or a null or NaN among
+    them. With ``within`` (a column of few values, such as models), dimensions are compared among its equal values only. Tables without
+    rows fit any."""
     bad = F.count_if(F.col("embedding").isNull() | F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
-    ends = [t.agg(F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high"), bad.alias("bad")).first() for t in tables]
+    key = F.col(within) if within else F.lit(0)
+    ends = [r for t in tables for r in t.groupBy(key.alias("key")).agg(F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high"), bad.alias("bad")).collect()]
     if n := sum(e["bad"] for e in ends):
         raise ValueError(f"{n} rows have no vector, or one with a null or NaN: leave them out by scan.check_index")
-    sizes = {x for e in ends for x in (e["low"], e["high"]) if x is not None}
-    if len(sizes) > 1:
-        raise ValueError(f"vectors of different dimensions: {sorted(sizes)}")
-    return sizes.pop() if sizes else None
+    for group in {e["key"] for e in ends}:
+        sizes = {x for e in ends if e["key"] == group for x in (e["low"], e["high"]) if x is not None}
+        if len(sizes) > 1:
+            raise ValueError(f"vectors of different dimensions: {sorted(sizes)}")
+    return max((e["high"] for e in ends if e["high"] is not None), default=None)
 
 
-def similarity_topk(index: DataFrame, queries: DataFrame, k: int, reduce: str = "mean") -> DataFrame:
+def similarity_topk(index: DataFrame, queries: DataFrame, k: int, reduce: str = "mean", within: str | None = None) -> DataFrame:
     """query_id, source, item_id, score, rk: for every query and source the k items of the largest dot product. A query
-    of several rows has as many views; an item's score is the mean, median or max over them.
+    of several rows has as many views; an item's score is the mean, median or max over them. With ``within`` (a string column
+    of both, such as the model), queries meet only items of their own value, and the rows carry it.
 
     Queries and index rows are dealt by hashes into blocks of bounded bytes, and every pair of blocks is one group of a
     grid: a task multiplies the two blocks and keeps the best k per query and source. So neither side passes the driver or
     is sent whole to any task; an index row travels once per block of queries, and k rows per query, source and block
     come back.
     """
-    same_dimension(index, queries)
+    same_dimension(index, queries, within=within)
+    keys = [within] if within else []
     n_query, n_index = _blocks(queries), _blocks(index)
     n_index = max(n_index, -(-index.sparkSession.sparkContext.defaultParallelism // n_query))
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    items = index.select("item_id", "source", "embedding", block("item_id", n_index).alias("ib"), all_of(n_query).alias("qb"))
-    asked = queries.select("query_id", "embedding", block("query_id", n_query).alias("qb"), all_of(n_index).alias("ib"))
+    items = index.select(*keys, "item_id", "source", "embedding", block("item_id", n_index).alias("ib"), all_of(n_query).alias("qb"))
+    asked = queries.select(*keys, "query_id", "embedding", block("query_id", n_query).alias("qb"), all_of(n_index).alias("ib"))
 
-    def search(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         found = [] if mine.empty or theirs.empty else list(_best_of_blocks(mine, theirs, k, reduce))
-        return pd.DataFrame({
+        return pd.DataFrame({name: key[2] for name in keys} | {
             "query_id": np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)]),
             "source": np.repeat([f[1] for f in found], [len(f[0]) for f in found]) if found else np.zeros(0, object),
             "item_id": np.concatenate([f[2] for f in found] or [np.zeros(0, np.int64)]),
             "score": np.concatenate([f[3] for f in found] or [np.zeros(0)]),
         })
 
-    out = items.groupBy("ib", "qb").cogroup(asked.groupBy("ib", "qb")).applyInPandas(search, "query_id long, source string, item_id long, score double")
-    w = Window.partitionBy("query_id", "source").orderBy(F.round("score", 9).desc(), "item_id")
+    of_keys = "".join(f"{name} string, " for name in keys)
+    out = items.groupBy("ib", "qb", *keys).cogroup(asked.groupBy("ib", "qb", *keys)).applyInPandas(search, f"{of_keys}query_id long, source string, item_id long, score double")
+    w = Window.partitionBy(*keys, "query_id", "source").orderBy(F.round("score", 9).desc(), "item_id")
     return out.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 
