@@ -62,6 +62,17 @@ def _best_of_blocks(index: pd.DataFrame, queries: pd.DataFrame, k: int, reduce:
             yield own[row], source, item, score
 
 
+def best_of_two(index: pd.DataFrame, queries: pd.DataFrame, k: int, reduce: str = "mean") -> pd.DataFrame:
+    """query_id, source, item_id, score: the best k per query and source of one block against another; either may be empty."""
+    found = [] if index.empty or queries.empty else list(_best_of_blocks(index, queries, k, reduce))
+    return pd.DataFrame({
+        "query_id": np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)]),
+        "source": np.repeat([f[1] for f in found], [len(f[0]) for f in found]) if found else np.zeros(0, object),
+        "item_id": np.concatenate([f[2] for f in found] or [np.zeros(0, np.int64)]),
+        "score": np.concatenate([f[3] for f in found] or [np.zeros(0)]),
+    })
+
+
 def same_dimension(*tables: DataFrame, within: str | None = None) -> int | None:
     """The largest number of dimensions of vectors (column embedding); an error where they differ, or a row has none, or a null or NaN among
     them. With ``within`` (a column of few values, such as models), dimensions are compared among its equal values only. Tables without
@@ -95,19 +106,14 @@ def similarity_topk(index: DataFrame, queries: DataFrame, k: int, reduce: str =
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     items = index.select(*keys, "item_id", "source", "embedding", block("item_id", n_index).alias("ib"), all_of(n_query).alias("qb"))
-    asked = queries.select(*keys, "query_id", "embedding", block("query_id", n_query).alias("qb"), all_of(n_index).alias("ib"))
+    # Under names of their own, as both sides may come from one table.
+    asked = queries.select(*(F.col(x).alias(f"q_{x}") for x in [*keys, "embedding"]), "query_id", block("query_id", n_query).alias("qb"), all_of(n_index).alias("ib"))
 
     def search(key: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        found = [] if mine.empty or theirs.empty else list(_best_of_blocks(mine, theirs, k, reduce))
-        return pd.DataFrame({name: key[2] for name in keys} | {
-            "query_id": np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)]),
-            "source": np.repeat([f[1] for f in found], [len(f[0]) for f in found]) if found else np.zeros(0, object),
-            "item_id": np.concatenate([f[2] for f in found] or [np.zeros(0, np.int64)]),
-            "score": np.concatenate([f[3] for f in found] or [np.zeros(0)]),
-        })
+        return best_of_two(mine, theirs.rename(columns={"q_embedding": "embedding"}), k, reduce).assign(**{name: key[2] for name in keys})[[*keys, "query_id", "source", "item_id", "score"]]
 
     of_keys = "".join(f"{name} string, " for name in keys)
-    out = items.groupBy("ib", "qb", *keys).cogroup(asked.groupBy("ib", "qb", *keys)).applyInPandas(search, f"{of_keys}query_id long, source string, item_id long, score double")
+    out = items.groupBy("ib", "qb", *keys).cogroup(asked.groupBy("ib", "qb", *(f"q_{x}" for x in keys))).applyInPandas(search, f"{of_keys}query_id long, source string, item_id long, score double")
     w = Window.partitionBy(*keys, "query_id", "source").orderBy(F.round("score", 9).desc(), "item_id")
     return out.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 

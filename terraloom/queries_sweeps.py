@@ -7,9 +7,11 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import celled
 from .plans import overlay as o
 from .plans import sweeps
 from .queries import CTE, SHIFT, add, hav, r_, with_
+from .sources.stage import written
 
 # Sweeps ---------------------------------------------------------------------------------------------------------------
 
@@ -102,3 +104,32 @@ def _models_sql() -> str:
 
 
 add("o5_models", _models, _models_sql())
+
+# The celled index -----------------------------------------------------------------------------------------------------
+#: Probes are chosen for the first share on a sample of rows; the second is asked of the stated queries.
+CELLS, AIMED, TARGET = 32, 0.95, 0.9
+
+
+def _celled(s: SparkSession, d: str):
+    index = o.geo_index(s, d).select("item_id", "source", "embedding")
+    centres = celled.fit_cells(index, CELLS)
+    table = written(celled.celled_index(index, centres), "celled")
+    return table, centres, celled.probes_for(table, centres, 10, AIMED)[0]
+
+
+def _celled_search(s: SparkSession, d: str) -> DataFrame:
+    """The candidates found, each with its exact score; recall depends on the cells and is measured by the query below."""
+    table, centres, probes = _celled(s, d)
+    return celled.celled_topk(table, o.queries(s, d), centres, 10, probes).select("query_id", "source", "item_id", "rk", "score")
+
+
+def _celled_recall(s: SparkSession, d: str) -> DataFrame:
+    """How much of the exact lists (lists, rows) the celled search finds, and whether that is the asked share."""
+    table, centres, probes = _celled(s, d)
+    q = o.queries(s, d)
+    found = celled.celled_topk(table, q, centres, 10, probes)
+    return celled.recall(found, o.candidates(s, d)).select("n", (F.col("recall") >= TARGET).alias("reached"))
+
+
+add("j01_celled_search", _celled_search, None)
+add("j01_celled_recall", _celled_recall, with_("cand", "SELECT count(*) AS n, true AS reached FROM cand"))
