@@ -78,6 +78,11 @@ def histogram_entropy(h: Column) -> Column:
     return F.when((F.size(h) == 0) | (total <= 1e-12), F.lit(1.0)).when(F.size(h) == 1, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
+def histogram_concentration(h: Column) -> Column:
+    """1 less the relative entropy: 1 for a single bin's mass, 0 for an even histogram or none."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - histogram_entropy(h)))
+
+
 def by_group(keys: list[str]):
     return Window.partitionBy(*keys)
 

@@ -246,14 +246,18 @@ def expanded_queries(index: DataFrame, queries: DataFrame, c: DataFrame, top_n:
     return j.withColumn("embedding", F.zip_with("embedding", "b", lambda p, q: alpha * p + (1 - alpha) * q)).drop("f", "b")
 
 
-def augmented_vectors(index: DataFrame, queries: DataFrame, neighbours: int, self_weight: float, least: float, temperature: float) -> DataFrame:
+def augmented_vectors(index: DataFrame, queries: DataFrame, neighbours: int, self_weight: float, least: float, temperature: float, max_km: float | None = None) -> DataFrame:
     """query_id, embedding: each query row's unit vector plus the softmax-weighted unit vectors of its nearest items of any
-    source that are similar enough, made a unit vector again."""
+    source that are similar enough, made a unit vector again. With ``max_km``, those of its nearest items that lie farther
+    away do not count (others do not take their place)."""
     unit = lambda v: F.transform(v, lambda x: x / F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)), F.lit(1e-12)))
     doubles = lambda c: F.transform(c, lambda x: x.cast("double"))
     items = index.withColumn("embedding", unit(doubles("embedding")))
     mine = queries.withColumn("embedding", unit(doubles("embedding")))
     near = similarity_topk(items.withColumn("source", F.lit("all")), mine, neighbours).where(F.col("score") >= least)
+    if max_km is not None:
+        there = near.join(index.select("item_id", "lat", "lon"), "item_id").join(queries.select("query_id", F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon")), "query_id")
+        near = there.where(haversine_km("lat", "lon", "q_lat", "q_lon") <= max_km).drop("lat", "lon", "q_lat", "q_lon")
     e = F.exp((F.col("score") - F.max("score").over(by_group(Q))) / temperature)
     weighed = near.withColumn("wt", e / F.sum(e).over(by_group(Q))).join(items.select("item_id", F.col("embedding").alias("v")), "item_id")
     packed = weighed.groupBy(*Q).agg(F.sort_array(F.collect_list(F.struct("rk", "wt", "v"))).alias("items"))

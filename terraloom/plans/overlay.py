@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scene import AXES, HISTOGRAMS, LEVELS
 from ..operators.retrieval import similarity_topk
 from ..sources.stage import written
 
@@ -76,3 +77,16 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.groupBy(F.col("o_orderstatus").alias("run"), F.col("o_orderpriority").alias("scenario")).agg((F.avg(F.col("o_totalprice").cast("double")) / 1e4).alias("value"))
+
+
+def scene_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures read off the vectors: histograms from runs of them, levels and axes from single entries. Every seventh
+    item has none."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id % 7 <> 0").select(F.col("vec_id").alias("item_id"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    at = lambda i: F.get("e", F.lit(i - 1))
+    run = lambda first, size: F.transform(F.slice("e", first, size), F.abs)
+    level = lambda i: F.least(F.lit(1.0), F.abs(at(i)) * 4)
+    hists = [run(first, size).alias(h) for h, (first, size) in zip(HISTOGRAMS, ((1, 8), (9, 16), (25, 16), (41, 8), (49, 8)), strict=True)]
+    levels = [level(57 + n if n < 8 else n - 7).alias(f) for n, f in enumerate(LEVELS)]
+    axes = [F.when(at(3 + 2 * n) > 0, F.abs(at(4 + 2 * n)) * 720).alias(f) for n, f in enumerate(AXES)]
+    return e.select("item_id", *hists, *levels, *axes)

@@ -101,11 +101,16 @@ def _evidence(s, d, first: int):
     return j.withColumn("evidence", F.when(F.col("item_id") % 7 != 0, histogram_similarity(F.col("qv"), F.col("iv")))).drop("qv", "iv")
 
 
-def _gate_sql(first: int, g: rerank.Gate, top_n: int, weight: float) -> str:
+def _half_evidence_sql(first: int) -> str:
     part = f"[{first}:{first + 31}]"
     like = f"greatest(0, least(1, 0.5e0*(list_dot_product(q.e{part}, gi.e{part})/greatest(1e-12, sqrt(list_dot_product(q.e{part}, q.e{part})*list_dot_product(gi.e{part}, gi.e{part})))+1)))"
+    return f"CASE WHEN rnk.item_id % 7 <> 0 THEN {like} END"
+
+
+def _gate_sql(evidence: str, g: rerank.Gate, top_n: int, weight: float) -> str:
+    """From the candidates' ``evidence``, an expression over the tables rnk, q and gi."""
     return (
-        f", ev AS (SELECT rnk.*, CASE WHEN rnk.item_id % 7 <> 0 AND rank <= {top_n} THEN {like} END AS e_, {SHIFT.format('rnk.score')} AS u FROM rnk JOIN q USING (query_id) JOIN gi USING (item_id))"
+        f", ev AS (SELECT rnk.*, CASE WHEN rank <= {top_n} THEN {evidence} END AS e_, {SHIFT.format('rnk.score')} AS u FROM rnk JOIN q USING (query_id) JOIN gi USING (item_id))"
         ", gt AS (SELECT query_id, max(e_) AS best, min(e_) AS least_, max(CASE WHEN rank = 1 THEN e_ END) AS one, coalesce(greatest(0, max(CASE WHEN rank = 1 THEN u END)-max(CASE WHEN rank = 2 THEN u END)), 1) AS gap FROM ev GROUP BY query_id)"
         f", op AS (SELECT query_id, coalesce(best >= {g.best}e0 AND best-least_ >= {g.spread}e0 AND NOT (gap >= 0.1e0 AND (one IS NULL OR best > one) AND best-coalesce(one,0) < {g.lead}e0), false) AS open FROM gt)"
         f" SELECT query_id, item_id, {r_(f'CASE WHEN open AND e_ IS NOT NULL THEN greatest(1e-6, least(1, (1-{weight}e0*greatest(0,least(1,(e_-{g.floor}e0)/{1 - g.floor}e0)))*u + {weight}e0*greatest(0,least(1,(e_-{g.floor}e0)/{1 - g.floor}e0))*e_)) ELSE score END', 'score')} FROM ev JOIN op USING (query_id)"
@@ -113,7 +118,7 @@ def _gate_sql(first: int, g: rerank.Gate, top_n: int, weight: float) -> str:
 
 
 for _name, _first, _gate, _n, _w in (("g16_structure_rerank", 1, rerank.STRUCTURE, 12, 0.4), ("g17_local_match_rerank", 33, rerank.LOCAL_MATCH, 10, 0.5)):
-    add(_name, lambda s, d, f=_first, g=_gate, n=_n, w=_w: rerank.reranked_behind_gate(_evidence(s, d, f), "evidence", g, n, w).select("query_id", "item_id", "score"), with_("rnk q gi", _gate_sql(_first, _gate, _n, _w)).replace(" , ev AS", ", ev AS"))
+    add(_name, lambda s, d, f=_first, g=_gate, n=_n, w=_w: rerank.reranked_behind_gate(_evidence(s, d, f), "evidence", g, n, w).select("query_id", "item_id", "score"), with_("rnk q gi", _gate_sql(_half_evidence_sql(_first), _gate, _n, _w)).replace(" , ev AS", ", ev AS"))
 
 # Features and models ------------------------------------------------------------------------------------------------
 _FEAT_SQL = (
