@@ -4,13 +4,15 @@ Texts and benchmark items are lower-cased and their white space is single spaces
 budget of e = n * ``rate`` edits and is split into e + 1 pieces: where the item occurs in a text with e edits or fewer,
 one piece at least occurs unchanged. An automaton of all pieces finds their exact hits in one pass over the whole text;
 each hit puts the item at one place of the text, and Myers' bit-parallel algorithm decides whether the text holds the
-item there within the budget. Hits of one item that point at overlapping places are verified together.
+item there within the budget. Hits of one item that point at overlapping places are verified together. An item too short
+for a budget of one edit (under 13 characters at the given rate) has one piece, itself, and counts where no letter or digit
+of the text goes on from its own: ``no`` is not in ``nothing``.
 
 The benchmark is the stated query set: it is read in blocks of at most ``BLOCK_CHARS`` characters, each block an
 automaton of bounded size that is sent to all tasks, and every block meets every text.
 
 Defined results: null and empty texts hold nothing; null, blank and one-character items are ignored; items equal after
-normalising are each reported; a null doc_id is kept; repeated rows get equal results; extra columns pass through
+normalising are each reported; items keep the type of their ids; a null doc_id is kept; repeated rows get equal results; extra columns pass through
 ``decontaminate``; an empty table on either side gives no match.
 """
 
@@ -72,6 +74,12 @@ def best_distance(masks: dict[str, int], size: int, text: str, enough: int = -1)
     return best, end
 
 
+def stands_alone(text: str, start: int, end: int) -> bool:
+    """Whether no word of the text goes on across either border of the stretch."""
+    inside = lambda at: 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+    return not inside(start) and not inside(end)
+
+
 class Matcher:
     """The pieces of a block of items, and the items' bit masks."""
 
@@ -101,6 +109,10 @@ class Matcher:
         found = []
         for key, places in starts.items():
             item_id, item, budget, masks = self.items[key]
+            if not budget:
+                if any(stands_alone(text, place, place + len(item)) for place in places):
+                    found.append((item_id, 0))
+                continue
             least, seen = budget + 1, None
             for place in sorted(set(places)):
                 if seen is not None and place <= seen:
@@ -130,14 +142,15 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def marked(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, column: str = "leaks") -> DataFrame:
     """``docs`` with ``column``, an array of (item_id, distance); a column of that name is replaced."""
-    out = docs.withColumn(column, F.array().cast("array<struct<item_id:bigint,distance:int>>"))
+    found = f"array<struct<item_id:{benchmark.schema['item_id'].dataType.simpleString()},distance:int>>"
+    out = docs.withColumn(column, F.array().cast(found))
     for items in _blocks(benchmark):
-        out = out.withColumn(column, F.concat(column, _finder(docs.sparkSession.sparkContext.broadcast(items), rate)("text")))
+        out = out.withColumn(column, F.concat(column, _finder(docs.sparkSession.sparkContext.broadcast(items), rate, found)("text")))
     return out
 
 
-def _finder(shared, rate: float):
-    @F.pandas_udf("array<struct<item_id:bigint,distance:int>>")
+def _finder(shared, rate: float, schema: str):
+    @F.pandas_udf(schema)
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matcher = Matcher(shared.value, rate)
         for texts in batches:

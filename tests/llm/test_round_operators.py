@@ -343,3 +343,14 @@ def test_base_spans_of_hard_texts():
         assert m.base_spans(text) == base_brute(text), text
     for text in ("1" * 300_000, "a" * 300_000, "a@" * 150_000, "1." * 150_000, "+1" + " " * 300_000, "1 " * 150_000 + "x", "@" * 200_000, "x" * 100_000 + "5" * 9):
         m.sites_of(text)  # in time that grows with the text
+
+
+def test_short_items_stand_alone_and_ids_keep_their_type(spark):
+    from terraloom.llm import decontam
+
+    texts = ["nothing here", "there is no way", "No", "a casino", None, "", "it is 42.", "in 1942 or 420"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([("n", "no"), ("f", "42"), ("long", "an item of some twenty letters")], "item_id string, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontam.query(docs, items).collect()}
+    assert got == {0: [], 1: ["n"], 2: ["n"], 3: [], 4: [], 5: [], 6: ["f"], 7: []}
+    assert [r["doc_id"] for r in decontam.decontaminate(docs, items).orderBy("doc_id").collect()] == [0, 3, 4, 5, 7]
