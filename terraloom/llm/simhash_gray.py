@@ -4,9 +4,11 @@
 bit of the fingerprint is set if it is set in more than half of the hashes.
 
 *Links.* Equal fingerprints are merged first, so that thousands of copies are one row. The 64 bits are cut into
-``budget + 1`` blocks: two fingerprints within ``budget`` bits agree in one block at least. So each distinct fingerprint
-goes once per block to the bucket of that block's value: the buckets are the top nodes of the index. Spark sorts every
-bucket by Gray rank, which puts codes with common leading bits side by side, and a task builds a tree over each sorted
+``budget + t`` blocks: two fingerprints within ``budget`` bits agree in ``t`` blocks at least. So each distinct fingerprint
+goes once per choice of ``t`` blocks to the bucket of their bits: the buckets are the top nodes of the index. ``t`` is the
+least for which buckets of evenly spread fingerprints hold ``BUCKET`` codes at most (``blocks_together``): 1 up to 4
+million distinct fingerprints, 2 (15 copies of a row) up to 10^9, 3 (35 copies) up to 10^11; every ``t`` finds the same
+links. Spark sorts every bucket by Gray rank, which puts codes with common leading bits side by side, and a task builds a tree over each sorted
 list: a node is a run of neighbours and holds the mask of the bits that all of them share, with the pattern there; the
 nodes above hold what their children share. The search goes down pairs of nodes from the roots. A pair adds to its
 parents' differences only the bits that have become common since, and when the sum exceeds the budget the whole
@@ -26,6 +28,7 @@ index, and ``keep_one`` keeps one row of each component; extra columns are ignor
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -33,11 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from ..sources.stage import removed
 from .common import let, shuffle_width, staged
 
 SHINGLE = 4
 BUDGET = 4
 SEED = 42
+#: Codes of a mean bucket from which wider keys cost less than larger buckets.
+BUCKET = 1024
 #: Fingerprints of a bucket that one tree holds; larger buckets are cut into chunks of about this size.
 CHUNK = 4096
 #: Children of a node.
@@ -234,11 +240,28 @@ def bucket_links(budget: int):
     return run
 
 
-def fingerprint_links(distinct: DataFrame, budget: int = BUDGET, chunk: int = CHUNK) -> DataFrame:
-    """a, b: links whose components are those of all links within ``budget`` bits among the distinct ``fp``."""
-    spark, blocks = distinct.sparkSession, budget + 1
+def key_masks(budget: int = BUDGET, together: int = 1) -> list[int]:
+    """The bits of each choice of ``together`` out of ``budget + together`` blocks."""
+    blocks = budget + together
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
-    values = F.array(*(F.shiftrightunsigned("fp", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)) for k in range(blocks)))
+    masks = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(blocks)]
+    return [sum(chosen) for chosen in combinations(masks, together)]
+
+
+def blocks_together(n: int, budget: int = BUDGET, bucket: int = BUCKET) -> int:
+    """The least number of blocks of a key for which no mean bucket of ``n`` evenly spread codes exceeds ``bucket``."""
+    together = 1
+    while together + budget < 64 and n > bucket << min(m.bit_count() for m in key_masks(budget, together)):
+        together += 1
+    return together
+
+
+def fingerprint_links(distinct: DataFrame, budget: int = BUDGET, chunk: int = CHUNK, together: int | None = None) -> DataFrame:
+    """a, b: links whose components are those of all links within ``budget`` bits among the distinct ``fp``. ``together``
+    blocks make a key, by default as many as the number of rows asks for."""
+    spark = distinct.sparkSession
+    masks = key_masks(budget, together or blocks_together(distinct.count(), budget))
+    values = F.array(*(F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks))
     rows = distinct.select("fp", gray_rank_column("fp").alias("rank"), F.posexplode(values).alias("block", "value"))
     counts = rows.groupBy("block", "value").agg(F.count("*").alias("n"))
     hot = counts.where(F.col("n") > chunk).select("block", "value", F.ceil(F.col("n") / chunk).cast("int").alias("m"))
@@ -252,27 +275,30 @@ def fingerprint_links(distinct: DataFrame, budget: int = BUDGET, chunk: int = CH
     return sorted_.mapInPandas(bucket_links(budget), "a long, b long")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root (the smallest node reachable) of every linked node but the roots themselves, by alternating star steps."""
+def components(links: DataFrame) -> DataFrame:
+    """node, root (the smallest node reachable) of every linked node but the roots themselves, by alternating star steps
+    until a round changes nothing. A round's tables are deleted when the next one's are written."""
+    spent = []
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # A hub has many neighbours: with the least ones written out, the engine can split the hub's side of the join.
-        joined = both.join(staged(low, "least") if large else low, "a")
         if large:
+            # A hub has many neighbours: with the least ones written out, the engine can split the hub's side of the join.
+            low = staged(low, "least")
+            spent.append(low)
+            joined = both.join(low, "a")
             return joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        joined = both.join(low, "a")
         return joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.where(F.col("a") != F.col("m")).select("a", F.col("m").alias("b"))).distinct()
 
-    edges, before = staged(links.where(F.col("a") != F.col("b")).distinct(), "links"), None
-    for _ in range(rounds):
+    edges, now, before = staged(links.where(F.col("a") != F.col("b")).distinct(), "links"), None, ()
+    while now != before:
+        spent.append(edges)
         edges = staged(star(star(edges, True), False), "stars")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        now, before = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first(), now
+        while spent:
+            removed(spent.pop())
     return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 

@@ -1,6 +1,7 @@
 """The native text operators and the SimHash, language, decontamination and packing operators against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -384,6 +385,60 @@ def test_hot_buckets_are_split(spark):
     assert sorted(map(sorted, groups.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
 
 
+@pytest.mark.parametrize("together", [1, 2, 3, 4])
+def test_keys_of_several_blocks(spark, together):
+    """Every width of the keys gives the components of all pairs, hot buckets cut into chunks included."""
+    from terraloom.llm import simhash_gray as m
+
+    rng = random.Random(together)
+    seeds, codes = [rng.getrandbits(64) for _ in range(60)], {0, (1 << 64) - 1}
+    while len(codes) < 800:
+        c = rng.choice(seeds)
+        for _ in range(rng.randrange(6)):
+            c ^= 1 << rng.randrange(64)
+        codes.add(c)
+    frame = spark.createDataFrame([(c - (1 << 64) if c >> 63 else c,) for c in codes], "fp long")
+    found = m.components(m.fingerprint_links(frame, chunk=20, together=together)).collect()
+    of = {r["node"] % (1 << 64): r["root"] % (1 << 64) for r in found}
+    groups, want = defaultdict(set), defaultdict(set)
+    for c, r in components_brute(codes).items():
+        groups[of.get(c, c)].add(c)
+        want[r].add(c)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+def test_width_of_keys_follows_the_rows():
+    from terraloom.llm import simhash_gray as m
+
+    assert [m.blocks_together(n) for n in (0, 10**6, 10**7, 10**9, 10**10, 10**12)] == [1, 1, 2, 2, 3, 4]
+    for budget in (0, 3, 4, 7):
+        for together in (1, 2, 3):
+            masks = m.key_masks(budget, together)
+            whole = 0
+            for k in masks:
+                whole |= k
+            assert len(set(masks)) == math.comb(budget + together, together) and whole == (1 << 64) - 1
+            for _ in range(300):  # bits that differ within the budget leave one key at least untouched
+                differs = sum({1 << random.randrange(64) for _ in range(budget)})
+                assert any(not differs & k for k in masks)
+    assert m.blocks_together(10**30) == 60
+
+
+def test_chain_of_links_ends(spark):
+    """A chain is as long a way as a component can have; tables of earlier rounds are gone, the last one stays."""
+    import os
+
+    from terraloom.llm import simhash_gray as m
+    from terraloom.sources.stage import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    links = spark.range(2000).selectExpr("id * 7919 % 2003 a", "(id + 1) * 7919 % 2003 b")
+    got = m.components(links).collect()
+    assert len(got) == 2000 and {r["root"] for r in got} == {0}
+    assert len(set(os.listdir(folder)) - before) == 1
+
+
 def test_language(spark, docs):
     from terraloom.llm import language_id as m
 
