@@ -42,11 +42,33 @@ def points(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """image, lat, lon, grp from JSON lines, a JSON list or CSV; a zero coordinate counts, blank groups are ``ungrouped``."""
-    raw = read_metadata(spark, path) if path.lower().endswith(".csv") else with_standard_names(spark.read.json(path, multiLine=not path.lower().endswith(".jsonl")))
-    group = F.col("group") if "group" in raw.columns else F.lit(None).cast("string")
-    ok, _ = points(raw.withColumn("grp", F.coalesce(F.nullif(F.trim(group), F.lit("")), F.lit("ungrouped"))))
-    return ok.select(F.col("path").alias("image"), "lat", "lon", "grp")
+    """image, lat, lon, grp from CSV, JSON lines, a JSON list or a JSON object keyed by image; a zero coordinate counts,
+    blank groups are ``ungrouped``, and of several rows of an image the last one in the file stays."""
+    name = path.lower()
+    if name.endswith(".json"):
+        texts = spark.read.text(path, wholetext=True)
+        if texts.where(F.ltrim("value").startswith("{")).limit(1).count():
+            return keyed_truth(texts.select("*", "_metadata.file_path"), "value", "file_path")
+    files = spark.read.csv(path, header=True) if name.endswith(".csv") else spark.read.json(path, multiLine=not name.endswith(".jsonl"))
+    # within a block of a file the numbers grow with the rows
+    placed = files.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("__place"))
+    raw = with_standard_names(placed)
+    return last_by_key(_truth(raw, F.col("group") if "group" in raw.columns else F.lit(None), "__place"), "image", "place").drop("place")
+
+
+def keyed_truth(texts: DataFrame, column: str, order: str) -> DataFrame:
+    """image, lat, lon, grp of JSON objects (one per row of ``texts``) whose keys are images and whose values hold the
+    coordinates; other values and unreadable texts give nothing. The last key counts, of several texts that of the last by ``order``."""
+    each = texts.select(F.col(order).alias("__order"), F.posexplode(F.from_json(column, "map<string,string>")).alias("__at", "path", "__value"))
+    value = F.from_json("__value", "latitude string, lat string, longitude string, lon string, `group` string")
+    read = each.select("path", F.struct("__order", "__at").alias("__place"), value.alias("v"))
+    raw = read.select("path", "__place", F.coalesce("v.latitude", "v.lat").alias("lat"), F.coalesce("v.longitude", "v.lon").alias("lon"), F.col("v.group").alias("group"))
+    return last_by_key(_truth(raw, F.col("group"), "__place"), "image", "place").drop("place")
+
+
+def _truth(raw: DataFrame, group: Column, place: str) -> DataFrame:
+    ok, _ = points(raw.withColumn("grp", F.coalesce(F.nullif(F.trim(group.cast("string")), F.lit("")), F.lit("ungrouped"))))
+    return ok.select(F.col("path").alias("image"), "lat", "lon", "grp", F.col(place).alias("place"))
 
 
 def last_by_key(df: DataFrame, key: str, order: str) -> DataFrame:

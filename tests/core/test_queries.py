@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from terraloom import queries_assessed, queries_data, queries_forms, queries_more, queries_sweeps  # noqa: F401
+from terraloom import queries_assessed, queries_data, queries_forms, queries_more, queries_sources, queries_sweeps  # noqa: F401
 from terraloom.queries import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
