@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
+from ..sources.scan import unit_vector
 from ..sources.stage import written
 from .spatial import radius_pairs
 
@@ -66,3 +68,38 @@ def merge_without_copies(index: DataFrame, radius_m: float, least_cosine: float)
         waiting = left.join(fresh, "item_id", "left_anti").join(fresh.select(F.col("item_id").alias("other"), F.col("kept").alias("n")), "other", "left")
         left = written(waiting.select("item_id", "other", F.when(F.col("known") == 0, F.coalesce("n", F.lit(0))).otherwise(F.col("known")).alias("known")), "undecided")
     return index.join(first.select("item_id").join(dropped, "item_id", "left_anti"), "item_id", "left_semi")
+
+
+def merge_indices(indices: Sequence[DataFrame], order: str, keys: Sequence[str] = ("match_id", "path"), radius_m: float = 0.0, least_cosine: float = 0.999, most: int = 0) -> DataFrame:
+    """One index of several (lat, lon, embedding, the keys and ``order``): the rows of the first index in their order, then
+    those of the next. Of rows with equal keys (nulls are equal) the first stays; then, with a radius, a row goes if a kept
+    earlier one lies within it and is at least that similar; then the first ``most`` stay, all if 0. ``origin`` is the number
+    of the index and ``item_id`` grows in the merged order; columns of these names are replaced, vectors get unit length.
+
+    Rows without valid coordinates or a vector are left out. Ties of ``order`` within an index go by the keys, then by
+    place and vector. No rows give an empty index. The order is one range sort whose numbers are written out once; a cap
+    is found from counts of its ranges and the numbers of one range, so that it moves no vectors."""
+    columns = [c for c in indices[0].columns if c not in ("origin", "item_id")]
+    sides = [index.select(*columns, F.col(order).alias("__order"), F.lit(n).alias("origin")) for n, index in enumerate(indices)]
+    valid = F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180) & F.col("embedding").isNotNull()
+    rows = reduce(DataFrame.unionByName, sides).where(valid).withColumn("embedding", unit_vector(F.col("embedding")))
+    ways = [*keys, "lat", "lon", "embedding"]
+    place = F.struct("origin", "__order", *ways)
+    first = rows.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.min_by(F.struct(*rows.columns), place).alias("row")).select("row.*")
+    merged = written(first.orderBy("origin", "__order", *ways).withColumn("item_id", F.monotonically_increasing_id()).drop("__order"), "merged")
+    if radius_m > 0:
+        merged = merge_without_copies(merged, radius_m, least_cosine)
+    return first_in_order(merged, most) if most > 0 else merged
+
+
+def first_in_order(df: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rows of the least ``item_id``, where the ids are those of a sorted table (``monotonically_increasing_id``)."""
+    df = written(df, "uncapped")
+    part, seen = F.shiftright("item_id", 33), 0
+    for r in df.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # one row a range of the sort
+        if seen + r["n"] > most:
+            ids = df.where(part == r["part"]).select("item_id").orderBy("item_id")
+            last = ids.limit(most - seen).agg(F.max("item_id")).first()[0]
+            return df.where(F.col("item_id") <= last) if last is not None else df.where(part < r["part"])
+        seen += r["n"]
+    return df

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .operators import merge
 from .plans import overlay as o
 from .queries import add, r_, with_
 from .sources import enrichment, scan
@@ -59,3 +60,17 @@ add("s03_keyed_objects", _keyed, with_("sp", f"""
 SELECT 'img-' || image_id AS image, {r_("CASE WHEN image_id % 3 = 0 THEN lat + 1 ELSE lat END", "lat")}, {r_("lon", "lon")},
   CASE WHEN image_id % 3 = 0 THEN 'ungrouped' ELSE source END AS grp
 FROM sp WHERE image_id % 3 = 0 OR image_id % 13 <> 0"""))
+
+
+def _merged(s, d):
+    """A part of an index, then all of it in reverse order under longer ids for every fifth row."""
+    one = o.geo_index(s, d).select("lat", "lon", "embedding", F.col("item_id").alias("n"), F.concat(F.lit("i"), "item_id").alias("match_id"), F.lit("chips").alias("path"))
+    two = one.withColumns({"match_id": F.when(F.col("n") % 5 == 0, F.concat("match_id", F.lit("b"))).otherwise(F.col("match_id")), "n": -F.col("n")})
+    return merge.merge_indices([one.where("n % 3 <> 0"), two], "n").select("match_id", "path", "origin", "lat", "lon")
+
+
+add("g05_merged_indices", _merged, with_("gi", f"""
+SELECT match_id, 'chips' AS path, min(origin) AS origin, {r_("min(lat)", "lat")}, {r_("min(lon)", "lon")} FROM (
+  SELECT 'i' || item_id AS match_id, 0 AS origin, lat, lon FROM gi WHERE item_id % 3 <> 0
+  UNION ALL SELECT 'i' || item_id || CASE WHEN item_id % 5 = 0 THEN 'b' ELSE '' END, 1, lat, lon FROM gi)
+GROUP BY match_id"""))

@@ -82,3 +82,39 @@ def test_unreadable_objects_give_nothing(spark):
 
     texts = spark.createDataFrame([(0, None), (1, ""), (2, "not json"), (3, "[]"), (4, '{"a": {"lat": "x", "lon": 1}, "b": {"lat": 1, "lon": 2}}')], "n int, text string")
     assert [tuple(r) for r in keyed_truth(texts, "text", "n").select("image", "lat", "lon", "grp").collect()] == [("b", 1.0, 2.0, "ungrouped")]
+
+
+@pytest.mark.parametrize("radius,most", [(0.0, 0), (0.0, 37), (1500.0, 0), (1500.0, 20), (1500.0, 10_000)])
+def test_indices_merge_in_their_order(spark, radius, most):
+    import math
+    import random
+
+    from terraloom.operators.merge import merge_indices
+
+    rng, schema = random.Random(5), "n long, match_id string, path string, lat double, lon double, embedding array<double>"
+    row = lambda n: (n, f"m{rng.randrange(60)}", rng.choice(["p", "q", None]), 48 + rng.random() / 20, 2 + rng.random() / 20, [rng.random() - 0.5 for _ in range(2)])
+    tables = [[row(n) for n in range(90)] for _ in range(3)]
+    tables[1] += [(-1, "first", "p", 48.0, 2.0, [3.0, 0.0]), (200, "m1", "far", 95.0, 2.0, [1.0, 0.0]), (201, "m1", "none", 48.0, 2.0, None)]
+
+    def metres(a, b):
+        p, q = math.radians(a[3]), math.radians(b[3])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[4] - a[4]) / 2) ** 2
+        return 12_742_000 * math.asin(math.sqrt(h))
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a[5], b[5], strict=True)) / math.hypot(*a[5]) / math.hypot(*b[5])
+
+    seen, want = set(), []
+    for origin, table in enumerate(tables):
+        for r in sorted(table, key=lambda r: r[0]):
+            if r[3] > 90 or r[5] is None or (r[1], r[2]) in seen:
+                continue
+            seen.add((r[1], r[2]))
+            if not radius or not any(metres(r, k) <= radius and cosine(r, k) >= 0.8 for _, k in want):
+                want.append((origin, r))
+    want = [(origin, r[0], r[1], r[2]) for origin, r in want][: most or None]
+    got = merge_indices([spark.createDataFrame(t, schema) for t in tables], "n", radius_m=radius, least_cosine=0.8, most=most)
+    assert [tuple(r) for r in got.orderBy("item_id").select("origin", "n", "match_id", "path").collect()] == want
+    assert got.where("abs(sqrt(aggregate(embedding, 0d, (s, x) -> s + x * x)) - 1) > 1e-9").count() == 0
+    if not radius and not most:
+        assert merge_indices([got.withColumn("n", got.n).limit(0)], "n").count() == 0
