@@ -58,10 +58,26 @@ def running_totals(rows: DataFrame, order: str, value: str, name: str) -> DataFr
     return ranged.withColumn("_in", inside).join(F.broadcast(base), "_part").select(order, (F.col("_base") + F.col("_in")).alias(name))
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, order: list[Column], radius_km: float, n: int = 1) -> DataFrame:
-    """The first ``n`` of the right side within the radius for every ``key``, by ``order``."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return radius_pairs(left, right, radius_km).withColumn("at", F.row_number().over(w)).where(F.col("at") <= n)
+def _back(rows: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with what was found for their values of ``by``; nulls are equal."""
+    named = found.withColumnsRenamed({c: f"_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return rows.join(named, same).drop(*(f"_{c}" for c in by))
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, order: list[Column], tie: str, radius_km: float, n: int = 1) -> DataFrame:
+    """The first ``n`` of the right side within the radius for every ``key``, by ``order``, then the least ``tie``, the right
+    side's id. ``order`` may use ``km`` and the other columns of both sides. Rows that agree in these are one: left ones are
+    answered together, and of right ones the ``n`` of the least ids go on, so that crowded places are not paired row by row."""
+    by, by_right = [c for c in left.columns if c != key], [c for c in right.columns if c != tie]
+    if n == 1:
+        few = right.where(F.col(tie).isNotNull()).groupBy(*by_right).agg(F.min(tie).alias(tie))
+    else:
+        few = right.withColumn("at", F.row_number().over(Window.partitionBy(*by_right).orderBy(tie))).where(F.col("at") <= n).drop("at")
+    asked = left.select(*by).distinct()
+    w = Window.partitionBy(*by).orderBy(*order, tie)
+    best = radius_pairs(asked, few, radius_km).withColumn("at", F.row_number().over(w)).where(F.col("at") <= n)
+    return _back(left, best, by)
 
 
 def heading_order(a: str = "heading_deg", b: str = "r_heading_deg") -> Column:

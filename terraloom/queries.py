@@ -151,8 +151,8 @@ add("a32_standardise", lambda s, d: evaluate.standardised(o.street_points(s, d),
 
 # Places, sequences, detections --------------------------------------------------------------------------------------
 _NEAR = f"(SELECT image_id, ref_id, {hav('sp.lat', 'sp.lon', 'ref.lat', 'ref.lon')} AS km, ref.lat AS r_lat FROM sp JOIN ref ON abs(sp.lat-ref.lat) <= 0.003 AND abs(sp.lon-ref.lon) <= 0.005)"
-add("j04_radius_join", lambda s, d: spatial.nearest(o.street_points(s, d), o.reference_points(s, d), "image_id", [F.round("km", 9), F.col("ref_id")], 0.2, 3).select("image_id", "ref_id", "km", "at"), with_("sp ref", f"SELECT image_id, ref_id, {r_('km', 'km')}, at_ AS \"at\" FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(km,9), ref_id) AS at_ FROM {_NEAR} WHERE km <= 0.2) WHERE at_ <= 3"))
-add("j05_nearest_point", lambda s, d: spatial.nearest(o.street_points(s, d), o.reference_points(s, d), "image_id", [F.round("km", 9), F.col("ref_id")], 0.15).select("image_id", "ref_id", "km"), with_("sp ref", f"SELECT image_id, ref_id, {r_('km', 'km')} FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(km,9), ref_id) AS at_ FROM {_NEAR} WHERE km <= 0.15) WHERE at_ = 1"))
+add("j04_radius_join", lambda s, d: spatial.nearest(o.street_points(s, d).select("image_id", "lat", "lon"), o.reference_points(s, d), "image_id", [F.round("km", 9)], "ref_id", 0.2, 3).select("image_id", "ref_id", "km", "at"), with_("sp ref", f"SELECT image_id, ref_id, {r_('km', 'km')}, at_ AS \"at\" FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(km,9), ref_id) AS at_ FROM {_NEAR} WHERE km <= 0.2) WHERE at_ <= 3"))
+add("j05_nearest_point", lambda s, d: spatial.nearest(o.street_points(s, d).select("image_id", "lat", "lon"), o.reference_points(s, d), "image_id", [F.round("km", 9)], "ref_id", 0.15).select("image_id", "ref_id", "km"), with_("sp ref", f"SELECT image_id, ref_id, {r_('km', 'km')} FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(km,9), ref_id) AS at_ FROM {_NEAR} WHERE km <= 0.15) WHERE at_ = 1"))
 _SCENES = lambda s, d: o.table(s, d, "part").select(F.col("p_partkey").alias("scene_id"), *o._place("p_partkey"), (F.col("p_size") / 1e4).alias("half"), (F.col("p_size") / 1e2).alias("resolution_m")).select("scene_id", "resolution_m", (F.col("lat") - F.col("half")).alias("south"), (F.col("lat") + F.col("half")).alias("north"), (F.col("lon") - F.col("half")).alias("west"), (F.col("lon") + F.col("half")).alias("east"))
 add("j07_covering_scene", lambda s, d: spatial.covering_scene(o.street_points(s, d), _SCENES(s, d), "image_id"), with_("sp", f", sc AS (SELECT scene_id, resolution_m, lat-half AS south, lat+half AS north, lon-half AS west, lon+half AS east FROM (SELECT p_partkey AS scene_id, {_place_sql('p_partkey')}, p_size/1e4 AS half, p_size/1e2 AS resolution_m FROM part)) SELECT sp.image_id, {r_('b.r', 'resolution_m')}, b.scene_id, CASE WHEN b.scene_id IS NULL THEN 'no_open_aerial_found' ELSE 'ok' END AS status FROM sp LEFT JOIN (SELECT image_id, min(resolution_m) AS r, first(scene_id ORDER BY resolution_m, scene_id) AS scene_id FROM sp JOIN sc ON lat BETWEEN south AND north AND lon BETWEEN west AND east GROUP BY image_id) b USING (image_id)").replace(" , sc AS", ", sc AS"))
 _SPLIT = lambda s, d: spatial.spatial_split(o.street_points(s, d), 0.01, 0.7, 0.15)
