@@ -91,23 +91,25 @@ BOX_LEVELS = 17
 
 
 def covering_scene(points: DataFrame, scenes: DataFrame, key: str) -> DataFrame:
-    """For each point the scene of the finest resolution whose box holds it, then the smallest id. A scene is dealt on the
-    level whose cells are as wide as its box at least, so that it touches four cells at most, whatever its size; a point
-    looks on every level that any scene is on."""
+    """For each point the scene of the finest resolution whose box holds it, then the smallest id. Of equal boxes only the
+    first counts, and points of one place look once. A scene is dealt on the level whose cells are as wide as its box at
+    least, so that it touches four cells at most, whatever its size; a place looks on every level that any scene is on."""
     cell = lambda level: F.lit(BOX_CELL_DEG) * F.pow(F.lit(2.0), level)
     wide = F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west"))
     level = F.greatest(F.lit(0), F.least(F.lit(BOX_LEVELS - 1), F.ceil(F.log2(F.greatest(wide, F.lit(1e-12)) / BOX_CELL_DEG)))).cast("int")
     span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell(F.col("level"))).cast("long"), F.floor(F.col(b) / cell(F.col("level"))).cast("long")))
-    dealt = scenes.withColumn("level", level).withColumn("cy", span("south", "north")).withColumn("cx", span("west", "east"))
+    boxes = scenes.groupBy("south", "north", "west", "east").agg(F.min(F.struct("resolution_m", "scene_id")).alias("s"))
+    dealt = boxes.withColumn("level", level).withColumn("cy", span("south", "north")).withColumn("cx", span("west", "east"))
     used = [r["level"] for r in scenes.select(level.alias("level")).distinct().collect()]  # of BOX_LEVELS at most
     if not used:
         return points.select(key, F.lit(None).cast("double").alias("resolution_m"), F.lit(None).cast("long").alias("scene_id"), F.lit("no_open_aerial_found").alias("status"))
-    looked = points.withColumn("level", F.explode(F.array(*(F.lit(x) for x in used))))
+    looked = points.select("lat", "lon").distinct().withColumn("level", F.explode(F.array(*(F.lit(x) for x in used))))
     at = lambda c: F.floor(F.col(c) / cell(F.col("level"))).cast("long")
     inside = F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))
     met = looked.withColumns({"cy": at("lat"), "cx": at("lon")}).join(dealt, ["level", "cy", "cx"]).where(inside)
-    best = met.groupBy(key).agg(F.min(F.struct("resolution_m", "scene_id")).alias("b")).select(key, "b.resolution_m", "b.scene_id")
-    return points.select(key).join(best, key, "left").withColumn("status", F.when(F.col("scene_id").isNull(), "no_open_aerial_found").otherwise("ok"))
+    best = met.groupBy("lat", "lon").agg(F.min("s").alias("b")).select("lat", "lon", "b.resolution_m", "b.scene_id")
+    found = points.select(key, "lat", "lon").join(best, ["lat", "lon"], "left").select(key, "resolution_m", "scene_id")
+    return found.withColumn("status", F.when(F.col("scene_id").isNull(), "no_open_aerial_found").otherwise("ok"))
 
 
 def spatial_split(points: DataFrame, cell_deg: float, train: float, val: float, reverse: bool = False) -> DataFrame:
@@ -242,22 +244,25 @@ def nearest_in_ring(asked: DataFrame, refs: DataFrame, key: str, least_km: float
 
 def street_aerial_pairs(streets: DataFrame, scenes: DataFrame) -> DataFrame:
     """One row per street id (the first by captured_at) with its covering scene, a pair id where there is one, and a status."""
-    first = first_by_key(streets, ["image_id"], [F.col("captured_at")])
+    first = first_by_key(streets.select("image_id", "captured_at", "lat", "lon"), ["image_id"], [F.col("captured_at")])
     met = covering_scene(first, scenes, "image_id")
     return met.withColumn("pair_id", F.when(F.col("scene_id").isNotNull(), F.concat_ws("__", F.col("image_id").cast("string"), F.col("scene_id").cast("string"))))
 
 
 def matched_notes(notes: DataFrame, pins: DataFrame, degrees: float = 1e-4) -> DataFrame:
     """Notes with pins: by pin_id if the note has one, else the first pin within ``degrees`` in both directions, also across
-    180 degrees. The second way meets by cells of at least that size and their neighbours."""
+    180 degrees. The second way meets by cells of at least that size and their neighbours, each place once on either side."""
     by_id = notes.where("pin_id is not null").join(pins.select("pin_id"), "pin_id").select("note_id", "pin_id")
     n = F.lit(max(1, math.floor(360 / degrees) - 1)).cast("long")
     band = lambda c: F.floor(F.col(c) / degrees).cast("long")
-    p = pins.select("pin_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).withColumn("d", _around(band("p_lat"), "p_lon", lambda cy: n))
+    first = pins.groupBy(F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).agg(F.min("pin_id").alias("pin_id"))
+    p = first.withColumn("d", _around(band("p_lat"), "p_lon", lambda cy: n))
     p = p.withColumns({"cy": F.col("d.cy"), "cx": F.col("d.cx")})
     apart = F.abs(F.col("lon") - F.col("p_lon"))
-    near = notes.where("pin_id is null").drop("pin_id").withColumns({"cy": band("lat"), "cx": _ring("lon", n)}).join(p, ["cy", "cx"]).where((F.abs(F.col("lat") - F.col("p_lat")) <= degrees) & ((apart <= degrees) | (apart >= 360 - degrees)))
-    return by_id.unionByName(near.groupBy("note_id").agg(F.min("pin_id").alias("pin_id")))
+    asked = notes.where("pin_id is null").select("note_id", "lat", "lon")
+    places = asked.select("lat", "lon").distinct().withColumns({"cy": band("lat"), "cx": _ring("lon", n)})
+    near = places.join(p, ["cy", "cx"]).where((F.abs(F.col("lat") - F.col("p_lat")) <= degrees) & ((apart <= degrees) | (apart >= 360 - degrees)))
+    return by_id.unionByName(asked.join(near.groupBy("lat", "lon").agg(F.min("pin_id").alias("pin_id")), ["lat", "lon"]).select("note_id", "pin_id"))
 
 
 def spatial_histogram(points: DataFrame, key: str, bins: int = 4) -> DataFrame:
