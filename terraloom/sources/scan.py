@@ -122,13 +122,20 @@ def unit_vector(v: Column) -> Column:
 
 
 def chip_grid(scenes: DataFrame, chip: int, stride: int, most: int) -> DataFrame:
-    """Every full chip window of a scene (width, height, west, north, pixel): row, col, centre; ``most`` at most, in order."""
-    steps = lambda size: F.sequence(F.lit(0), F.col(size) - chip, F.lit(stride))
-    fit = scenes.where((F.col("width") >= chip) & (F.col("height") >= chip))
-    grid = fit.withColumn("row", F.explode(steps("height"))).withColumn("col", F.explode(steps("width")))
-    at = F.row_number().over(Window.partitionBy("scene_id").orderBy("row", "col"))
+    """Every full chip window of a scene (width, height, west, north, pixel): row, col, centre; ``most`` at most, in order. A
+    window's place follows from its number, so that a scene gives its first ones by itself and no windows are sorted. Only
+    scenes that share their id are: they count together, windows of one place by their centres."""
+    steps = lambda size: F.floor((F.col(size) - chip) / stride).cast("long") + 1
+    fit = scenes.where((F.col("width") >= chip) & (F.col("height") >= chip)).withColumns({"_rows": steps("height"), "_cols": steps("width")})
+    few = F.least(F.lit(most).cast("long"), F.col("_rows") * F.col("_cols"))
+    shared = F.count(F.lit(1)).over(Window.partitionBy("scene_id"))
+    grid = fit.where(few > 0).withColumn("_n", shared).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), few - 1)))
+    grid = grid.withColumns({"row": (F.floor(F.col("_k") / F.col("_cols")) * stride).cast("int"), "col": (F.col("_k") % F.col("_cols") * stride).cast("int")})
     half = chip / 2
-    return grid.withColumn("n", at).where(F.col("n") <= most).select("scene_id", "row", "col", (F.col("west") + (F.col("col") + half) * F.col("pixel")).alias("lon"), (F.col("north") - (F.col("row") + half) * F.col("pixel")).alias("lat"))
+    placed = grid.select("scene_id", "row", "col", (F.col("west") + (F.col("col") + half) * F.col("pixel")).alias("lon"), (F.col("north") - (F.col("row") + half) * F.col("pixel")).alias("lat"), "_n")
+    at = F.row_number().over(Window.partitionBy("scene_id").orderBy("row", "col", "lon", "lat"))
+    together = placed.where("_n > 1").withColumn("_at", at).where(F.col("_at") <= most).drop("_at")
+    return placed.where("_n = 1").unionByName(together).drop("_n")
 
 
 def csv_rows(df: DataFrame, text: Sequence[str], eight_decimals: Sequence[str]) -> DataFrame:
