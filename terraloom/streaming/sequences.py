@@ -62,9 +62,10 @@ def _stepper(base_m: float, expire_s: float | None):
         track = next((t for t in opened if 1000 * _km((t[2], t[3]), (f["lat"], f["lon"])) <= reach(t)), None)
         rows = [(c["lat"], c["lon"], c["w"]) for c in f["candidates"] or []]
         lat, lon, tier = f["lat"], f["lon"], f["tier"]
-        weights = updated(None, rows, 0.0, 0.0)[0] if rows else []
+        weights = updated(None, rows, 0.0, 0.0)[0].tolist() if rows else []
         if rows and track and track[5]:
             weights, shrunk = updated(track[5], rows, track[4], radius)
+            weights = weights.tolist()
             lat, lon, spread = _place([(*r[:2], w) for r, w in zip(rows, weights, strict=True)])
             radius, tier = max(spread, shrunk), None
         said = diagnosed(weights) if rows else (1.0, 0.0, 0.0, 0.0, tier, True, 0)

@@ -1,6 +1,7 @@
 """Index merge, temporal posterior and ridge fit against plain loops."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -87,3 +88,30 @@ def test_ridge(spark):
     w = {r["feature"]: r["weight"] for r in model.collect()}
     assert w == pytest.approx({"a": 0.3, "b": -0.2, "intercept": 0.4}, abs=1e-6)
     assert applied(frame, model, ["a", "b"]).where("rerank < 0 or rerank > 1").count() == 0
+
+
+def test_temporal_posterior_of_shared_sets(spark):
+    from terraloom.streaming.temporal import temporal_posterior, temporal_posterior_of_sets
+
+    rng = random.Random(12)
+    sets = spark.createDataFrame([(k, 10 * k + i, 48.0 + rng.random() / 20, 2.0 + rng.random() / 20, rng.choice([0.0, rng.random()])) for k in range(3) for i in range(5 + k)], "set long, item_id long, lat double, lon double, w double")
+    frames = spark.createDataFrame([(f % 4, f, rng.randrange(9), rng.randrange(4), rng.uniform(0, 4000)) for f in range(60)], "sequence long, frame long, ts int, set long, radius_m double")
+    key = lambda r: (r["sequence"], r["frame"], r["item_id"])
+    got = {key(r): r for r in temporal_posterior_of_sets(frames, sets).collect()}
+    want = {key(r): r for r in temporal_posterior(frames.join(sets, "set").drop("set")).collect()}
+    assert set(got) == set(want) and len(want) > 200
+    for k, r in want.items():
+        assert (got[k]["weight"], got[k]["radius_m"]) == pytest.approx((r["weight"], r["radius_m"]), rel=1e-9)
+    assert temporal_posterior_of_sets(frames, sets.limit(0)).count() == 0 == temporal_posterior_of_sets(frames.limit(0), sets).count()
+
+
+def test_support_of_many_candidates_is_quick():
+    import time
+
+    from terraloom.streaming.temporal import updated
+
+    rng = np.random.default_rng(3)
+    rows = [(48 + a, 2 + b, w) for a, b, w in rng.random((2_000, 3)) / 10]
+    began = time.process_time()
+    weights, radius = updated(rows, rows, 900.0, 900.0)
+    assert weights.sum() == pytest.approx(1.0) and radius < 900 and time.process_time() - began < 2
