@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.geo import haversine_km
 from ..sources.scan import unit_vector
@@ -45,29 +46,57 @@ def decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(close(), columns=["item_id", "kept"])
 
 
-def merge_without_copies(index: DataFrame, radius_m: float, least_cosine: float) -> DataFrame:
+#: Items of the first block of a merge; each block after it is as large as all before.
+FIRST_BLOCK = 1 << 13
+
+
+def merge_without_copies(index: DataFrame, radius_m: float, least_cosine: float, first_block: int = FIRST_BLOCK) -> DataFrame:
     """Walks the items in order of item_id and drops one if a kept earlier item lies within the radius and is at least
     that similar. Items of equal place and vector that conflict with each other are one item, that of the smallest id:
-    the others go with it or by it. Conflicts are found by a distance join and dealt by ranges of ids; a task walks its
-    range in order, so that a chain of ascending ids takes one round. What waits for other ranges goes to the next round;
-    each round decides the first range that is left at least, so that the rounds end by themselves."""
+    the others go with it or by it. Items with numbers as ids go by blocks of ascending ids that double: a block meets the
+    items kept before it, and only what these leave meets itself, so that dropped items are never paired with each other."""
     alike = (haversine_km("lat", "lon", "lat", "lon") <= radius_m / 1000) & (cosine(F.col("embedding"), F.col("embedding")) >= least_cosine)
     own = F.when(~F.coalesce(alike, F.lit(False)), F.col("item_id")).alias("_own")
     first = written(index.groupBy(own, "lat", "lon", "embedding").agg(F.min("item_id").alias("item_id")).drop("_own"), "first")
-    right = first.select(F.col("item_id").alias("other"), "lat", "lon", F.col("embedding").alias("v"))
-    near = radius_pairs(first, right, radius_m / 1000).where("other < item_id")
-    edges = written(near.where(cosine(F.col("embedding"), F.col("v")) >= least_cosine).select("item_id", "other"), "conflicts")
+    lows: list = []
+    if isinstance(first.schema["item_id"].dataType, IntegralType) and (n := first.count()) > first_block:
+        ends = [first_block * 2**k / n for k in range(64) if first_block * 2**k < n]
+        lows = sorted(set(first.agg(F.percentile_approx("item_id", ends, 100_000)).first()[0]))
+    kept = None
+    for low, high in zip([None, *lows], [*lows, None], strict=True):
+        block = first if low is None else first.where(F.col("item_id") > low)
+        block = block if high is None else block.where(F.col("item_id") <= high)
+        if kept is not None:
+            gone = _conflicts(block, kept, radius_m, least_cosine).select("item_id").distinct()
+            block = written(block.join(gone, "item_id", "left_anti"), "left")
+        stays = written(_without_conflicts(block, radius_m, least_cosine), "kept")
+        kept = stays if kept is None else kept.unionByName(stays)
+    return index.join(kept.select("item_id"), "item_id", "left_semi")
+
+
+def _conflicts(items: DataFrame, others: DataFrame, radius_m: float, least_cosine: float) -> DataFrame:
+    """item_id, other: of ``items`` with those of ``others`` within the radius that are at least that similar."""
+    right = others.select(F.col("item_id").alias("other"), "lat", "lon", F.col("embedding").alias("v"))
+    near = radius_pairs(items, right, radius_m / 1000)
+    return near.where(cosine(F.col("embedding"), F.col("v")) >= least_cosine).select("item_id", "other")
+
+
+def _without_conflicts(first: DataFrame, radius_m: float, least_cosine: float) -> DataFrame:
+    """One block's kept items. Conflicts are found by a distance join and dealt by ranges of ids; a task walks its range in
+    order, so that a chain of ascending ids takes one round. What waits for other ranges goes to the next round; each round
+    decides the first range that is left at least, so that the rounds end by themselves."""
+    edges = written(_conflicts(first, first, radius_m, least_cosine).where("other < item_id"), "conflicts")
     # Items without an earlier conflict are kept at once; only the others go through the rounds.
     at_once = edges.select("other").distinct().join(edges.select(F.col("item_id").alias("other")).distinct(), "other", "left_anti")
     left = written(edges.join(at_once.withColumn("n", F.lit(1)), "other", "left").select("item_id", "other", F.coalesce("n", F.lit(0)).alias("known")), "undecided")
-    schema = f"item_id {index.schema['item_id'].dataType.simpleString()}, kept int"
+    schema = f"item_id {first.schema['item_id'].dataType.simpleString()}, kept int"
     dropped = edges.select("item_id").limit(0)
     while not left.isEmpty():
         fresh = written(left.repartitionByRange("item_id").sortWithinPartitions("item_id").mapInPandas(decided, schema), "decided")
         dropped = dropped.unionByName(fresh.where("kept = -1").select("item_id"))
         waiting = left.join(fresh, "item_id", "left_anti").join(fresh.select(F.col("item_id").alias("other"), F.col("kept").alias("n")), "other", "left")
         left = written(waiting.select("item_id", "other", F.when(F.col("known") == 0, F.coalesce("n", F.lit(0))).otherwise(F.col("known")).alias("known")), "undecided")
-    return index.join(first.select("item_id").join(dropped, "item_id", "left_anti"), "item_id", "left_semi")
+    return first.join(dropped, "item_id", "left_anti")
 
 
 def merge_indices(indices: Sequence[DataFrame], order: str, keys: Sequence[str] = ("match_id", "path"), radius_m: float = 0.0, least_cosine: float = 0.999, most: int = 0) -> DataFrame:

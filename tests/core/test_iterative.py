@@ -115,3 +115,21 @@ def test_support_of_many_candidates_is_quick():
     began = time.process_time()
     weights, radius = updated(rows, rows, 900.0, 900.0)
     assert weights.sum() == pytest.approx(1.0) and radius < 900 and time.process_time() - began < 2
+
+
+def test_merge_by_blocks_pairs_no_dropped_items(spark, monkeypatch):
+    from terraloom.operators import merge
+
+    rng = np.random.default_rng(5)
+    rows = [(3 * k, 48.0 + rng.random() / 50, 2.0, rng.normal(size=3).tolist()) for k in range(400)]
+    kept = []
+    for r in rows:
+        v = np.array(r[3])
+        if not any(1000 * km(r[1:3], k[1:3]) <= 900 and v @ np.array(k[3]) >= 0.3 * np.linalg.norm(v) * np.linalg.norm(k[3]) for k in kept):
+            kept.append(r)
+    sizes, pairs = [], merge._conflicts
+    monkeypatch.setattr(merge, "_conflicts", lambda a, b, *x: sizes.append((a.count(), b.count())) or pairs(a, b, *x))
+    index = spark.createDataFrame(rows, "item_id long, lat double, lon double, embedding array<double>")
+    got = merge.merge_without_copies(index, 900.0, 0.3, 50)
+    assert sorted(r["item_id"] for r in got.collect()) == [r[0] for r in kept] and len(kept) < 100
+    assert len(sizes) > 4 and sum(a * b for a, b in sizes) < 400 * 400 / 2
