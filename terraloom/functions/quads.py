@@ -1,20 +1,17 @@
-"""Oriented boxes: convex quads as arrays of four corners (x, y), as columns. Everything stays in the JVM: loops over corners
-are folds over small arrays."""
+"""Oriented boxes: convex quads as arrays of four corners (x, y). Boxes are made in the JVM; corners are compared by numpy,
+a batch at a time, as loops over corners within a column are costly and are written out anew wherever a filter takes them in."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
-#: Below this, two lines count as parallel.
-PARALLEL = 1e-9
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+from . import polygons
 
 
 def _corner(x: Column, y: Column) -> Column:
@@ -28,95 +25,36 @@ def box_quad(x: Column, y: Column, w: Column, h: Column, degrees: Column) -> Col
     return F.array(at(-1, -1), at(1, -1), at(1, 1), at(-1, 1))
 
 
-def signed_area(points: Column) -> Column:
-    """By the shoelace formula: positive where the corners run counter-clockwise."""
-    following = lambda i: F.get(points, F.pmod(i + 1, F.size(points)))
-    terms = F.transform(points, lambda p, i: p["x"] * following(i)["y"] - following(i)["x"] * p["y"])
-    return F.aggregate(terms, F.lit(0e0), lambda total, t: total + t) / 2
-
-
-def hull(points: Column) -> Column:
-    """The axis-aligned hull: struct(x0, y0, x1, y1)."""
-    axis = lambda name: F.transform(points, lambda p: p[name])
-    return F.struct(F.array_min(axis("x")).alias("x0"), F.array_min(axis("y")).alias("y0"), F.array_max(axis("x")).alias("x1"), F.array_max(axis("y")).alias("y1"))
-
-
-def canonical(points: Column) -> Column:
-    """The corners around their mean by falling angle, from the one of the least y, then x."""
-    mean = lambda name: F.aggregate(points, F.lit(0e0), lambda total, p: total + p[name]) / F.size(points)
-
-    def turned(c: Column) -> Column:
-        by_angle = F.transform(F.sort_array(F.transform(points, lambda p, i: F.struct((-F.atan2(p["y"] - c["y"], p["x"] - c["x"])).alias("a"), i.alias("i"), p.alias("p")))), lambda s: s["p"])
-
-        def from_first(ps: Column) -> Column:
-            first = F.array_min(F.transform(ps, lambda p, i: F.struct(p["y"].alias("y"), p["x"].alias("x"), i.alias("i"))))["i"]
-            return F.concat(F.slice(ps, first + 1, F.size(ps)), F.slice(ps, F.lit(1), first))
-
-        return _let(by_angle, from_first)
-
-    return _let(F.struct(mean("x").alias("x"), mean("y").alias("y")), turned)
-
-
-def heading(points: Column) -> Column:
-    """The direction of the longer of the first two edges, in degrees from 0 to 360."""
-    p = [F.get(points, i) for i in range(3)]
-    edge = lambda i: (p[i + 1]["x"] - p[i]["x"], p[i + 1]["y"] - p[i]["y"])
-    (ax, ay), (bx, by) = edge(0), edge(1)
-    first = F.hypot(ax, ay) >= F.hypot(bx, by)
-    return F.pmod(F.degrees(F.atan2(F.when(first, ay).otherwise(by), F.when(first, ax).otherwise(bx))), F.lit(360e0))
-
-
-def _side(a: Column, b: Column, p: Column) -> Column:
-    return (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
-
-
-def _crossing(s: Column, e: Column, a: Column, b: Column) -> Column:
-    """Where the line through ``s`` and ``e`` meets that through ``a`` and ``b``; ``e`` where they are parallel."""
-    dx, dy, ex, ey = e["x"] - s["x"], e["y"] - s["y"], b["x"] - a["x"], b["y"] - a["y"]
-    across = dx * ey - dy * ex
-    t = ((a["x"] - s["x"]) * ey - (a["y"] - s["y"]) * ex) / across
-    return F.when(F.abs(across) < PARALLEL, e).otherwise(_corner(s["x"] + t * dx, s["y"] + t * dy))
-
-
-def counter_clockwise(points: Column) -> Column:
-    return F.when(signed_area(points) < 0, F.reverse(points)).otherwise(points)
-
-
-def clipped(subject: Column, clipper: Column) -> Column:
-    """The part of a convex polygon inside another one whose corners run counter-clockwise: one half plane after another
-    keeps the corners on its side and adds where the outline crosses its edge."""
-    none = F.array().cast("array<struct<x:double,y:double>>")
-
-    def cut(points: Column, k: Column) -> Column:
-        a, b = F.get(clipper, k), F.get(clipper, F.pmod(k + 1, F.size(clipper)))
-
-        def kept(e: Column, i: Column) -> Column:
-            s = F.get(points, F.pmod(i - 1, F.size(points)))
-            e_in, s_in = _side(a, b, e) >= 0, _side(a, b, s) >= 0
-            return F.when(e_in & s_in, F.array(e)).when(e_in, F.array(_crossing(s, e, a, b), e)).when(s_in, F.array(_crossing(s, e, a, b))).otherwise(none)
-
-        return F.flatten(F.transform(points, kept))
-
-    return F.aggregate(F.sequence(F.lit(0), F.size(clipper) - 1), subject, cut)
+def _overlap(a: pa.Array, b: pa.Array) -> pa.Array:
+    (p, p_void), (q, q_void) = polygons.corners(a), polygons.corners(b)
+    return pa.array(polygons.overlap(p, q), pa.float64(), mask=p_void | q_void)
 
 
 def quad_iou(a: Column, b: Column) -> Column:
     """Intersection over union of two convex polygons; 0 where either has no area. Quads whose hulls are apart are not cut."""
-
-    def of(p: Column, q: Column) -> Column:
-        areas = F.abs(signed_area(p)) + F.abs(signed_area(q))
-        apart = lambda h, g: (h["x1"] <= g["x0"]) | (g["x1"] <= h["x0"]) | (h["y1"] <= g["y0"]) | (g["y1"] <= h["y0"])
-        inside = _let(clipped(p, q), lambda c: F.when(F.size(c) < 3, F.lit(0e0)).otherwise(F.abs(signed_area(c))))
-        share = _let(inside, lambda both: F.when((both > 0) & (areas - both > 0), both / (areas - both)).otherwise(F.lit(0e0)))
-        flat = (signed_area(p) == 0) | (signed_area(q) == 0)
-        return F.when(flat | apart(hull(p), hull(q)), F.lit(0e0)).otherwise(share)
-
-    return _let(counter_clockwise(a), lambda p: _let(counter_clockwise(b), lambda q: of(p, q)))
+    return F.arrow_udf(_overlap, DoubleType())(a, b)
 
 
-def oriented_detections(detections, min_confidence: float, min_area: float = 16.0):
+def oriented_detections(detections: DataFrame, min_confidence: float, min_area: float = 16.0) -> DataFrame:
     """Detections (confidence, quad, heading_deg, others) that reach the confidence and the area, with their corners in
     canonical order and missing headings filled from the longer edge. Null confidences don't pass."""
-    big = detections.where((F.col("confidence") >= min_confidence) & (F.size("quad") == 4) & (F.abs(signed_area(F.col("quad"))) >= max(1e-3, min_area)))
-    ordered = big.withColumn("quad", canonical(F.col("quad")))
-    return ordered.withColumn("heading_deg", F.coalesce("heading_deg", heading(F.col("quad"))))
+    corner = "array<struct<x:double,y:double>>"
+    sure = detections.where(F.col("confidence") >= min_confidence).withColumns({"quad": F.col("quad").cast(corner), "heading_deg": F.col("heading_deg").cast("double")})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            quad, void = polygons.corners(batch.column("quad"))
+            area = np.abs(polygons.signed_area(quad))
+            whole = (quad[2] == 4) & ~void & (area >= max(1e-3, min_area))
+            x, y = polygons.around(*(z.reshape(-1, 4) for z in polygons.chosen(quad, whole)[:2]))
+            ends = pa.array(np.arange(0, 4 * len(x) + 1, 4, dtype=np.int32))
+            kept = batch.filter(pa.array(whole))
+            given = kept.column("heading_deg")
+            filled = given.fill_null(0.0).to_numpy(zero_copy_only=False)
+            made = {
+                "quad": pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(x.ravel()), pa.array(y.ravel())], ["x", "y"])),
+                "heading_deg": pa.array(np.where(given.is_null().to_numpy(zero_copy_only=False), polygons.headings(x, y), filled)),
+            }
+            yield pa.RecordBatch.from_arrays([made.get(name, kept.column(name)) for name in kept.schema.names], names=kept.schema.names)
+
+    return sure.mapInArrow(run, StructType([f if f.name not in ("quad", "heading_deg") else type(f)(f.name, f.dataType) for f in sure.schema]))
