@@ -16,22 +16,29 @@ from .streaming import sequences, sessions
 # Oriented boxes -----------------------------------------------------------------------------------------------------
 
 
-def _quads(s: SparkSession, d: str) -> DataFrame:
-    """The detections of lineitem, each turned around its centre."""
+_BOX = ("x", "y", "w", "h", "turn")
+
+
+def _boxes(s: SparkSession, d: str) -> DataFrame:
+    """The detections of lineitem, each to be turned around its centre."""
     li = o.table(s, d, "lineitem")
     x, y, w, h = (F.col(c) % 50 if c.endswith("key") else F.col(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_tax"))
     turn = (F.col("l_linenumber") * 23 + F.col("l_partkey")) % 180 + 0.25
-    quad = quads.box_quad(x.cast("double"), y.cast("double"), w.cast("double"), 5.5 + h.cast("double") * 100, turn.cast("double"))
+    values = (x.cast("double"), y.cast("double"), w.cast("double"), 5.5 + h.cast("double") * 100, turn.cast("double"))
     return li.select(
         F.col("l_orderkey").alias("image_id"),
         F.col("l_linenumber").cast("long").alias("det"),
         F.col("l_returnflag").alias("label"),
         (F.col("l_discount").cast("double") * 10).alias("confidence"),
-        quad.alias("quad"),
+        *(v.alias(name) for name, v in zip(_BOX, values, strict=True)),
         F.when(F.col("l_linenumber") % 3 == 0, F.col("l_suppkey").cast("double")).alias("heading_deg"),
     )
 
 
+def _quads(s: SparkSession, d: str) -> DataFrame:
+    return _boxes(s, d).select("image_id", "det", "label", "confidence", quads.box_quad(*map(F.col, _BOX)).alias("quad"), "heading_deg")
+
+
 def _corner_sql(u: int, v: int) -> str:
     return f"{{'x': cx+({u})*w/2*cos(t)-({v})*h/2*sin(t), 'y': cy+({u})*w/2*sin(t)+({v})*h/2*cos(t)}}"
 
@@ -76,9 +83,11 @@ add("p05_oriented_filter", _filtered, _FILTERED_SQL)
 
 def _overlaps(s: SparkSession, d: str) -> DataFrame:
     """How much the detections of an image overlap, by label."""
-    q = _quads(s, d)
-    other = q.select("image_id", F.col("det").alias("o_det"), F.col("quad").alias("o_quad"))
-    pairs = q.join(other, "image_id").where("det < o_det").withColumn("iou", quads.quad_iou(F.col("quad"), F.col("o_quad")))
+    q = _boxes(s, d)
+    other = q.select("image_id", *(F.col(c).alias(f"o_{c}") for c in ("det", *_BOX)))
+    quad, o_quad = quads.box_quad(*map(F.col, _BOX)), quads.box_quad(*(F.col(f"o_{c}") for c in _BOX))
+    # The numbers of a box are shuffled, not its corners.
+    pairs = q.join(other, "image_id").where("det < o_det").withColumn("iou", quads.quad_iou(quad, o_quad))
     return pairs.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("iou").alias("mean_iou"), F.max("iou").alias("max_iou"))
 
 

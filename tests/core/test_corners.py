@@ -34,3 +34,22 @@ def test_odd_quads_are_filtered(spark):
     ring = [(0.0, 0.0), (0.0, 3.0), (4.0, 3.0), (4.0, 0.0)]
     assert got == {0: (ring, 0.0), 8: (ring, 7.0)}
     assert quads.oriented_detections(frame.limit(0), 0.5).count() == 0
+
+
+def test_overlaps_make_no_corner_twice(spark, sf_dir):
+    from terraloom.queries_assessed import _overlaps
+
+    plan = _plan(_overlaps(spark, sf_dir))
+    assert 0 < plan.count("COS(") <= 16 and "lambda" not in plan
+    assert plan.index("COS(") < plan.index("Join")  # corners are made of pairs: the join shuffles a box's numbers
+
+
+def test_overlap_of_odd_polygons(spark):
+    from terraloom.functions import quads
+
+    square, three, six = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)], [(0.0, 0.0), (2.0, 0.0), (0.0, 2.0)], [(-1.0, 1.0), (0.0, -1.0), (2.0, -1.0), (3.0, 1.0), (2.0, 3.0), (0.0, 3.0)]
+    pairs = [(square, three, 0.5), (three, square, 0.5), (square, six, 4 / 12), (six, square[::-1], 4 / 12), (square, [], 0.0), ([], [], 0.0), (None, square, None), (square, [*square[:3], None], None), (square, square[:2], 0.0), (square, square, 1.0)]
+    rows = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(pairs)], f"k int, a {QUAD}, b {QUAD}")
+    got = {r["k"]: r["iou"] for r in rows.select("k", quads.quad_iou(F.col("a"), F.col("b")).alias("iou")).collect()}
+    for k, (_, _, want) in enumerate(pairs):
+        assert got[k] is None if want is None else got[k] == pytest.approx(want)
