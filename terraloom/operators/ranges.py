@@ -2,14 +2,15 @@
 
 The rows are dealt into ranges of the order, of at most ``RANGE_ROWS`` rows, and written once. In a round every range walks
 through its rows in order, by itself, given what the ranges before it took in the round before; rounds go on until one
-changes nothing. The first range is right after one round and each round settles one more at least, whatever chains the rows
-make; rows depend on far ranges seldom, so that a few rounds do. One range, that is up to a million rows, needs one round.
+changes nothing, or as many as there are ranges. The first range is right after one round and each round settles one more at
+least, whatever chains the rows make; rows depend on far ranges seldom, so that a few rounds do. One range, that is up to a million rows, needs one round.
 A task holds the marks of what its range took.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -28,7 +29,7 @@ def settled(rows: DataFrame, cut: list[str], order: list[str], informed: Callabl
     parts = max(1, -(-rows.count() // range_rows))
     pool = written(rows.repartitionByRange(parts, *cut).withColumn("_range", F.spark_partition_id()), "ranges")
     taken = pool.limit(0)
-    before = (0, None)
+    before, rounds = (0, None), 0
     while True:
         open_rows = informed(pool, taken)
         schema = open_rows.schema
@@ -42,13 +43,38 @@ def settled(rows: DataFrame, cut: list[str], order: list[str], informed: Callabl
         old, taken = taken, written(dealt.mapInArrow(choose, schema).select(*pool.columns), "taken")
         removed(old)
         now = tuple(taken.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*order).cast("decimal(20,0)"))).first())
-        if parts == 1 or now == before:
+        rounds += 1
+        if rounds == parts or now == before:
             return taken.drop("_range")
         before = now
 
 
+def _sure_firsts(rows: DataFrame, keys: list[str], order: list[str], range_rows: int) -> tuple[list[DataFrame], DataFrame]:
+    """Tables of rows that are taken, and the rows that are still open. A row that is the first of all its keys is taken,
+    and the other rows of these keys go; rounds go on while more than a range is open and each leaves half of it at most."""
+    columns, taken, left = rows.columns, [], rows.count()
+    live = rows.withColumn("_tie", F.monotonically_increasing_id())
+    while left > range_rows:
+        marked = live.withColumn("_first", F.lit(True))
+        for k in keys:
+            place = Window.partitionBy(k).orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            marked = marked.withColumn("_first", F.col("_first") & (F.row_number().over(place) == 1))
+        # The rows of the last key lie together, so that those behind a taken one go before they are written.
+        marked = written(marked.withColumn("_gone", F.first("_first").over(place)).where("_first or not _gone").drop("_gone"), "marked")
+        won, live = marked.where("_first"), marked.where("not _first").drop("_first")
+        for k in keys[:-1]:
+            live = live.join(won.select(F.col(k).alias("_k")), F.col(k).eqNullSafe(F.col("_k")), "left_anti")
+        taken.append(won.select(columns))
+        before, left = left, live.count()
+        if left > before / 2:
+            break
+    return taken, live.select(columns)
+
+
 def first_of_keys(rows: DataFrame, keys: list[str], order: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Walks the rows in order and takes one if none of its ``keys`` was taken before. ``order`` leaves no ties."""
+    """Walks the rows in order and takes one if none of its ``keys`` was taken before. ``order`` leaves no ties. Where there
+    is more than a range of rows, those that come first of all their keys are taken together; the walk is for what these
+    rounds leave, as long chains do."""
 
     def informed(pool: DataFrame, taken: DataFrame) -> DataFrame:
         for k in keys:
@@ -71,7 +97,8 @@ def first_of_keys(rows: DataFrame, keys: list[str], order: list[str], range_rows
 
         return choice
 
-    return settled(rows, order, order, informed, chooser, range_rows)
+    taken, live = _sure_firsts(rows, keys, order, range_rows)
+    return reduce(DataFrame.unionByName, taken, settled(live, order, order, informed, chooser, range_rows))
 
 
 def quotas_by_cell(rows: DataFrame, per_cell: int, per_sequence: int, range_rows: int = RANGE_ROWS) -> DataFrame:
