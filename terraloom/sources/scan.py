@@ -34,11 +34,13 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def points(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with a path and two parseable coordinates in range, the rejected rows with a reason)."""
-    lat, lon = number(F.col("lat").cast("string")), number(F.col("lon").cast("string"))
+    # Through a generator: a filter would take in the parsing, and parse anew wherever it reads a coordinate.
+    read = df.withColumn("__read", F.explode(F.array(F.struct(*(number(F.col(c).cast("string")).alias(c) for c in ("lat", "lon"))))))
+    lat, lon = F.col("__read.lat"), F.col("__read.lon")
     blank = F.coalesce(F.trim("path"), F.lit("")) == ""
     reason = F.when(blank, "no path").when(lat.isNull() | lon.isNull(), "no coordinates").when(~lat.between(-90, 90) | ~lon.between(-180, 180), "out of range")
-    marked = df.withColumn("reason", reason)
-    return marked.where("reason is null").drop("reason").withColumns({"lat": lat, "lon": lon}), marked.where("reason is not null")
+    marked = read.withColumn("reason", reason)
+    return marked.where("reason is null").withColumns({"lat": lat, "lon": lon}).drop("reason", "__read"), marked.where("reason is not null").drop("__read")
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
@@ -61,7 +63,7 @@ def keyed_truth(texts: DataFrame, column: str, order: str) -> DataFrame:
     coordinates; other values and unreadable texts give nothing. The last key counts, of several texts that of the last by ``order``."""
     each = texts.select(F.col(order).alias("__order"), F.posexplode(F.from_json(column, "map<string,string>")).alias("__at", "path", "__value"))
     value = F.from_json("__value", "latitude string, lat string, longitude string, lon string, `group` string")
-    read = each.select("path", F.struct("__order", "__at").alias("__place"), value.alias("v"))
+    read = each.select("path", F.struct("__order", "__at").alias("__place"), F.explode(F.array(value)).alias("v"))
     raw = read.select("path", "__place", F.coalesce("v.latitude", "v.lat").alias("lat"), F.coalesce("v.longitude", "v.lon").alias("lon"), F.col("v.group").alias("group"))
     return last_by_key(_truth(raw, F.col("group"), "__place"), "image", "place").drop("place")
 
