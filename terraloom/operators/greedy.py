@@ -6,6 +6,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,30 +126,36 @@ def suppressed(d: DataFrame, iou: float = 0.5, most: int = 100, per_label: bool
         image, kept, n = object(), [], 0
         for pdf in batches:
             out = []
-            for r in pdf.itertuples(index=False):
-                if r.image_id != image:
-                    image, kept, n = r.image_id, [], 0
+            xs, ys = pdf[[f"x{i}" for i in range(4)]].to_numpy(), pdf[[f"y{i}" for i in range(4)]].to_numpy()
+            boxes = np.stack([xs.min(axis=1), ys.min(axis=1), xs.max(axis=1), ys.max(axis=1)], axis=1)
+            if mode == "hull":
+                xs, ys = boxes[:, [0, 2, 2, 0]], boxes[:, [1, 1, 3, 3]]
+            for key, label, det, px, py, box in zip(pdf["image_id"], pdf["label"], pdf["det"], xs.tolist(), ys.tolist(), boxes.tolist(), strict=True):
+                if key != image:
+                    image, kept, n = key, [], 0
                 if most > 0 and n >= most:
                     continue
-                p = [(r[4 + 2 * i], r[5 + 2 * i]) for i in range(4)]
-                if mode == "hull":
-                    xs, ys = [c[0] for c in p], [c[1] for c in p]
-                    p = [(min(xs), min(ys)), (max(xs), min(ys)), (max(xs), max(ys)), (min(xs), max(ys))]
+                p = list(zip(px, py, strict=True))
                 area = _area(p)
                 if area < 0:
                     p, area = p[::-1], -area
-                box = min(c[0] for c in p), min(c[1] for c in p), max(c[0] for c in p), max(c[1] for c in p)
-                if iou > 0 and any((not per_label or label == r.label) and _overlap(p, area, box, q, q_area, q_box) > iou for label, q, q_area, q_box in kept):
+                if iou > 0 and any((not per_label or other == label) and not _out_of_reach(area, box, q_area, q_box, iou) and _overlap(p, area, box, q, q_area, q_box) > iou for other, q, q_area, q_box in kept):
                     continue
                 n += 1
-                kept.append((r.label, p, area, box))
-                out.append((r.image_id, r.det))
+                kept.append((label, p, area, box))
+                out.append((key, det))
             yield pd.DataFrame(out, columns=["image_id", "det"])
 
     order = [F.col("image_id"), F.col("confidence").desc_nulls_last(), F.col("det")]
     return flat.repartition("image_id").sortWithinPartitions(*order).mapInPandas(run, "image_id long, det long")
 
 
+def _out_of_reach(p_area: float, p_box, q_area: float, q_box, iou: float) -> bool:
+    """Whether what the hulls share, by its size, is too little for that overlap (with room for rounding)."""
+    w, h = min(p_box[2], q_box[2]) - max(p_box[0], q_box[0]), min(p_box[3], q_box[3]) - max(p_box[1], q_box[1])
+    return w <= 0 or h <= 0 or w * h * (1 + iou) < iou * (p_area + q_area) * (1 - 1e-6)
+
+
 def _overlap(p, p_area: float, p_box, q, q_area: float, q_box) -> float:
     if p_area <= 0 or q_area <= 0 or p_box[2] <= q_box[0] or q_box[2] <= p_box[0] or p_box[3] <= q_box[1] or q_box[3] <= p_box[1]:
         return 0.0
