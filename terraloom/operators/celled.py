@@ -84,7 +84,7 @@ def celled_topk(celled: DataFrame, queries: DataFrame, centres: np.ndarray, k: i
     wanted = asked.join(cut, "cell").select("query_id", "embedding", "cell", block("query_id", "n_q").alias("qb"), all_of("n_i").alias("ib"))
 
     keys = ["cell", "ib", "qb"]
-    out = items.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(lambda mine, theirs: best_of_two(mine, theirs, k), "query_id long, source string, item_id long, score double")
+    out = items.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInArrow(lambda mine, theirs: best_of_two(mine, theirs, k), "query_id long, source string, item_id long, score double")
     w = Window.partitionBy("query_id", "source").orderBy(F.round("score", 9).desc(), "item_id")
     return out.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +18,8 @@ from ..functions.scores import by_group, minmax, rank_decay, scaled_by_peak, uni
 
 #: Bytes of vectors, as doubles, in one block of queries or of index rows.
 BLOCK_BYTES = 32 << 20
-#: Rows of a block that are multiplied at a time, so that a tile of scores has a bounded size.
-TILE = 2048
+#: Queries of a block that are multiplied at a time, with four times as many items, so that a tile of scores has a bounded size.
+TILE = 512
 Q = ["query_id"]
 
 
@@ -38,39 +38,64 @@ def _cut(row: np.ndarray, score: np.ndarray, item: np.ndarray, k: int) -> tuple[
     return row[keep], score[keep], item[keep]
 
 
-def _best_of_blocks(index: pd.DataFrame, queries: pd.DataFrame, k: int, reduce: str) -> Iterator[tuple]:
-    """(query ids, source, item ids, scores) of a block of queries against a block of the index, tile by tile."""
-    queries = queries.sort_values("query_id", kind="stable")
-    ids, at = np.unique(queries["query_id"].to_numpy(), return_index=True)
-    matrix = np.array(queries["embedding"].tolist(), np.float64)
-    ends = np.append(at[1:], len(matrix))
-    for source, part in index.groupby("source", sort=False):
-        items, vectors = part["item_id"].to_numpy(), np.array(part["embedding"].tolist(), np.float64)
-        for q in range(0, len(ids), TILE):
-            own = ids[q : q + TILE]
-            a, b = at[q], ends[min(q + TILE, len(ids)) - 1]
-            row, score, item = np.zeros(0, np.int64), np.zeros(0), items[:0]
-            for i in range(0, len(items), TILE):
-                tile = matrix[a:b] @ vectors[i : i + TILE].T
+def _vectors(table: pa.Table) -> np.ndarray:
+    """The rows of ``embedding`` as a matrix that shares the table's memory and its type."""
+    return table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+
+
+def _surely_kth(tile: np.ndarray, k: int) -> np.ndarray:
+    """Per row a number that k scores at least reach: the k-th largest of the largest scores of 8 k groups of columns."""
+    n = 8 * k
+    if tile.shape[1] < 2 * n:
+        return np.full(len(tile), -np.inf)
+    largest = tile[:, : tile.shape[1] // n * n].reshape(len(tile), -1, n).max(axis=1)
+    return np.partition(largest, n - k, axis=1)[:, n - k]
+
+
+def _best_of_blocks(index: pa.Table, queries: pa.Table, k: int, reduce: str) -> Iterator[tuple]:
+    """(query ids, source, item ids, scores) of a block of queries against a block of the index, tile by tile. Only tiles are
+    held as doubles, and of a tile only scores that can be among the best k are sorted."""
+    order = np.argsort(queries["query_id"].to_numpy(), kind="stable")
+    ids, at = np.unique(queries["query_id"].to_numpy()[order], return_index=True)
+    ends = np.append(at[1:], len(order))
+    asked, vectors, items = _vectors(queries), _vectors(index), index["item_id"].to_numpy()
+    size = max(1, TILE * len(ids) // len(order))
+    of = index["source"].combine_chunks().dictionary_encode()
+    codes = of.indices.to_numpy(zero_copy_only=False)
+    reach = float(np.abs(asked).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, asked.shape[1])
+    for code, source in enumerate(of.dictionary.to_pylist()):
+        rows = np.flatnonzero(codes == code)
+        for q in range(0, len(ids), size):
+            own = ids[q : q + size]
+            a, b = at[q], ends[min(q + size, len(ids)) - 1]
+            mine = asked[order[a:b]].astype(np.float64)
+            row, score, item, least = np.zeros(0, np.int64), np.zeros(0), items[:0], np.full(len(own), -np.inf)
+            for i in range(0, len(rows), 4 * TILE):
+                part = rows[i : i + 4 * TILE]
+                theirs = items[part]
+                tile = mine @ vectors[part].astype(np.float64).T
                 if b - a > len(own):  # several views of a query
-                    tile = np.array([getattr(np, reduce)(tile[x - a : y - a], axis=0) for x, y in zip(at[q : q + TILE], ends[q : q + TILE], strict=True)])
-                tile[own[:, None] == items[None, i : i + TILE]] = -np.inf  # not itself
-                rounded, width = np.round(tile, 9), tile.shape[1]
-                least = np.partition(rounded, width - k, axis=1)[:, width - k, None] if width > k else np.full((len(own), 1), -np.inf)
-                r, c = np.nonzero((rounded >= least) & np.isfinite(tile))
-                row, score, item = _cut(np.append(row, r), np.append(score, tile[r, c]), np.append(item, items[i : i + TILE][c]), k)
+                    tile = np.array([getattr(np, reduce)(tile[x - a : y - a], axis=0) for x, y in zip(at[q : q + size], ends[q : q + size], strict=True)])
+                same = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+                c = np.flatnonzero(own[same] == theirs)
+                tile[same[c], c] = -np.inf  # not itself
+                if not np.isfinite(reach):
+                    tile[~np.isfinite(tile)] = -np.inf
+                least = np.maximum(least, _surely_kth(tile, k))
+                # Wider than the rounding of scores to 9 digits: what ties with the k-th is cut exactly below.
+                low = np.where(np.isfinite(least), least - 1e-8 * np.maximum(1, np.abs(least)), -np.inf)
+                met = np.flatnonzero(tile >= low[:, None])
+                met = met[tile.ravel()[met] > -np.inf]
+                row, score, item = _cut(np.append(row, met // len(part)), np.append(score, tile.ravel()[met]), np.append(item, theirs[met % len(part)]), k)
             yield own[row], source, item, score
 
 
-def best_of_two(index: pd.DataFrame, queries: pd.DataFrame, k: int, reduce: str = "mean") -> pd.DataFrame:
+def best_of_two(index: pa.Table, queries: pa.Table, k: int, reduce: str = "mean") -> pa.Table:
     """query_id, source, item_id, score: the best k per query and source of one block against another; either may be empty."""
-    found = [] if index.empty or queries.empty else list(_best_of_blocks(index, queries, k, reduce))
-    return pd.DataFrame({
-        "query_id": np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)]),
-        "source": np.repeat([f[1] for f in found], [len(f[0]) for f in found]) if found else np.zeros(0, object),
-        "item_id": np.concatenate([f[2] for f in found] or [np.zeros(0, np.int64)]),
-        "score": np.concatenate([f[3] for f in found] or [np.zeros(0)]),
-    })
+    found = list(_best_of_blocks(index, queries, k, reduce)) if len(index) and len(queries) else []
+    joined = lambda n, kind: pa.array(np.concatenate([f[n] for f in found] or [np.zeros(0)]), kind)
+    source = [pa.repeat(pa.scalar(f[1], pa.string()), len(f[0])) for f in found]
+    return pa.table({"query_id": joined(0, pa.int64()), "source": pa.chunked_array(source, pa.string()), "item_id": joined(2, pa.int64()), "score": joined(3, pa.float64())})
 
 
 def same_dimension(*tables: DataFrame, within: str | None = None) -> int | None:
@@ -109,11 +134,14 @@ def similarity_topk(index: DataFrame, queries: DataFrame, k: int, reduce: str =
     # Under names of their own, as both sides may come from one table.
     asked = queries.select(*(F.col(x).alias(f"q_{x}") for x in [*keys, "embedding"]), "query_id", block("query_id", n_query).alias("qb"), all_of(n_index).alias("ib"))
 
-    def search(key: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        return best_of_two(mine, theirs.rename(columns={"q_embedding": "embedding"}), k, reduce).assign(**{name: key[2] for name in keys})[[*keys, "query_id", "source", "item_id", "score"]]
+    def search(key: tuple, mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        best = best_of_two(mine, theirs.append_column("embedding", theirs["q_embedding"]), k, reduce)
+        for name in keys:
+            best = best.append_column(name, pa.repeat(pa.scalar(key[2].as_py(), pa.string()), len(best)))
+        return best.select([*keys, "query_id", "source", "item_id", "score"])
 
     of_keys = "".join(f"{name} string, " for name in keys)
-    out = items.groupBy("ib", "qb", *keys).cogroup(asked.groupBy("ib", "qb", *(f"q_{x}" for x in keys))).applyInPandas(search, f"{of_keys}query_id long, source string, item_id long, score double")
+    out = items.groupBy("ib", "qb", *keys).cogroup(asked.groupBy("ib", "qb", *(f"q_{x}" for x in keys))).applyInArrow(search, f"{of_keys}query_id long, source string, item_id long, score double")
     w = Window.partitionBy(*keys, "query_id", "source").orderBy(F.round("score", 9).desc(), "item_id")
     return out.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
