@@ -40,7 +40,8 @@ def _cut(row: np.ndarray, score: np.ndarray, item: np.ndarray, k: int) -> tuple[
 
 def _vectors(table: pa.Table) -> np.ndarray:
     """The rows of ``embedding`` as a matrix that shares the table's memory and its type."""
-    return table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+    flat = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(table), len(flat) // len(table))
 
 
 def _surely_kth(tile: np.ndarray, k: int) -> np.ndarray:

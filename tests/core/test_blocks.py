@@ -50,3 +50,10 @@ def test_ties_itself_and_numbers_that_are_not_finite():
     vectors[10] = [np.inf, 0, 1]
     got = best_of_two(_block("item_id", items[:900], vectors[:900], source=sources[:900]), _block("query_id", ids, asked), 500)
     assert _got(got) == _want(items[:900], sources[:900], vectors[:900], ids, asked, 500)
+
+
+def test_vectors_without_dimensions_and_empty_blocks():
+    index = _block("item_id", [3, 1], np.zeros((2, 0)), source=["a", "a"])
+    queries = _block("query_id", [1], np.zeros((1, 0)))
+    assert _got(best_of_two(index, queries, 2)) == [(1, "a", 3)]
+    assert len(best_of_two(index.slice(0, 0), queries, 2)) == 0 == len(best_of_two(index, queries.slice(0, 0), 2))
