@@ -133,3 +133,38 @@ def test_merge_by_blocks_pairs_no_dropped_items(spark, monkeypatch):
     got = merge.merge_without_copies(index, 900.0, 0.3, 50)
     assert sorted(r["item_id"] for r in got.collect()) == [r[0] for r in kept] and len(kept) < 100
     assert len(sizes) > 4 and sum(a * b for a, b in sizes) < 400 * 400 / 2
+
+
+def test_sets_of_many_candidates_meet_once(spark, monkeypatch):
+    from terraloom.streaming import temporal
+
+    rng = random.Random(21)
+    made, squared = spark.sparkContext.accumulator(0), temporal._squared_km
+    monkeypatch.setattr(temporal, "_squared_km", lambda a, b: (made.add(len(a) * len(b)), squared(a, b))[1])
+    n = {0: 560, 1: 530}
+    sets = [(k, i, 48.0 + (i % 520) / 5000, 2.0 + rng.randrange(k + 1) * 1e-9, rng.random()) for k in n for i in range(n[k])]
+    frames = spark.createDataFrame([(f % 2, f, f, f // 2 % 3 % 2, rng.uniform(0, 9000)) for f in range(60)], "sequence long, frame long, ts int, set long, radius_m double")
+    sets = spark.createDataFrame(sets, "set long, item_id long, lat double, lon double, w double")
+    key = lambda r: (r["sequence"], r["frame"], r["item_id"])
+    got = {key(r): r for r in temporal.temporal_posterior_of_sets(frames, sets).collect()}
+    assert 0 < made.value <= 2 * (560 + 530) ** 2  # once for each two sets that follow each other, in each sequence's part
+    want = {key(r): r for r in temporal.temporal_posterior(frames.join(sets, "set").drop("set")).collect()}
+    assert set(got) == set(want) and len(want) > 30_000
+    for k, r in want.items():
+        assert (got[k]["weight"], got[k]["radius_m"]) == pytest.approx((r["weight"], r["radius_m"]), rel=1e-9)
+
+
+def test_sets_that_are_not_kept(monkeypatch):
+    from terraloom.streaming import temporal
+
+    rng = np.random.default_rng(8)
+    a, b = (temporal._vectors(np.column_stack([48 + rng.random((n, 2)) / 10, rng.random(n)])) for n in (300, 200))
+    want = temporal._squared_km(a, b)
+    for most, keys in ((1 << 24, ["ab", "aa"]), (100_000, ["aa"]), (50_000, [])):  # one too large for all is made by blocks
+        monkeypatch.setattr(temporal, "KEPT", most)
+        kept: dict = {}
+        for key, x, y in (("ab", a, b), ("aa", a, a)):
+            squared = temporal._kept_km(kept, key, x, y)
+            assert np.array_equal(squared(slice(7, 20)), temporal._squared_km(x, y)[7:20])
+        assert list(kept) == keys
+    assert want[3, 4] == pytest.approx(km(*(np.degrees((math.asin(v[2]), math.atan2(v[1], v[0]))) for v in (a[3], b[4]))) ** 2, rel=1e-9)
