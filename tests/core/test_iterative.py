@@ -141,6 +141,7 @@ def test_sets_of_many_candidates_meet_once(spark, monkeypatch):
     rng = random.Random(21)
     made, squared = spark.sparkContext.accumulator(0), temporal._squared_km
     monkeypatch.setattr(temporal, "_squared_km", lambda a, b: (made.add(len(a) * len(b)), squared(a, b))[1])
+    monkeypatch.setattr(temporal, "LISTED", 250)  # a frame goes back in several rows
     n = {0: 560, 1: 530}
     sets = [(k, i, 48.0 + (i % 520) / 5000, 2.0 + rng.randrange(k + 1) * 1e-9, rng.random()) for k in n for i in range(n[k])]
     frames = spark.createDataFrame([(f % 2, f, f, f // 2 % 3 % 2, rng.uniform(0, 9000)) for f in range(60)], "sequence long, frame long, ts int, set long, radius_m double")
